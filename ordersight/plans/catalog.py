@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bundles as B
 from ..operators import history as H
+from ..operators import items as I
+from ..operators import products as P
 from . import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +74,89 @@ def repeat_flags(spark, d):
     """W12 (not the first order) and W13 (not the last order) labels."""
     h = H.repeat_flags(S.history_orders(spark, d))
     return h.select("order_id", "person_id", "repeat_customer_initial", "repeat_customer")
+
+
+# ------------------------------------------------------------------ items (N*)
+
+@query("items_parse")
+def items_parse(spark, d):
+    """N1 + X19: one row per encoded line item with its fields; numbers coerced."""
+    it = I.explode_items(S.encoded_orders(spark, d), "line_items", "order_id")
+    from ..functions.items import to_number
+    return it.select("order_id", "pos", "sku", to_number("quantity").alias("quantity"),
+                     to_number("subtotal").alias("subtotal"))
+
+
+@query("items_wide")
+def items_wide(spark, d):
+    """``item_{i}_sku`` / ``item_{i}_quantity`` for seven slots."""
+    w = I.wide_items(S.encoded_orders(spark, d), "line_items", "item", 7, ["sku", "quantity"])
+    return w.select("order_id", *[f"item_{i}_{k}" for i in range(1, 8) for k in ("sku", "quantity")])
+
+
+@query("items_flatten")
+def items_flatten(spark, d):
+    """Long items (order, pos, sku, quantity, subtotal), empty SKUs skipped."""
+    return I.flatten_items(S.encoded_orders(spark, d))
+
+
+@query("sku_count_pivot")
+def sku_count_pivot(spark, d):
+    """A3 + J8: quantity per order and SKU as ``{sku}_count`` columns, zeros filled."""
+    enc = S.encoded_orders(spark, d)
+    piv = I.sku_pivot(I.flatten_items(enc), S.TEST_SKUS, "quantity", suffix="_count")
+    return I.attach_pivot(enc.select("order_id"), piv)
+
+
+@query("sku_subtotal_pivot")
+def sku_subtotal_pivot(spark, d):
+    """A4 + J8: subtotal per order and SKU as ``{sku}_subtotal`` columns (P2 drops them)."""
+    enc = S.encoded_orders(spark, d)
+    piv = I.sku_pivot(I.flatten_items(enc), S.TEST_SKUS, "subtotal", suffix="_subtotal")
+    out = I.attach_pivot(enc.select("order_id"), piv)
+    return out.select("order_id", *[F.round(F.col(f"`{c}`"), 2).alias(c)
+                                    for c in out.columns if c != "order_id"])
+
+
+@query("bundle_expand")
+def bundle_expand(spark, d):
+    """J4 + P3: bundles replaced by components, then the SKU whitelist."""
+    items = I.flatten_items(S.encoded_orders(spark, d))
+    x = B.expand_bundles(items, B.bundle_table(spark, S.TEST_BUNDLES))
+    return B.keep_skus(x, S.TEST_WHITELIST).select("order_id", "sku", "quantity")
+
+
+@query("bundle_audit")
+def bundle_audit(spark, d):
+    """Quantity moved from each bundle to each component."""
+    items = I.flatten_items(S.encoded_orders(spark, d))
+    return B.bundle_audit(items, B.bundle_table(spark, S.TEST_BUNDLES))
+
+
+@query("category_presence")
+def category_presence(spark, d):
+    """J5 + A10: per order and category, 1 when its SKUs were bought."""
+    items = I.flatten_items(S.encoded_orders(spark, d))
+    return B.category_presence(items, B.category_table(spark, S.TEST_CATEGORIES))
+
+
+# ------------------------------------------------------- product history
+
+@query("history_products_distinct")
+def history_products_distinct(spark, d):
+    """Distinct SKUs in the person's earlier orders."""
+    h = P.product_history(S.history_orders(spark, d), I.order_skus(S.order_items(spark, d)))
+    return h.select("order_id", "person_id", "distinct_product_amount")
+
+
+@query("history_products_mode")
+def history_products_mode(spark, d):
+    """SKU in most earlier orders (ties: smallest SKU)."""
+    h = P.product_history(S.history_orders(spark, d), I.order_skus(S.order_items(spark, d)))
+    return h.select("order_id", "person_id", "most_frequent_product")
+
+
+@query("next_sku_labels")
+def next_sku_labels(spark, d):
+    """Quantity of each SKU in the person's next order."""
+    return P.next_order_labels(S.history_orders(spark, d), S.order_items(spark, d))

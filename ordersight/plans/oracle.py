@@ -80,3 +80,145 @@ SELECT order_id, person_id, average_order_value, total_order_value, std_order_va
 
 ORACLE_SQL["repeat_flags"] = _with(HIST) + """
 SELECT order_id, person_id, repeat_customer_initial, repeat_customer FROM hist"""
+
+# ------------------------------------------------------------ items
+
+from .standins import (TEST_BUNDLES, TEST_CATEGORIES, TEST_SKUS,  # noqa: E402
+                       TEST_WHITELIST)
+
+
+def _values(mapping: dict, k: str, v: str) -> str:
+    rows = []
+    for a, bs in mapping.items():
+        for b in (bs if isinstance(bs, list) else [bs]):
+            rows.append(f"('{a}', '{b}')")
+    return f"(VALUES {', '.join(rows)}) AS t({k}, {v})"
+
+
+def _inlist(items) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in items) + ")"
+
+
+LINES = """
+lines AS (
+  SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_no, l.l_partkey AS part_key,
+         p.p_brand AS sku, p.p_name AS name, l.l_quantity AS quantity,
+         l.l_extendedprice AS subtotal
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+ENCODED = LINES + """,
+lines_txt AS (
+  SELECT *, 'id:' || CAST(line_no AS VARCHAR) || '|name:' || name
+         || CASE WHEN part_key % 11 = 0 THEN '|sku:OLD' ELSE '' END
+         || '|sku:' || sku
+         || '|quantity:' || CASE WHEN part_key % 13 = 0 THEN 'x'
+                                 ELSE CAST(CAST(quantity AS BIGINT) AS VARCHAR) END
+         || '|subtotal:' || printf('%.2f', subtotal)
+         || CASE WHEN line_no = 3 THEN '|junk' ELSE '' END AS txt
+  FROM lines),
+enc AS (
+  SELECT order_id, string_agg(txt, ';' ORDER BY line_no, part_key, quantity, subtotal, txt)
+         AS line_items
+  FROM lines_txt GROUP BY order_id),
+recs AS (
+  SELECT order_id, unnest(string_split(line_items, ';')) AS rec,
+         unnest(range(1, len(string_split(line_items, ';')) + 1)) AS pos
+  FROM enc),
+fields AS (
+  SELECT order_id, pos,
+    substr(list_filter(string_split(rec, '|'), lambda t: starts_with(t, 'sku:'))[-1], 5) AS sku,
+    substr(list_filter(string_split(rec, '|'), lambda t: starts_with(t, 'quantity:'))[-1], 10)
+      AS quantity_txt,
+    substr(list_filter(string_split(rec, '|'), lambda t: starts_with(t, 'subtotal:'))[-1], 10)
+      AS subtotal_txt
+  FROM recs),
+flat AS (
+  SELECT order_id, pos, coalesce(sku, 'nan') AS sku,
+         coalesce(try_cast(quantity_txt AS DOUBLE), 0.0) AS quantity,
+         coalesce(try_cast(subtotal_txt AS DOUBLE), 0.0) AS subtotal
+  FROM fields WHERE coalesce(sku, 'nan') <> '')"""
+
+ORACLE_SQL["items_parse"] = _with(ENCODED) + """
+SELECT order_id, pos, sku, coalesce(try_cast(quantity_txt AS DOUBLE), 0.0) AS quantity,
+       coalesce(try_cast(subtotal_txt AS DOUBLE), 0.0) AS subtotal
+FROM fields"""
+
+ORACLE_SQL["items_flatten"] = _with(ENCODED) + """
+SELECT order_id, pos, sku, quantity, subtotal FROM flat"""
+
+ORACLE_SQL["items_wide"] = _with(ENCODED) + ", wide AS (SELECT o.o_orderkey AS order_id, " + ", ".join(
+    f"max(CASE WHEN f.pos = {i} THEN f.{k}{'_txt' if k == 'quantity' else ''} END) AS item_{i}_{k}"
+    for i in range(1, 8) for k in ("sku", "quantity")) + """
+  FROM orders o LEFT JOIN fields f ON f.order_id = o.o_orderkey GROUP BY o.o_orderkey)
+SELECT * FROM wide"""
+
+
+def _pivot_sql(value: str, suffix: str, rnd: bool) -> str:
+    cols = []
+    for s in TEST_SKUS:
+        agg = f"sum(CASE WHEN f.sku = '{s}' THEN f.{value} ELSE 0 END)"
+        if rnd:
+            agg = f"round({agg}, 2)"
+        cols.append(f"coalesce({agg}, 0) AS \"{s}{suffix}\"")
+    return _with(ENCODED) + f"""
+SELECT o.o_orderkey AS order_id, {', '.join(cols)}
+FROM orders o LEFT JOIN flat f ON f.order_id = o.o_orderkey
+GROUP BY o.o_orderkey"""
+
+
+ORACLE_SQL["sku_count_pivot"] = _pivot_sql("quantity", "_count", False)
+ORACLE_SQL["sku_subtotal_pivot"] = _pivot_sql("subtotal", "_subtotal", True)
+
+ORACLE_SQL["bundle_expand"] = _with(ENCODED) + f""",
+b AS (SELECT * FROM {_values(TEST_BUNDLES, 'bundle', 'component')}),
+x AS (SELECT f.order_id, coalesce(b.component, f.sku) AS sku, f.quantity
+      FROM flat f LEFT JOIN b ON f.sku = b.bundle)
+SELECT order_id, sku, sum(quantity) AS quantity FROM x
+WHERE sku IN {_inlist(TEST_WHITELIST)}
+GROUP BY order_id, sku"""
+
+ORACLE_SQL["bundle_audit"] = _with(ENCODED) + f""",
+b AS (SELECT * FROM {_values(TEST_BUNDLES, 'bundle', 'component')})
+SELECT b.bundle, b.component, sum(f.quantity) AS quantity
+FROM flat f JOIN b ON f.sku = b.bundle GROUP BY b.bundle, b.component"""
+
+ORACLE_SQL["category_presence"] = _with(ENCODED) + f""",
+c AS (SELECT * FROM {_values(TEST_CATEGORIES, 'sku', 'category')})
+SELECT f.order_id, c.category, CAST(sum(f.quantity) > 0 AS INTEGER) AS present
+FROM flat f JOIN c ON f.sku = c.sku GROUP BY f.order_id, c.category"""
+
+# --------------------------------------------------------- product history
+
+PROD = LINES + """,
+po AS (
+  SELECT o_custkey AS person_id, o_orderkey AS order_id,
+         date_diff('second', TIMESTAMP '1970-01-01 00:00:00', o_orderdate) AS s
+  FROM orders),
+os AS (SELECT order_id, sku FROM lines GROUP BY order_id, sku HAVING sum(quantity) > 0),
+ev AS (SELECT po.person_id, po.order_id, po.s, os.sku FROM po JOIN os USING (order_id)),
+prev AS (
+  SELECT o.order_id, o.person_id, e.sku, count(*) AS cnt
+  FROM po o JOIN ev e ON e.person_id = o.person_id
+   AND (e.s < o.s OR (e.s = o.s AND e.order_id < o.order_id))
+  GROUP BY o.order_id, o.person_id, e.sku)"""
+
+ORACLE_SQL["history_products_distinct"] = _with(PROD) + """
+SELECT o.order_id, o.person_id, CAST(count(p.sku) AS BIGINT) AS distinct_product_amount
+FROM po o LEFT JOIN prev p ON p.order_id = o.order_id
+GROUP BY o.order_id, o.person_id"""
+
+ORACLE_SQL["history_products_mode"] = _with(PROD) + """,
+ranked AS (
+  SELECT order_id, sku, row_number() OVER (PARTITION BY order_id ORDER BY cnt DESC, sku) AS rn
+  FROM prev)
+SELECT o.order_id, o.person_id, r.sku AS most_frequent_product
+FROM po o LEFT JOIN ranked r ON r.order_id = o.order_id AND r.rn = 1"""
+
+ORACLE_SQL["next_sku_labels"] = _with(PROD) + """,
+nx AS (
+  SELECT order_id, person_id,
+         lead(order_id) OVER (PARTITION BY person_id ORDER BY s, order_id) AS next_order_id
+  FROM po),
+q AS (SELECT order_id, sku, sum(quantity) AS next_count FROM lines GROUP BY order_id, sku)
+SELECT nx.order_id, nx.person_id, q.sku, q.next_count
+FROM nx JOIN q ON q.order_id = nx.next_order_id"""

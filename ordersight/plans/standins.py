@@ -72,3 +72,22 @@ def encoded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda x: x["_txt"]), ";").alias("line_items"))
     orders = history_orders(spark, sf_dir)
     return orders.join(enc, "order_id", "left")
+
+
+# Stand-in lookups for the test catalogue, where SKUs are part brands. They play
+# the role of the shop's bundle map, whitelist and category map.
+TEST_SKUS = [f"Brand#{i}" for i in range(1, 26)]
+TEST_BUNDLES = {
+    "Brand#21": ["Brand#1", "Brand#2"],
+    "Brand#22": ["Brand#3", "Brand#4", "Brand#5"],
+    "Brand#23": ["Brand#6"],
+    "Brand#24": ["Brand#1", "Brand#7"],
+}
+TEST_WHITELIST = [f"Brand#{i}" for i in range(1, 21)] + ["nan"]
+TEST_CATEGORY_NAMES = ["Chef", "Specialty", "Honing", "Sheath"]
+TEST_CATEGORIES = {f"Brand#{i}": TEST_CATEGORY_NAMES[i % 4] for i in range(1, 21)}
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long ``(order_id, sku, quantity, subtotal)`` straight from the line items."""
+    return order_lines(spark, sf_dir).select("order_id", "sku", "quantity", "subtotal")
