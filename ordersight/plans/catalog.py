@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import time as TM
+from ..functions.items import slot_field
 from ..operators import bundles as B
+from ..operators import enrich as EN
 from ..operators import history as H
 from ..operators import items as I
 from ..operators import products as P
@@ -160,3 +164,149 @@ def history_products_mode(spark, d):
 def next_sku_labels(spark, d):
     """Quantity of each SKU in the person's next order."""
     return P.next_order_labels(S.history_orders(spark, d), S.order_items(spark, d))
+
+
+# ------------------------------------------------------- cleaning rules (X*, J1-J3)
+
+@query("phone_area_code")
+def phone_area_code(spark, d):
+    """Standard phone text, area code, UNKNOWN blanked."""
+    c = S.contacts(spark, d).select("c_custkey", T.standardize_phone("billing_phone").alias("billing_phone"))
+    return c.select("c_custkey", "billing_phone",
+                    T.area_code("billing_phone").alias("phone_area_code"),
+                    T.blank_unknown(T.area_code("billing_phone")).alias("phone_area_code_clean"))
+
+
+@query("postcode_state")
+def postcode_state(spark, d):
+    """Zip main / extra, census key, state code."""
+    c = S.contacts(spark, d)
+    return c.select("c_custkey", T.zip_main("billing_postcode").alias("billing_zip_main"),
+                    T.zip_extra("billing_postcode").alias("billing_zip_extra"),
+                    T.zip5("billing_postcode").alias("zip"),
+                    T.state_code("billing_state").alias("billing_state"))
+
+
+@query("email_category")
+def email_category(spark, d):
+    """E-mail domain and its class."""
+    c = S.contacts(spark, d).select("c_custkey", T.email_domain("billing_email").alias("email_domain"))
+    return c.select("c_custkey", "email_domain", T.email_category("email_domain").alias("email_category"))
+
+
+@query("company_category")
+def company_category(spark, d):
+    """X12-X13 (+X21): company present and its class, billing and shipping."""
+    c = S.contacts(spark, d)
+    return c.select(
+        "c_custkey",
+        T.has_company("billing_company").cast("int").alias("has_billing_company"),
+        T.company_category("billing_company").alias("billing_company_category"),
+        T.has_company("shipping_company").cast("int").alias("has_shipping_company"),
+        T.company_category("shipping_company").alias("shipping_company_category"))
+
+
+@query("person_keys")
+def person_keys(spark, d):
+    """Customer identifier and person id."""
+    c = S.contacts(spark, d).withColumn("zm", T.zip_main("billing_postcode"))
+    return c.select(
+        "c_custkey",
+        T.customer_identifier("billing_first_name", "billing_last_name", "zm").alias("customer_identifier"),
+        T.person_key("billing_first_name", "billing_last_name", "zm").alias("person_id"))
+
+
+@query("census_enrich")
+def census_enrich(spark, d):
+    """J1 + X8 + S4: census columns by the first five postcode characters."""
+    j = EN.join_census(S.contacts(spark, d), S.census(spark, d))
+    return j.select("c_custkey", "zip", "median_household_income", "moe_median_household_income",
+                    "mean_household_income", "moe_mean_household_income")
+
+
+@query("income_clean")
+def income_clean(spark, d):
+    """Income estimates and margins to numbers, censored flag."""
+    c = S.census(spark, d)
+    return c.select(
+        "zip",
+        T.income("median_household_income").alias("median_household_income"),
+        T.margin("moe_median_household_income").alias("moe_median_household_income"),
+        T.income("mean_household_income").alias("mean_household_income"),
+        T.margin("moe_mean_household_income").alias("moe_mean_household_income"),
+        T.income_censored("moe_median_household_income", "moe_mean_household_income")
+        .cast("int").alias("is_income_censored"))
+
+
+@query("gender_lookup_best")
+def gender_lookup_best(spark, d):
+    """W15 + X24 + S5: most probable gender per normalised first name."""
+    return EN.best_gender(S.names(spark, d))
+
+
+@query("gender_enrich")
+def gender_enrich(spark, d):
+    """J2 + X22: gender and probability by first name, gender as 1/0."""
+    g = EN.add_gender(S.contacts(spark, d), EN.best_gender(S.names(spark, d)))
+    return g.select("c_custkey", "gender", "probability_of_gender",
+                    T.gender_binary("gender").alias("gender_binary"))
+
+
+@query("flags")
+def flags(spark, d):
+    """First coupon id, coupon used, company flag as 1/0."""
+    c = S.contacts(spark, d).withColumn("coupon_1_id", slot_field("coupon_items", 1, "id"))
+    return c.select("c_custkey", "coupon_1_id", T.used_coupon("coupon_1_id").alias("used_coupon"),
+                    T.has_company("billing_company").cast("int").alias("has_billing_company"))
+
+
+@query("order_time_parts")
+def order_time_parts(spark, d):
+    """Day, month, year, time text, hour, minute; time rebuilt from parts."""
+    e = S.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    parts = TM.order_time_parts("ts")
+    e = e.select("event_id", *[v.alias(k) for k, v in parts.items()])
+    return e.withColumn("order_datetime", TM.rebuild_datetime("order_year", "order_month",
+                                                              "order_day", "order_time"))
+
+
+@query("cyclical")
+def cyclical(spark, d):
+    """sin/cos of day (31), month (12), hour (24), minute (60)."""
+    e = S.table(spark, d, "events")
+    parts = TM.order_time_parts(F.col("ts"))
+    e = e.select("event_id", *[parts[k].alias(k) for k in TM.CYCLIC_PERIODS])
+    e = TM.add_cyclical(e)
+    return e.select("event_id", *[F.round(f"{k}_{f}", 9).alias(f"{k}_{f}")
+                                  for k in TM.CYCLIC_PERIODS for f in ("sin", "cos")])
+
+
+def _contact_orders(spark, d):
+    o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"),
+                                           F.col("o_custkey").alias("customer_id"))
+    return o.join(S.contacts(spark, d), o.customer_id == F.col("c_custkey"), "inner")
+
+
+@query("purchase_counts")
+def purchase_counts(spark, d):
+    """A1 + J6: orders per customer identifier mapped back to each order."""
+    co = _contact_orders(spark, d).withColumn(
+        "customer_identifier", T.customer_identifier("billing_first_name", "billing_last_name",
+                                                     T.zip_main("billing_postcode")))
+    return EN.purchase_counts(co).select("order_id", "customer_identifier", "purchase_count",
+                                         "repeat_purchase")
+
+
+@query("multi_order_total")
+def multi_order_total(spark, d):
+    """A2: orders of customer ids seen more than once, and how many such ids."""
+    o = S.table(spark, d, "orders").select(F.col("o_custkey").alias("customer_id"))
+    return EN.multi_order_total(o)
+
+
+@query("city_frequency")
+def city_frequency(spark, d):
+    """Orders sharing the billing / shipping city."""
+    co = EN.city_frequency(_contact_orders(spark, d))
+    return co.select("order_id", "billing_city", "shipping_city", "billing_city_frequency",
+                     "shipping_city_frequency")

@@ -222,3 +222,240 @@ nx AS (
 q AS (SELECT order_id, sku, sum(quantity) AS next_count FROM lines GROUP BY order_id, sku)
 SELECT nx.order_id, nx.person_id, q.sku, q.next_count
 FROM nx JOIN q ON q.order_id = nx.next_order_id"""
+
+# ------------------------------------------------------- contact text rules
+
+from .. import lookups as L  # noqa: E402
+
+CUST = """
+cb AS (
+  SELECT c.c_custkey AS k, c.c_nationkey AS n, c.c_mktsegment AS seg, p.p_name AS pn,
+         lpad(CAST(c.c_nationkey * 1000 + c.c_custkey % 3 AS VARCHAR), 5, '0') AS zp
+  FROM customer c JOIN part p ON c.c_custkey % 200 = p.p_partkey),
+cust AS (
+  SELECT k AS c_custkey,
+    CASE WHEN k % 41 = 7 THEN NULL WHEN k % 3 = 0 THEN upper(pn)
+         WHEN k % 3 = 1 THEN ' ' || pn || ' ' ELSE pn END AS billing_first_name,
+    'Last' || CAST(k % 500 AS VARCHAR) AS billing_last_name,
+    CASE WHEN k % 53 = 3 THEN NULL
+         WHEN k % 4 = 0 THEN zp || '-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0')
+         WHEN k % 4 = 1 THEN ' ' || zp || '-12'
+         WHEN k % 4 = 2 THEN zp ELSE zp || '-123456' END AS billing_postcode,
+    CASE k % 5
+      WHEN 0 THEN lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '-555-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0')
+      WHEN 1 THEN '1 (' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || ') 555 ' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0')
+      WHEN 2 THEN 'abc' || CAST(k AS VARCHAR)
+      WHEN 3 THEN NULL
+      ELSE '+44 20 ' || CAST(k AS VARCHAR) END AS billing_phone,
+    CASE k % 6
+      WHEN 0 THEN 'u' || CAST(k AS VARCHAR) || '@gmail.com'
+      WHEN 1 THEN 'u' || CAST(k AS VARCHAR) || '@school.edu'
+      WHEN 2 THEN 'u' || CAST(k AS VARCHAR) || '@' || lower(seg) || '.com'
+      WHEN 3 THEN 'u' || CAST(k AS VARCHAR) || '@mail.de'
+      WHEN 4 THEN NULL
+      ELSE 'u' || CAST(k AS VARCHAR) || '.example.org' END AS billing_email,
+    CASE k % 8 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN 'Retired' WHEN 3 THEN 'Guest'
+      WHEN 4 THEN 'Self Employed' WHEN 5 THEN 'Title (optional)' WHEN 6 THEN 'Unknown'
+      ELSE seg || ' Inc' END AS billing_company,
+    CASE (k + 3) % 8 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN 'Retired' WHEN 3 THEN 'Guest'
+      WHEN 4 THEN 'Self Employed' WHEN 5 THEN 'Title (optional)' WHEN 6 THEN 'Unknown'
+      ELSE seg || ' Inc' END AS shipping_company,
+    CASE n % 6 WHEN 0 THEN 'Oregon' WHEN 1 THEN ' new york ' WHEN 2 THEN 'CA' WHEN 3 THEN NULL
+      WHEN 4 THEN 'District of Columbia' ELSE 'Ontario' END AS billing_state,
+    'City' || CAST(n % 10 AS VARCHAR) AS billing_city,
+    CASE WHEN k % 9 = 0 THEN NULL ELSE 'City' || CAST((n + k) % 10 AS VARCHAR) END AS shipping_city,
+    CASE k % 4 WHEN 0 THEN 'id:' || CAST(k AS VARCHAR) || '|code:c' WHEN 1 THEN 'id:|code:x'
+      WHEN 2 THEN NULL ELSE 'code:y' END AS coupon_items
+  FROM cb)"""
+
+CENSUS = """
+census AS (
+  SELECT lpad(CAST(n_nationkey * 1000 AS VARCHAR), 5, '0') AS zip,
+    CASE n_nationkey % 5 WHEN 0 THEN '250,000+' WHEN 1 THEN '2,500-' WHEN 2 THEN '-'
+      WHEN 3 THEN CAST(n_nationkey * 1234 + 40000 AS VARCHAR) ELSE '(X)' END AS median_household_income,
+    CASE n_nationkey % 5 WHEN 0 THEN '***' WHEN 1 THEN '**' WHEN 2 THEN 'N'
+      WHEN 3 THEN CAST(n_nationkey + 1000 AS VARCHAR) ELSE '1,234' END AS moe_median_household_income,
+    CASE n_nationkey % 4 WHEN 0 THEN 'N' WHEN 1 THEN '80,500'
+      ELSE CAST(n_nationkey * 321 + 50000 AS VARCHAR) END AS mean_household_income,
+    CASE n_nationkey % 4 WHEN 0 THEN '***' WHEN 1 THEN '-'
+      ELSE CAST(n_nationkey + 2000 AS VARCHAR) END AS moe_mean_household_income
+  FROM nation)"""
+
+NAMES = """
+names AS (
+  SELECT CASE p_partkey % 3 WHEN 0 THEN ' ' || upper(p_name) WHEN 1 THEN p_name
+              ELSE p_name || ' ' END AS Name,
+         CASE WHEN p_size % 2 = 0 THEN 'M' ELSE 'F' END AS Gender,
+         CAST(p_size AS DOUBLE) / 50.0 AS Probability
+  FROM part),
+nb AS (
+  SELECT lower(regexp_replace(Name, '^\\s+|\\s+$', '', 'g')) AS name_key, Gender AS gender,
+         Probability AS probability_of_gender,
+         row_number() OVER (PARTITION BY lower(regexp_replace(Name, '^\\s+|\\s+$', '', 'g'))
+                            ORDER BY Probability DESC, Gender) AS rn
+  FROM names),
+names_best AS (SELECT name_key, gender, probability_of_gender FROM nb WHERE rn = 1)"""
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _phone(c: str) -> str:
+    d = f"regexp_replace(coalesce({c}, ''), '[^0-9]', '', 'g')"
+    return (f"CASE WHEN length({d}) = 10 THEN '+1 (' || substr({d}, 1, 3) || ') ' || substr({d}, 4, 3)"
+            f" || '-' || substr({d}, 7, 4)"
+            f" WHEN length({d}) = 11 AND {d} LIKE '1%' THEN '+1 (' || substr({d}, 2, 3) || ') '"
+            f" || substr({d}, 5, 3) || '-' || substr({d}, 8, 4) ELSE {d} END")
+
+
+def _area(p: str) -> str:
+    code = f"regexp_extract({p}, '\\((\\d{{3}})\\)', 1)"
+    return f"CASE WHEN {p} IS NULL OR {_strip(p)} = '' OR {code} = '' THEN 'UNKNOWN' ELSE {code} END"
+
+
+def _company(c: str) -> str:
+    unknown = _inlist(L.COMPANY_UNKNOWN_WORDS)
+    return (f"CASE WHEN {c} IS NULL OR lower({_strip(c)}) IN {unknown} THEN 'UNKNOWN'"
+            f" WHEN contains(lower({c}), 'retired') THEN 'RETIREMENT'"
+            f" WHEN contains(lower({c}), 'guest') OR contains(lower({c}), 'self employed') THEN 'PERSONAL'"
+            f" ELSE 'BUSINESS' END")
+
+
+def _domain(e: str) -> str:
+    return f"CASE WHEN {e} IS NULL OR strpos({e}, '@') = 0 THEN 'UNKNOWN' ELSE split_part({e}, '@', 2) END"
+
+
+def _email_cat(d: str) -> str:
+    return (f"CASE WHEN {d} = 'UNKNOWN' THEN 'UNKNOWN' WHEN suffix({d}, '.edu') THEN 'EDUCATION'"
+            f" WHEN {d} IN {_inlist(L.PERSONAL_EMAIL_HOSTS)} THEN 'PERSONAL'"
+            f" WHEN suffix({d}, '.com') OR suffix({d}, '.net') OR suffix({d}, '.org') THEN 'CORPORATE'"
+            f" ELSE 'OTHER' END")
+
+
+def _zip_main(c: str) -> str:
+    return f"split_part({_strip(c)}, '-', 1)"
+
+
+def _income(c: str) -> str:
+    t = f"regexp_replace({c}, '[,+\\-N]', '', 'g')"
+    return f"CASE WHEN {t} <> '' THEN try_cast({t} AS DOUBLE) END"
+
+
+def _margin(c: str) -> str:
+    return (f"CASE WHEN {c} IN {_inlist(L.MARGIN_NULL_SYMBOLS)} THEN NULL"
+            f" ELSE try_cast(replace({c}, ',', '') AS DOUBLE) END")
+
+
+STATES = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in L.STATE_CODES.items()) + ") AS st(sname, scode)"
+
+ORACLE_SQL["phone_area_code"] = _with(CUST) + f""",
+ph AS (SELECT c_custkey, {_phone('billing_phone')} AS billing_phone FROM cust)
+SELECT c_custkey, billing_phone, {_area('billing_phone')} AS phone_area_code,
+       CASE WHEN {_area('billing_phone')} = 'UNKNOWN' THEN '' ELSE {_area('billing_phone')} END
+         AS phone_area_code_clean
+FROM ph"""
+
+ORACLE_SQL["postcode_state"] = _with(CUST) + f""",
+x AS (SELECT *, lower({_strip('billing_state')}) AS skey, {_strip('billing_postcode')} AS pc FROM cust)
+SELECT c_custkey, {_zip_main('billing_postcode')} AS billing_zip_main,
+       CASE WHEN strpos(pc, '-') > 0 THEN substr(substr(pc, strpos(pc, '-') + 1), 1, 4) END
+         AS billing_zip_extra,
+       substr(billing_postcode, 1, 5) AS zip,
+       upper(coalesce(st.scode, skey)) AS billing_state
+FROM x LEFT JOIN {STATES} ON st.sname = x.skey"""
+
+ORACLE_SQL["email_category"] = _with(CUST) + f""",
+d AS (SELECT c_custkey, {_domain('billing_email')} AS email_domain FROM cust)
+SELECT c_custkey, email_domain, {_email_cat('email_domain')} AS email_category FROM d"""
+
+ORACLE_SQL["company_category"] = _with(CUST) + f"""
+SELECT c_custkey,
+  CAST(billing_company IS NOT NULL AND {_strip('billing_company')} <> '' AS INTEGER) AS has_billing_company,
+  {_company('billing_company')} AS billing_company_category,
+  CAST(shipping_company IS NOT NULL AND {_strip('shipping_company')} <> '' AS INTEGER)
+    AS has_shipping_company,
+  {_company('shipping_company')} AS shipping_company_category
+FROM cust"""
+
+ORACLE_SQL["person_keys"] = _with(CUST) + f"""
+SELECT c_custkey,
+  lower(billing_first_name) || '_' || lower(billing_last_name) || '_'
+    || coalesce({_zip_main('billing_postcode')}, 'nan') AS customer_identifier,
+  lower({_strip('billing_first_name')}) || ' ' || lower({_strip('billing_last_name')}) || ' '
+    || lower(coalesce({_zip_main('billing_postcode')}, '')) AS person_id
+FROM cust"""
+
+ORACLE_SQL["census_enrich"] = _with(CUST, CENSUS) + """
+SELECT c.c_custkey, substr(c.billing_postcode, 1, 5) AS zip, s.median_household_income,
+       s.moe_median_household_income, s.mean_household_income, s.moe_mean_household_income
+FROM cust c LEFT JOIN census s ON s.zip = substr(c.billing_postcode, 1, 5)"""
+
+ORACLE_SQL["income_clean"] = _with(CENSUS) + f"""
+SELECT zip, {_income('median_household_income')} AS median_household_income,
+       {_margin('moe_median_household_income')} AS moe_median_household_income,
+       {_income('mean_household_income')} AS mean_household_income,
+       {_margin('moe_mean_household_income')} AS moe_mean_household_income,
+       CAST(coalesce(moe_median_household_income = '***', false)
+            OR coalesce(moe_mean_household_income = '***', false) AS INTEGER) AS is_income_censored
+FROM census"""
+
+ORACLE_SQL["gender_lookup_best"] = _with(NAMES) + """
+SELECT name_key, gender, probability_of_gender FROM names_best"""
+
+ORACLE_SQL["gender_enrich"] = _with(CUST, NAMES) + """
+SELECT c.c_custkey, coalesce(b.gender, 'Unknown') AS gender, b.probability_of_gender,
+       CASE coalesce(b.gender, 'Unknown') WHEN 'M' THEN 1 WHEN 'F' THEN 0 END AS gender_binary
+FROM cust c LEFT JOIN names_best b ON b.name_key = lower(c.billing_first_name)"""
+
+ORACLE_SQL["flags"] = _with(CUST) + f""",
+cp AS (SELECT c_custkey, billing_company,
+         substr(list_filter(string_split(string_split(coupon_items, ';')[1], '|'),
+                            lambda t: starts_with(t, 'id:'))[-1], 4) AS coupon_1_id
+       FROM cust)
+SELECT c_custkey, coupon_1_id,
+       CASE WHEN coupon_1_id IS NOT NULL AND coupon_1_id <> '' THEN 1 ELSE 0 END AS used_coupon,
+       CAST(billing_company IS NOT NULL AND {_strip('billing_company')} <> '' AS INTEGER)
+         AS has_billing_company
+FROM cp"""
+
+ORACLE_SQL["order_time_parts"] = """
+SELECT event_id, day(ts) AS order_day, month(ts) AS order_month, year(ts) AS order_year,
+       strftime(ts, '%H:%M:%S') AS order_time, hour(ts) AS order_hour, minute(ts) AS order_minute,
+       date_trunc('second', ts) AS order_datetime
+FROM events"""
+
+ORACLE_SQL["cyclical"] = "SELECT event_id, " + ", ".join(
+    f"round(sin(2 * pi() * CAST({f}(ts) AS DOUBLE) / {float(p)}), 9) AS order_{n}_sin, "
+    f"round(cos(2 * pi() * CAST({f}(ts) AS DOUBLE) / {float(p)}), 9) AS order_{n}_cos"
+    for n, f, p in [("day", "day", 31), ("month", "month", 12), ("hour", "hour", 24),
+                    ("minute", "minute", 60)]) + " FROM events"
+
+CUST_ORDERS = CUST + """,
+co AS (
+  SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id, c.*
+  FROM orders o JOIN cust c ON c.c_custkey = o.o_custkey)"""
+
+ORACLE_SQL["purchase_counts"] = _with(CUST_ORDERS) + f""",
+ci AS (
+  SELECT order_id, lower(billing_first_name) || '_' || lower(billing_last_name) || '_'
+           || coalesce({_zip_main('billing_postcode')}, 'nan') AS customer_identifier
+  FROM co),
+cnt AS (SELECT customer_identifier, count(*) AS purchase_count FROM ci
+        WHERE customer_identifier IS NOT NULL GROUP BY customer_identifier)
+SELECT ci.order_id, ci.customer_identifier, CAST(cnt.purchase_count AS BIGINT) AS purchase_count,
+       CAST(CASE WHEN cnt.purchase_count > 1 THEN 1 ELSE 0 END AS INTEGER) AS repeat_purchase
+FROM ci LEFT JOIN cnt USING (customer_identifier)"""
+
+ORACLE_SQL["multi_order_total"] = """
+WITH per AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)
+SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS orders_of_repeat_keys,
+       CAST(count(CASE WHEN n > 1 THEN 1 END) AS BIGINT) AS repeat_keys
+FROM per"""
+
+ORACLE_SQL["city_frequency"] = _with(CUST_ORDERS) + """,
+bc AS (SELECT billing_city, count(*) AS f FROM co WHERE billing_city IS NOT NULL GROUP BY 1),
+sc AS (SELECT shipping_city, count(*) AS f FROM co WHERE shipping_city IS NOT NULL GROUP BY 1)
+SELECT co.order_id, co.billing_city, co.shipping_city,
+       CAST(bc.f AS BIGINT) AS billing_city_frequency, CAST(sc.f AS BIGINT) AS shipping_city_frequency
+FROM co LEFT JOIN bc USING (billing_city) LEFT JOIN sc USING (shipping_city)"""

@@ -91,3 +91,100 @@ TEST_CATEGORIES = {f"Brand#{i}": TEST_CATEGORY_NAMES[i % 4] for i in range(1, 21
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long ``(order_id, sku, quantity, subtotal)`` straight from the line items."""
     return order_lines(spark, sf_dir).select("order_id", "sku", "quantity", "subtotal")
+
+
+def _s(c) -> F.Column:
+    return c.cast("string")
+
+
+def _lp(c, n: int) -> F.Column:
+    return F.lpad(c.cast("string"), n, "0")
+
+
+def _case(key: F.Column, values: list) -> F.Column:
+    """CASE key WHEN 0 THEN values[0] WHEN 1 ... (rendering helper)."""
+    expr = None
+    for i, v in enumerate(values):
+        v = v if isinstance(v, F.Column) else F.lit(v)
+        expr = F.when(key == i, v) if expr is None else expr.when(key == i, v)
+    return expr
+
+
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer with shop-style contact text rendered from its keys.
+
+    First names are part names (so they meet the name table); case, padding and
+    missing values vary with the key so that every cleaning rule is exercised.
+    """
+    c = table(spark, sf_dir, "customer")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    k, n, seg = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")
+    j = c.join(p, (k % 200) == p.p_partkey, "inner")
+    zp = _lp(n * 1000 + k % 3, 5)
+    pn = F.col("p_name")
+
+    def company(key):
+        return _case(key % 8, [F.lit(None).cast("string"), "   ", "Retired", "Guest", "Self Employed",
+                               "Title (optional)", "Unknown", F.concat(seg, F.lit(" Inc"))])
+
+    return j.select(
+        k.alias("c_custkey"),
+        F.when(k % 41 == 7, F.lit(None).cast("string")).otherwise(
+            _case(k % 3, [F.upper(pn), F.concat(F.lit(" "), pn, F.lit(" ")), pn])
+        ).alias("billing_first_name"),
+        F.concat(F.lit("Last"), _s(k % 500)).alias("billing_last_name"),
+        F.when(k % 53 == 3, F.lit(None).cast("string")).otherwise(_case(k % 4, [
+            F.concat(zp, F.lit("-"), _lp(k % 10000, 4)),
+            F.concat(F.lit(" "), zp, F.lit("-12")),
+            zp,
+            F.concat(zp, F.lit("-123456"))])).alias("billing_postcode"),
+        _case(k % 5, [
+            F.concat(_lp(k % 1000, 3), F.lit("-555-"), _lp(k % 10000, 4)),
+            F.concat(F.lit("1 ("), _lp(k % 1000, 3), F.lit(") 555 "), _lp(k % 10000, 4)),
+            F.concat(F.lit("abc"), _s(k)),
+            F.lit(None).cast("string"),
+            F.concat(F.lit("+44 20 "), _s(k))]).alias("billing_phone"),
+        _case(k % 6, [
+            F.concat(F.lit("u"), _s(k), F.lit("@gmail.com")),
+            F.concat(F.lit("u"), _s(k), F.lit("@school.edu")),
+            F.concat(F.lit("u"), _s(k), F.lit("@"), F.lower(seg), F.lit(".com")),
+            F.concat(F.lit("u"), _s(k), F.lit("@mail.de")),
+            F.lit(None).cast("string"),
+            F.concat(F.lit("u"), _s(k), F.lit(".example.org"))]).alias("billing_email"),
+        company(k).alias("billing_company"),
+        company(k + 3).alias("shipping_company"),
+        _case(n % 6, ["Oregon", " new york ", "CA", F.lit(None).cast("string"),
+                      "District of Columbia", "Ontario"]).alias("billing_state"),
+        F.concat(F.lit("City"), _s(n % 10)).alias("billing_city"),
+        F.when(k % 9 == 0, F.lit(None).cast("string")).otherwise(
+            F.concat(F.lit("City"), _s((n + k) % 10))).alias("shipping_city"),
+        _case(k % 4, [F.concat(F.lit("id:"), _s(k), F.lit("|code:c")), "id:|code:x",
+                      F.lit(None).cast("string"), "code:y"]).alias("coupon_items"),
+    )
+
+
+def census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One census row per nation zip, with survey-style text incomes and margins."""
+    n = F.col("n_nationkey")
+    nat = table(spark, sf_dir, "nation")
+    return nat.select(
+        _lp(n * 1000, 5).alias("zip"),
+        _case(n % 5, ["250,000+", "2,500-", "-", _s(n * 1234 + 40000), "(X)"])
+        .alias("median_household_income"),
+        _case(n % 5, ["***", "**", "N", _s(n + 1000), "1,234"]).alias("moe_median_household_income"),
+        _case(n % 4, ["N", "80,500", _s(n * 321 + 50000), _s(n * 321 + 50000)])
+        .alias("mean_household_income"),
+        _case(n % 4, ["***", "-", _s(n + 2000), _s(n + 2000)]).alias("moe_mean_household_income"),
+    )
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first-name gender table (Name, Gender, Probability) rendered from ``part``."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        _case(k % 3, [F.concat(F.lit(" "), F.upper("p_name")), F.col("p_name"),
+                      F.concat(F.col("p_name"), F.lit(" "))]).alias("Name"),
+        F.when(F.col("p_size") % 2 == 0, "M").otherwise("F").alias("Gender"),
+        (F.col("p_size").cast("double") / 50.0).alias("Probability"),
+    )
