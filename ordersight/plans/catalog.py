@@ -17,6 +17,7 @@ from ..functions import time as TM
 from ..functions.items import slot_field
 from ..operators import bundles as B
 from ..operators import enrich as EN
+from ..operators import metrics as M
 from ..operators import history as H
 from ..operators import items as I
 from ..operators import products as P
@@ -310,3 +311,87 @@ def city_frequency(spark, d):
     co = EN.city_frequency(_contact_orders(spark, d))
     return co.select("order_id", "billing_city", "shipping_city", "billing_city_frequency",
                      "shipping_city_frequency")
+
+
+# ------------------------------------------------------------- metrics (V*, U2)
+
+REPORT_THRESHOLD = 0.3
+
+
+@query("pr_curve")
+def pr_curve(spark, d):
+    """V1: precision-recall points per distinct score plus the final point."""
+    return M.pr_curve(S.scored_lines(spark, d))
+
+
+@query("roc_curve")
+def roc_curve(spark, d):
+    """V2: ROC points per distinct score plus the origin."""
+    return M.roc_curve(S.scored_lines(spark, d))
+
+
+@query("auc")
+def auc(spark, d):
+    """V3: ROC AUC of the pooled scores, ties counted half."""
+    return M.auc(S.scored_lines(spark, d))
+
+
+@query("auc_per_target")
+def auc_per_target(spark, d):
+    """V5 + U2: ROC AUC per target of the pooled table."""
+    return M.auc(S.scored_lines(spark, d), ["target"])
+
+
+@query("auc_weighted")
+def auc_weighted(spark, d):
+    """V4: per-target AUC averaged with positive counts as weights."""
+    return M.weighted_auc(S.scored_lines(spark, d)).select(
+        F.round("auc_weighted", 12).alias("auc_weighted"))
+
+
+@query("confusion")
+def confusion(spark, d):
+    """V8: confusion counts at a threshold."""
+    return M.confusion(S.scored_lines(spark, d), REPORT_THRESHOLD)
+
+
+@query("class_report")
+def class_report(spark, d):
+    """V7: per-class precision / recall / F1 / support, macro and weighted averages."""
+    return M.class_report(S.scored_lines(spark, d), REPORT_THRESHOLD)
+
+
+@query("pooled_metrics")
+def pooled_metrics(spark, d):
+    """V6: accuracy and macro precision / recall / F1."""
+    return M.pooled_metrics(S.scored_lines(spark, d), REPORT_THRESHOLD)
+
+
+@query("threshold_f1")
+def threshold_f1(spark, d):
+    """V9: threshold with the best F1 on the PR curve."""
+    return M.threshold_best_f1(S.scored_lines(spark, d))
+
+
+@query("threshold_f1_recall")
+def threshold_f1_recall(spark, d):
+    """Per target, threshold with the best F1 + 0.01 recall."""
+    return M.threshold_f1_recall(S.scored_lines(spark, d), ["target"])
+
+
+@query("threshold_min_precision")
+def threshold_min_precision(spark, d):
+    """Lowest threshold with precision >= 0.35 (1.0 when none)."""
+    return M.threshold_min_precision(S.scored_lines(spark, d), 0.35)
+
+
+@query("threshold_precision_recall")
+def threshold_precision_recall(spark, d):
+    """Lowest threshold with precision >= 0.3 and recall > precision (0.5 when none)."""
+    return M.threshold_precision_recall(S.scored_lines(spark, d), 0.3)
+
+
+@query("threshold_sweep")
+def threshold_sweep(spark, d):
+    """Best macro-F1 threshold of 100 in 0.01..0.9 with ``score > t``."""
+    return M.threshold_sweep(S.scored_lines(spark, d), M.sweep_thresholds(spark))

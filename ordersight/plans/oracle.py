@@ -459,3 +459,132 @@ sc AS (SELECT shipping_city, count(*) AS f FROM co WHERE shipping_city IS NOT NU
 SELECT co.order_id, co.billing_city, co.shipping_city,
        CAST(bc.f AS BIGINT) AS billing_city_frequency, CAST(sc.f AS BIGINT) AS shipping_city_frequency
 FROM co LEFT JOIN bc USING (billing_city) LEFT JOIN sc USING (shipping_city)"""
+
+# ------------------------------------------------------------------ metrics
+
+SCORED = """
+sc AS (SELECT l_linestatus AS target, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+              l_discount * 5 + l_tax AS score FROM lineitem)"""
+
+
+def _cum(by: str = "") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    sel = f"{by}, " if by else ""
+    return SCORED + f""",
+cnt AS (SELECT {sel}score, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY {sel}score),
+cum AS (
+  SELECT {sel}score, pos, neg,
+    coalesce(sum(pos) OVER ({part} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS pos_above,
+    coalesce(sum(neg) OVER ({part} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS neg_above,
+    coalesce(sum(neg) OVER ({part} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS neg_below,
+    sum(pos) OVER ({part}) AS P, sum(neg) OVER ({part}) AS N
+  FROM cnt),
+pts AS (
+  SELECT {sel}score AS threshold, pos_above + pos AS tp, neg_above + neg AS fp, P, N FROM cum),
+pr AS (
+  SELECT {sel}threshold,
+    CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision,
+    CASE WHEN P > 0 THEN CAST(tp AS DOUBLE) / CAST(P AS DOUBLE) ELSE 1.0 END AS recall,
+    CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp
+  FROM pts)"""
+
+
+ORACLE_SQL["pr_curve"] = _with(_cum()) + """
+SELECT threshold, precision, recall, tp, fp FROM pr
+UNION ALL SELECT NULL, 1.0, 0.0, NULL, NULL"""
+
+ORACLE_SQL["roc_curve"] = _with(_cum()) + """
+SELECT threshold, CAST(fp AS DOUBLE) / CAST(N AS DOUBLE) AS fpr,
+       CAST(tp AS DOUBLE) / CAST(P AS DOUBLE) AS tpr FROM pts
+UNION ALL SELECT NULL, 0.0, 0.0"""
+
+
+def _auc_sql(by: str = "") -> str:
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return _with(_cum(by)) + f"""
+SELECT {sel}CASE WHEN max(P) * max(N) > 0 THEN
+         CAST(sum(pos * (2 * neg_below + neg)) AS DOUBLE) / CAST(2 * max(P) * max(N) AS DOUBLE) END AS auc,
+       CAST(max(P) AS BIGINT) AS positives, CAST(max(N) AS BIGINT) AS negatives
+FROM cum {grp}"""
+
+
+ORACLE_SQL["auc"] = _auc_sql()
+ORACLE_SQL["auc_per_target"] = _auc_sql("target")
+ORACLE_SQL["auc_weighted"] = "WITH per AS (" + _auc_sql("target") + """)
+SELECT round(sum(auc * positives) / sum(positives), 12) AS auc_weighted FROM per WHERE auc IS NOT NULL"""
+
+CONF = SCORED + """,
+conf AS (SELECT CAST(y AS INTEGER) AS y, CAST(score >= 0.3 AS INTEGER) AS pred, count(*) AS n
+         FROM sc GROUP BY 1, 2),
+w AS (SELECT coalesce(sum(CASE WHEN y = 0 AND pred = 0 THEN n END), 0) AS c00,
+             coalesce(sum(CASE WHEN y = 0 AND pred = 1 THEN n END), 0) AS c01,
+             coalesce(sum(CASE WHEN y = 1 AND pred = 0 THEN n END), 0) AS c10,
+             coalesce(sum(CASE WHEN y = 1 AND pred = 1 THEN n END), 0) AS c11 FROM conf),
+st AS (SELECT 0 AS label, c00 AS tp, c10 AS fp, c01 AS fn, c00 + c01 AS support FROM w
+       UNION ALL SELECT 1, c11, c01, c10, c11 + c10 FROM w),
+prf AS (
+  SELECT label, support, tp,
+    CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS recall,
+    CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE)
+         ELSE 0.0 END AS f1
+  FROM st)"""
+
+ORACLE_SQL["confusion"] = _with(CONF) + " SELECT y, pred, CAST(n AS BIGINT) AS n FROM conf"
+
+ORACLE_SQL["class_report"] = _with(CONF) + """
+SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, CAST(support AS BIGINT) AS support FROM prf
+UNION ALL SELECT 'macro avg', sum(precision) / 2, sum(recall) / 2, sum(f1) / 2,
+                 CAST(sum(support) AS BIGINT) FROM prf
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support),
+                 sum(recall * support) / sum(support), sum(f1 * support) / sum(support),
+                 CAST(sum(support) AS BIGINT) FROM prf"""
+
+ORACLE_SQL["pooled_metrics"] = _with(CONF) + """
+SELECT CAST(sum(tp) AS DOUBLE) / CAST(sum(support) AS DOUBLE) AS accuracy,
+       sum(precision) / 2 AS precision_macro, sum(recall) / 2 AS recall_macro,
+       sum(f1) / 2 AS f1_macro FROM prf"""
+
+ORACLE_SQL["threshold_f1"] = _with(_cum()) + """,
+f AS (SELECT *, (2.0 * precision * recall) / (precision + recall + CAST('1e-9' AS DOUBLE)) AS f1 FROM pr),
+r AS (SELECT *, row_number() OVER (ORDER BY f1 DESC, threshold) AS rn FROM f)
+SELECT threshold, precision, recall, f1 FROM r WHERE rn = 1"""
+
+ORACLE_SQL["threshold_f1_recall"] = _with(_cum("target")) + """,
+f AS (SELECT *, (2.0 * precision * recall) / (precision + recall + CAST('1e-10' AS DOUBLE)) AS f1 FROM pr),
+r AS (SELECT *, row_number() OVER (PARTITION BY target
+                                   ORDER BY f1 + CAST('0.01' AS DOUBLE) * recall DESC, threshold) AS rn
+      FROM f)
+SELECT target, threshold, precision, recall, f1 FROM r WHERE rn = 1"""
+
+ORACLE_SQL["threshold_min_precision"] = _with(_cum()) + """
+SELECT coalesce(min(CASE WHEN precision >= 0.35 THEN threshold END), 1.0) AS threshold FROM pr"""
+
+ORACLE_SQL["threshold_precision_recall"] = _with(_cum()) + """
+SELECT coalesce(min(CASE WHEN precision >= 0.3 AND recall > precision THEN threshold END), 0.5)
+  AS threshold FROM pr"""
+
+_STEP = repr((0.9 - 0.01) / 99)
+ORACLE_SQL["threshold_sweep"] = _with(SCORED) + f""",
+th AS (SELECT CASE WHEN i = 99 THEN CAST('0.9' AS DOUBLE)
+                   ELSE CAST(i AS DOUBLE) * CAST('{_STEP}' AS DOUBLE) + CAST('0.01' AS DOUBLE) END AS threshold
+       FROM range(100) t(i)),
+tot AS (SELECT sum(y) AS P, sum(1 - y) AS N FROM sc),
+c AS (SELECT th.threshold, count(sc.y) FILTER (WHERE sc.y = 1) AS tp,
+             count(sc.y) FILTER (WHERE sc.y = 0) AS fp
+      FROM th LEFT JOIN sc ON sc.score > th.threshold GROUP BY th.threshold),
+m AS (
+  SELECT c.threshold, c.tp, c.fp, tot.P - c.tp AS fn, tot.N - c.fp AS tn
+  FROM c, tot),
+f AS (
+  SELECT threshold,
+    (CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END
+     + CASE WHEN 2 * tn + fn + fp > 0 THEN CAST(2 * tn AS DOUBLE) / CAST(2 * tn + fn + fp AS DOUBLE) ELSE 0.0 END)
+    / 2 AS f1_macro
+  FROM m),
+r AS (SELECT *, row_number() OVER (ORDER BY f1_macro DESC, threshold) AS rn FROM f)
+SELECT threshold, f1_macro FROM r WHERE rn = 1"""

@@ -188,3 +188,15 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 2 == 0, "M").otherwise("F").alias("Gender"),
         (F.col("p_size").cast("double") / 50.0).alias("Probability"),
     )
+
+
+def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pooled prediction table ``(target, y, score)`` from the line items.
+
+    ``target`` = line status, ``y`` = returned line, ``score`` = a tied, bounded
+    number built from discount and tax. It stands in for model scores.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_linestatus").alias("target"),
+                     F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
+                     (F.col("l_discount") * 5 + F.col("l_tax")).alias("score"))
