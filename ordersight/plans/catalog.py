@@ -18,6 +18,7 @@ from ..functions.items import slot_field
 from ..operators import bundles as B
 from ..operators import enrich as EN
 from ..operators import metrics as M
+from ..operators import split as SP
 from ..operators import history as H
 from ..operators import items as I
 from ..operators import products as P
@@ -395,3 +396,52 @@ def threshold_precision_recall(spark, d):
 def threshold_sweep(spark, d):
     """Best macro-F1 threshold of 100 in 0.01..0.9 with ``score > t``."""
     return M.threshold_sweep(S.scored_lines(spark, d), M.sweep_thresholds(spark))
+
+
+# ----------------------------------------------------- split and weights
+
+def _labelled_orders(spark, d):
+    return H.repeat_flags(S.history_orders(spark, d)).select("person_id", "order_id", "repeat_customer")
+
+
+@query("person_split")
+def person_split(spark, d):
+    """M1 + A5: person-level hash split, with "has a positive" per person."""
+    return SP.person_split(_labelled_orders(spark, d))
+
+
+@query("split_leak_check")
+def split_leak_check(spark, d):
+    """U1 + P8: persons on both sides of the split (0)."""
+    return SP.leak_check(SP.with_split(_labelled_orders(spark, d)))
+
+
+@query("split_counts")
+def split_counts(spark, d):
+    """Persons and persons with a positive label per split."""
+    return SP.split_counts(SP.with_split(_labelled_orders(spark, d)))
+
+
+@query("class_weights")
+def class_weights(spark, d):
+    """A7 + A8: balanced class weights and neg/pos ratio on the training side."""
+    rows = SP.with_split(_labelled_orders(spark, d)).filter(F.col("split") == "train")
+    return SP.class_weights(rows)
+
+
+def _sku_labels(spark, d):
+    lab = P.next_order_labels(S.history_orders(spark, d), S.order_items(spark, d))
+    return lab.select("order_id", "person_id", "sku", (F.col("next_count") > 0).cast("int").alias("y"))
+
+
+@query("labelled_rows")
+def labelled_rows(spark, d):
+    """Orders with at least one positive next-SKU label."""
+    return SP.labelled_rows(_sku_labels(spark, d))
+
+
+@query("label_weights")
+def label_weights(spark, d):
+    """Per-SKU label weights on the training side."""
+    lab = SP.with_split(_sku_labels(spark, d)).filter(F.col("split") == "train")
+    return SP.label_weights(lab)

@@ -588,3 +588,61 @@ f AS (
   FROM m),
 r AS (SELECT *, row_number() OVER (ORDER BY f1_macro DESC, threshold) AS rn FROM f)
 SELECT threshold, f1_macro FROM r WHERE rn = 1"""
+
+# ------------------------------------------------------------ split, weights
+
+
+def _bucket(p: str) -> str:
+    return f"CAST(CAST(('0x' || substr(md5('42|' || CAST({p} AS VARCHAR)), 1, 8)) AS BIGINT) % 10000 AS INTEGER)"
+
+
+def _side(p: str) -> str:
+    return f"CASE WHEN {_bucket(p)} < 2000 THEN 'test' ELSE 'train' END"
+
+
+LAB = HIST + f""",
+lab AS (SELECT person_id, order_id, repeat_customer, {_side('person_id')} AS split FROM hist)"""
+
+ORACLE_SQL["person_split"] = _with(HIST) + f"""
+SELECT person_id, CAST(max(CASE WHEN repeat_customer > 0 THEN 1 ELSE 0 END) AS INTEGER) AS has_positive,
+       {_bucket('person_id')} AS bucket, {_side('person_id')} AS split
+FROM hist WHERE person_id IS NOT NULL GROUP BY person_id"""
+
+ORACLE_SQL["split_leak_check"] = _with(LAB) + """,
+per AS (SELECT person_id, count(DISTINCT split) AS sides FROM lab GROUP BY person_id)
+SELECT CAST(count(CASE WHEN sides > 1 THEN 1 END) AS BIGINT) AS overlap FROM per"""
+
+ORACLE_SQL["split_counts"] = _with(LAB) + """,
+per AS (SELECT split, person_id, max(CASE WHEN repeat_customer = 1 THEN 1 ELSE 0 END) AS pos
+        FROM lab GROUP BY split, person_id)
+SELECT split, CAST(count(*) AS BIGINT) AS persons, CAST(sum(pos) AS BIGINT) AS persons_with_positive
+FROM per GROUP BY split"""
+
+ORACLE_SQL["class_weights"] = _with(LAB) + """,
+c AS (SELECT CAST(repeat_customer AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n
+      FROM lab WHERE split = 'train' GROUP BY 1)
+SELECT label, n,
+       CAST(sum(n) OVER () AS DOUBLE) / (2.0 * n) AS balanced_weight,
+       CAST(sum(CASE WHEN label = 0 THEN n END) OVER () AS DOUBLE)
+         / CAST(sum(CASE WHEN label = 1 THEN n END) OVER () AS DOUBLE) AS scale_pos_weight
+FROM c"""
+
+SKU_LAB = _with(PROD) + """,
+nx AS (
+  SELECT order_id, person_id,
+         lead(order_id) OVER (PARTITION BY person_id ORDER BY s, order_id) AS next_order_id
+  FROM po),
+q AS (SELECT order_id, sku, sum(quantity) AS next_count FROM lines GROUP BY order_id, sku),
+sl AS (SELECT nx.order_id, nx.person_id, q.sku, CASE WHEN q.next_count > 0 THEN 1 ELSE 0 END AS y
+       FROM nx JOIN q ON q.order_id = nx.next_order_id)"""
+
+ORACLE_SQL["labelled_rows"] = SKU_LAB + """
+SELECT order_id, CAST(count(*) AS BIGINT) AS positive_labels FROM sl WHERE y > 0 GROUP BY order_id"""
+
+ORACLE_SQL["label_weights"] = SKU_LAB + f""",
+per AS (SELECT sku, CAST(sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positives
+        FROM sl WHERE {_side('person_id')} = 'train' GROUP BY sku)
+SELECT sku, positives,
+       CAST(sum(positives) OVER () AS DOUBLE) / CAST(count(*) OVER () * greatest(positives, 1) AS DOUBLE)
+         AS weight
+FROM per"""
