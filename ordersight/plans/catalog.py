@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..functions import time as TM
@@ -19,6 +20,8 @@ from ..operators import bundles as B
 from ..operators import enrich as EN
 from ..operators import metrics as M
 from ..operators import split as SP
+from ..operators import encode as EC
+from .clean import clean_orders
 from ..operators import history as H
 from ..operators import items as I
 from ..operators import products as P
@@ -445,3 +448,66 @@ def label_weights(spark, d):
     """Per-SKU label weights on the training side."""
     lab = SP.with_split(_sku_labels(spark, d)).filter(F.col("split") == "train")
     return SP.label_weights(lab)
+
+
+# ------------------------------------------- cleaning DAG, alignment (E1-E3, P*)
+
+def _cleaned(spark, d, **kw):
+    return clean_orders(S.raw_orders(spark, d), S.census(spark, d), S.names(spark, d),
+                        bundles=S.TEST_BUNDLES, whitelist=S.TEST_WHITELIST, **kw)
+
+
+CLEAN_COLUMNS = [
+    "order_id", "person_id", "order_year", "order_hour", "median_household_income",
+    "moe_median_household_income", "is_income_censored", "has_billing_company", "gender_binary",
+    "used_coupon", "time_since_last_purchase", "time_between_purchases", "number_of_past_orders",
+    "order_frequency_90_days", "average_order_value", "std_order_value",
+    "distinct_product_amount", "repeat_customer", "Brand#1_count", "Brand#7_count", "nan_count",
+    "email_category_PERSONAL", "billing_state_OR", "billing_company_category_RETIREMENT",
+]
+
+
+@query("clean_pipeline")
+def clean_pipeline(spark, d):
+    """E3 (+P1, P2, P4, P5, E1): the full cleaning DAG on shop-style orders; returns the
+    listed columns of the encoded table (cleaned text, lookups, history, SKU counts
+    after bundles and whitelist, one-hot and cyclic encodings)."""
+    out = _cleaned(spark, d)
+    return out.select(*[F.col(f"`{c}`") for c in CLEAN_COLUMNS],
+                      F.round("order_hour_sin", 9).alias("order_hour_sin"))
+
+
+TRAINING_SCHEMA = ST.StructType([
+    ST.StructField("order_id", ST.LongType()),
+    ST.StructField("person_id", ST.StringType()),
+    ST.StructField("repeat_purchase_amount", ST.LongType()),
+    ST.StructField("order_total", ST.DoubleType()),
+    ST.StructField("Brand#1_count", ST.DoubleType()),
+    ST.StructField("email_category_PERSONAL", ST.BooleanType()),
+    ST.StructField("email_category_SPACE", ST.BooleanType()),
+    ST.StructField("payment_method_crypto", ST.BooleanType()),
+    ST.StructField("legacy_score", ST.DoubleType()),
+])
+
+
+@query("align_schema")
+def align_schema(spark, d):
+    """E2 + U3 + S6: serving-mode alignment to a saved training schema (missing
+    features False / 0, extras dropped, display columns kept)."""
+    saved = EC.schema_from_json(TRAINING_SCHEMA.json())
+    return _cleaned(spark, d, training=saved, mode="serve")
+
+
+MODEL_FEATURES = ["order_total", "time_since_last_purchase", "number_of_past_orders",
+                  "std_order_value", "gender_binary", "Brand#1_count", "email_category_PERSONAL",
+                  "missing_feature"]
+
+
+@query("model_input")
+def model_input(spark, d):
+    """P6 + P7 + P11 + P12: model matrix (drop lists, booleans 0/1, nulls -1, floats)
+    conformed to a saved feature list (absent features -1)."""
+    from ..lookups import MODEL_DROP_COLUMNS
+    m = EC.model_input(_cleaned(spark, d), drop=MODEL_DROP_COLUMNS,
+                       drop_prefixes=["next_", "most_frequent_product_"], keep=["order_id"])
+    return EC.conform(m, MODEL_FEATURES, keep=["order_id"])

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 # ------------------------------------------------------------ shared inputs
 
-HIST = """
-h0 AS (
-  SELECT o_custkey AS person_id, o_orderkey AS order_id, o_orderdate AS order_datetime,
-         o_totalprice AS order_total,
-         date_diff('second', TIMESTAMP '1970-01-01 00:00:00', o_orderdate) AS s,
-         CAST(round(o_totalprice * 100) AS BIGINT) AS cents
-  FROM orders),
-h1 AS (
+def hist_sql(src: str, person: str, order: str, ts: str, total: str, name: str = "hist") -> str:
+    """History features W1-W9, W12, W13 of ``src`` in the plain whole-person window form.
+
+    Rows with a null person get null features (they are not one person)."""
+    return f"""
+{name}0 AS (
+  SELECT {person} AS person_id, {order} AS order_id,
+         date_diff('second', TIMESTAMP '1970-01-01 00:00:00', {ts}) AS s,
+         CAST(round({total} * 100) AS BIGINT) AS cents
+  FROM {src} WHERE {person} IS NOT NULL),
+{name}1 AS (
   SELECT *,
     count(*) OVER wp AS n,
     lag(s) OVER w AS prev_s,
@@ -26,17 +29,17 @@ h1 AS (
     count(cents) OVER wp AS cnt, sum(CAST(cents AS HUGEINT)) OVER wp AS s1,
     sum(CAST(cents AS HUGEINT) * cents) OVER wp AS s2,
     count(*) OVER (PARTITION BY person_id) AS n_all
-  FROM h0
+  FROM {name}0
   WINDOW w AS (PARTITION BY person_id ORDER BY s, order_id),
          wp AS (PARTITION BY person_id ORDER BY s, order_id
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-h2 AS (
-  SELECT *, CAST(floor((s - prev_s) / 86400) AS BIGINT) AS gap FROM h1),
-h3 AS (
+{name}2 AS (
+  SELECT *, CAST(floor((s - prev_s) / 86400) AS BIGINT) AS gap FROM {name}1),
+{name}3 AS (
   SELECT *, sum(gap) OVER (PARTITION BY person_id ORDER BY s, order_id
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap_before
-  FROM h2),
-hist AS (
+  FROM {name}2),
+{name} AS (
   SELECT order_id, person_id,
     CASE WHEN n > 0 THEN gap END AS time_since_last_purchase,
     CASE WHEN n = 1 THEN CAST(gap AS DOUBLE)
@@ -51,7 +54,12 @@ hist AS (
     CAST(n AS BIGINT) AS repeat_purchase_amount,
     CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS INTEGER) AS repeat_customer_initial,
     CAST(CASE WHEN n + 1 < n_all THEN 1 ELSE 0 END AS INTEGER) AS repeat_customer
-  FROM h3)"""
+  FROM {name}3)"""
+
+
+HIST = """
+hsrc AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders),""" + hist_sql(
+    "hsrc", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -646,3 +654,115 @@ SELECT sku, positives,
        CAST(sum(positives) OVER () AS DOUBLE) / CAST(count(*) OVER () * greatest(positives, 1) AS DOUBLE)
          AS weight
 FROM per"""
+
+# ------------------------------------------------------------ cleaning DAG
+
+RAW = CUST + "," + ENCODED + """,
+raw AS (
+  SELECT o.o_orderkey AS order_id, o.o_totalprice AS order_total,
+    strftime(o.o_orderdate, '%Y-%m-%d') || ' ' || lpad(CAST(o.o_orderkey % 24 AS VARCHAR), 2, '0')
+      || ':' || lpad(CAST(o.o_orderkey % 60 AS VARCHAR), 2, '0') || ':'
+      || lpad(CAST(o.o_orderkey % 7 AS VARCHAR), 2, '0') AS date,
+    CASE o.o_orderkey % 4 WHEN 0 THEN 'card' WHEN 1 THEN 'paypal' WHEN 2 THEN 'card' ELSE 'bank' END
+      AS payment_method,
+    c.*, e.line_items
+  FROM orders o JOIN cust c ON c.c_custkey = o.o_custkey
+  LEFT JOIN enc e ON e.order_id = o.o_orderkey)"""
+
+CLEANED = RAW + "," + CENSUS + "," + NAMES + f""",
+cl0 AS (
+  SELECT r.*, strptime(r.date, '%Y-%m-%d %H:%M:%S') AS ts,
+    {_zip_main('r.billing_postcode')} AS zm,
+    {_phone('r.billing_phone')} AS phone_std,
+    {_domain('r.billing_email')} AS email_domain,
+    lower({_strip('r.billing_state')}) AS skey,
+    s.median_household_income AS med_txt, s.moe_median_household_income AS moe_med_txt,
+    s.moe_mean_household_income AS moe_mean_txt,
+    coalesce(b.gender, 'Unknown') AS gender
+  FROM raw r
+  LEFT JOIN census s ON s.zip = substr(r.billing_postcode, 1, 5)
+  LEFT JOIN names_best b ON b.name_key = lower(r.billing_first_name)),
+cl AS (
+  SELECT cl0.*,
+    lower({_strip('billing_first_name')}) || ' ' || lower({_strip('billing_last_name')}) || ' '
+      || lower(coalesce(zm, '')) AS person_id,
+    upper(coalesce(st.scode, skey)) AS billing_state_code,
+    {_email_cat('email_domain')} AS email_category,
+    {_company('billing_company')} AS billing_company_category
+  FROM cl0 LEFT JOIN {STATES} ON st.sname = cl0.skey)"""
+
+_B = _values(TEST_BUNDLES, 'bundle', 'component')
+
+CLEAN_SQL = _with(CLEANED) + "," + hist_sql("cl", "person_id", "order_id", "ts", "order_total") + f""",
+items AS (SELECT order_id, sku, quantity FROM flat),
+cond AS (
+  SELECT i.order_id, coalesce(b.component, i.sku) AS sku, i.quantity
+  FROM items i LEFT JOIN (SELECT * FROM {_B}) b ON b.bundle = i.sku),
+cnt AS (
+  SELECT order_id,
+    sum(CASE WHEN sku = 'Brand#1' THEN quantity ELSE 0 END) AS b1,
+    sum(CASE WHEN sku = 'Brand#7' THEN quantity ELSE 0 END) AS b7,
+    sum(CASE WHEN sku = 'nan' THEN quantity ELSE 0 END) AS bnan
+  FROM cond WHERE sku IN {_inlist(TEST_WHITELIST)} GROUP BY order_id),
+os AS (SELECT order_id, sku FROM items GROUP BY order_id, sku HAVING sum(quantity) > 0),
+pe AS (SELECT h0.person_id, h0.order_id, h0.s FROM hist0 h0),
+ev AS (SELECT pe.*, os.sku FROM pe JOIN os USING (order_id)),
+w10 AS (
+  SELECT o.order_id, count(DISTINCT e.sku) AS dpa
+  FROM pe o LEFT JOIN ev e ON e.person_id = o.person_id
+   AND (e.s < o.s OR (e.s = o.s AND e.order_id < o.order_id))
+  GROUP BY o.order_id),
+full_t AS (
+  SELECT cl.order_id, cl.person_id, year(cl.ts) AS order_year, hour(cl.ts) AS order_hour,
+    {_income('cl.med_txt')} AS median_household_income,
+    {_margin('cl.moe_med_txt')} AS moe_median_household_income,
+    CAST(coalesce(cl.moe_med_txt = '***', false) OR coalesce(cl.moe_mean_txt = '***', false) AS INTEGER)
+      AS is_income_censored,
+    CAST(cl.billing_company IS NOT NULL AND {_strip('cl.billing_company')} <> '' AS INTEGER)
+      AS has_billing_company,
+    CASE cl.gender WHEN 'M' THEN 1 WHEN 'F' THEN 0 END AS gender_binary,
+    CASE WHEN substr(list_filter(string_split(string_split(cl.coupon_items, ';')[1], '|'),
+                                 lambda t: starts_with(t, 'id:'))[-1], 4) <> '' THEN 1 ELSE 0 END
+      AS used_coupon,
+    h.time_since_last_purchase, h.time_between_purchases, h.number_of_past_orders,
+    h.order_frequency_90_days, h.average_order_value, h.std_order_value,
+    h.repeat_purchase_amount, h.repeat_customer,
+    CAST(w10.dpa AS BIGINT) AS distinct_product_amount,
+    coalesce(cnt.b1, 0.0) AS "Brand#1_count", coalesce(cnt.b7, 0.0) AS "Brand#7_count",
+    coalesce(cnt.bnan, 0.0) AS nan_count,
+    coalesce(cl.email_category = 'PERSONAL', false) AS email_category_PERSONAL,
+    coalesce(cl.billing_state_code = 'OR', false) AS billing_state_OR,
+    coalesce(cl.billing_company_category = 'RETIREMENT', false) AS billing_company_category_RETIREMENT,
+    round(sin(2 * pi() * CAST(hour(cl.ts) AS DOUBLE) / 24.0), 9) AS order_hour_sin,
+    cl.order_total, cl.billing_first_name, cl.billing_last_name, cl.billing_email
+  FROM cl LEFT JOIN hist h ON h.order_id = cl.order_id
+  LEFT JOIN w10 ON w10.order_id = cl.order_id
+  LEFT JOIN cnt ON cnt.order_id = cl.order_id)"""
+
+ORACLE_SQL["clean_pipeline"] = CLEAN_SQL + """
+SELECT order_id, person_id, order_year, order_hour, median_household_income,
+  moe_median_household_income, is_income_censored, has_billing_company, gender_binary, used_coupon,
+  time_since_last_purchase, time_between_purchases, number_of_past_orders, order_frequency_90_days,
+  average_order_value, std_order_value, distinct_product_amount, repeat_customer,
+  "Brand#1_count", "Brand#7_count", nan_count, email_category_PERSONAL, billing_state_OR,
+  billing_company_category_RETIREMENT, order_hour_sin
+FROM full_t"""
+
+ORACLE_SQL["align_schema"] = CLEAN_SQL + """
+SELECT order_id, person_id, CAST(0 AS BIGINT) AS repeat_purchase_amount, order_total,
+  "Brand#1_count", email_category_PERSONAL, false AS email_category_SPACE,
+  false AS payment_method_crypto, CAST(0 AS DOUBLE) AS legacy_score,
+  billing_first_name, billing_last_name, billing_email
+FROM full_t"""
+
+ORACLE_SQL["model_input"] = CLEAN_SQL + """
+SELECT order_id,
+  CAST(coalesce(order_total, -1) AS FLOAT) AS order_total,
+  CAST(coalesce(time_since_last_purchase, -1) AS FLOAT) AS time_since_last_purchase,
+  CAST(coalesce(number_of_past_orders, -1) AS FLOAT) AS number_of_past_orders,
+  CAST(coalesce(std_order_value, -1) AS FLOAT) AS std_order_value,
+  CAST(coalesce(gender_binary, -1) AS FLOAT) AS gender_binary,
+  CAST(coalesce("Brand#1_count", -1) AS FLOAT) AS "Brand#1_count",
+  CAST(CAST(email_category_PERSONAL AS INTEGER) AS FLOAT) AS email_category_PERSONAL,
+  CAST(-1 AS FLOAT) AS missing_feature
+FROM full_t"""

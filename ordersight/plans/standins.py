@@ -200,3 +200,28 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_linestatus").alias("target"),
                      F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
                      (F.col("l_discount") * 5 + F.col("l_tax")).alias("score"))
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shop order export (one row per order) rendered from orders, customers and lines.
+
+    The order time gets hours, minutes and seconds from the order key; contact
+    text comes from :func:`contacts`; ``line_items`` from :func:`encoded_orders`.
+    """
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    date = F.concat(F.date_format(F.col("o_orderdate"), "yyyy-MM-dd"), F.lit(" "),
+                    _lp(k % 24, 2), F.lit(":"), _lp(k % 60, 2), F.lit(":"), _lp(k % 7, 2))
+    base = o.select(
+        k.alias("order_id"), F.col("o_custkey").alias("c_custkey"),
+        _s(F.col("o_custkey")).alias("customer_id"), F.col("o_orderstatus").alias("status"),
+        date.alias("date"), F.col("o_totalprice").alias("order_total"),
+        _case(k % 3, ["USD", "USD", "CAD"]).alias("order_currency"),
+        _case(k % 4, ["card", "paypal", "card", "bank"]).alias("payment_method"),
+        F.substring(F.col("o_orderpriority"), 3, 100).alias("shipping_method"),
+        F.lit("US").alias("billing_country"), F.lit("US").alias("shipping_country"))
+    enc = encoded_orders(spark, sf_dir).select("order_id", "line_items")
+    c = contacts(spark, sf_dir)
+    out = base.join(c, "c_custkey", "inner").join(enc, "order_id", "left")
+    return out.withColumns({"shipping_postcode": F.col("billing_postcode"),
+                            "shipping_state": F.col("billing_state")}).drop("c_custkey")
