@@ -134,7 +134,7 @@ def _prf(tp, fp, fn):
     return p, r, f
 
 
-def class_report(scored: DataFrame, threshold: float) -> DataFrame:
+def class_report(scored: DataFrame, threshold: float | Column) -> DataFrame:
     """Per-class precision, recall, F1, support plus macro and weighted averages (V7, V8)."""
     st = _class_stats(confusion(scored, threshold))
     p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
@@ -150,7 +150,7 @@ def class_report(scored: DataFrame, threshold: float) -> DataFrame:
     return per.unionByName(macro).unionByName(weighted)
 
 
-def pooled_metrics(scored: DataFrame, threshold: float) -> DataFrame:
+def pooled_metrics(scored: DataFrame, threshold: float | Column) -> DataFrame:
     """Accuracy and macro precision / recall / F1 of pooled predictions (V6)."""
     st = _class_stats(confusion(scored, threshold))
     p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))

@@ -22,6 +22,11 @@ from ..operators import metrics as M
 from ..operators import split as SP
 from ..operators import encode as EC
 from .clean import clean_orders
+from . import score as SC
+from . import train as TR
+from ..operators import models as MD
+from ..sources import io as IO
+from ..session import scratch_path
 from ..operators import history as H
 from ..operators import items as I
 from ..operators import products as P
@@ -511,3 +516,155 @@ def model_input(spark, d):
     m = EC.model_input(_cleaned(spark, d), drop=MODEL_DROP_COLUMNS,
                        drop_prefixes=["next_", "most_frequent_product_"], keep=["order_id"])
     return EC.conform(m, MODEL_FEATURES, keep=["order_id"])
+
+
+# ------------------------------------------------------ models
+
+SKU_TARGETS = S.TEST_SKUS[:7]
+
+
+def _with_importances(res) -> DataFrame:
+    out = res.metrics
+    if res.importances is not None:
+        out = out.unionByName(res.importances.select(
+            "run", F.lit("importance").alias("metric"), F.col("feature").alias("label"),
+            F.col("importance").alias("value")))
+    return out
+
+
+@query("train_return_forest")
+def train_return_forest(spark, d):
+    """M2 + M3 + M8 + V14 + O4: "will return" random forest, 2x2 grid (trees 20/50,
+    depth 5/10) with 3 person folds; metrics, CV table and ranked importances."""
+    t = S.model_table(spark, d)
+    res = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest",
+                                grid={"numTrees": [20, 50], "maxDepth": [5, 10]})
+    return _with_importances(res)
+
+
+@query("train_return_boosted")
+def train_return_boosted(spark, d):
+    """M4 + M5: "will return" boosted trees (neg/pos weight), grid iterations 10/20,
+    depth 3, 3 person folds."""
+    t = S.model_table(spark, d)
+    res = TR.train_return_model(t, S.MODEL_FEATURES, kind="boosted",
+                                grid={"maxIter": [10, 20], "maxDepth": [3]})
+    return _with_importances(res)
+
+
+@query("train_next_sku")
+def train_next_sku(spark, d):
+    """M6 + A12 + O3 + V5 + V6 + V10: one forest per next-SKU label (7 SKUs, depth
+    grid 5/8, 20 trees), pooled metrics, summed and top-10 importances."""
+    t = S.model_table(spark, d)
+    res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, grid={"maxDepth": [5, 8]},
+                                 numTrees=20, run="next_sku")
+    return _with_importances(res)
+
+
+@query("train_next_category")
+def train_next_category(spark, d):
+    """M7: one forest per next-category label (4 categories, depth grid 5/8)."""
+    t = S.model_table(spark, d)
+    res = TR.train_target_models(t, S.MODEL_FEATURES, S.TEST_CATEGORY_NAMES,
+                                 grid={"maxDepth": [5, 8]}, numTrees=20, run="next_category")
+    return _with_importances(res)
+
+
+@query("train_next_neural")
+def train_next_neural(spark, d):
+    """M11 + P9: one perceptron per next-SKU label on rows with a positive label."""
+    t = S.model_table(spark, d)
+    res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, kind="mlp", labelled_only=True,
+                                 run="next_neural")
+    return res.metrics
+
+
+# ------------------------------------------------------------ scoring
+
+def _serving_models(spark, d):
+    t = S.model_table(spark, d)
+    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", numTrees=20, maxDepth=8)
+    sku = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, numTrees=20, maxDepth=8)
+    return t, ret, sku
+
+
+@query("score_returning")
+def score_returning(spark, d):
+    """M9 + X25 + P13: Yes/No and probability per order with its display columns."""
+    t = S.model_table(spark, d)
+    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", numTrees=20, maxDepth=8)
+    return SC.score_returning(t, ret.model, S.MODEL_FEATURES, display=["order_id", "person_id"]) \
+        .drop("p")
+
+
+@query("score_top_products")
+def score_top_products(spark, d):
+    """P10 + M10 + O2 + P12: orders predicted to return with their five most likely SKUs."""
+    t, ret, sku = _serving_models(spark, d)
+    return SC.score_top_products(t, ret.model, S.MODEL_FEATURES, sku.models, S.MODEL_FEATURES,
+                                 SKU_TARGETS, threshold=ret.threshold,
+                                 display=["order_id", "person_id"])
+
+
+def _brand_scores(spark, d):
+    lines = S.order_lines(spark, d).join(
+        S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"),
+                                            F.col("l_linenumber").alias("line_no"),
+                                            F.col("l_partkey").alias("part_key"), "l_discount", "l_tax"),
+        ["order_id", "line_no", "part_key"])
+    return lines.groupBy("order_id", F.col("sku").alias("target")).agg(
+        F.max(F.col("l_discount") * 5 + F.col("l_tax")).alias("score"))
+
+
+@query("rank_top_products")
+def rank_top_products(spark, d):
+    """O2 on a given score table: five best targets per row as ``sku (0.12), …``."""
+    sc = S.table(spark, d, "lineitem").join(
+        S.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("l_orderkey").alias("order_id"), F.col("p_brand").alias("target")).agg(
+        F.max(F.col("l_discount") * 5 + F.col("l_tax")).alias("score"))
+    return SC.rank_top_products(sc, "order_id")
+
+
+@query("example_rows")
+def example_rows(spark, d):
+    """O5 + O6: first five rows by key and one random row per target of a scored table."""
+    sc = S.scored_lines(spark, d).select(F.xxhash64("target", "y", "score").alias("row_key"), "target", "y", "score")
+    first = SC.first_rows(sc, "row_key", 5).withColumn("kind", F.lit("first"))
+    rnd = SC.random_row_per_target(sc, "target", 42).withColumn("kind", F.lit("random"))
+    return first.unionByName(rnd)
+
+
+# --------------------------------------------------------------- sinks
+
+@query("feature_sink")
+def feature_sink(spark, d):
+    """S8 + S7: write the per-order feature table as parquet, read it back."""
+    path = scratch_path(spark, "ordersight/features")
+    IO.write_table(S.model_table(spark, d), path)
+    return IO.read_features(spark, path)
+
+
+@query("report_sink")
+def report_sink(spark, d):
+    """Write a metric report (run, metric, label, value) as JSON, read it back."""
+    rep = M.class_report(S.scored_lines(spark, d), REPORT_THRESHOLD)
+    tall = rep.select(F.lit("lines").alias("run"), F.lit("f1").alias("metric"), "label",
+                      F.col("f1").alias("value"))
+    path = scratch_path(spark, "ordersight/report")
+    IO.write_report(tall, path)
+    return spark.read.json(path)
+
+
+@query("model_store")
+def model_store(spark, d):
+    """Save one model per SKU, load them back by key and score with them."""
+    t = S.model_table(spark, d)
+    res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS[:3], numTrees=10, maxDepth=5)
+    folder = scratch_path(spark, "ordersight/models")
+    IO.save_models(res.models, folder)
+    loaded = IO.load_models(list(res.models), folder)
+    x = MD.assemble(t.withColumns({f: F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(-1.0))
+                                   for f in S.MODEL_FEATURES}), S.MODEL_FEATURES)
+    return MD.score_targets(x.select("order_id", "features"), loaded, SKU_TARGETS[:3])

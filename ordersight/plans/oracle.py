@@ -766,3 +766,13 @@ SELECT order_id,
   CAST(CAST(email_category_PERSONAL AS INTEGER) AS FLOAT) AS email_category_PERSONAL,
   CAST(-1 AS FLOAT) AS missing_feature
 FROM full_t"""
+
+# ------------------------------------------------------------- ranking (O2)
+
+ORACLE_SQL["rank_top_products"] = """
+WITH sc AS (
+  SELECT l.l_orderkey AS order_id, p.p_brand AS target, max(l.l_discount * 5 + l.l_tax) AS score
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score DESC, target) AS rk FROM sc)
+SELECT order_id, string_agg(printf('%s (%.2f)', target, score), ', ' ORDER BY rk) AS top_products
+FROM r WHERE rk <= 5 GROUP BY order_id"""

@@ -225,3 +225,39 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = base.join(c, "c_custkey", "inner").join(enc, "order_id", "left")
     return out.withColumns({"shipping_postcode": F.col("billing_postcode"),
                             "shipping_state": F.col("billing_state")}).drop("c_custkey")
+
+
+def model_table(spark: SparkSession, sf_dir: str, targets=None) -> DataFrame:
+    """Per-order training table: history features, SKU counts of the order, the
+    return label and ``next_{sku}`` / ``next_{category}`` labels (0/1).
+
+    Built with the library operators (history windows, pivots, next-order labels).
+    """
+    from ..operators import bundles as B
+    from ..operators import history as H
+    from ..operators import items as I
+    from ..operators import products as P
+
+    orders = history_orders(spark, sf_dir)
+    items = order_items(spark, sf_dir)
+    hist = H.history_features(orders)
+    counts = I.sku_pivot(items, TEST_SKUS, "quantity", suffix="_count")
+    lab = P.next_order_labels(orders, items)
+    nxt = lab.select("order_id", "sku", (F.col("next_count") > 0).cast("int").alias("y"))
+    sku_lab = I.sku_pivot(nxt.withColumn("quantity", F.col("y")), TEST_SKUS, "quantity", suffix="")
+    sku_lab = sku_lab.select("order_id", *[F.col(f"`{s}`").alias(f"next_{s}") for s in TEST_SKUS])
+    cat = B.category_presence(nxt.withColumnRenamed("y", "quantity"),
+                              B.category_table(spark, TEST_CATEGORIES))
+    cat_lab = cat.groupBy("order_id").pivot("category", TEST_CATEGORY_NAMES).agg(F.max("present"))
+    cat_lab = cat_lab.select("order_id", *[F.col(c).alias(f"next_{c}") for c in TEST_CATEGORY_NAMES])
+    out = hist.join(counts, "order_id", "left").join(sku_lab, "order_id", "left") \
+        .join(cat_lab, "order_id", "left")
+    fill = [f"{s}_count" for s in TEST_SKUS] + [f"next_{s}" for s in TEST_SKUS] + \
+        [f"next_{c}" for c in TEST_CATEGORY_NAMES]
+    return out.na.fill(0, subset=fill)
+
+
+MODEL_FEATURES = ["order_total", "time_since_last_purchase", "time_between_purchases",
+                  "time_since_first_purchase", "number_of_past_orders", "order_frequency_90_days",
+                  "average_order_value", "total_order_value", "std_order_value"] + \
+    [f"{s}_count" for s in TEST_SKUS]
