@@ -13,10 +13,11 @@ are the earlier orders that are more than 90 days old.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.time import SECONDS_PER_DAY, epoch_seconds, whole_days
-from .prefix import ordered_prefix
+from .prefix import _AGG, add_chunk, chunk_summary, combine, local_prefix, ordered_prefix
 
 HISTORY_COLUMNS = [
     "time_since_last_purchase", "time_between_purchases", "time_since_first_purchase",
@@ -27,7 +28,7 @@ HISTORY_COLUMNS = [
 
 def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_datetime",
                      order: str = "order_id", total: str = "order_total", *,
-                     window_days: int = 90, bucket: int = 7 * SECONDS_PER_DAY,
+                     window_days: int = 90, bucket: int = SECONDS_PER_DAY,
                      labels: bool = True) -> DataFrame:
     """Add W1-W9 (and the labels W12/W13 when ``labels``) to an order table.
 
@@ -43,8 +44,14 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
     * ``repeat_customer_initial`` (W12): 1 unless it is the person's first order.
     * ``repeat_customer`` (W13): 1 unless it is the person's last order.
 
+    One shuffle of the rows by ``(person, chunk)``. Chunks are at most one day
+    (``bucket`` must divide a day), so consecutive orders in one chunk are less
+    than a day apart and their whole-day gap is 0: the gap sums of W2 come from
+    the chunk level (each chunk's first order against the previous chunk's last).
     Rows with a null person keep null features and labels.
     """
+    if bucket <= 0 or SECONDS_PER_DAY % bucket:
+        raise ValueError("bucket must divide one day (86400 s)")
     s = "_s"
     known = F.col(person).isNotNull()
     base = df.filter(known).withColumn(s, epoch_seconds(ts)).withColumns(
@@ -53,42 +60,56 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
         F.col(person), F.col(order),
         (F.col(s) + F.lit(window_days * SECONDS_PER_DAY + 1)).alias(s),
         F.lit(0).alias("_kind"), F.lit(0).alias("_is_row"), F.lit(1).alias("_is_exp"))
-    sweep = base.unionByName(expiry, allowMissingColumns=True)
+    sweep = add_chunk(base.unionByName(expiry, allowMissingColumns=True), s, bucket)
+    keys = [person, "_chunk"]
 
     row = F.col("_is_row") == 1
+    rs = F.when(row, F.col(s))
     # Money is summed exactly in whole cents (sum of squares as 38-digit
     # decimals), so results do not depend on partitioning or summation order.
-    cents = F.round(F.col(total).cast("double") * 100).cast("bigint")
-    step1 = ordered_prefix(
-        sweep, [person], s, ["_kind", order],
-        [("_n", "sum", F.col("_is_row").cast("bigint")),
-         ("_n_exp", "sum", F.col("_is_exp").cast("bigint")),
-         ("_prev_s", "max", F.when(row, F.col(s))),
-         ("_first_s", "min", F.when(row, F.col(s))),
-         ("_t_cnt", "sum", F.when(row & cents.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")),
-         ("_t_sum", "sum", F.when(row, cents).cast("decimal(38,0)")),
-         ("_t_sq", "sum", F.when(row, cents.cast("decimal(38,0)") * cents.cast("decimal(38,0)")))],
-        bucket=bucket,
-        whole=[("_n_all", "sum", F.col("_is_row").cast("bigint"))], null_keys=False,
-    ).filter(row)
-
-    gap = whole_days(F.col(s) - F.col("_prev_s"))
-    step2 = ordered_prefix(step1.withColumn("_gap", gap), [person], s, ["_kind", order],
-                           [("_gap_before", "sum", F.col("_gap"))], bucket=bucket,
-                           null_keys=False)
+    cents = F.when(row, F.round(F.col(total).cast("double") * 100).cast("bigint"))
+    c38 = cents.cast("decimal(38,0)")
+    aggs = [("n", "sum", F.col("_is_row").cast("bigint")),
+            ("exp", "sum", F.col("_is_exp").cast("bigint")),
+            ("max_s", "max", rs), ("min_s", "min", rs),
+            ("cnt", "sum", F.when(cents.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")),
+            ("sum", "sum", c38), ("sq", "sum", c38 * c38)]
 
-    n = F.coalesce(F.col("_n"), F.lit(0))
-    cnt = F.coalesce(F.col("_t_cnt"), F.lit(0))
-    sm, sq = F.col("_t_sum"), F.col("_t_sq")
+    rows = local_prefix(sweep, keys, [F.col(s), F.col("_kind"), F.col(order)], aggs)
+    summ = chunk_summary(sweep, keys, aggs)
+    # Chunk level: gap of each chunk's first order to the previous chunk's last one.
+    w_prev = W.partitionBy(person).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    summ = summ.withColumn("_prev_max_s", F.max("_tmax_s").over(w_prev))
+    summ = summ.withColumn("_tfirst_gap", whole_days(F.col("_tmin_s") - F.col("_prev_max_s")))
+    offs = summ.select(
+        *keys, "_prev_max_s", "_tfirst_gap",
+        *[_AGG[k](F.col(f"_t{n}")).over(w_prev).alias(f"_o{n}") for n, k, _ in aggs],
+        F.sum(F.coalesce("_tfirst_gap", F.lit(0))).over(w_prev).alias("_ogap"),
+        F.sum("_tn").over(W.partitionBy(person)).alias("_n_all"))
+    j = rows.filter(row).join(offs, keys, "inner")
+
+    def tot(n, k):
+        return combine(k, F.col(f"_o{n}"), F.col(f"_l{n}"))
+
+    n = F.coalesce(tot("n", "sum"), F.lit(0))
+    n_exp = F.coalesce(tot("exp", "sum"), F.lit(0))
+    cnt = F.coalesce(tot("cnt", "sum"), F.lit(0))
+    sm, sq = tot("sum", "sum"), tot("sq", "sum")
+    prev_s = F.coalesce(F.col("_lmax_s"), F.col("_prev_max_s"))
+    first_s = F.coalesce(F.col("_omin_s"), F.col("_lmin_s"))
+    gap = whole_days(F.col(s) - prev_s)
+    has_local_prev = F.coalesce(F.col("_ln"), F.lit(0)) > 0
+    gap_before = F.coalesce(F.col("_ogap"), F.lit(0)) + F.when(
+        has_local_prev, F.coalesce(F.col("_tfirst_gap"), F.lit(0))).otherwise(F.lit(0))
     # n * sum(x^2) - sum(x)^2 = n * (n - 1) * sample variance, exact in cents^2.
     nvar = (cnt.cast("decimal(38,0)") * sq - sm * sm).cast("double")
     feats = {
-        "time_since_last_purchase": F.when(n > 0, F.col("_gap")),
-        "time_between_purchases": F.when(n == 1, F.col("_gap").cast("double"))
-                                   .when(n > 1, F.col("_gap_before").cast("double") / n),
-        "time_since_first_purchase": F.when(n > 0, whole_days(F.col(s) - F.col("_first_s"))),
+        "time_since_last_purchase": F.when(n > 0, gap),
+        "time_between_purchases": F.when(n == 1, gap.cast("double"))
+                                   .when(n > 1, gap_before.cast("double") / n),
+        "time_since_first_purchase": F.when(n > 0, whole_days(F.col(s) - first_s)),
         "number_of_past_orders": n,
-        "order_frequency_90_days": n - F.coalesce(F.col("_n_exp"), F.lit(0)),
+        "order_frequency_90_days": n - n_exp,
         "average_order_value": F.when(cnt > 0, sm.cast("double") / cnt / F.lit(100.0)),
         "total_order_value": F.when(cnt > 0, sm.cast("double") / F.lit(100.0)),
         "std_order_value": F.when(cnt > 1, F.sqrt(F.greatest(nvar, F.lit(0.0)) / (cnt * (cnt - 1)))
@@ -98,9 +119,8 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
     if labels:
         feats["repeat_customer_initial"] = (n > 0).cast("int")
         feats["repeat_customer"] = (n + 1 < F.col("_n_all")).cast("int")
-    out = step2.withColumns(feats).drop(
-        s, "_kind", "_is_row", "_is_exp", "_chunk", "_n", "_n_exp", "_prev_s", "_first_s",
-        "_t_cnt", "_t_sum", "_t_sq", "_n_all", "_gap", "_gap_before")
+    tmp = [c for c in j.columns if c not in df.columns]
+    out = j.withColumns(feats).drop(*[c for c in tmp if c not in feats])
     # Orders without a person keep their row; every history column is null.
     nulls = df.filter(~known)
     return out.unionByName(nulls.withColumns(
@@ -108,7 +128,7 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
 
 
 def repeat_flags(df: DataFrame, person: str = "person_id", ts: str = "order_datetime",
-                 order: str = "order_id", *, bucket: int = 7 * SECONDS_PER_DAY) -> DataFrame:
+                 order: str = "order_id", *, bucket: int = SECONDS_PER_DAY) -> DataFrame:
     """W12 ``repeat_customer_initial`` and W13 ``repeat_customer`` only."""
     s = "_s"
     base = df.withColumn(s, epoch_seconds(ts))

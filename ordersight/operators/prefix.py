@@ -3,17 +3,21 @@
 A plain ``Window.partitionBy(person).orderBy(t)`` sends every row of a person to
 one task. With one person holding a large share of all orders, that task holds a
 large share of the data. ``ordered_prefix`` splits each key into time chunks and
-computes the same result in three steps:
-
-1. a window per ``(key, chunk)`` gives the aggregate over earlier rows of the
-   same chunk and the chunk total;
-2. a window per ``key`` over the chunk totals (one row per chunk, so at most
-   ``time span / bucket`` rows per key) gives the aggregate over earlier chunks;
-3. both are combined after an equi-join on ``(key, chunk)``; the rows keep the
-   partitioning of step 1, only the small chunk table is shuffled.
+computes the same result from three pieces:
+
+1. ``local_prefix``: a window per ``(key, chunk)`` gives the aggregate over the
+   earlier rows of the same chunk — the only full shuffle of the rows;
+2. ``chunk_summary``: a ``groupBy(key, chunk)`` of the same input (partial
+   aggregation before the shuffle, so only one row per chunk and map task
+   moves) gives the chunk totals;
+3. ``chunk_offsets``: a window per ``key`` over the chunk totals (one row per
+   chunk, at most ``time span / bucket`` rows per key) gives the aggregate over
+   all earlier chunks. It is joined back on ``(key, chunk)``; the rows keep the
+   partitioning of step 1 and only the small chunk table is shuffled.
 
 Supported aggregates are the associative ones: ``sum``, ``max``, ``min`` (also
-on structs, which gives arg-max / arg-min).
+on structs, which gives arg-max / arg-min). The input is evaluated by steps 1
+and 2, so pass a cheap plan (a scan and projections) or a checkpointed one.
 """
 
 from __future__ import annotations
@@ -26,8 +30,11 @@ from pyspark.sql import functions as F
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
+Agg = tuple[str, str, Column]
+
 
-def _combine(kind: str, a: Column, b: Column) -> Column:
+def combine(kind: str, a: Column, b: Column) -> Column:
+    """Merge two partial aggregates (null = nothing aggregated)."""
     if kind == "sum":
         return F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(
             F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
@@ -36,76 +43,74 @@ def _combine(kind: str, a: Column, b: Column) -> Column:
     return F.least(a, b)
 
 
+def add_chunk(df: DataFrame, time_col: str, bucket: int, chunk_col: str = "_chunk") -> DataFrame:
+    if chunk_col in df.columns:
+        return df
+    return df.withColumn(chunk_col, F.floor(F.col(time_col) / F.lit(bucket)).cast("bigint"))
+
+
+def local_prefix(work: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                 aggs: Sequence[Agg], prefix: str = "_l") -> DataFrame:
+    """``{prefix}{name}``: aggregate over the earlier rows of the same ``keys`` group."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return work.withColumns({f"{prefix}{name}": _AGG[kind](e).over(w) for name, kind, e in aggs})
+
+
+def chunk_summary(work: DataFrame, keys: Sequence[str], aggs: Sequence[Agg],
+                  prefix: str = "_t") -> DataFrame:
+    """One row per ``keys`` group with ``{prefix}{name}`` totals (partially aggregated)."""
+    return work.groupBy(*keys).agg(*[_AGG[kind](e).alias(f"{prefix}{name}") for name, kind, e in aggs])
+
+
+def chunk_offsets(summary: DataFrame, by: Sequence[str], chunk_col: str, aggs: Sequence[Agg],
+                  whole: Sequence[Agg] = (), asc: bool = True) -> DataFrame:
+    """``_o{name}`` over earlier chunks and ``_w{name}`` over all chunks of the group."""
+    order = F.col(chunk_col).asc() if asc else F.col(chunk_col).desc()
+    w_prev = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    w_all = W.partitionBy(*by)
+    cols = {f"_o{name}": _AGG[kind](F.col(f"_t{name}")).over(w_prev) for name, kind, _ in aggs}
+    cols.update({f"_w{name}": _AGG[kind](F.col(f"_t{name}")).over(w_all) for name, kind, _ in whole})
+    return summary.select(*by, chunk_col, *[v.alias(k) for k, v in cols.items()])
+
+
 def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequence[str],
-                   aggs: Sequence[tuple[str, str, Column]], *, bucket: int = 86400,
-                   chunk_col: str = "_chunk", direction: str = "before",
-                   whole: Sequence[tuple[str, str, Column]] = (),
+                   aggs: Sequence[Agg], *, bucket: int = 86400, chunk_col: str = "_chunk",
+                   direction: str = "before", whole: Sequence[Agg] = (),
                    null_keys: bool = True) -> DataFrame:
     """Add one column per ``(name, kind, expr)`` in ``aggs``: the ``kind`` aggregate
     of ``expr`` over the rows of the same ``by`` group that come strictly before
     (``direction="before"``) or strictly after (``"after"``) the row in
-    ``(time_col, *tie)`` order. ``time_col`` is a bigint (epoch seconds).
+    ``(time_col, *tie)`` order. ``time_col`` is numeric (epoch seconds, a score).
 
     ``whole`` adds aggregates over the entire group (e.g. the group row count).
     Rows whose ``by`` keys contain a null are not grouped together: they get
     null aggregates (pass ``null_keys=False`` when the caller already removed
-    them, which keeps the output partitioned by ``(by, chunk)``). The chunk column is kept so that a second call on the
-    result reuses the partitioning; drop it when done.
+    them). A ``chunk_col`` already present is used as given (any grouping that
+    is monotone in the order works); it is kept in the output.
     """
-    by = list(by)
-    tie = list(tie)
-    if chunk_col not in df.columns:
-        df = df.withColumn(chunk_col, F.floor(F.col(time_col) / F.lit(bucket)).cast("bigint"))
+    by, tie = list(by), list(tie)
+    df = add_chunk(df, time_col, bucket, chunk_col)
     keys = by + [chunk_col]
-
     null_key = F.lit(False)
     for k in by:
         null_key = null_key | F.col(k).isNull()
-
-    vals = {f"_v{i}": e for i, (_, _, e) in enumerate(aggs)}
-    wvals = {f"_wv{i}": e for i, (_, _, e) in enumerate(whole)}
-    work = (df.filter(~null_key) if null_keys else df).withColumns({**vals, **wvals})
+    work = df.filter(~null_key) if null_keys else df
 
     asc = direction == "before"
     order = [F.col(c).asc() if asc else F.col(c).desc() for c in [time_col] + tie]
-    w_local = W.partitionBy(*keys).orderBy(*order)
-    w_prev = w_local.rowsBetween(W.unboundedPreceding, -1)
-    w_chunk = W.partitionBy(*keys)
-
-    local = {}
-    for i, (_, kind, _) in enumerate(aggs):
-        local[f"_l{i}"] = _AGG[kind](F.col(f"_v{i}")).over(w_prev)
-        local[f"_t{i}"] = _AGG[kind](F.col(f"_v{i}")).over(w_chunk)
-    for i, (_, kind, _) in enumerate(whole):
-        local[f"_wt{i}"] = _AGG[kind](F.col(f"_wv{i}")).over(w_chunk)
-    local["_rn"] = F.row_number().over(w_local)
-    rows = work.withColumns(local)
-
-    chunk_order = F.col(chunk_col).asc() if asc else F.col(chunk_col).desc()
-    w_chunks = W.partitionBy(*by).orderBy(chunk_order).rowsBetween(W.unboundedPreceding, -1)
-    w_group = W.partitionBy(*by)
-    summary = rows.filter(F.col("_rn") == 1).select(
-        *keys, *[F.col(f"_t{i}") for i in range(len(aggs))],
-        *[F.col(f"_wt{i}") for i in range(len(whole))])
-    offsets = summary.select(
-        *keys,
-        *[_AGG[kind](F.col(f"_t{i}")).over(w_chunks).alias(f"_o{i}")
-          for i, (_, kind, _) in enumerate(aggs)],
-        *[_AGG[kind](F.col(f"_wt{i}")).over(w_group).alias(f"_wo{i}")
-          for i, (_, kind, _) in enumerate(whole)])
-
-    out = rows.join(offsets, keys, "inner")
-    res = {name: _combine(kind, F.col(f"_o{i}"), F.col(f"_l{i}"))
-           for i, (name, kind, _) in enumerate(aggs)}
-    res.update({name: F.col(f"_wo{i}") for i, (name, _, _) in enumerate(whole)})
-    tmp = [c for c in out.columns if c.startswith("_") and c[1:2] in ("v", "l", "t", "o", "r", "w")
-           and c not in df.columns]
+    rows = local_prefix(work, keys, order, aggs)
+    both = list(aggs) + [(f"w_{n}", k, e) for n, k, e in whole]
+    summary = chunk_summary(work, keys, both)
+    offs = chunk_offsets(summary, by, chunk_col, aggs,
+                         [(n, k, e) for n, k, e in both if n.startswith("w_")], asc)
+    out = rows.join(offs, keys, "inner")
+    res = {name: combine(kind, F.col(f"_o{name}"), F.col(f"_l{name}")) for name, kind, _ in aggs}
+    res.update({name: F.col(f"_ww_{name}") for name, _, _ in whole})
+    tmp = [f"_l{n}" for n, _, _ in aggs] + [f"_o{n}" for n, _, _ in aggs] + \
+        [f"_ww_{n}" for n, _, _ in whole]
     out = out.withColumns(res).drop(*tmp)
-
     if not null_keys:
         return out
     nulls = df.filter(null_key)
-    # Typed nulls so that the union below keeps the result types.
-    null_cols = {name: F.lit(None).cast(out.schema[name].dataType)
-                 for name in list(res)}
-    return out.unionByName(nulls.withColumns(null_cols))
+    return out.unionByName(nulls.withColumns(
+        {name: F.lit(None).cast(out.schema[name].dataType) for name in res}))

@@ -23,7 +23,7 @@ def _events(orders: DataFrame, order_skus: DataFrame, person: str, ts: str, orde
 
 def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "person_id",
                     ts: str = "order_datetime", order: str = "order_id", *,
-                    bucket: int = 7 * SECONDS_PER_DAY) -> DataFrame:
+                    bucket: int = SECONDS_PER_DAY) -> DataFrame:
     """Per order: ``distinct_product_amount`` (W10) and ``most_frequent_product``.
 
     * W10: number of distinct SKUs bought in the person's earlier orders.
@@ -57,7 +57,7 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
 
 
 def next_order(orders: DataFrame, person: str = "person_id", ts: str = "order_datetime",
-               order: str = "order_id", *, bucket: int = 7 * SECONDS_PER_DAY) -> DataFrame:
+               order: str = "order_id", *, bucket: int = SECONDS_PER_DAY) -> DataFrame:
     """``(order, next_order_id)``: the person's following order (null for the last)."""
     o = orders.select(person, order, epoch_seconds(ts).alias("_s")).filter(F.col(person).isNotNull())
     nxt = ordered_prefix(o, [person], "_s", [order],
@@ -68,7 +68,7 @@ def next_order(orders: DataFrame, person: str = "person_id", ts: str = "order_da
 
 def next_order_labels(orders: DataFrame, items: DataFrame, person: str = "person_id",
                       ts: str = "order_datetime", order: str = "order_id", *,
-                      bucket: int = 7 * SECONDS_PER_DAY) -> DataFrame:
+                      bucket: int = SECONDS_PER_DAY) -> DataFrame:
     """W14 in long form: ``(order, sku, next_count)`` = quantity of each SKU in the
     person's next order. Orders without a next order have no label rows."""
     nxt = next_order(orders, person, ts, order, bucket=bucket).filter(
