@@ -472,8 +472,8 @@ CLEAN_COLUMNS = [
 ]
 
 
-@query("clean_pipeline")
-def clean_pipeline(spark, d):
+@query("clean_orders")
+def clean_orders_query(spark, d):
     """E3 (+P1, P2, P4, P5, E1): the full cleaning DAG on shop-style orders; returns the
     listed columns of the encoded table (cleaned text, lookups, history, SKU counts
     after bundles and whitelist, one-hot and cyclic encodings)."""

@@ -739,7 +739,7 @@ full_t AS (
   LEFT JOIN w10 ON w10.order_id = cl.order_id
   LEFT JOIN cnt ON cnt.order_id = cl.order_id)"""
 
-ORACLE_SQL["clean_pipeline"] = CLEAN_SQL + """
+ORACLE_SQL["clean_orders"] = CLEAN_SQL + """
 SELECT order_id, person_id, order_year, order_hour, median_household_income,
   moe_median_household_income, is_income_censored, has_billing_company, gender_binary, used_coupon,
   time_since_last_purchase, time_between_purchases, number_of_past_orders, order_frequency_90_days,
