@@ -668,3 +668,27 @@ def model_store(spark, d):
     x = MD.assemble(t.withColumns({f: F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(-1.0))
                                    for f in S.MODEL_FEATURES}), S.MODEL_FEATURES)
     return MD.score_targets(x.select("order_id", "features"), loaded, SKU_TARGETS[:3])
+
+
+# ------------------------------------------------------------ streaming
+
+@query("stream_score_uploads")
+def stream_score_uploads(spark, d):
+    """S2 + S3 + M9 + X25 (streaming): order exports written as CSV uploads are picked up
+    by a file stream, cleaned and scored per micro-batch; returns the scored rows."""
+    from ..streaming.uploads import score_uploads
+    t = S.model_table(spark, d)
+    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", numTrees=20, maxDepth=8)
+    import uuid
+    root = scratch_path(spark, f"ordersight/uploads/{uuid.uuid4().hex}")
+    uploads, out = f"{root}/in", f"{root}/out"
+    raw = S.raw_orders(spark, d)
+    # Uploads follow the shop's export layout: every export column, in order.
+    export = [(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+              for f in IO.ORDERS_SCHEMA.fields]
+    raw.select(*export).write.mode("overwrite").option("header", True).csv(uploads)
+    q = score_uploads(spark, uploads, out, S.census(spark, d), S.names(spark, d), ret.model,
+                      S.MODEL_FEATURES, bundles=S.TEST_BUNDLES, whitelist=S.TEST_WHITELIST,
+                      checkpoint=f"{root}/checkpoint", max_files=10000)
+    q.awaitTermination()
+    return spark.read.parquet(out)
