@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import SECONDS_PER_DAY, epoch_seconds
+from ..session import materialize as materialize_table
 from .prefix import ordered_prefix
 
 
@@ -23,7 +24,7 @@ def _events(orders: DataFrame, order_skus: DataFrame, person: str, ts: str, orde
 
 def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "person_id",
                     ts: str = "order_datetime", order: str = "order_id", *,
-                    bucket: int = SECONDS_PER_DAY) -> DataFrame:
+                    bucket: int = SECONDS_PER_DAY, materialize: bool = True) -> DataFrame:
     """Per order: ``distinct_product_amount`` (W10) and ``most_frequent_product``.
 
     * W10: number of distinct SKUs bought in the person's earlier orders.
@@ -35,6 +36,9 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
     person's order sequence (after their own order), a running sum of
     first-times gives W10 and a running minimum of ``(-count, sku)`` gives W11
     (counts only grow, so the minimum is the current most frequent SKU).
+    ``materialize`` writes the narrow running-count table once (under
+    ``spark.checkpoint.dir``) so the second pass scans it instead of recomputing
+    the first one in each of its branches.
     """
     o, ev = _events(orders, order_skus, person, ts, order)
     ev = ordered_prefix(ev, [person, "sku"], "_s", [order],
@@ -42,6 +46,8 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
                         chunk_col="_chunk_sku", null_keys=False)
     ev = ev.select(person, order, "_s", (F.coalesce("_c", F.lit(0)) + 1).alias("_cnt"), "sku",
                    F.lit(1).alias("_kind"))
+    if materialize:
+        ev = materialize_table(ev, "sku_running_counts")
     seq = o.withColumn("_kind", F.lit(0)).unionByName(ev, allowMissingColumns=True)
     res = ordered_prefix(
         seq, [person], "_s", [order, "_kind"],

@@ -57,3 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Used where several branches of one plan would otherwise recompute the same
+    expensive input: the branches then scan the written table (with column
+    pruning), and its lineage is cut, so a lost executor recomputes from the
+    table, not from the raw sources.
+    """
+    import uuid
+    path = scratch_path(df.sparkSession, f"ordersight/tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
