@@ -110,7 +110,8 @@ def train_return_model(table: DataFrame, features: Sequence[str], *, kind: str =
                               ("test_accuracy", "", pm["accuracy"]), ("test_auc", "", auc),
                               ("positive_weight", "", w1), ("negative_weight", "", w0)])
     rows += _report_rows(run, MT.class_report(test, threshold))
-    rows += [(run, "cv_mean_auc", r["params"], r["mean_auc"]) for r in cv.collect()]
+    if cv is not None:
+        rows += [(run, "cv_mean_auc", r["params"], r["mean_auc"]) for r in cv.collect()]
     imp = MD.importances(spark, model, features, run)
     return TrainResult(model, _metrics_df(spark, rows), MD.top_features(imp, None), cv, threshold)
 
@@ -152,7 +153,8 @@ def train_target_models(table: DataFrame, features: Sequence[str], targets: Sequ
         est = MD.forest(lab, "weight", **params)
         m, cv = MD.cross_validate(tw, est, grid or {}, lab, parallelism=parallelism)
         models[t] = m
-        cvs.append(cv.withColumn("target", F.lit(t)))
+        if cv is not None:
+            cvs.append(cv.withColumn("target", F.lit(t)))
         imps.append(MD.importances(spark, m, features, t))
 
     long = MD.score_targets(v.select("split", "features", *[F.col(f"`{label_of(t)}`") for t in targets]),
