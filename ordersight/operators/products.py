@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.time import SECONDS_PER_DAY, epoch_seconds
 from ..session import materialize as materialize_table
+
+# Fixed value: the count column the source pipeline mistook for a product (trap T1).
+COMPAT_PRODUCT = "purchase_count"
 from .prefix import ordered_prefix
 
 

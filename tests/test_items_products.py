@@ -117,3 +117,16 @@ def test_next_order_labels(spark):
                                   "order_id long, sku string, quantity double")
     got = sorted((r["order_id"], r["sku"], r["next_count"]) for r in P.next_order_labels(o, items).collect())
     assert got == [(1, "X", 3.0), (2, "Y", 1.0)]
+
+
+def test_compat_product_history(spark):
+    """With the pseudo-product of every named order, W10 is one higher after the
+    first order and W11 is that pseudo-product unless a SKU is in every earlier order."""
+    o = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1)), ("a", 2, dt.datetime(2024, 1, 2)),
+                               ("a", 3, dt.datetime(2024, 1, 3))],
+                              "person_id string, order_id long, order_datetime timestamp_ntz")
+    real = spark.createDataFrame([(1, "C8-1000"), (2, "P4-1000")], "order_id long, sku string")
+    pseudo = spark.createDataFrame([(i, P.COMPAT_PRODUCT) for i in (1, 2, 3)], "order_id long, sku string")
+    got = {r["order_id"]: (r["distinct_product_amount"], r["most_frequent_product"])
+           for r in P.product_history(o, real.unionByName(pseudo)).collect()}
+    assert got == {1: (0, None), 2: (2, "C8-1000"), 3: (3, P.COMPAT_PRODUCT)}
