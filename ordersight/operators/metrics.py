@@ -31,19 +31,25 @@ def score_counts(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _cumulative(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Add ``pos_above``/``neg_above`` (score > s) and ``neg_below`` (score < s) per ``by``."""
+    """Add ``pos_above``/``neg_above`` (score > s) and ``neg_below`` (score < s) per ``by``.
+
+    One prefix pass: sums over lower scores plus the group totals give the sums
+    over higher scores (``above = total - below - own``).
+    """
     keyed = counts.withColumn("_g", F.lit(0)) if not by else counts
     keys = by or ["_g"]
     keyed = keyed.withColumn("_chunk", F.floor(F.col("score") * SCORE_BUCKETS).cast("bigint"))
-    up = ordered_prefix(keyed, keys, "score", [], [("pos_above", "sum", F.col("pos")),
-                                                   ("neg_above", "sum", F.col("neg"))],
-                        direction="after", null_keys=False,
-                        whole=[("P", "sum", F.col("pos")), ("N", "sum", F.col("neg"))])
-    down = ordered_prefix(up, keys, "score", [], [("neg_below", "sum", F.col("neg"))],
-                          null_keys=False)
-    out = down.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-                            for c in ("pos_above", "neg_above", "neg_below")})
-    return out.drop("_chunk", *(["_g"] if not by else []))
+    cum = ordered_prefix(keyed, keys, "score", [], [("_pb", "sum", F.col("pos")),
+                                                    ("_nb", "sum", F.col("neg"))],
+                         null_keys=False,
+                         whole=[("P", "sum", F.col("pos")), ("N", "sum", F.col("neg"))])
+    pb = F.coalesce(F.col("_pb"), F.lit(0))
+    nb = F.coalesce(F.col("_nb"), F.lit(0))
+    out = cum.withColumns({
+        "pos_above": (F.col("P") - pb - F.col("pos")).cast("bigint"),
+        "neg_above": (F.col("N") - nb - F.col("neg")).cast("bigint"),
+        "neg_below": nb.cast("bigint")})
+    return out.drop("_chunk", "_pb", "_nb", *(["_g"] if not by else []))
 
 
 def pr_curve(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
