@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from ..lookups import lookup_df
 
 
+def expand_lines(items: DataFrame, bundles: DataFrame, order: str = "order_id") -> DataFrame:
+    """Per item line: a bundle line becomes one line per component with the bundle's
+    quantity; other lines pass unchanged (broadcast join, no shuffle of the items)."""
+    b = F.broadcast(bundles.select(F.col("bundle").alias("sku"), "component"))
+    return items.join(b, "sku", "left").select(
+        order, F.coalesce("component", "sku").alias("sku"), "quantity")
+
+
 def expand_bundles(items: DataFrame, bundles: DataFrame, order: str = "order_id") -> DataFrame:
     """Replace each bundle SKU by its components.
 
@@ -22,9 +30,7 @@ def expand_bundles(items: DataFrame, bundles: DataFrame, order: str = "order_id"
     summed per order and SKU. Bundles and components are disjoint, so one pass
     is enough.
     """
-    b = F.broadcast(bundles.select(F.col("bundle").alias("sku"), "component"))
-    x = items.join(b, "sku", "left")
-    return (x.select(order, F.coalesce("component", "sku").alias("sku"), "quantity")
+    return (expand_lines(items, bundles, order)
             .groupBy(order, "sku").agg(F.sum("quantity").alias("quantity")))
 
 

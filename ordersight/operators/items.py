@@ -55,10 +55,14 @@ def sku_pivot(items: DataFrame, skus: Sequence[str], value: str = "quantity",
               order: str = "order_id", suffix: str = "_count") -> DataFrame:
     """One row per order, one ``{sku}{suffix}`` column per given SKU: sum of ``value`` (A3/A4).
 
-    SKUs outside the list are ignored; absent ones are 0.
+    SKUs outside the list are ignored; absent ones are 0. Written as one
+    conditional aggregation by order (partial sums before the shuffle), which
+    is what a pivot with a given value list amounts to, in a single shuffle.
     """
-    p = (items.groupBy(order).pivot("sku", list(skus)).agg(F.sum(value)).na.fill(0))
-    return p.select(order, *[F.col(f"`{s}`").alias(f"{s}{suffix}") for s in skus])
+    sku = F.col("sku")
+    v = F.col(value).cast("double")
+    return items.groupBy(order).agg(*[
+        F.coalesce(F.sum(F.when(sku == F.lit(s), v)), F.lit(0.0)).alias(f"{s}{suffix}") for s in skus])
 
 
 def attach_pivot(orders: DataFrame, pivot: DataFrame, order: str = "order_id") -> DataFrame:
