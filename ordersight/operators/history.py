@@ -12,12 +12,13 @@ are the earlier orders that are more than 90 days old.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.time import SECONDS_PER_DAY, epoch_seconds, whole_days
-from .prefix import _AGG, add_chunk, chunk_summary, combine, local_prefix, ordered_prefix
+from .prefix import (_AGG, DEFAULT_HOT_THRESHOLD, DEFAULT_MAX_HOT_KEYS, add_chunk, chunk_summary,
+                     combine, hot_keys, local_prefix, ordered_prefix, split_hot)
 
 HISTORY_COLUMNS = [
     "time_since_last_purchase", "time_between_purchases", "time_since_first_purchase",
@@ -28,8 +29,9 @@ HISTORY_COLUMNS = [
 
 def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_datetime",
                      order: str = "order_id", total: str = "order_total", *,
-                     window_days: int = 90, bucket: int = SECONDS_PER_DAY,
-                     labels: bool = True) -> DataFrame:
+                     window_days: int = 90, bucket: int = SECONDS_PER_DAY, labels: bool = True,
+                     hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
+                     max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """Add W1-W9 (and the labels W12/W13 when ``labels``) to an order table.
 
     * ``time_since_last_purchase``: whole days since the previous order.
@@ -44,30 +46,102 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
     * ``repeat_customer_initial`` (W12): 1 unless it is the person's first order.
     * ``repeat_customer`` (W13): 1 unless it is the person's last order.
 
-    One shuffle of the rows by ``(person, chunk)``. Chunks are at most one day
-    (``bucket`` must divide a day), so consecutive orders in one chunk are less
-    than a day apart and their whole-day gap is 0: the gap sums of W2 come from
-    the chunk level (each chunk's first order against the previous chunk's last).
-    Rows with a null person keep null features and labels.
+    Persons with more than ``hot_threshold`` orders (found by one partially
+    aggregated count; at most ``max_hot_keys`` of them, else all persons) take
+    the chunked path: one shuffle by ``(person, chunk)`` with chunks of at most
+    one day (``bucket`` must divide a day), so consecutive orders in a chunk are
+    less than a day apart and the W2 gap sums come from the chunk level. All
+    other persons use plain per-person windows. ``hot_threshold=None`` sends
+    every person through the chunked path. Rows with a null person keep null
+    features and labels.
     """
     if bucket <= 0 or SECONDS_PER_DAY % bucket:
         raise ValueError("bucket must divide one day (86400 s)")
     s = "_s"
     known = F.col(person).isNotNull()
-    base = df.filter(known).withColumn(s, epoch_seconds(ts)).withColumns(
-        {"_kind": F.lit(1), "_is_row": F.lit(1), "_is_exp": F.lit(0)})
-    expiry = base.select(
+    base = df.filter(known).withColumn(s, epoch_seconds(ts))
+    feats_light = None
+    if hot_threshold is not None:
+        hk = hot_keys(base, [person], hot_threshold, max_hot_keys)
+        if hk is not None:
+            light, base = split_hot(base, [person], hk) if hk else (base, None)
+            feats_light = _plain_history(light, person, order, total, window_days, labels, s)
+    parts = [feats_light] if feats_light is not None else []
+    if base is not None:
+        parts.append(_chunked_history(base, person, order, total, window_days, bucket, labels, s))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*out.columns))
+    feats = [c for c in out.columns if c not in df.columns]
+    # Orders without a person keep their row; every history column is null.
+    nulls = df.filter(~known)
+    return out.unionByName(nulls.withColumns(
+        {c: F.lit(None).cast(out.schema[c].dataType) for c in feats}))
+
+
+def _features(n, n_old, cnt, sm, sq, gap, gap_before, s, first_s, n_all, labels):
+    """Feature columns from prefix quantities (shared by both paths)."""
+    # n * sum(x^2) - sum(x)^2 = n * (n - 1) * sample variance, exact in cents^2.
+    nvar = (cnt.cast("decimal(38,0)") * sq - sm * sm).cast("double")
+    feats = {
+        "time_since_last_purchase": F.when(n > 0, gap),
+        "time_between_purchases": F.when(n == 1, gap.cast("double"))
+                                   .when(n > 1, gap_before.cast("double") / n),
+        "time_since_first_purchase": F.when(n > 0, whole_days(F.col(s) - first_s)),
+        "number_of_past_orders": n,
+        "order_frequency_90_days": n - n_old,
+        "average_order_value": F.when(cnt > 0, sm.cast("double") / cnt / F.lit(100.0)),
+        "total_order_value": F.when(cnt > 0, sm.cast("double") / F.lit(100.0)),
+        "std_order_value": F.when(cnt > 1, F.sqrt(F.greatest(nvar, F.lit(0.0)) / (cnt * (cnt - 1)))
+                                  / F.lit(100.0)),
+        "repeat_purchase_amount": n,
+    }
+    if labels:
+        feats["repeat_customer_initial"] = (n > 0).cast("int")
+        feats["repeat_customer"] = (n + 1 < n_all).cast("int")
+    return feats
+
+
+def _cents(total: str) -> Column:
+    # Money is summed exactly in whole cents (sum of squares as 38-digit
+    # decimals), so results do not depend on partitioning or summation order.
+    return F.round(F.col(total).cast("double") * 100).cast("bigint")
+
+
+def _plain_history(rows: DataFrame, person, order, total, window_days, labels, s) -> DataFrame:
+    """Per-person windows (one shuffle by person) for persons of bounded size."""
+    w = W.partitionBy(person).orderBy(F.col(s), F.col(order))
+    wp = w.rowsBetween(W.unboundedPreceding, -1)
+    old = W.partitionBy(person).orderBy(F.col(s)).rangeBetween(
+        W.unboundedPreceding, -(window_days * SECONDS_PER_DAY + 1))
+    c38 = _cents(total).cast("decimal(38,0)")
+    x = rows.withColumns({
+        "_n": F.count(F.lit(1)).over(wp), "_old": F.count(F.lit(1)).over(old),
+        "_prev_s": F.lag(s).over(w), "_first_s": F.min(s).over(wp),
+        "_cnt": F.count(c38).over(wp), "_sum": F.sum(c38).over(wp), "_sq": F.sum(c38 * c38).over(wp),
+        "_n_all": F.count(F.lit(1)).over(W.partitionBy(person))})
+    x = x.withColumn("_gap", whole_days(F.col(s) - F.col("_prev_s")))
+    x = x.withColumn("_gap_before", F.sum("_gap").over(wp))
+    feats = _features(F.col("_n"), F.col("_old"), F.col("_cnt"), F.col("_sum"), F.col("_sq"),
+                      F.col("_gap"), F.coalesce(F.col("_gap_before"), F.lit(0)), s, F.col("_first_s"),
+                      F.col("_n_all"), labels)
+    tmp = ["_n", "_old", "_prev_s", "_first_s", "_cnt", "_sum", "_sq", "_n_all", "_gap", "_gap_before", s]
+    return x.withColumns(feats).drop(*tmp)
+
+
+def _chunked_history(base: DataFrame, person, order, total, window_days, bucket, labels, s) -> DataFrame:
+    """Chunked path: one shuffle by (person, chunk); W6 as an expiry-event sweep."""
+    rows_in = base.withColumns({"_kind": F.lit(1), "_is_row": F.lit(1), "_is_exp": F.lit(0)})
+    expiry = rows_in.select(
         F.col(person), F.col(order),
         (F.col(s) + F.lit(window_days * SECONDS_PER_DAY + 1)).alias(s),
         F.lit(0).alias("_kind"), F.lit(0).alias("_is_row"), F.lit(1).alias("_is_exp"))
-    sweep = add_chunk(base.unionByName(expiry, allowMissingColumns=True), s, bucket)
+    sweep = add_chunk(rows_in.unionByName(expiry, allowMissingColumns=True), s, bucket)
     keys = [person, "_chunk"]
 
     row = F.col("_is_row") == 1
     rs = F.when(row, F.col(s))
-    # Money is summed exactly in whole cents (sum of squares as 38-digit
-    # decimals), so results do not depend on partitioning or summation order.
-    cents = F.when(row, F.round(F.col(total).cast("double") * 100).cast("bigint"))
+    cents = F.when(row, _cents(total))
     c38 = cents.cast("decimal(38,0)")
     aggs = [("n", "sum", F.col("_is_row").cast("bigint")),
             ("exp", "sum", F.col("_is_exp").cast("bigint")),
@@ -91,49 +165,27 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
     def tot(n, k):
         return combine(k, F.col(f"_o{n}"), F.col(f"_l{n}"))
 
-    n = F.coalesce(tot("n", "sum"), F.lit(0))
-    n_exp = F.coalesce(tot("exp", "sum"), F.lit(0))
-    cnt = F.coalesce(tot("cnt", "sum"), F.lit(0))
-    sm, sq = tot("sum", "sum"), tot("sq", "sum")
     prev_s = F.coalesce(F.col("_lmax_s"), F.col("_prev_max_s"))
-    first_s = F.coalesce(F.col("_omin_s"), F.col("_lmin_s"))
-    gap = whole_days(F.col(s) - prev_s)
     has_local_prev = F.coalesce(F.col("_ln"), F.lit(0)) > 0
     gap_before = F.coalesce(F.col("_ogap"), F.lit(0)) + F.when(
         has_local_prev, F.coalesce(F.col("_tfirst_gap"), F.lit(0))).otherwise(F.lit(0))
-    # n * sum(x^2) - sum(x)^2 = n * (n - 1) * sample variance, exact in cents^2.
-    nvar = (cnt.cast("decimal(38,0)") * sq - sm * sm).cast("double")
-    feats = {
-        "time_since_last_purchase": F.when(n > 0, gap),
-        "time_between_purchases": F.when(n == 1, gap.cast("double"))
-                                   .when(n > 1, gap_before.cast("double") / n),
-        "time_since_first_purchase": F.when(n > 0, whole_days(F.col(s) - first_s)),
-        "number_of_past_orders": n,
-        "order_frequency_90_days": n - n_exp,
-        "average_order_value": F.when(cnt > 0, sm.cast("double") / cnt / F.lit(100.0)),
-        "total_order_value": F.when(cnt > 0, sm.cast("double") / F.lit(100.0)),
-        "std_order_value": F.when(cnt > 1, F.sqrt(F.greatest(nvar, F.lit(0.0)) / (cnt * (cnt - 1)))
-                                  / F.lit(100.0)),
-        "repeat_purchase_amount": n,
-    }
-    if labels:
-        feats["repeat_customer_initial"] = (n > 0).cast("int")
-        feats["repeat_customer"] = (n + 1 < F.col("_n_all")).cast("int")
-    tmp = [c for c in j.columns if c not in df.columns]
-    out = j.withColumns(feats).drop(*[c for c in tmp if c not in feats])
-    # Orders without a person keep their row; every history column is null.
-    nulls = df.filter(~known)
-    return out.unionByName(nulls.withColumns(
-        {c: F.lit(None).cast(out.schema[c].dataType) for c in feats}))
+    feats = _features(F.coalesce(tot("n", "sum"), F.lit(0)), F.coalesce(tot("exp", "sum"), F.lit(0)),
+                      F.coalesce(tot("cnt", "sum"), F.lit(0)), tot("sum", "sum"), tot("sq", "sum"),
+                      whole_days(F.col(s) - prev_s), gap_before, s,
+                      F.coalesce(F.col("_omin_s"), F.col("_lmin_s")), F.col("_n_all"), labels)
+    keep = [c for c in base.columns if c != s]
+    return j.select(*keep, *[v.alias(k) for k, v in feats.items()])
 
 
 def repeat_flags(df: DataFrame, person: str = "person_id", ts: str = "order_datetime",
-                 order: str = "order_id", *, bucket: int = SECONDS_PER_DAY) -> DataFrame:
+                 order: str = "order_id", *, bucket: int = SECONDS_PER_DAY,
+                 hot_threshold: int | None = DEFAULT_HOT_THRESHOLD) -> DataFrame:
     """W12 ``repeat_customer_initial`` and W13 ``repeat_customer`` only."""
     s = "_s"
     base = df.withColumn(s, epoch_seconds(ts))
     out = ordered_prefix(base, [person], s, [order], [("_n", "sum", F.lit(1).cast("bigint"))],
-                         bucket=bucket, whole=[("_n_all", "sum", F.lit(1).cast("bigint"))])
+                         bucket=bucket, whole=[("_n_all", "sum", F.lit(1).cast("bigint"))],
+                         hot_threshold=hot_threshold)
     known = F.col(person).isNotNull()
     n = F.coalesce(F.col("_n"), F.lit(0))
     return out.withColumns({

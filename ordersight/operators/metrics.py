@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .prefix import ordered_prefix
+from .prefix import DEFAULT_HOT_THRESHOLD, ordered_prefix
 
 SCORE_BUCKETS = 4096  # chunks along the score axis (probabilities in [0, 1])
 
@@ -41,7 +41,7 @@ def _cumulative(counts: DataFrame, by: list[str]) -> DataFrame:
     keyed = keyed.withColumn("_chunk", F.floor(F.col("score") * SCORE_BUCKETS).cast("bigint"))
     cum = ordered_prefix(keyed, keys, "score", [], [("_pb", "sum", F.col("pos")),
                                                     ("_nb", "sum", F.col("neg"))],
-                         null_keys=False,
+                         null_keys=False, hot_threshold=DEFAULT_HOT_THRESHOLD,
                          whole=[("P", "sum", F.col("pos")), ("N", "sum", F.col("neg"))])
     pb = F.coalesce(F.col("_pb"), F.lit(0))
     nb = F.coalesce(F.col("_nb"), F.lit(0))
@@ -232,7 +232,7 @@ def threshold_sweep(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
         "_chunk", F.floor(F.col("score") * SCORE_BUCKETS).cast("bigint"))
     cum = ordered_prefix(seq, ["_g"], "score", ["_kind"],
                          [("_pa", "sum", F.col("pos")), ("_na", "sum", F.col("neg"))],
-                         direction="after", null_keys=False,
+                         direction="after", null_keys=False, hot_threshold=DEFAULT_HOT_THRESHOLD,
                          whole=[("_P", "sum", F.col("pos")), ("_N", "sum", F.col("neg"))])
     tp = F.coalesce(F.col("_pa"), F.lit(0))
     fp = F.coalesce(F.col("_na"), F.lit(0))

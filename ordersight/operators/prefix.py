@@ -18,6 +18,13 @@ computes the same result from three pieces:
 Supported aggregates are the associative ones: ``sum``, ``max``, ``min`` (also
 on structs, which gives arg-max / arg-min). The input is evaluated by steps 1
 and 2, so pass a cheap plan (a scan and projections) or a checkpointed one.
+
+Chunking costs a chunk table about as large as the rows when keys are small.
+With ``hot_threshold`` set, a first partially aggregated count finds the keys
+with more rows than that (at most ``max_hot_keys`` of them, so the list is
+broadcast with a proven size); only their rows take the chunked path, all
+other rows use one plain window per key. If more keys than ``max_hot_keys``
+are hot, every row takes the chunked path. Both paths give the same result.
 """
 
 from __future__ import annotations
@@ -73,10 +80,43 @@ def chunk_offsets(summary: DataFrame, by: Sequence[str], chunk_col: str, aggs: S
     return summary.select(*by, chunk_col, *[v.alias(k) for k, v in cols.items()])
 
 
+DEFAULT_HOT_THRESHOLD = 100_000
+DEFAULT_MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, by: Sequence[str], threshold: int, max_keys: int):
+    """Keys with more than ``threshold`` rows, or ``None`` when more than ``max_keys``
+    keys are that hot. One job: partial counts per key, then a bounded top-k."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
+    rows = counts.orderBy(F.desc("_n")).limit(max_keys + 1).collect()
+    if len(rows) > max_keys:
+        return None
+    return [tuple(r[k] for k in by) for r in rows]
+
+
+def split_hot(df: DataFrame, by: Sequence[str], keys) -> tuple[DataFrame, DataFrame]:
+    """``(light, hot)`` rows by a broadcast list of hot keys (size <= max_hot_keys)."""
+    spark = df.sparkSession
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    hk = F.broadcast(spark.createDataFrame(keys, schema))
+    return df.join(hk, list(by), "left_anti"), df.join(hk, list(by), "left_semi")
+
+
+def plain_prefix(df: DataFrame, by: Sequence[str], order: Sequence[Column], aggs: Sequence[Agg],
+                 whole: Sequence[Agg] = ()) -> DataFrame:
+    """The same aggregates with one window per key (for keys of bounded size)."""
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    wa = W.partitionBy(*by)
+    cols = {name: _AGG[kind](e).over(w) for name, kind, e in aggs}
+    cols.update({name: _AGG[kind](e).over(wa) for name, kind, e in whole})
+    return df.withColumns(cols)
+
+
 def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequence[str],
                    aggs: Sequence[Agg], *, bucket: int = 86400, chunk_col: str = "_chunk",
                    direction: str = "before", whole: Sequence[Agg] = (),
-                   null_keys: bool = True) -> DataFrame:
+                   null_keys: bool = True, hot_threshold: int | None = None,
+                   max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """Add one column per ``(name, kind, expr)`` in ``aggs``: the ``kind`` aggregate
     of ``expr`` over the rows of the same ``by`` group that come strictly before
     (``direction="before"``) or strictly after (``"after"``) the row in
@@ -98,6 +138,15 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
 
     asc = direction == "before"
     order = [F.col(c).asc() if asc else F.col(c).desc() for c in [time_col] + tie]
+    light = None
+    if hot_threshold is not None:
+        hk = hot_keys(work, by, hot_threshold, max_hot_keys)
+        if hk is not None and not hk:
+            out = plain_prefix(work, by, order, aggs, whole)   # no hot key: one window per key
+            return _with_null_keys(out, df, null_key, list(aggs) + list(whole)) if null_keys else out
+        if hk is not None:
+            light, work = split_hot(work, by, hk)
+            light = plain_prefix(light, by, order, aggs, whole)
     rows = local_prefix(work, keys, order, aggs)
     both = list(aggs) + [(f"w_{n}", k, e) for n, k, e in whole]
     summary = chunk_summary(work, keys, both)
@@ -109,8 +158,14 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
     tmp = [f"_l{n}" for n, _, _ in aggs] + [f"_o{n}" for n, _, _ in aggs] + \
         [f"_ww_{n}" for n, _, _ in whole]
     out = out.withColumns(res).drop(*tmp)
+    if light is not None:
+        out = out.unionByName(light.select(*out.columns))
     if not null_keys:
         return out
+    return _with_null_keys(out, df, null_key, list(aggs) + list(whole))
+
+
+def _with_null_keys(out: DataFrame, df: DataFrame, null_key: Column, aggs: Sequence[Agg]) -> DataFrame:
     nulls = df.filter(null_key)
     return out.unionByName(nulls.withColumns(
-        {name: F.lit(None).cast(out.schema[name].dataType) for name in res}))
+        {name: F.lit(None).cast(out.schema[name].dataType) for name, _, _ in aggs}))

@@ -23,7 +23,12 @@ def test_fixture_rules(spark):
     rows = [("p", 1, D(2024, 1, 1, 2), 100.0), ("p", 2, D(2024, 1, 2, 1), 50.0),
             ("p", 3, D(2024, 4, 1, 1), 70.0), ("p", 4, D(2024, 4, 1, 1), None),
             (None, 5, D(2024, 5, 1), 10.0)]
-    out = {r["order_id"]: r for r in history_features(_orders(spark, rows)).collect()}
+    for hot in (None, 10**9):
+        _check_fixture({r["order_id"]: r for r in
+                        history_features(_orders(spark, rows), hot_threshold=hot).collect()})
+
+
+def _check_fixture(out):
     o1, o2, o3, o4, o5 = (out[i] for i in range(1, 6))
     assert o1["time_since_last_purchase"] is None and o1["number_of_past_orders"] == 0
     assert o1["repeat_customer"] == 1 and o1["repeat_customer_initial"] == 0
@@ -77,8 +82,9 @@ def _brute(rows):
     return res
 
 
-@pytest.mark.parametrize("bucket", [86400, 3600])
-def test_matches_brute_force_on_skewed_data(spark, bucket):
+@pytest.mark.parametrize("bucket,hot", [(86400, None), (3600, None), (86400, 50), (86400, 10**9)])
+def test_matches_brute_force_on_skewed_data(spark, bucket, hot):
+    """hot=None: all chunked; 50: person 0 chunked, others plain; 10**9: all plain."""
     rnd = random.Random(7)
     rows, oid = [], 0
     start = D(2023, 1, 1)
@@ -92,7 +98,8 @@ def test_matches_brute_force_on_skewed_data(spark, bucket):
                 t = rows[-1][2]  # same-second ties
             total = None if rnd.random() < 0.05 else round(rnd.uniform(5, 500), 2)
             rows.append((f"p{p}", oid, t, total))
-    got = {r["order_id"]: r for r in history_features(_orders(spark, rows), bucket=bucket).collect()}
+    got = {r["order_id"]: r for r in history_features(_orders(spark, rows), bucket=bucket,
+                                                       hot_threshold=hot).collect()}
     exp = _brute(rows)
     assert len(got) == len(exp)
     for oid, e in exp.items():

@@ -93,8 +93,9 @@ def _brute_products(orders, skus):
     return out
 
 
-@pytest.mark.parametrize("bucket", [86400, 3600])
-def test_product_history_brute_force(spark, bucket):
+@pytest.mark.parametrize("bucket,hot", [(86400, None), (3600, None), (86400, 40), (86400, 10**9)])
+def test_product_history_brute_force(spark, bucket, hot):
+    """hot=None: all chunked; 40: the big person chunked, others plain; 10**9: all plain."""
     rnd = random.Random(3)
     orders, skus, oid = [], {}, 0
     for p in range(12):
@@ -105,7 +106,7 @@ def test_product_history_brute_force(spark, bucket):
     o = spark.createDataFrame(orders, "person_id string, order_id long, order_datetime timestamp_ntz")
     os_ = spark.createDataFrame([(k, s) for k, v in skus.items() for s in v], "order_id long, sku string")
     got = {r["order_id"]: (r["distinct_product_amount"], r["most_frequent_product"])
-           for r in P.product_history(o, os_, bucket=bucket).collect()}
+           for r in P.product_history(o, os_, bucket=bucket, hot_threshold=hot).collect()}
     assert got == _brute_products(orders, skus)
 
 
