@@ -607,16 +607,6 @@ def score_top_products(spark, d):
                                  display=["order_id", "person_id"])
 
 
-def _brand_scores(spark, d):
-    lines = S.order_lines(spark, d).join(
-        S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"),
-                                            F.col("l_linenumber").alias("line_no"),
-                                            F.col("l_partkey").alias("part_key"), "l_discount", "l_tax"),
-        ["order_id", "line_no", "part_key"])
-    return lines.groupBy("order_id", F.col("sku").alias("target")).agg(
-        F.max(F.col("l_discount") * 5 + F.col("l_tax")).alias("score"))
-
-
 @query("rank_top_products")
 def rank_top_products(spark, d):
     """O2 on a given score table: five best targets per row as ``sku (0.12), …``."""

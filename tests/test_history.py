@@ -131,3 +131,24 @@ def test_one_full_shuffle(spark):
     plan = history_features(_orders(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_invariants_on_test_orders(spark):
+    """W4 = orders - 1 at each person's last order; labels: exactly one 0 per person."""
+    from ordersight.plans import standins as S
+    from tests.conftest import SF
+    h = history_features(S.history_orders(spark, SF))
+    per = h.groupBy("person_id").agg(F.count("*").alias("n"), F.max("number_of_past_orders").alias("w4"),
+                                     F.sum(1 - F.col("repeat_customer")).alias("last"))
+    bad = per.filter((F.col("w4") != F.col("n") - 1) | (F.col("last") != 1)).count()
+    assert bad == 0
+
+
+def test_hot_key_list_is_bounded(spark):
+    from ordersight.operators.prefix import hot_keys, split_hot
+    df = spark.createDataFrame([(f"p{i % 5}", i) for i in range(100)] + [("big", i) for i in range(300)],
+                               "person_id string, order_id long")
+    assert hot_keys(df, ["person_id"], 100, 10) == [("big",)]
+    assert hot_keys(df, ["person_id"], 10, 2) is None          # too many hot keys: chunk everyone
+    light, hot = split_hot(df, ["person_id"], [("big",)])
+    assert hot.count() == 300 and light.count() == 100

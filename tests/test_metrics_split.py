@@ -92,3 +92,15 @@ def test_label_weights(spark):
     w = {r["sku"]: r["weight"] for r in SP.label_weights(lab).collect()}
     assert w == {"A": 3 / (3 * 2), "B": 3 / (3 * 1), "C": 3 / (3 * 1)}
     assert {r["order_id"] for r in SP.labelled_rows(lab).collect()} == {1, 2, 3}
+
+
+def test_curves_are_monotone(spark):
+    rnd = random.Random(9)
+    rows = [("a", int(rnd.random() < 0.4), round(rnd.random(), 3)) for _ in range(500)]
+    pr = sorted((r["threshold"], r["recall"]) for r in M.pr_curve(_scored(spark, rows)).collect()
+                if r["threshold"] is not None)
+    recalls = [r for _, r in pr]
+    assert all(a >= b for a, b in zip(recalls, recalls[1:]))      # recall falls as t rises
+    roc = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in M.roc_curve(_scored(spark, rows)).collect()
+                 if r["threshold"] is not None)
+    assert all(a[1] >= b[1] and a[2] >= b[2] for a, b in zip(roc, roc[1:]))
