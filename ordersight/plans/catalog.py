@@ -617,13 +617,17 @@ def rank_top_products(spark, d):
     return SC.rank_top_products(sc, "order_id")
 
 
-@query("example_rows")
-def example_rows(spark, d):
-    """O5 + O6: first five rows by key and one random row per target of a scored table."""
-    sc = S.scored_lines(spark, d).select(F.xxhash64("target", "y", "score").alias("row_key"), "target", "y", "score")
-    first = SC.first_rows(sc, "row_key", 5).withColumn("kind", F.lit("first"))
-    rnd = SC.random_row_per_target(sc, "target", 42).withColumn("kind", F.lit("random"))
-    return first.unionByName(rnd)
+@query("first_rows")
+def first_rows(spark, d):
+    """The five first rows of a scored table in (target, y, score) order."""
+    sc = S.scored_lines(spark, d)
+    return SC.first_rows(sc, ["target", "y", "score"], 5)
+
+
+@query("random_rows")
+def random_rows(spark, d):
+    """One random row per target of a scored table (seeded sample)."""
+    return SC.random_row_per_target(S.scored_lines(spark, d), "target", 42)
 
 
 # --------------------------------------------------------------- sinks

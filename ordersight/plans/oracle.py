@@ -776,3 +776,43 @@ WITH sc AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score DESC, target) AS rk FROM sc)
 SELECT order_id, string_agg(printf('%s (%.2f)', target, score), ', ' ORDER BY rk) AS top_products
 FROM r WHERE rk <= 5 GROUP BY order_id"""
+
+# ---------------------------------------------------- samples, sinks
+
+ORACLE_SQL["first_rows"] = _with(SCORED) + """
+SELECT target, y, score FROM sc ORDER BY target, y, score LIMIT 5"""
+
+ORACLE_SQL["report_sink"] = _with(CONF) + """
+SELECT CAST(label AS VARCHAR) AS label, 'f1' AS metric, f1 AS value, 'lines' AS run FROM prf
+UNION ALL SELECT 'macro avg', 'f1', sum(f1) / 2, 'lines' FROM prf
+UNION ALL SELECT 'weighted avg', 'f1', sum(f1 * support) / sum(support), 'lines' FROM prf"""
+
+_CATS = sorted(set(TEST_CATEGORIES.values()))
+_Q = '"'
+_CNT_COLS = ", ".join(f"sum(CASE WHEN sku = '{s}' THEN quantity ELSE 0 END) AS {_Q}{s}_count{_Q}"
+                      for s in TEST_SKUS)
+_NXT_COLS = ", ".join(f"sum(CASE WHEN sku = '{s}' THEN y ELSE 0 END) AS {_Q}next_{s}{_Q}" for s in TEST_SKUS)
+_CAT_COLS = ", ".join(f"max(CASE WHEN category = '{c}' THEN present END) AS next_{c}" for c in _CATS)
+_OUT_CNT = ", ".join(f"CAST(coalesce(cnt.{_Q}{s}_count{_Q}, 0) AS DOUBLE) AS {_Q}{s}_count{_Q}"
+                     for s in TEST_SKUS)
+_OUT_NXT = ", ".join(f"CAST(coalesce(nxl.{_Q}next_{s}{_Q}, 0) AS DOUBLE) AS {_Q}next_{s}{_Q}"
+                     for s in TEST_SKUS)
+_OUT_CAT = ", ".join(f"coalesce(cl.next_{c}, 0) AS next_{c}" for c in _CATS)
+
+ORACLE_SQL["feature_sink"] = SKU_LAB + "," + HIST[HIST.index("hsrc"):] + f""",
+cnt AS (SELECT order_id, {_CNT_COLS} FROM lines GROUP BY order_id),
+nxl AS (SELECT order_id, {_NXT_COLS} FROM sl GROUP BY order_id),
+cp AS (
+  SELECT sl.order_id, c.category, CAST(sum(sl.y) > 0 AS INTEGER) AS present
+  FROM sl JOIN (SELECT * FROM {_values(TEST_CATEGORIES, 'sku', 'category')}) c ON c.sku = sl.sku
+  GROUP BY sl.order_id, c.category),
+cl AS (SELECT order_id, {_CAT_COLS} FROM cp GROUP BY order_id)
+SELECT h.person_id, h.order_id, o.o_orderdate AS order_datetime, o.o_totalprice AS order_total,
+  h.time_since_last_purchase, h.time_between_purchases, h.time_since_first_purchase,
+  h.number_of_past_orders, h.order_frequency_90_days, h.average_order_value, h.total_order_value,
+  h.std_order_value, h.repeat_purchase_amount, h.repeat_customer_initial, h.repeat_customer,
+  {_OUT_CNT}, {_OUT_NXT}, {_OUT_CAT}
+FROM hist h JOIN orders o ON o.o_orderkey = h.order_id
+LEFT JOIN cnt ON cnt.order_id = h.order_id
+LEFT JOIN nxl ON nxl.order_id = h.order_id
+LEFT JOIN cl ON cl.order_id = h.order_id"""
