@@ -74,7 +74,7 @@ def _report_rows(run: str, report: DataFrame) -> list:
 def train_return_model(table: DataFrame, features: Sequence[str], *, kind: str = "forest",
                        grid: dict | None = None, label: str = "repeat_customer",
                        person: str = "person_id", run: str | None = None,
-                       parallelism: int = 4, **params) -> TrainResult:
+                       parallelism: int = 8, **params) -> TrainResult:
     """Problem 1 (M2-M5): random forest (balanced class weights) or boosted trees
     (positive weight = negatives / positives), grid search with person folds,
     threshold with the best F1 on the validation persons (V9), test metrics."""
@@ -120,7 +120,7 @@ def train_target_models(table: DataFrame, features: Sequence[str], targets: Sequ
                         label_of=lambda t: f"next_{t}", kind: str = "forest",
                         grid: dict | None = None, person: str = "person_id",
                         run: str = "next_sku", labelled_only: bool = False,
-                        parallelism: int = 4, **params) -> TrainResult:
+                        parallelism: int = 8, **params) -> TrainResult:
     """Problem 2 (M6, M7, M11): one binary model per target on one cached vector table.
 
     Per target: balanced weights, grid search (forest), threshold with the best
