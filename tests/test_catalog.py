@@ -54,3 +54,11 @@ def test_rows_only(spark, name):
 def test_every_query_has_docstring():
     for name, fn in E.queries().items():
         assert fn.__doc__, name
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW - {"stream_score_uploads", "feature_sink",
+                                                                    "report_sink"}))
+def test_no_cross_products(spark, name):
+    """No query plans a cartesian product or a nested-loop join."""
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
