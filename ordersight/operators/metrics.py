@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .prefix import DEFAULT_HOT_THRESHOLD, ordered_prefix
 
-SCORE_BUCKETS = 4096  # chunks along the score axis (probabilities in [0, 1])
+SCORE_BUCKETS = 1 << 20  # chunks along the score axis (probabilities in [0, 1]); chunk table <= 1M rows
 
 
 def score_counts(scored: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -104,3 +104,23 @@ def test_curves_are_monotone(spark):
     roc = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in M.roc_curve(_scored(spark, rows)).collect()
                  if r["threshold"] is not None)
     assert all(a[1] >= b[1] and a[2] >= b[2] for a, b in zip(roc, roc[1:]))
+
+
+def test_chunked_score_path_matches_brute_force(spark, monkeypatch):
+    """Force every target through the chunked (score-bucket) path."""
+    monkeypatch.setattr(M, "DEFAULT_HOT_THRESHOLD", 10)
+    rnd = random.Random(11)
+    rows = [("a" if i % 4 else "b", int(rnd.random() < 0.35), round(rnd.random(), 4)) for i in range(600)]
+    df = _scored(spark, rows)
+    per = {r["target"]: r["auc"] for r in M.auc(df, ["target"]).collect()}
+    for t in ("a", "b"):
+        assert per[t] == pytest.approx(_brute_auc([r for r in rows if r[0] == t]), rel=1e-12)
+    for r in M.pr_curve(df).collect():
+        if r["threshold"] is None:
+            continue
+        tp = sum(1 for _, y, s in rows if y == 1 and s >= r["threshold"])
+        fp = sum(1 for _, y, s in rows if y == 0 and s >= r["threshold"])
+        assert (r["tp"], r["fp"]) == (tp, fp)
+    best = M.threshold_sweep(df, M.sweep_thresholds(spark)).first()
+    monkeypatch.setattr(M, "DEFAULT_HOT_THRESHOLD", 10**9)
+    assert M.threshold_sweep(df, M.sweep_thresholds(spark)).first() == best
