@@ -131,3 +131,21 @@ def test_compat_product_history(spark):
     got = {r["order_id"]: (r["distinct_product_amount"], r["most_frequent_product"])
            for r in P.product_history(o, real.unionByName(pseudo)).collect()}
     assert got == {1: (0, None), 2: (2, "C8-1000"), 3: (3, P.COMPAT_PRODUCT)}
+
+
+@pytest.mark.parametrize("hot", [None, 30, 10**9])
+def test_next_order_all_paths(spark, hot):
+    rnd = random.Random(4)
+    rows, oid = [], 0
+    for p in range(8):
+        for _ in range(100 if p == 0 else rnd.randint(1, 10)):
+            oid += 1
+            rows.append((f"p{p}", oid, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randint(0, 3000))))
+    o = spark.createDataFrame(rows, "person_id string, order_id long, order_datetime timestamp_ntz")
+    got = {r["order_id"]: r["next_order_id"] for r in P.next_order(o, hot_threshold=hot).collect()}
+    exp = {}
+    for p in {r[0] for r in rows}:
+        seq = sorted((r[2], r[1]) for r in rows if r[0] == p)
+        for i, (_, o_) in enumerate(seq):
+            exp[o_] = seq[i + 1][1] if i + 1 < len(seq) else None
+    assert got == exp
