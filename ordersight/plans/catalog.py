@@ -7,6 +7,7 @@ in both so that summation order cannot change the compared values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -635,7 +636,7 @@ def random_rows(spark, d):
 @query("feature_sink")
 def feature_sink(spark, d):
     """S8 + S7: write the per-order feature table as parquet, read it back."""
-    path = scratch_path(spark, "ordersight/features")
+    path = scratch_path(spark, f"ordersight/features/{uuid.uuid4().hex}")
     IO.write_table(S.model_table(spark, d), path)
     return IO.read_features(spark, path)
 
@@ -646,7 +647,7 @@ def report_sink(spark, d):
     rep = M.class_report(S.scored_lines(spark, d), REPORT_THRESHOLD)
     tall = rep.select(F.lit("lines").alias("run"), F.lit("f1").alias("metric"), "label",
                       F.col("f1").alias("value"))
-    path = scratch_path(spark, "ordersight/report")
+    path = scratch_path(spark, f"ordersight/report/{uuid.uuid4().hex}")
     IO.write_report(tall, path)
     return spark.read.json(path)
 
@@ -656,7 +657,7 @@ def model_store(spark, d):
     """Save one model per SKU, load them back by key and score with them."""
     t = S.model_table(spark, d)
     res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS[:3], numTrees=10, maxDepth=5)
-    folder = scratch_path(spark, "ordersight/models")
+    folder = scratch_path(spark, f"ordersight/models/{uuid.uuid4().hex}")
     IO.save_models(res.models, folder)
     loaded = IO.load_models(list(res.models), folder)
     x = MD.assemble(t.withColumns({f: F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(-1.0))
@@ -673,7 +674,6 @@ def stream_score_uploads(spark, d):
     from ..streaming.uploads import score_uploads
     t = S.model_table(spark, d)
     ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", numTrees=20, maxDepth=8)
-    import uuid
     root = scratch_path(spark, f"ordersight/uploads/{uuid.uuid4().hex}")
     uploads, out = f"{root}/in", f"{root}/out"
     raw = S.raw_orders(spark, d)
