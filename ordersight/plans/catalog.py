@@ -496,6 +496,16 @@ TRAINING_SCHEMA = ST.StructType([
 ])
 
 
+@query("one_hot")
+def one_hot(spark, d):
+    """``c_mktsegment_{level}`` booleans, levels taken from the data in one job
+    (cardinality checked first); a null segment is false everywhere."""
+    c = S.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    small, _ = EC.split_by_cardinality(c, ["c_mktsegment"], 1000)
+    levels = EC.collect_levels(c, small)
+    return EC.one_hot_columns(c, "c_mktsegment", levels.get("c_mktsegment", []))
+
+
 @query("align_schema")
 def align_schema(spark, d):
     """E2 + U3 + S6: serving-mode alignment to a saved training schema (missing

@@ -816,3 +816,9 @@ FROM hist h JOIN orders o ON o.o_orderkey = h.order_id
 LEFT JOIN cnt ON cnt.order_id = h.order_id
 LEFT JOIN nxl ON nxl.order_id = h.order_id
 LEFT JOIN cl ON cl.order_id = h.order_id"""
+
+# ------------------------------------------------------------------ one-hot
+
+ORACLE_SQL["one_hot"] = "SELECT c_custkey, " + ", ".join(
+    f"coalesce(c_mktsegment = '{v}', false) AS c_mktsegment_{v}"
+    for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer"
