@@ -664,7 +664,7 @@ def report_sink(spark, d):
 
 @query("model_store")
 def model_store(spark, d):
-    """Save one model per SKU, load them back by key and score with them."""
+    """Save one model for each of three SKUs, load them back by key and score with them."""
     t = S.model_table(spark, d)
     res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS[:3], numTrees=10, maxDepth=5)
     folder = scratch_path(spark, f"ordersight/models/{uuid.uuid4().hex}")
