@@ -15,6 +15,7 @@ as table aggregations. Results come back as one tall metrics table
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -138,24 +139,35 @@ def train_target_models(table: DataFrame, features: Sequence[str], targets: Sequ
     train = v.filter(F.col("split") == "train")
     counts = train.agg(F.count(F.lit(1)).alias("n"),
                        *[F.sum(F.col(f"`{label_of(t)}`")).alias(t) for t in targets]).first()
-    models, imps, cvs = {}, [], []
-    for t in targets:
+    n = counts["n"]
+
+    def fit_one(t):
         lab = label_of(t)
         pos = counts[t] or 0
         if pos == 0:
-            continue  # cannot be learnt; scores 0.0
+            return t, None, None           # cannot be learnt; scores 0.0
         if kind == "mlp":
-            models[t] = MD.mlp(lab, len(features), seed=42).fit(train)
-            continue
-        n = counts["n"]
+            return t, MD.mlp(lab, len(features), seed=42).fit(train), None
         w1, w0 = n / (2.0 * pos), n / (2.0 * max(n - pos, 1))
         tw = train.withColumn("weight", F.when(F.col(lab) > 0, F.lit(w1)).otherwise(F.lit(w0)))
         est = MD.forest(lab, "weight", **params)
-        m, cv = MD.cross_validate(tw, est, grid or {}, lab, parallelism=parallelism)
+        m, cv = MD.cross_validate(tw, est, grid or {}, lab, parallelism=max(1, parallelism // 4))
+        return t, m, cv
+
+    # Targets are independent: their (distributed) fits are submitted from a few
+    # driver threads, as CrossValidator does for grid points. Seeds are fixed,
+    # so the models do not depend on the order the fits finish in.
+    with ThreadPoolExecutor(max_workers=min(4, max(1, len(targets)))) as pool:
+        fitted = list(pool.map(fit_one, targets))
+    models, imps, cvs = {}, [], []
+    for t, m, cv in fitted:
+        if m is None:
+            continue
         models[t] = m
+        if kind != "mlp":
+            imps.append(MD.importances(spark, m, features, t))
         if cv is not None:
             cvs.append(cv.withColumn("target", F.lit(t)))
-        imps.append(MD.importances(spark, m, features, t))
 
     long = MD.score_targets(v.select("split", "features", *[F.col(f"`{label_of(t)}`") for t in targets]),
                             models, targets)
