@@ -116,7 +116,8 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
                    aggs: Sequence[Agg], *, bucket: int = 86400, chunk_col: str = "_chunk",
                    direction: str = "before", whole: Sequence[Agg] = (),
                    null_keys: bool = True, hot_threshold: int | None = None,
-                   max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+                   max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
+                   hot: tuple[Sequence[str], list] | None = None) -> DataFrame:
     """Add one column per ``(name, kind, expr)`` in ``aggs``: the ``kind`` aggregate
     of ``expr`` over the rows of the same ``by`` group that come strictly before
     (``direction="before"``) or strictly after (``"after"``) the row in
@@ -126,7 +127,10 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
     Rows whose ``by`` keys contain a null are not grouped together: they get
     null aggregates (pass ``null_keys=False`` when the caller already removed
     them). A ``chunk_col`` already present is used as given (any grouping that
-    is monotone in the order works); it is kept in the output.
+    is monotone in the order works); it is kept in the output. ``hot = (cols,
+    keys)`` gives a hot-key list computed elsewhere over a prefix ``cols`` of
+    ``by`` (e.g. hot persons for a ``(person, sku)`` grouping: a pair can only
+    be hot if its person is); no detection job then runs here.
     """
     by, tie = list(by), list(tie)
     df = add_chunk(df, time_col, bucket, chunk_col)
@@ -139,13 +143,17 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
     asc = direction == "before"
     order = [F.col(c).asc() if asc else F.col(c).desc() for c in [time_col] + tie]
     light = None
-    if hot_threshold is not None:
+    hot_cols, hk = list(by), None
+    if hot is not None:
+        hot_cols, hk = list(hot[0]), hot[1]
+    elif hot_threshold is not None:
         hk = hot_keys(work, by, hot_threshold, max_hot_keys)
+    if hot is not None or hot_threshold is not None:
         if hk is not None and not hk:
             out = plain_prefix(work, by, order, aggs, whole)   # no hot key: one window per key
             return _with_null_keys(out, df, null_key, list(aggs) + list(whole)) if null_keys else out
         if hk is not None:
-            light, work = split_hot(work, by, hk)
+            light, work = split_hot(work, hot_cols, hk)
             light = plain_prefix(light, by, order, aggs, whole)
     rows = local_prefix(work, keys, order, aggs)
     both = list(aggs) + [(f"w_{n}", k, e) for n, k, e in whole]

@@ -16,7 +16,7 @@ from ..session import materialize as materialize_table
 
 # Fixed value: the count column the source pipeline mistook for a product (trap T1).
 COMPAT_PRODUCT = "purchase_count"
-from .prefix import DEFAULT_HOT_THRESHOLD, ordered_prefix
+from .prefix import DEFAULT_HOT_THRESHOLD, DEFAULT_MAX_HOT_KEYS, hot_keys, ordered_prefix
 
 
 def _events(orders: DataFrame, order_skus: DataFrame, person: str, ts: str, order: str):
@@ -45,9 +45,15 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
     the first one in each of its branches.
     """
     o, ev = _events(orders, order_skus, person, ts, order)
+    # Hot persons are found once, on the narrow orders; both passes use the list
+    # (a (person, sku) pair can only be hot if its person is). None: chunk all.
+    hot = None
+    if hot_threshold is not None:
+        hk = hot_keys(o, [person], hot_threshold, DEFAULT_MAX_HOT_KEYS)
+        hot = ([person], hk) if hk is not None else None
     ev = ordered_prefix(ev, [person, "sku"], "_s", [order],
                         [("_c", "sum", F.lit(1).cast("bigint"))], bucket=bucket,
-                        chunk_col="_chunk_sku", null_keys=False, hot_threshold=hot_threshold)
+                        chunk_col="_chunk_sku", null_keys=False, hot=hot)
     ev = ev.select(person, order, "_s", (F.coalesce("_c", F.lit(0)) + 1).alias("_cnt"), "sku",
                    F.lit(1).alias("_kind"))
     if materialize:
@@ -58,7 +64,7 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
         [("_new", "sum", (F.col("_cnt") == 1).cast("bigint")),
          ("_best", "min", F.when(F.col("_kind") == 1,
                                  F.struct((-F.col("_cnt")).alias("neg_count"), F.col("sku"))))],
-        bucket=bucket, null_keys=False, hot_threshold=hot_threshold)
+        bucket=bucket, null_keys=False, hot=hot)
     res = res.filter(F.col("_kind") == 0).select(
         order, person,
         F.coalesce(F.col("_new"), F.lit(0)).alias("distinct_product_amount"),
