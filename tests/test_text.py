@@ -96,3 +96,13 @@ def test_census_join_and_counts(spark):
     cf = EN.city_frequency(orders, ["billing_city"]).collect()
     assert sorted((r["billing_city"] or "", r["billing_city_frequency"] or 0) for r in cf) == [
         ("", 0), ("Portland", 2), ("Portland", 2)]
+
+
+def test_census_zip_must_be_unique(spark):
+    orders = spark.createDataFrame([("97209",)], "billing_postcode string")
+    census = spark.createDataFrame([("97209", "1", "1", "1", "1"), ("97209", "2", "2", "2", "2")],
+                                   "zip string, median_household_income string, moe_median_household_income string, "
+                                   "mean_household_income string, moe_mean_household_income string")
+    with pytest.raises(ValueError):
+        EN.join_census(orders, census)
+    assert EN.join_census(orders, census, check_unique=False).count() == 2
