@@ -4,17 +4,58 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate
 from .common import read
 from .packing import pack
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that lie in a 10-word window of a benchmark item."""
+    found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    n_hit = decontaminate.covered(F.col("hits"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+                        (F.size("hits") > 0).alias("contaminated"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+bi AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bs),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bi),
+ds AS (SELECT r, w, n FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+di AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM ds),
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM di),
+hit AS (SELECT r, n, i, item_id FROM dw JOIN bw USING (n, g)),
+spots AS (SELECT r, unnest(range(i, i + n)) AS p FROM hit),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM spots GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+        FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens, one row per piece."""
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+}
