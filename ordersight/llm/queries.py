@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, pii
 from .common import read
 from .packing import pack
 
@@ -21,6 +21,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("hits") > 0).alias("contaminated"))
 
 
+def _span_text(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base kinds, and words that disclose them."""
+    found = pii.find(read(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x.kind.isin(*kinds))
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(_span_text(of(*pii.KINDS)), 256).alias("base_sha256"),
+                        _span_text(F.col("spans")).alias("spans"),
+                        F.size(of("term", "drop")).cast("long").alias("n_disclosing"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
@@ -53,6 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op9_packing": op9_packing,
 }
