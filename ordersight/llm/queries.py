@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii
+from . import decontaminate, pii, quality
 from .common import read
 from .packing import pack
 
@@ -61,6 +61,19 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN its USING (r)
 """
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> tuple:
+    """Grades from the ratings at hand: poor, fluent but toxic, good."""
+    return quality.train(docs, labels, quality.grade(F.col("quality"), F.col("toxic")), 3)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, and whether it is selected."""
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_fluent"),
+                         F.col("tail").alias("p_good"), "selected")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens, one row per piece."""
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -69,6 +82,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
+    "op7_quality": op7_quality,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {
