@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality
+from . import decontaminate, minhash, pii, quality
 from .common import read
 from .packing import pack
 
@@ -61,6 +61,11 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: five-word shingles, similarity 0.75 or more."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> tuple:
     """Grades from the ratings at hand: poor, fluent but toxic, good."""
     return quality.train(docs, labels, quality.grade(F.col("quality"), F.col("toxic")), 3)
@@ -82,6 +87,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
+    "op5_minhash": op5_minhash,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
 }
