@@ -29,6 +29,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -200,47 +201,78 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _known(docs: DataFrame, max_broadcast: int, options: dict):
+    """The disclosing words: ``(table, broadcast)``, where the broadcast is None if there are too many."""
+    table = materialize(disclosing_words(docs, **options), "pii_words")
+    if table.count() > max_broadcast:
+        return table, None
+    return table, docs.sparkSession.sparkContext.broadcast({r.word: r.posterior for r in table.collect()})
+
+
+def _own_words(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    """``(row, own)``: the disclosing words of each ``(row, text)``, found by a join."""
+    def run(it):
+        for batch in it:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from ((row, w) for w in set(_TERM.findall((text.as_py() or "").lower())))
+
+    words = map_rows(keyed, run, [("row", pa.int64(), "long"), ("word", pa.string(), "string")], size=20_000)
+    return words.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("word", "posterior")).alias("own"))
+
+
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95,
-         max_broadcast: int = 200_000, texts_out: bool = False, **options) -> DataFrame:
-    """``doc_id, spans`` of every document, and with ``texts_out`` its sanitised ``text``.
+         max_broadcast: int = 200_000, **options) -> DataFrame:
+    """``doc_id, spans`` of every document.
 
     ``spans``: ``(kind, start, end)`` in code points; kinds email, ip, card, phone, term, drop.
     """
     slim = id_text(docs, id_col, text_col)
-    table = materialize(disclosing_words(slim.select("doc_id", "text"), **options), "pii_words")
+    table, known = _known(slim, max_broadcast, options)
     schema = [("doc_id", pa.int64(), "long"), ("spans", _ARROW_SPANS, SPANS)]
-    schema += [("text", pa.string(), "string")] if texts_out else []
 
-    def rows(triples):
-        for doc_id, text, disclosing in triples:
-            spans = _find(text or "", disclosing, remove_at)
-            out = (doc_id, [{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            yield (*out, text if text is None else redact(text, spans)) if texts_out else out
+    def run(it):
+        for batch in it:
+            own = repeat(None) if known else batch.column(2)
+            for doc_id, text, words in zip(batch.column(0).to_pylist(), batch.column(1), own):
+                spans = _find(text.as_py() or "", known.value if known else _as_dict(words), remove_at)
+                yield doc_id, [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
-    if table.count() <= max_broadcast:
-        known = docs.sparkSession.sparkContext.broadcast({r.word: r.posterior for r in table.collect()})
+    if known is None:
+        keyed = slim.withColumn("row", F.monotonically_increasing_id())
+        slim = keyed.join(_own_words(keyed.select("row", "text"), table), "row", "left").select("doc_id", "text", "own")
+    return map_rows(slim, run, schema)
 
-        def run(it):
-            for batch in it:
-                yield from rows((d, t.as_py(), known.value)
-                                for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
-        return map_rows(slim, run, schema)
 
-    keyed = slim.withColumn("row", F.monotonically_increasing_id())
-    def run_words(it):
-        for batch in it:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from ((row, w) for w in set(_TERM.findall((text.as_py() or "").lower())))
+def _as_dict(own: pa.Scalar) -> dict[str, float]:
+    return {x["word"]: x["posterior"] for x in own.as_py() or ()}
 
-    words = map_rows(keyed.select("row", "text"), run_words,
-                     [("row", pa.int64(), "long"), ("word", pa.string(), "string")], size=20_000)
-    own = (words.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("word", "posterior")).alias("own")))
 
-    def run_own(it):
+def sanitise(docs: DataFrame, *, text_col: str = "text", remove_at: float = 0.95, max_broadcast: int = 200_000,
+             **options) -> DataFrame:
+    """The documents with their spans replaced in the text; all other columns stay as they are."""
+    slim = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    table, known = _known(slim, max_broadcast, options)
+    kinds = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    at, extra = docs.columns.index(text_col), "__llm_own"
+
+    def run(it):
         for batch in it:
-            yield from rows((d, t.as_py(), {x["word"]: x["posterior"] for x in own.as_py() or ()})
-                            for d, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True))
-    return map_rows(keyed.join(own, "row", "left").select("doc_id", "text", "own"), run_own, schema)
+            own = repeat(None) if known else batch.column(batch.num_columns - 1)
+            new = []
+            for text, words in zip(batch.column(at).to_pylist(), own):
+                spans = _find(text or "", known.value if known else _as_dict(words), remove_at)
+                new.append(text if text is None else redact(text, spans))
+            columns = list(batch.columns)[:len(kinds_names)]
+            columns[at] = pa.array(new, type=pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=kinds_names)
+
+    kinds_names = kinds.columns
+    if known is None:
+        row = "__llm_row"
+        keyed = kinds.withColumn(row, F.monotonically_increasing_id())
+        own = (_own_words(keyed.select(row, text_col), table).withColumnsRenamed({"row": row, "own": extra}))
+        return keyed.join(own, row, "left").drop(row).mapInArrow(run, kinds.schema)
+    return kinds.mapInArrow(run, kinds.schema)
 
 
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}

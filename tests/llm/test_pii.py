@@ -95,9 +95,12 @@ def test_disclosing_words_and_spans(spark, limit):
     assert "zorvath" in want and "lunch" not in want
     got = {r.word: r.posterior for r in P.disclosing_words(docs.select("doc_id", "text"), **options).collect()}
     assert got == pytest.approx(want)
-    rows = P.find(docs, texts_out=True, max_broadcast=limit, remove_at=0.95, **options).collect()
+    rows = P.find(docs, max_broadcast=limit, remove_at=0.95, **options).collect()
     assert len(rows) == len(DOCS)
-    text = {r.doc_id: r.text for r in rows}
+    made = P.sanitise(docs, max_broadcast=limit, remove_at=0.95, **options)
+    assert made.columns == docs.columns
+    text = {r.doc_id: r.text for r in made.collect()}
+    assert len(text) == len({d for d, *_ in DOCS})
     assert text[90] is None and text[91] == "" and text[10] == DOCS[4][1]
     assert text[92] == "[TERM] [IP]" and "[EMAIL]" in text[0] and "zorvath" not in text[0]
     base = {r.doc_id: [s for s in r.spans if s.kind in P.KINDS] for r in rows}
@@ -105,7 +108,8 @@ def test_disclosing_words_and_spans(spark, limit):
 
 
 def test_empty_table(spark):
-    assert P.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert P.find(empty).count() == 0 and P.sanitise(empty).count() == 0
 
 
 def test_redact_merges_overlaps():
