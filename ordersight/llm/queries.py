@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, pii, quality
+from . import chat, decontaminate, minhash, pii, quality, warc
+from ..session import scratch_path
 from .common import read
 from .packing import pack
 
@@ -66,6 +69,22 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to seekable archives in the shared folder, and read back from them."""
+    index = warc.write(read(spark, sf_dir, "pages"), scratch_path(spark, f"ordersight/warc/{uuid.uuid4().hex}"))
+    return warc.read_back(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+d AS (SELECT page_id, strlen(x) AS n, sha256(x) AS h, min(page_id) OVER (PARTITION BY x) AS f FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND f <> page_id THEN f END AS refers_to
+FROM d
+"""
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> tuple:
     """Grades from the ratings at hand: poor, fluent but toxic, good."""
     return quality.train(docs, labels, quality.grade(F.col("quality"), F.col("toxic")), 3)
@@ -122,11 +141,13 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op5_minhash": op5_minhash,
+    "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op6_warc": OP6_SQL,
     "op8_chat": OP8_SQL,
 }
