@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, pii, quality, warc
+from . import chat, decontaminate, html, minhash, pii, quality, warc
 from ..session import scratch_path
 from .common import read
 from .packing import pack
@@ -137,6 +137,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, rendered with its layout."""
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
@@ -145,6 +150,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
+    "op10_html": op10_html,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
