@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, minhash, pii, quality, warc
+from . import chat, decontaminate, hnsw, html, minhash, pii, quality, warc
 from ..session import scratch_path
 from .common import read
 from .packing import pack
@@ -24,6 +24,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("hits") > 0).alias("contaminated"))
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9 or more."""
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def _span_text(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
 
@@ -143,6 +148,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hnsw": op1_hnsw,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op5_minhash": op5_minhash,
