@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hnsw, html, minhash, pii, quality, warc
+from . import chat, decontaminate, hnsw, html, lm, minhash, pii, quality, warc
 from ..session import scratch_path
 from .common import read
 from .packing import pack
@@ -69,6 +69,11 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the recurrent model, and under the unigram base."""
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, similarity 0.75 or more."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -151,6 +156,7 @@ QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
+    "op4_lm": op4_lm,
     "op5_minhash": op5_minhash,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
