@@ -498,12 +498,22 @@ TRAINING_SCHEMA = ST.StructType([
 
 @query("one_hot")
 def one_hot(spark, d):
-    """``c_mktsegment_{level}`` booleans, levels taken from the data in one job
-    (cardinality checked first); a null segment is false everywhere."""
+    """``c_mktsegment_{level}`` booleans, levels taken from the data in one job; a null
+    segment is false everywhere. More than 1000 levels would be an error."""
     c = S.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    small, _ = EC.split_by_cardinality(c, ["c_mktsegment"], 1000)
-    levels = EC.collect_levels(c, small)
-    return EC.one_hot_columns(c, "c_mktsegment", levels.get("c_mktsegment", []))
+    EC.check_levels(c, ["c_mktsegment"], 1000)
+    return EC.one_hot_columns(c, "c_mktsegment", EC.collect_levels(c, ["c_mktsegment"])["c_mktsegment"])
+
+
+@query("one_hot_sparse")
+def one_hot_sparse(spark, d):
+    """E1 for open-ended columns: each part name's slot in its sparse one-hot vector, by
+    sorted level, and the number of slots (all levels and one for unknown ones)."""
+    from pyspark.ml.functions import vector_to_array
+    p = S.table(spark, d, "part").select("p_partkey", "p_name")
+    v = EC.one_hot_vector(p, ["p_name"])[2]
+    a = vector_to_array("p_name_vec")
+    return v.select("p_partkey", (F.array_position(a, 1.0) - 1).alias("slot"), F.size(a).cast("long").alias("slots"))
 
 
 @query("align_schema")

@@ -822,3 +822,8 @@ LEFT JOIN cl ON cl.order_id = h.order_id"""
 ORACLE_SQL["one_hot"] = "SELECT c_custkey, " + ", ".join(
     f"coalesce(c_mktsegment = '{v}', false) AS c_mktsegment_{v}"
     for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer"
+
+ORACLE_SQL["one_hot_sparse"] = """
+WITH l AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS slot FROM (SELECT DISTINCT p_name FROM part))
+SELECT p_partkey, slot::BIGINT AS slot, (SELECT count(*) + 1 FROM l)::BIGINT AS slots FROM part JOIN l USING (p_name)
+"""

@@ -7,11 +7,16 @@ falls back to a scratch folder when the session has none (local tests).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_job_folder: ContextVar[str | None] = ContextVar("ordersight_job_folder", default=None)
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -43,11 +48,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and must be shared storage.
-    Only when it is unset (local tests) a scratch folder is created.
+    On a cluster the deployment sets it, and it must be shared storage; a
+    cluster without it is an error, because executors cannot share a scratch
+    folder of the driver. In local mode a scratch folder is created.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ordersight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -55,8 +64,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder, for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    """A sub-folder of the shared checkpoint folder (of the current job's, if any) for intermediate tables."""
+    return os.path.join(_job_folder.get() or ensure_checkpoint_dir(spark), name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def job(spark: SparkSession):
+    """A folder for the intermediate tables of one job, removed at its end.
+
+    Results that read these tables must be written out before the block ends.
+    """
+    path = os.path.join(ensure_checkpoint_dir(spark), f"ordersight/jobs/{uuid.uuid4().hex}")
+    token = _job_folder.set(path)
+    try:
+        yield path
+    finally:
+        _job_folder.reset(token)
+        remove(spark, path)
 
 
 def materialize(df, name: str):
@@ -65,9 +95,9 @@ def materialize(df, name: str):
     Used where several branches of one plan would otherwise recompute the same
     expensive input: the branches then scan the written table (with column
     pruning), and its lineage is cut, so a lost executor recomputes from the
-    table, not from the raw sources.
+    table, not from the raw sources. Inside ``with job(spark)`` the table goes
+    with the job; otherwise it stays until the checkpoint folder is cleared.
     """
-    import uuid
     path = scratch_path(df.sparkSession, f"ordersight/tables/{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
