@@ -1,7 +1,8 @@
 """Bundle expansion, SKU whitelist and category presence.
 
-All lookups are literal tables whose size is fixed by the mapping, so they are
-broadcast; the item table is never shuffled for them.
+The lookups are left to the planner: a table it knows to be small (such as the
+literal ones of ``bundle_table`` and ``category_table``) is broadcast and the item
+table is not shuffled; a table that grows with a catalogue is joined by shuffling.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from ..lookups import lookup_df
 
 def expand_lines(items: DataFrame, bundles: DataFrame, order: str = "order_id") -> DataFrame:
     """Per item line: a bundle line becomes one line per component with the bundle's
-    quantity; other lines pass unchanged (broadcast join, no shuffle of the items)."""
-    b = F.broadcast(bundles.select(F.col("bundle").alias("sku"), "component"))
+    quantity; other lines pass unchanged."""
+    b = bundles.select(F.col("bundle").alias("sku"), "component")
     return items.join(b, "sku", "left").select(
         order, F.coalesce("component", "sku").alias("sku"), "quantity")
 
@@ -36,7 +37,7 @@ def expand_bundles(items: DataFrame, bundles: DataFrame, order: str = "order_id"
 
 def bundle_audit(items: DataFrame, bundles: DataFrame) -> DataFrame:
     """Total quantity moved from each bundle to each component."""
-    b = F.broadcast(bundles.select(F.col("bundle").alias("sku"), "component"))
+    b = bundles.select(F.col("bundle").alias("sku"), "component")
     return (items.join(b, "sku", "inner").groupBy(F.col("sku").alias("bundle"), "component")
             .agg(F.sum("quantity").alias("quantity")))
 
@@ -52,7 +53,7 @@ def category_presence(items: DataFrame, categories: DataFrame, order: str = "ord
 
     ``categories(sku, category)``; SKUs without a category drop out.
     """
-    c = F.broadcast(categories.select("sku", "category"))
+    c = categories.select("sku", "category")
     return (items.join(c, "sku", "inner").groupBy(order, "category")
             .agg((F.sum(qty) > 0).cast("int").alias("present")))
 

@@ -43,6 +43,25 @@ def flatten_items(df: DataFrame, text: str = "line_items", order: str = "order_i
     ).filter(F.col("sku") != "")
 
 
+def item_fields(df: DataFrame, text: str, order: str = "order_id") -> DataFrame:
+    """``(order, slot, key, value)`` of every field of every item of an encoded list.
+
+    Works for line, shipping and coupon lists alike, over all their slots and keys.
+    A field without ``:`` is ignored; of a key that repeats in an item the last
+    value wins. An item's fields are settled inside its row, without a shuffle.
+    """
+    slots = df.select(order, F.posexplode(records(text)).alias("_pos", "_rec"))
+    fields = F.filter(F.split("_rec", "[|]"), lambda t: F.instr(t, ":") > 0)
+    pairs = F.transform(fields, lambda t: F.struct(
+        F.substring_index(t, ":", 1).alias("key"), F.substring(t, F.instr(t, ":") + 1, F.length(t)).alias("value")))
+    last = F.filter(F.transform(pairs, lambda p, i: F.struct(
+        p["key"].alias("key"), p["value"].alias("value"),
+        F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]).alias("again"))),
+        lambda p: ~p["again"])
+    return (slots.select(order, (F.col("_pos") + 1).alias("slot"), F.explode(last).alias("_f"))
+            .select(order, "slot", "_f.key", "_f.value"))
+
+
 def wide_items(df: DataFrame, text: str, prefix: str, slots: int,
                keys: Sequence[str]) -> DataFrame:
     """``{prefix}_{i}_{key}`` columns for slots 1..``slots`` (N2), only those asked for."""

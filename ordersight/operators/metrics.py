@@ -52,6 +52,13 @@ def _cumulative(counts: DataFrame, by: list[str]) -> DataFrame:
     return out.drop("_chunk", "_pb", "_nb", *(["_g"] if not by else []))
 
 
+def _with_end(c: DataFrame, by: list[str], point: Column, end: Column) -> DataFrame:
+    """The points of a curve; the highest score of each group also gives the curve's end (no second scan)."""
+    top = F.col("pos_above") + F.col("neg_above") == 0
+    return c.select(*by, F.explode(F.when(top, F.array(point, end)).otherwise(F.array(point))).alias("_p")) \
+        .select(*by, "_p.*")
+
+
 def pr_curve(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``(*by, threshold, precision, recall, tp, fp)`` per distinct score, plus the
     final point ``(null, 1.0, 0.0)`` (V1)."""
@@ -59,15 +66,14 @@ def pr_curve(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     c = _cumulative(score_counts(scored, by), by)
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
-    pts = c.select(*by, F.col("score").alias("threshold"),
-                   F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
-                   F.when(F.col("P") > 0, tp / F.col("P")).otherwise(F.lit(1.0)).alias("recall"),
-                   tp.alias("tp"), fp.alias("fp"))
-    final = scored.select(*by).distinct().select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"), F.lit(None).cast("bigint").alias("tp"),
-        F.lit(None).cast("bigint").alias("fp"))
-    return pts.unionByName(final)
+    point = F.struct(F.col("score").alias("threshold"),
+                     F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
+                     F.when(F.col("P") > 0, tp / F.col("P")).otherwise(F.lit(1.0)).alias("recall"),
+                     tp.alias("tp"), fp.alias("fp"))
+    none = F.lit(None).cast("bigint")
+    final = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+                     F.lit(0.0).alias("recall"), none.alias("tp"), none.alias("fp"))
+    return _with_end(c, by, point, final)
 
 
 def roc_curve(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -76,13 +82,12 @@ def roc_curve(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     c = _cumulative(score_counts(scored, by), by)
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
-    pts = c.select(*by, F.col("score").alias("threshold"),
-                   F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr"),
-                   F.when(F.col("P") > 0, tp / F.col("P")).alias("tpr"))
-    start = scored.select(*by).distinct().select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
-        F.lit(0.0).alias("tpr"))
-    return pts.unionByName(start)
+    point = F.struct(F.col("score").alias("threshold"),
+                     F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr"),
+                     F.when(F.col("P") > 0, tp / F.col("P")).alias("tpr"))
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
+                     F.lit(0.0).alias("tpr"))
+    return _with_end(c, by, point, start)
 
 
 def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -156,6 +161,16 @@ def class_report(scored: DataFrame, threshold: float | Column) -> DataFrame:
     return per.unionByName(macro).unionByName(weighted)
 
 
+def class_stats_by(scored: DataFrame, by: list[str], threshold: Column) -> DataFrame:
+    """Per group: precision, recall and F1 of class 1 at the row's own threshold (V7 per target)."""
+    hit = F.col("score") >= threshold
+    pos = F.col("y") == 1
+    agg = scored.groupBy(*by).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"),
+                                  F.count_if(~hit & pos).alias("fn"))
+    p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return agg.select(*by, p.alias("precision"), r.alias("recall"), f.alias("f1"))
+
+
 def pooled_metrics(scored: DataFrame, threshold: float | Column) -> DataFrame:
     """Accuracy and macro precision / recall / F1 of pooled predictions (V6)."""
     st = _class_stats(confusion(scored, threshold))

@@ -90,9 +90,9 @@ def label_weights(labels: DataFrame, n_labels: int | None = None) -> DataFrame:
     ``labels(row, sku, y)``; ``n_labels`` defaults to the number of distinct SKUs.
     """
     per = labels.groupBy("sku").agg(F.sum((F.col("y") > 0).cast("bigint")).alias("positives"))
-    # One row per label SKU; totals are a window over that small table.
-    allw = W.partitionBy()
-    k = F.lit(n_labels) if n_labels else F.count(F.lit(1)).over(allw)
-    total = F.sum("positives").over(allw)
+    # Totals are pre-aggregated to one row and come back as scalar subqueries, so an
+    # open-ended catalogue of SKUs never meets in one task.
+    k = F.lit(n_labels) if n_labels else per.agg(F.count(F.lit(1))).scalar()
+    total = per.agg(F.sum("positives")).scalar()
     return per.select("sku", "positives",
                       (total / (k * F.greatest(F.col("positives"), F.lit(1)))).alias("weight"))

@@ -104,9 +104,8 @@ def items_parse(spark, d):
 
 @query("items_wide")
 def items_wide(spark, d):
-    """``item_{i}_sku`` / ``item_{i}_quantity`` for seven slots."""
-    w = I.wide_items(S.encoded_orders(spark, d), "line_items", "item", 7, ["sku", "quantity"])
-    return w.select("order_id", *[f"item_{i}_{k}" for i in range(1, 8) for k in ("sku", "quantity")])
+    """N1 + N2: every field of every line item slot, as (order, slot, key, value); no slot is left out."""
+    return I.item_fields(S.encoded_orders(spark, d), "line_items")
 
 
 @query("items_flatten")
@@ -573,6 +572,22 @@ def train_return_boosted(spark, d):
     return _with_importances(res)
 
 
+@query("train_return_forest_baseline")
+def train_return_forest_baseline(spark, d):
+    """M2: the baseline "will return" random forest, 100 trees, no grid."""
+    t = S.model_table(spark, d)
+    return _with_importances(TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", grid={}, numTrees=100,
+                                                   run="return_forest_baseline"))
+
+
+@query("train_return_boosted_baseline")
+def train_return_boosted_baseline(spark, d):
+    """M4 + V12: the baseline "will return" boosted trees, 100 rounds, threshold by precision and recall."""
+    t = S.model_table(spark, d)
+    return _with_importances(TR.train_return_model(t, S.MODEL_FEATURES, kind="boosted", grid={}, maxIter=100, maxDepth=3,
+                                                   run="return_boosted_baseline"))
+
+
 @query("train_next_sku")
 def train_next_sku(spark, d):
     """M6 + A12 + O3 + V5 + V6 + V10: one forest per next-SKU label (7 SKUs, depth
@@ -594,10 +609,11 @@ def train_next_category(spark, d):
 
 @query("train_next_neural")
 def train_next_neural(spark, d):
-    """M11 + P9: one perceptron per next-SKU label on rows with a positive label."""
+    """M11 + P9 + A9 + V4 + V13: one perceptron (16 hidden units) per next-SKU label on rows with a positive
+    label, positives repeated by the label's weight."""
     t = S.model_table(spark, d)
-    res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, kind="mlp", labelled_only=True,
-                                 run="next_neural")
+    res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, kind="mlp", grid={}, labelled_only=True,
+                                 hidden=(16,), run="next_neural")
     return res.metrics
 
 
@@ -605,8 +621,8 @@ def train_next_neural(spark, d):
 
 def _serving_models(spark, d):
     t = S.model_table(spark, d)
-    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", numTrees=20, maxDepth=8)
-    sku = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, numTrees=20, maxDepth=8)
+    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", grid={}, numTrees=20, maxDepth=8)
+    sku = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, grid={}, numTrees=20, maxDepth=8)
     return t, ret, sku
 
 
@@ -614,7 +630,7 @@ def _serving_models(spark, d):
 def score_returning(spark, d):
     """M9 + X25 + P13: Yes/No and probability per order with its display columns."""
     t = S.model_table(spark, d)
-    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", numTrees=20, maxDepth=8)
+    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", grid={}, numTrees=20, maxDepth=8)
     return SC.score_returning(t, ret.model, S.MODEL_FEATURES, display=["order_id", "person_id"]) \
         .drop("p")
 
@@ -647,8 +663,12 @@ def first_rows(spark, d):
 
 @query("random_rows")
 def random_rows(spark, d):
-    """One random row per target of a scored table (seeded sample)."""
-    return SC.random_row_per_target(S.scored_lines(spark, d), "target", 42)
+    """One random row per target of a scored table (by md5 of seed and row key)."""
+    sc = S.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_linestatus").alias("target"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
+        (F.col("l_discount") * 5 + F.col("l_tax")).alias("score"))
+    return SC.random_row_per_target(sc, ["l_orderkey", "l_linenumber"], "target", 42)
 
 
 # --------------------------------------------------------------- sinks
@@ -674,35 +694,66 @@ def report_sink(spark, d):
 
 @query("model_store")
 def model_store(spark, d):
-    """Save one model for each of three SKUs, load them back by key and score with them."""
+    """Save one model per SKU target, find them in the folder by name, load and score
+    with them; per target, the scored rows and how many differ from the models in memory."""
     t = S.model_table(spark, d)
-    res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS[:3], numTrees=10, maxDepth=5)
+    res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, grid={}, numTrees=5, maxDepth=4)
     folder = scratch_path(spark, f"ordersight/models/{uuid.uuid4().hex}")
     IO.save_models(res.models, folder)
-    loaded = IO.load_models(list(res.models), folder)
+    loaded = IO.load_models(spark, folder)
     x = MD.assemble(t.withColumns({f: F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(-1.0))
-                                   for f in S.MODEL_FEATURES}), S.MODEL_FEATURES)
-    return MD.score_targets(x.select("order_id", "features"), loaded, SKU_TARGETS[:3])
+                                   for f in S.MODEL_FEATURES}), S.MODEL_FEATURES).select("order_id", "features")
+    a = MD.score_targets(x, res.models, SKU_TARGETS, long=False).withColumnRenamed("scores", "before")
+    b = MD.score_targets(x, loaded, SKU_TARGETS, long=False)
+    both = a.join(b, "order_id").select(F.explode(F.arrays_zip("before", "scores")).alias("z"))
+    return both.groupBy(F.col("z.scores.target").alias("target")).agg(
+        F.count("*").alias("rows"), F.sum(F.when(F.col("z.before") == F.col("z.scores"), 0).otherwise(1)).alias("differ"))
 
 
 # ------------------------------------------------------------ streaming
 
-@query("stream_score_uploads")
-def stream_score_uploads(spark, d):
-    """S2 + S3 + M9 + X25 (streaming): order exports written as CSV uploads are picked up
-    by a file stream, cleaned and scored per micro-batch; returns the scored rows."""
-    from ..streaming.uploads import score_uploads
-    t = S.model_table(spark, d)
-    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", numTrees=20, maxDepth=8)
+def _uploads(spark, d, parts: int) -> str:
+    """The raw orders as CSV uploads: ``parts`` files, each a whole set of customers."""
     root = scratch_path(spark, f"ordersight/uploads/{uuid.uuid4().hex}")
-    uploads, out = f"{root}/in", f"{root}/out"
     raw = S.raw_orders(spark, d)
-    # Uploads follow the shop's export layout: every export column, in order.
     export = [(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
               for f in IO.ORDERS_SCHEMA.fields]
-    raw.select(*export).write.mode("overwrite").option("header", True).csv(uploads)
-    q = score_uploads(spark, uploads, out, S.census(spark, d), S.names(spark, d), ret.model,
-                      S.MODEL_FEATURES, bundles=S.TEST_BUNDLES, whitelist=S.TEST_WHITELIST,
-                      checkpoint=f"{root}/checkpoint", max_files=10000)
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    (raw.withColumn("_part", F.pmod(F.col("customer_id").cast("long"), F.lit(parts)).cast("int"))
+     .repartitionByRange(parts, "_part").drop("_part").select(*export)
+     .write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                                      ignoreTrailingWhiteSpace=False).csv(f"{root}/in"))
+    return root
+
+
+SERVE_COLUMNS = ["order_id", "person_id", "repeat_purchase_amount", "order_total", "Brand#1_count",
+                 "email_category_PERSONAL", "email_category_SPACE", "payment_method_crypto", "legacy_score",
+                 "billing_email"]
+
+
+@query("serve_features")
+def serve_features(spark, d):
+    """S2 + S3 + E2 (streaming): uploads read by header, cleaned in serving mode and aligned to
+    the saved training schema, one upload at a time; the frame before the model."""
+    from ..streaming import uploads as U
+    root = _uploads(spark, d, 2)
+    s = U.Serving(S.census(spark, d), S.names(spark, d), TRAINING_SCHEMA, None, [], {}, [], [],
+                  bundles=S.TEST_BUNDLES, whitelist=S.TEST_WHITELIST)
+    U.process_uploads(spark, f"{root}/in", f"{root}/out", lambda u: U.serve_features(u, s),
+                      checkpoint=f"{root}/checkpoint", max_files=1).awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select(*[F.col(f"`{c}`") for c in SERVE_COLUMNS]).withColumn("order_id", F.col("order_id").cast("long"))
+
+
+@query("stream_score_uploads")
+def stream_score_uploads(spark, d):
+    """S2 + S3 + M9 + M10 + O2 + X25 (streaming): uploads picked up by a file stream, each cleaned,
+    aligned and scored: Yes/No, probability, and the top products of returning orders."""
+    from ..streaming import uploads as U
+    t = S.model_table(spark, d)
+    ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", grid={}, numTrees=20, maxDepth=8)
+    sku = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, grid={}, numTrees=5, maxDepth=4)
+    root = _uploads(spark, d, 2)
+    s = U.Serving(S.census(spark, d), S.names(spark, d), TRAINING_SCHEMA, ret.model, S.MODEL_FEATURES,
+                  sku.models, S.MODEL_FEATURES, SKU_TARGETS, ret.threshold, S.TEST_BUNDLES, S.TEST_WHITELIST)
+    U.score_uploads(spark, f"{root}/in", f"{root}/out", s, checkpoint=f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("upload")

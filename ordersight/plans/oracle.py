@@ -154,11 +154,10 @@ FROM fields"""
 ORACLE_SQL["items_flatten"] = _with(ENCODED) + """
 SELECT order_id, pos, sku, quantity, subtotal FROM flat"""
 
-ORACLE_SQL["items_wide"] = _with(ENCODED) + ", wide AS (SELECT o.o_orderkey AS order_id, " + ", ".join(
-    f"max(CASE WHEN f.pos = {i} THEN f.{k}{'_txt' if k == 'quantity' else ''} END) AS item_{i}_{k}"
-    for i in range(1, 8) for k in ("sku", "quantity")) + """
-  FROM orders o LEFT JOIN fields f ON f.order_id = o.o_orderkey GROUP BY o.o_orderkey)
-SELECT * FROM wide"""
+ORACLE_SQL["items_wide"] = _with(ENCODED) + """, f AS (
+  SELECT order_id, pos, unnest(string_split(rec, '|')) AS t, unnest(range(len(string_split(rec, '|')))) AS i FROM recs)
+SELECT order_id, pos AS slot, split_part(t, ':', 1) AS key, arg_max(substr(t, instr(t, ':') + 1), i) AS value
+FROM f WHERE instr(t, ':') > 0 GROUP BY ALL"""
 
 
 def _pivot_sql(value: str, suffix: str, rnd: bool) -> str:
@@ -239,7 +238,7 @@ CUST = """
 cb AS (
   SELECT c.c_custkey AS k, c.c_nationkey AS n, c.c_mktsegment AS seg, p.p_name AS pn,
          lpad(CAST(c.c_nationkey * 1000 + c.c_custkey % 3 AS VARCHAR), 5, '0') AS zp
-  FROM customer c JOIN part p ON c.c_custkey % 200 = p.p_partkey),
+  FROM customer c JOIN part p ON c.c_custkey * 7 % (SELECT count(*) FROM part) = p.p_partkey),
 cust AS (
   SELECT k AS c_custkey,
     CASE WHEN k % 41 = 7 THEN NULL WHEN k % 3 = 0 THEN upper(pn)
@@ -755,6 +754,22 @@ SELECT order_id, person_id, CAST(0 AS BIGINT) AS repeat_purchase_amount, order_t
   billing_first_name, billing_last_name, billing_email
 FROM full_t"""
 
+ORACLE_SQL["serve_features"] = CLEAN_SQL + """
+SELECT order_id, person_id, CAST(0 AS BIGINT) AS repeat_purchase_amount, order_total,
+  "Brand#1_count", email_category_PERSONAL, false AS email_category_SPACE,
+  false AS payment_method_crypto, CAST(0 AS DOUBLE) AS legacy_score, billing_email
+FROM full_t"""
+
+ORACLE_SQL["random_rows"] = """
+SELECT l_orderkey, l_linenumber, target, y, score FROM (
+  SELECT l_orderkey, l_linenumber, l_linestatus AS target, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+         l_discount * 5 + l_tax AS score, row_number() OVER (PARTITION BY l_linestatus ORDER BY
+           md5('42|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber) AS k FROM lineitem)
+WHERE k = 1"""
+
+ORACLE_SQL["model_store"] = "SELECT target, (SELECT count(*) FROM orders) AS rows, CAST(0 AS BIGINT) AS differ FROM (VALUES " \
+    + ", ".join(f"('{t}')" for t in TEST_SKUS[:7]) + ") AS t(target)"
+
 ORACLE_SQL["model_input"] = CLEAN_SQL + """
 SELECT order_id,
   CAST(coalesce(order_total, -1) AS FLOAT) AS order_total,

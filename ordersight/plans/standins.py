@@ -119,7 +119,8 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     k, n, seg = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")
-    j = c.join(p, (k % 200) == p.p_partkey, "inner")
+    # names come from the whole part table: keys 0 to its size
+    j = c.join(p, (k * 7 % p.count()) == p.p_partkey, "inner")
     zp = _lp(n * 1000 + k % 3, 5)
     pn = F.col("p_name")
 
