@@ -8,15 +8,16 @@
 3. *Bands*: four values of four different permutations make a band; classes
    that share a band are candidates. At similarity 0.75 a pair shares no band
    with probability 5e-6.
-4. *Stars*: each class is confirmed against the smallest one of each of its
-   buckets, on full sets; confirmed links give components.
+4. *Stars*: each class is confirmed, on full sets, against the smallest class
+   that it shares most bands with; confirmed links give components.
 5. *Rest*: in buckets that still hold several components, members outside the
-   largest one are compared with the others by signature (in blocks, so no
-   bucket is one task's), and their best untested partners are confirmed on
-   full sets. Each round takes four times as many, until no pair across
-   components is left that agrees in ``MAYBE`` of its values (3.9 standard
-   errors under the threshold). So no link is lost to the stars, and no bucket
-   is expanded into all its pairs.
+   largest one are compared with all others of the bucket. The signatures (one
+   byte of each value) tell which members may have a link across components that
+   no earlier band has shown: those that agree in ``MAYBE`` of the values (3.9
+   standard errors under the threshold) and are of like size. Only they get
+   their sets, and their pairs are confirmed inside the task, which returns
+   spanning links. Large buckets are dealt to tasks as pairs of blocks, so no
+   bucket is one task's and none is expanded into rows of pairs.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked
 with nothing. Documents of less than ``width`` words have one shingle. Rows
@@ -147,36 +148,99 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _partners(spread: DataFrame, top: int, percent: int) -> DataFrame:
-    """``(a, b, cut)``: for members outside the largest component of a block, the best partners across
-    components; ``cut`` if there are more than ``top``."""
+def _sides(blk: np.ndarray, i: int, j: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The members on either side of the pairs a task compares: block i with j, or a block with itself."""
+    if i == j:
+        both = np.arange(len(blk))
+        return [(both, both)]
+    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    return [(left, right), (right, left)]
+
+
+def _outside(comp: np.ndarray) -> np.ndarray:
+    """Members that aren't in the largest component of a block."""
+    u, size = np.unique(comp, return_counts=True)
+    return comp != u[size.argmax()]
+
+
+def _alike(n: np.ndarray, some, two, percent: int) -> np.ndarray:
+    x, y = n[some, None], n[None, two]
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
+
+def _maybe(spread: DataFrame, percent: int) -> DataFrame:
+    """``(key, rep)``: members that may have a link across components that this band is the first to show."""
     def run(it):
-        for (_, i, j), rows in _groups(it):
-            rep, comp, n, blk, sig = map(list, zip(*rows, strict=True))
-            rep, comp, n, blk = (np.array(v, dtype=np.int64) for v in (rep, comp, n, blk))
-            sig = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(len(rep), -1)
-            u, size = np.unique(comp, return_counts=True)
-            if len(u) < 2:
+        for (key, i, j), rows in _groups(it):
+            rep, comp, n, blk, band, sig = zip(*rows, strict=True)
+            if len(rep) == 2:
+                x, y = (np.frombuffer(v, dtype=np.uint8) for v in sig)
+                if comp[0] != comp[1] and (x == y).sum() >= MAYBE * len(x) and 100 * min(n) >= percent * max(n):
+                    yield from ((key, r) for r in rep)
                 continue
-            out = comp != u[size.argmax()]
-            right = np.flatnonzero(blk == j) if i != j else np.arange(len(rep))
-            for left in ((blk == i, right), (blk == j, np.flatnonzero(blk == i)))[:1 + (i != j)]:
-                one, two = np.flatnonzero(left[0] & out), left[1]
+            comp, n, blk = (np.array(v, dtype=np.int64) for v in (comp, n, blk))
+            sig, chosen = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(rep), -1), set()
+            out = _outside(comp)
+            for one, two in _sides(blk, i, j):
+                one = one[out[one]]
                 for at in range(0, len(one), 512):
                     some = one[at:at + 512]
-                    same = _agreement(sig[some], sig[two])
-                    ok = (same >= MAYBE * sig.shape[1]) & (comp[some, None] != comp[None, two])
-                    ok &= 100 * np.minimum(n[some, None], n[None, two]) >= percent * np.maximum(n[some, None], n[None, two])
+                    ok = (_agreement(sig[some], sig[two]) >= MAYBE * sig.shape[1]) & (comp[some, None] != comp[None, two])
+                    ok &= _alike(n, some, two, percent)
                     for r in np.flatnonzero(ok.any(axis=1)):
-                        c = np.flatnonzero(ok[r])
-                        for k in c[np.argsort(-same[r, c].astype(int), kind="stable")[:top]]:
-                            x, y = int(rep[some[r]]), int(rep[two[k]])
-                            yield min(x, y), max(x, y), len(c) > top
+                        c = two[ok[r]]
+                        shared = (sig[c] == sig[some[r]]).reshape(len(c), BANDS, ROWS).all(axis=2)
+                        c = c[shared.argmax(axis=1) == band[0]]
+                        if len(c):
+                            chosen.add(int(some[r]))
+                            chosen.update(c.tolist())
+            yield from ((key, rep[k]) for k in sorted(chosen))
 
     flat = (spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .select("key", "i", "j", "rep", "comp", "n", "blk", "sig"))
-    return (map_rows(flat, run, [("a", pa.int64(), "long"), ("b", pa.int64(), "long"), ("cut", pa.bool_(), "boolean")])
-            .groupBy("a", "b").agg(F.max("cut").alias("cut")))
+            .select("key", "i", "j", "rep", "comp", "n", "blk", "band", "sig8"))
+    return map_rows(flat, run, [("key", pa.int64(), "long"), ("rep", pa.int64(), "long")]).distinct()
+
+
+def _across(spread: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links across components, enough to join all that are linked in each bucket."""
+    def run(it):
+        for (_, i, j), rows in _groups(it):
+            rep, comp, blk, sets = zip(*rows, strict=True)
+            comp, blk = np.array(comp, dtype=np.int64), np.array(blk, dtype=np.int64)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in sets]
+            n = np.array([len(x) for x in sets])
+            code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+            ends = np.cumsum(n)
+            own = [code[e - k:e] for e, k in zip(ends, n, strict=True)]
+            mark = np.zeros(int(code.max()) + 1, dtype=np.int32)
+            out = _outside(comp)
+            for one, two in _sides(blk, i, j):
+                for x in one[out[one]]:
+                    c = two[(comp[two] != comp[x]) & _alike(n, np.array([x]), two, percent)[0]]
+                    if not len(c):
+                        continue
+                    mark[own[x]] = 1
+                    starts = np.cumsum(np.r_[0, n[c][:-1]])
+                    both = np.add.reduceat(mark[np.concatenate([own[k] for k in c])], starts)
+                    mark[own[x]] = 0
+                    for y in c[100 * both >= percent * (n[x] + n[c] - both)]:
+                        if comp[y] != comp[x]:
+                            yield min(rep[x], rep[y]), max(rep[x], rep[y])
+                            comp[comp == comp[y]] = comp[x]
+
+    flat = (spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .select("key", "i", "j", "rep", "comp", "blk", "set"))
+    return map_rows(flat, run, [("a", pa.int64(), "long"), ("b", pa.int64(), "long")]).distinct()
+
+
+def _spread(at: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, dealt to pairs of blocks ``(i, j)``."""
+    mixed = (at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
+             .where("lo <> hi").select("key", "k"))
+    blocks = F.ceil(F.col("k") / _BLOCK).cast("long")
+    return (at.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks))
+            .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "k"))
 
 
 def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -185,20 +249,20 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
     known = signed.where("n > 0 and doc_id is not null")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = materialize(classes, "minhash_classes")
-    copies = (known.join(classes.select("key", "rep"), "key").where("doc_id <> rep")
+    copies = (known.select("key", "doc_id").join(classes.select("key", "rep"), "key").where("doc_id <> rep")
               .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
 
     span = 4 * ROWS
     banded = classes.select("rep", "n", F.posexplode(F.array(*[
-        F.expr(f"xxhash64({b}, substring(sig, {b * span + 1}, {span}))") for b in range(BANDS)])).alias("band", "bucket"))
-    banded = banded.select("rep", "n", F.xxhash64("band", "bucket").alias("bucket"))
-    heads = (banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("m"))
-             .where("m > 1").select("bucket", "head.*", "m").withColumnsRenamed({"rep": "lead", "n": "lead_n"}))
-    buckets = materialize(banded.join(heads, "bucket"), "minhash_buckets")
+        F.expr(f"xxhash64({b}, substring(sig, {b * span + 1}, {span}))") for b in range(BANDS)])).alias("band", "key"))
+    heads = (banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("m"))
+             .where("m > 1").select("key", F.col("head.rep").alias("lead"), F.col("head.n").alias("lead_n")))
+    buckets = materialize(banded.join(heads, "key"), "minhash_buckets")
 
     fits = F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")
-    stars = materialize(buckets.where((F.col("rep") != F.col("lead")) & fits)
-                        .select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "minhash_stars")
+    stars = materialize(buckets.where((F.col("rep") != F.col("lead")) & fits).groupBy("rep", "lead").count()
+                        .groupBy("rep").agg(F.max(F.struct("count", -F.col("lead"))).alias("best"))
+                        .select((-F.col("best.col2")).alias("a"), F.col("rep").alias("b")), "minhash_stars")
 
     def sets_of(members: DataFrame) -> DataFrame:
         def run(it):
@@ -209,38 +273,24 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
         # A repeated id may have several sets: the class tells which is meant.
         made = map_rows(with_ids(docs, members, "doc_id"), run, [
             ("rep", pa.int64(), "long"), ("key", pa.binary(), "binary"), ("set", pa.binary(), "binary")])
-        return made.join(classes.select("rep", "key"), ["rep", "key"], "left_semi").dropDuplicates(["rep", "key"])
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    tested = materialize(_confirm(stars, materialize(sets_of(ends(stars)), "minhash_sets"), percent), "minhash_tested")
-    new, joined, top = tested.where("linked").select("a", "b"), None, 2
-    while True:
-        comps = materialize(components(new if joined is None else new.unionByName(joined)), "minhash_joined")
-        joined = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        at = (buckets.where("m > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-              .withColumn("comp", F.coalesce("component", "rep")))
-        mixed = (at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-                 .where("lo <> hi").select("bucket", "k"))
-        blocks = F.ceil(F.col("k") / _BLOCK).cast("long")
-        spread = (at.join(mixed, "bucket").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks))
-                  .select("bucket", "rep", "comp", "n", "blk",
-                          F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
-                  .join(classes.select("rep", "sig"), "rep")
-                  .select(F.col("bucket").alias("key"), F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
-                          "rep", "comp", "n", "blk", "sig"))
-        best = materialize(_partners(spread, top, percent), "minhash_best")
-        fresh = materialize(best.join(tested, ["a", "b"], "left_anti").select("a", "b"), "minhash_fresh")
-        if fresh.count():
-            more = materialize(_confirm(fresh, sets_of(ends(fresh)), percent), "minhash_more")
-            tested, new = tested.unionByName(more), more.where("linked").select("a", "b")
-        elif best.where("cut").limit(1).count() == 0:
-            break
-        else:
-            new = joined.limit(0)
-        top *= 4
-    return signed, copies.unionByName(tested.where("linked").select("a", "b"))
+        wanted = classes.select("rep", "key")
+        return made.join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep", "key"]).select("rep", "set")
+
+    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    tested = materialize(_confirm(stars, materialize(sets_of(ends), "minhash_sets"), percent), "minhash_tested")
+    near = tested.where("linked").select("a", "b")
+
+    comps = materialize(components(near), "minhash_joined")
+    at = (buckets.select("key", "band", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+          .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
+    # one byte of each value: agreement by chance adds 1/256, so nothing near the threshold is lost
+    sig8 = F.concat(*[F.expr(f"substring(sig, {4 * k + 1}, 1)") for k in range(2 * PERMS)])
+    wide = _spread(at).join(classes.select("rep", sig8.alias("sig8")), "rep")
+    some = materialize(_maybe(wide, percent), "minhash_maybe")
+    few = at.join(some, ["key", "rep"], "left_semi")
+    sets = materialize(sets_of(some.select(F.col("rep").alias("doc_id")).distinct()), "minhash_rest")
+    rest = materialize(_across(_spread(few).join(sets, "rep"), percent), "minhash_rest_links")
+    return signed, copies.unionByName(near).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
