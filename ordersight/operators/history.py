@@ -42,7 +42,7 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
     * ``order_frequency_90_days``: earlier orders at most 90 days (to the second) old.
     * ``average_order_value`` / ``total_order_value`` / ``std_order_value``: mean,
       sum and sample standard deviation of earlier order totals (nulls ignored;
-      totals are taken to whole cents and summed exactly).
+      totals are taken to four decimals and summed exactly).
     * ``repeat_customer_initial`` (W12): 1 unless it is the person's first order.
     * ``repeat_customer`` (W13): 1 unless it is the person's last order.
 
@@ -81,7 +81,7 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
 
 def _features(n, n_old, cnt, sm, sq, gap, gap_before, s, first_s, n_all, labels):
     """Feature columns from prefix quantities (shared by both paths)."""
-    # n * sum(x^2) - sum(x)^2 = n * (n - 1) * sample variance, exact in cents^2.
+    # n * sum(x^2) - sum(x)^2 = n * (n - 1) * sample variance, exact in money units^2.
     nvar = (cnt.cast("decimal(38,0)") * sq - sm * sm).cast("double")
     feats = {
         "time_since_last_purchase": F.when(n > 0, gap),
@@ -90,10 +90,10 @@ def _features(n, n_old, cnt, sm, sq, gap, gap_before, s, first_s, n_all, labels)
         "time_since_first_purchase": F.when(n > 0, whole_days(F.col(s) - first_s)),
         "number_of_past_orders": n,
         "order_frequency_90_days": n - n_old,
-        "average_order_value": F.when(cnt > 0, sm.cast("double") / cnt / F.lit(100.0)),
-        "total_order_value": F.when(cnt > 0, sm.cast("double") / F.lit(100.0)),
+        "average_order_value": F.when(cnt > 0, sm.cast("double") / cnt / F.lit(float(MONEY_UNITS))),
+        "total_order_value": F.when(cnt > 0, sm.cast("double") / F.lit(float(MONEY_UNITS))),
         "std_order_value": F.when(cnt > 1, F.sqrt(F.greatest(nvar, F.lit(0.0)) / (cnt * (cnt - 1)))
-                                  / F.lit(100.0)),
+                                  / F.lit(float(MONEY_UNITS))),
         "repeat_purchase_amount": n,
     }
     if labels:
@@ -102,10 +102,14 @@ def _features(n, n_old, cnt, sm, sq, gap, gap_before, s, first_s, n_all, labels)
     return feats
 
 
-def _cents(total: str) -> Column:
-    # Money is summed exactly in whole cents (sum of squares as 38-digit
+#: Whole units of money a 1.00 has: totals count to the fourth decimal.
+MONEY_UNITS = 10_000
+
+
+def _units(total: str) -> Column:
+    # Money is summed exactly in whole units (sum of squares as 38-digit
     # decimals), so results do not depend on partitioning or summation order.
-    return F.round(F.col(total).cast("double") * 100).cast("bigint")
+    return F.round(F.col(total).cast("double") * MONEY_UNITS).cast("bigint")
 
 
 def _plain_history(rows: DataFrame, person, order, total, window_days, labels, s) -> DataFrame:
@@ -114,7 +118,7 @@ def _plain_history(rows: DataFrame, person, order, total, window_days, labels, s
     wp = w.rowsBetween(W.unboundedPreceding, -1)
     old = W.partitionBy(person).orderBy(F.col(s)).rangeBetween(
         W.unboundedPreceding, -(window_days * SECONDS_PER_DAY + 1))
-    c38 = _cents(total).cast("decimal(38,0)")
+    c38 = _units(total).cast("decimal(38,0)")
     x = rows.withColumns({
         "_n": F.count(F.lit(1)).over(wp), "_old": F.count(F.lit(1)).over(old),
         "_prev_s": F.lag(s).over(w), "_first_s": F.min(s).over(wp),
@@ -141,12 +145,12 @@ def _chunked_history(base: DataFrame, person, order, total, window_days, bucket,
 
     row = F.col("_is_row") == 1
     rs = F.when(row, F.col(s))
-    cents = F.when(row, _cents(total))
-    c38 = cents.cast("decimal(38,0)")
+    units = F.when(row, _units(total))
+    c38 = units.cast("decimal(38,0)")
     aggs = [("n", "sum", F.col("_is_row").cast("bigint")),
             ("exp", "sum", F.col("_is_exp").cast("bigint")),
             ("max_s", "max", rs), ("min_s", "min", rs),
-            ("cnt", "sum", F.when(cents.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")),
+            ("cnt", "sum", F.when(units.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")),
             ("sum", "sum", c38), ("sq", "sum", c38 * c38)]
 
     rows = local_prefix(sweep, keys, [F.col(s), F.col("_kind"), F.col(order)], aggs)

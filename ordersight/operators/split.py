@@ -72,12 +72,6 @@ def class_weights(df: DataFrame, label: str = "repeat_customer") -> DataFrame:
                          (neg / pos).alias("scale_pos_weight"))
 
 
-def add_weight_column(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Row weight = balanced class weight of the row's label (for ``weightCol``)."""
-    w = class_weights(df, label).select(F.col("label").alias("_lbl"), F.col("balanced_weight").alias(out))
-    return df.join(F.broadcast(w), F.col(label).cast("int") == F.col("_lbl"), "left").drop("_lbl")
-
-
 def labelled_rows(labels: DataFrame, row: str = "order_id") -> DataFrame:
     """Rows with at least one positive label in a long ``(row, sku, y)`` table."""
     return labels.filter(F.col("y") > 0).groupBy(row).agg(

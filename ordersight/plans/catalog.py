@@ -56,7 +56,7 @@ def score_history(spark, d):
     return h.select(
         "order_id", "person_id", "time_since_last_purchase", "time_between_purchases",
         "time_since_first_purchase", "number_of_past_orders", "order_frequency_90_days",
-        "average_order_value", "total_order_value", "std_order_value",
+        "average_order_value", "total_order_value", _r("std_order_value", 6),
         "repeat_purchase_amount", "repeat_customer")
 
 
@@ -81,7 +81,7 @@ def history_value(spark, d):
     """Mean, sum and sample std of earlier order totals."""
     h = H.history_features(S.history_orders(spark, d), labels=False)
     return h.select("order_id", "person_id", "average_order_value", "total_order_value",
-                    "std_order_value")
+                    _r("std_order_value", 6))
 
 
 @query("repeat_flags")
@@ -478,7 +478,7 @@ def clean_orders_query(spark, d):
     listed columns of the encoded table (cleaned text, lookups, history, SKU counts
     after bundles and whitelist, one-hot and cyclic encodings)."""
     out = _cleaned(spark, d)
-    return out.select(*[F.col(f"`{c}`") for c in CLEAN_COLUMNS],
+    return out.select(*[_r(c, 6) if c == "std_order_value" else F.col(f"`{c}`") for c in CLEAN_COLUMNS],
                       F.round("order_hour_sin", 9).alias("order_hour_sin"))
 
 
@@ -678,18 +678,48 @@ def feature_sink(spark, d):
     """S8 + S7: write the per-order feature table as parquet, read it back."""
     path = scratch_path(spark, f"ordersight/features/{uuid.uuid4().hex}")
     IO.write_table(S.model_table(spark, d), path)
-    return IO.read_features(spark, path)
+    return IO.read_features(spark, path).withColumn("std_order_value", _r("std_order_value", 6))
 
 
 @query("report_sink")
 def report_sink(spark, d):
-    """Write a metric report (run, metric, label, value) as JSON, read it back."""
-    rep = M.class_report(S.scored_lines(spark, d), REPORT_THRESHOLD)
-    tall = rep.select(F.lit("lines").alias("run"), F.lit("f1").alias("metric"), "label",
-                      F.col("f1").alias("value"))
+    """Write a whole metric report (run, metric, label, value) as JSON, read it back: threshold,
+    per-class and averaged precision, recall, F1 and support, pooled accuracy and macro means."""
+    sc = S.scored_lines(spark, d)
+    row = lambda m, label: F.struct(F.lit("lines").alias("run"), F.lit(m).alias("metric"),
+                                    label.alias("label"), F.col(m).cast("double").alias("value"))
+    tall = lambda df, ms, label: df.select(F.inline(F.array(*[row(m, label) for m in ms])))
+    rep = tall(M.class_report(sc, REPORT_THRESHOLD), ["precision", "recall", "f1", "support"], F.col("label"))
+    pool = M.pooled_metrics(sc, REPORT_THRESHOLD).withColumn("threshold", F.lit(REPORT_THRESHOLD))
+    rep = rep.unionByName(tall(pool, ["accuracy", "precision_macro", "recall_macro", "f1_macro", "threshold"], F.lit("")))
     path = scratch_path(spark, f"ordersight/report/{uuid.uuid4().hex}")
-    IO.write_report(tall, path)
-    return spark.read.json(path)
+    IO.write_report(rep, path)
+    return spark.read.schema("metric string, label string, value double, run string").json(path)
+
+
+def _as_csv(df, spark, name: str) -> str:
+    path = scratch_path(spark, f"ordersight/csv/{name}-{uuid.uuid4().hex}")
+    df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@query("orders_csv")
+def orders_csv(spark, d):
+    """The raw orders written as a CSV export and read by the order reader."""
+    out = IO.read_orders(spark, _as_csv(S.raw_orders(spark, d), spark, "orders"))
+    return out.select("order_id", "order_total", "line_items")
+
+
+@query("census_csv")
+def census_csv(spark, d):
+    """The census table as CSV, with a column too many, read by the census reader."""
+    return IO.read_census(spark, _as_csv(S.census(spark, d).withColumn("NAME", F.col("zip")), spark, "census"))
+
+
+@query("names_csv")
+def names_csv(spark, d):
+    """The first-name table as CSV, read by its reader (blanks around names kept)."""
+    return IO.read_names(spark, _as_csv(S.names(spark, d), spark, "names"))
 
 
 @query("model_store")

@@ -17,7 +17,7 @@ def hist_sql(src: str, person: str, order: str, ts: str, total: str, name: str =
 {name}0 AS (
   SELECT {person} AS person_id, {order} AS order_id,
          date_diff('second', TIMESTAMP '1970-01-01 00:00:00', {ts}) AS s,
-         CAST(round({total} * 100) AS BIGINT) AS cents
+         CAST(round({total} * 10000) AS BIGINT) AS cents
   FROM {src} WHERE {person} IS NOT NULL),
 {name}1 AS (
   SELECT *,
@@ -47,10 +47,10 @@ def hist_sql(src: str, person: str, order: str, ts: str, total: str, name: str =
     CASE WHEN n > 0 THEN CAST(floor((s - first_s) / 86400) AS BIGINT) END AS time_since_first_purchase,
     CAST(n AS BIGINT) AS number_of_past_orders,
     CAST(n - n_old AS BIGINT) AS order_frequency_90_days,
-    CASE WHEN cnt > 0 THEN CAST(s1 AS DOUBLE) / cnt / 100.0 END AS average_order_value,
-    CASE WHEN cnt > 0 THEN CAST(s1 AS DOUBLE) / 100.0 END AS total_order_value,
+    CASE WHEN cnt > 0 THEN CAST(s1 AS DOUBLE) / cnt / 10000.0 END AS average_order_value,
+    CASE WHEN cnt > 0 THEN CAST(s1 AS DOUBLE) / 10000.0 END AS total_order_value,
     CASE WHEN cnt > 1 THEN sqrt(greatest(CAST(cnt * s2 - s1 * s1 AS DOUBLE), 0.0)
-                                / (cnt * (cnt - 1))) / 100.0 END AS std_order_value,
+                                / (cnt * (cnt - 1))) / 10000.0 END AS std_order_value,
     CAST(n AS BIGINT) AS repeat_purchase_amount,
     CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS INTEGER) AS repeat_customer_initial,
     CAST(CASE WHEN n + 1 < n_all THEN 1 ELSE 0 END AS INTEGER) AS repeat_customer
@@ -797,10 +797,19 @@ FROM r WHERE rk <= 5 GROUP BY order_id"""
 ORACLE_SQL["first_rows"] = _with(SCORED) + """
 SELECT target, y, score FROM sc ORDER BY target, y, score LIMIT 5"""
 
-ORACLE_SQL["report_sink"] = _with(CONF) + """
-SELECT CAST(label AS VARCHAR) AS label, 'f1' AS metric, f1 AS value, 'lines' AS run FROM prf
-UNION ALL SELECT 'macro avg', 'f1', sum(f1) / 2, 'lines' FROM prf
-UNION ALL SELECT 'weighted avg', 'f1', sum(f1 * support) / sum(support), 'lines' FROM prf"""
+ORACLE_SQL["report_sink"] = "WITH cr AS (" + ORACLE_SQL["class_report"] + "), pm AS (" \
+    + ORACLE_SQL["pooled_metrics"] + ") " + " UNION ALL ".join(
+    [f"SELECT 'lines' AS run, '{m}' AS metric, label, CAST({m} AS DOUBLE) AS value FROM cr"
+     for m in ("precision", "recall", "f1", "support")]
+    + [f"SELECT 'lines', '{m}', '', CAST({m} AS DOUBLE) FROM pm"
+       for m in ("accuracy", "precision_macro", "recall_macro", "f1_macro")]
+    + ["SELECT 'lines', 'threshold', '', CAST(0.3 AS DOUBLE)"])
+
+ORACLE_SQL["census_csv"] = _with(CENSUS) + " SELECT * FROM census"
+ORACLE_SQL["names_csv"] = _with(NAMES) + " SELECT Name, Gender, Probability FROM names"
+ORACLE_SQL["orders_csv"] = _with(ENCODED) + """
+SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id, o.o_totalprice AS order_total, enc.line_items
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN enc ON enc.order_id = o.o_orderkey"""
 
 _CATS = sorted(set(TEST_CATEGORIES.values()))
 _Q = '"'
@@ -842,3 +851,8 @@ ORACLE_SQL["one_hot_sparse"] = """
 WITH l AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS slot FROM (SELECT DISTINCT p_name FROM part))
 SELECT p_partkey, slot::BIGINT AS slot, (SELECT count(*) + 1 FROM l)::BIGINT AS slots FROM part JOIN l USING (p_name)
 """
+
+# The exact variance is a 38-digit number; its conversion to double may differ in the last bit.
+for _name in ("score_history", "history_value", "clean_orders", "feature_sink"):
+    ORACLE_SQL[_name] = ("SELECT * REPLACE (round(std_order_value, 6) AS std_order_value) FROM ("
+                         + ORACLE_SQL[_name] + ")")

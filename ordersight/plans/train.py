@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import lookups as L
+from ..operators import encode as EC
 from ..operators import metrics as MT
 from ..operators import models as MD
 from ..operators.split import person_bucket
@@ -72,6 +74,9 @@ def _report_rows(run: str, report: DataFrame) -> list:
     return rows
 
 
+#: SKUs whose counts are no features, by model family.
+UNWANTED = {"next_sku": L.UNWANTED_SKUS, "next_category": L.UNWANTED_SKUS_CATEGORY}
+
 #: Threshold rules, each on the validation persons: best F1 (V9), lowest threshold of precision 0.35
 #: (V11, boosted grid search), lowest of precision 0.3 with recall above it (V12, boosted baseline).
 RULES = {
@@ -166,6 +171,7 @@ def train_target_models(table: DataFrame, features: Sequence[str], targets: Sequ
         grid = MD.SKU_FOREST_GRID if run != "next_category" else MD.CATEGORY_FOREST_GRID
     spark = table.sparkSession
     rows = table
+    features = EC.model_features(features, UNWANTED.get(run, ()), [label_of(t) for t in targets])
     if labelled_only:
         pos_any = F.greatest(*[F.col(f"`{label_of(t)}`") for t in targets]) > 0
         rows = rows.filter(pos_any)
