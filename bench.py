@@ -23,7 +23,7 @@ HEADLINE = [
     "items_flatten", "sku_count_pivot", "bundle_expand", "category_presence",
     "purchase_counts", "city_frequency", "gender_enrich", "census_enrich",
     "person_split", "label_weights", "auc_per_target", "pr_curve", "threshold_sweep",
-    "rank_top_products", "clean_orders", "train_return_forest",
+    "rank_top_products", "clean_orders", "train_return_forest", "train_return_boosted", "serve_features",
 ]
 
 
