@@ -119,7 +119,10 @@ def covered(hits: Column) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that hold a benchmark window; their columns stay as they are."""
+    """The documents without those that hold a benchmark window; their columns stay as they are.
+
+    Documents are told by their id: all rows of an id go if one is hit, and rows without an id stay.
+    """
     hit = (scan(docs, items, id_col=id_col, text_col=text_col, **options)
            .where(F.size("hits") > 0).select("doc_id"))
     return without_ids(docs, hit, id_col)

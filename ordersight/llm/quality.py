@@ -37,7 +37,7 @@ from .common import id_text, map_rows, texts
 
 BUCKETS = 1 << 18
 _STEMS = (4, 5)
-_CACHE = 400_000
+_CACHE = 100_000
 _SYMBOLS = re.compile(rb"[^\w\s\x80-\xff.,;:'\"()-]")
 
 
@@ -118,7 +118,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, buckets: i
 
 
 def train(docs: DataFrame, labels: DataFrame, rating: Column, n_grades: int, *, id_col: str = "doc_id",
-          text_col: str = "text", label_id: str = "doc_id", buckets: int = BUCKETS, max_train: int = 24_000,
+          text_col: str = "text", label_id: str = "doc_id", buckets: int = BUCKETS, max_train: int = 12_000,
           **options) -> tuple[np.ndarray, np.ndarray]:
     """Fit on the ``max_train`` labelled rows with the smallest hash of their id."""
     rated = (labels.select(F.col(f"`{label_id}`").cast("long").alias("lid"), rating.cast("int").alias("grade"))
