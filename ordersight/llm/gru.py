@@ -18,8 +18,9 @@ import heapq
 
 import numpy as np
 
-CLASSES, MEMBERS, BUCKETS, HIDDEN = 32, 32, 32, 16
+CLASSES, MEMBERS, BUCKETS, HIDDEN = 16, 32, 16, 8
 WORDS = CLASSES * MEMBERS
+_PART = 1024
 START = WORDS + BUCKETS
 _SHAPES = {"wx": (START + 1, 3 * HIDDEN), "bx": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN),
            "wc": (HIDDEN, CLASSES + BUCKETS), "bc": (CLASSES + BUCKETS,),
@@ -83,32 +84,51 @@ def streams(docs: list[np.ndarray], n: int):
 
 
 def _run(p: dict, x: np.ndarray, h: np.ndarray):
-    """States after each step of a window, and what the way back needs."""
+    """States after each step of a window, and what the way back needs.
+
+    Arrays are (steps, features, lanes), so that the gates are contiguous blocks.
+    """
     steps, n = x.shape
-    hs = np.empty((steps, n, HIDDEN), dtype=np.float32)
-    gates, befores, inner = np.empty((steps, n, 3 * HIDDEN), dtype=np.float32), np.empty_like(hs), np.empty_like(hs)
-    xs = p["wx"][x] + p["bx"]
-    fresh = x == START
     k = 2 * HIDDEN
+    hs = np.empty((steps, HIDDEN, n), dtype=np.float32)
+    gates, befores, inner = np.empty((steps, 3 * HIDDEN, n), dtype=np.float32), np.empty_like(hs), np.empty_like(hs)
+    wx, ut = np.ascontiguousarray(p["wx"].T + p["bx"][:, None]), np.ascontiguousarray(p["u"].T)
+    carry = (x != START).astype(np.float32)
     for t in range(steps):
-        h = np.where(fresh[t, :, None], np.float32(0), h)
-        a = h @ p["u"]
-        g, xt = gates[t], xs[t]
-        g[:, :k] = 0.5 * np.tanh(0.5 * (xt[:, :k] + a[:, :k])) + 0.5  # update, reset
-        g[:, k:] = np.tanh(xt[:, k:] + g[:, HIDDEN:k] * a[:, k:])
-        befores[t], inner[t] = h, a[:, k:]
-        h = g[:, k:] + g[:, :HIDDEN] * (h - g[:, k:])
-        hs[t] = h
+        before = np.multiply(h, carry[t], out=befores[t])
+        a = ut @ before
+        xt, g = np.take(wx, x[t], axis=1), gates[t]
+        zr = np.add(xt[:k], a[:k], out=g[:k])  # update, reset
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        inner[t] = a[k:]
+        m = np.multiply(g[HIDDEN:k], a[k:], out=g[k:])
+        m += xt[k:]
+        np.tanh(m, out=m)
+        h = np.subtract(before, m, out=hs[t])
+        h *= g[:HIDDEN]
+        h += m
     return hs, gates, befores, inner
 
 
+def _rows(hs: np.ndarray) -> np.ndarray:
+    """(steps, features, lanes) as one row for each step and lane."""
+    return np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, hs.shape[1])
+
+
 def _classes(y: np.ndarray) -> np.ndarray:
     return np.where(y < WORDS, y // MEMBERS, y - WORDS + CLASSES)
 
 
-def _log_softmax(v: np.ndarray) -> np.ndarray:
-    v = v - v.max(axis=1, keepdims=True)
-    return v - np.log(np.exp(v).sum(axis=1, keepdims=True))
+def _softmax(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of the chosen column of each row, and the exponentials and their sums; overwrites ``v``."""
+    v -= v.max(axis=1, keepdims=True)
+    chosen = v[np.arange(len(v)), at]
+    np.exp(v, out=v)
+    total = v.sum(axis=1)
+    return chosen - np.log(total), v, total
 
 
 def _by_class(c: np.ndarray):
@@ -127,17 +147,17 @@ def log_likelihood(flat: np.ndarray, docs: list[np.ndarray], window: int = 32, w
         return out
     p = views(flat)
     inputs, targets, owner, length = streams(docs, width)
-    h = np.zeros((inputs.shape[1], HIDDEN), dtype=np.float32)
+    h = np.zeros((HIDDEN, inputs.shape[1]), dtype=np.float32)
     for at in range(0, len(inputs), window):
         n = int((length > at).sum())  # lanes are sorted, so the ones that go on are the first
         part = slice(at, at + window)
-        hs, *_ = _run(p, inputs[part, :n], h[:n])
+        hs, *_ = _run(p, inputs[part, :n], h[:, :n])
         h = hs[-1]
-        flat_h, y, who = hs.reshape(-1, HIDDEN), targets[part, :n].ravel(), owner[part, :n].ravel()
+        flat_h, y, who = _rows(hs), targets[part, :n].ravel(), owner[part, :n].ravel()
         c = _classes(y)
-        got = _log_softmax(flat_h @ p["wc"] + p["bc"])[np.arange(len(y)), c]
+        got = _softmax(flat_h @ p["wc"] + p["bc"], c)[0]
         for k, rows in _by_class(c):
-            got[rows] += _log_softmax(flat_h[rows] @ p["ws"][k] + p["bs"][k])[np.arange(len(rows)), y[rows] % MEMBERS]
+            got[rows] += _softmax(flat_h[rows] @ p["ws"][k] + p["bs"][k], y[rows] % MEMBERS)[0]
         real = who >= 0
         out += np.bincount(who[real], weights=got[real], minlength=len(docs))
     return out
@@ -149,41 +169,47 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray, h
     g = views(grad)
     hs, gates, befores, inner = _run(p, x, h)
     steps, n = x.shape
-    f, yy, live = hs.reshape(-1, HIDDEN), y.ravel(), real.ravel().astype(np.float32)
+    f, yy, live = _rows(hs), y.ravel(), real.ravel().astype(np.float32)
     scale = live / max(1.0, float(live.sum()))
     c, rows = _classes(yy), np.arange(steps * n)
-    logp = _log_softmax(f @ p["wc"] + p["bc"])
-    loss = -float((logp[rows, c] * scale).sum())
-    d = np.exp(logp)
-    d[rows, c] -= 1
-    d *= scale[:, None]
+    logp, d, total = _softmax(f @ p["wc"] + p["bc"], c)
+    loss = -float((logp * scale).sum())
+    d *= (scale / total)[:, None]
+    d[rows, c] -= scale
     g["wc"][:], g["bc"][:] = f.T @ d, d.sum(axis=0)
     dh = d @ p["wc"].T
     for k, own in _by_class(c):
-        fk, m = f[own], yy[own] % MEMBERS
-        lp = _log_softmax(fk @ p["ws"][k] + p["bs"][k])
-        loss -= float((lp[np.arange(len(own)), m] * scale[own]).sum())
-        dk = np.exp(lp)
-        dk[np.arange(len(own)), m] -= 1
-        dk *= scale[own][:, None]
+        fk, m, part = f[own], yy[own] % MEMBERS, scale[own]
+        lp, dk, total = _softmax(fk @ p["ws"][k] + p["bs"][k], m)
+        loss -= float((lp * part).sum())
+        dk *= (part / total)[:, None]
+        dk[np.arange(len(own)), m] -= part
         g["ws"][k], g["bs"][k] = fk.T @ dk, dk.sum(axis=0)
         dh[own] += dk @ p["ws"][k].T
-    dh = dh.reshape(steps, n, HIDDEN)
-    k2, back = 2 * HIDDEN, np.zeros((n, HIDDEN), dtype=np.float32)
-    da_all, dx_all = np.empty((steps, n, 3 * HIDDEN), dtype=np.float32), np.empty((steps, n, 3 * HIDDEN), dtype=np.float32)
+    dh = np.ascontiguousarray(dh.reshape(steps, n, HIDDEN).transpose(0, 2, 1))
+    k, back, u = 2 * HIDDEN, np.zeros((HIDDEN, n), dtype=np.float32), np.ascontiguousarray(p["u"])
+    da_all, dx_all = np.empty((steps, 3 * HIDDEN, n), dtype=np.float32), np.empty((steps, 3 * HIDDEN, n), dtype=np.float32)
+    carry = (x != START).astype(np.float32)
     for t in range(steps - 1, -1, -1):
-        z, r, m = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:k2], gates[t, :, k2:]
-        total = dh[t] + back
-        dm = total * (1 - z) * (1 - m * m)
+        z, r, m = gates[t, :HIDDEN], gates[t, HIDDEN:k], gates[t, k:]
+        through = dh[t]
+        through += back
+        keep = through * z
         dx, da = dx_all[t], da_all[t]
-        dx[:, :HIDDEN] = total * (befores[t] - m) * z * (1 - z)
-        dx[:, HIDDEN:k2] = dm * inner[t] * r * (1 - r)
-        dx[:, k2:] = dm
-        da[:, :k2], da[:, k2:] = dx[:, :k2], dm * r
-        back = total * z + da @ p["u"].T
-        back[x[t] == START] = 0  # the state before a document's first step is no parameter's doing
-    g["u"][:] = befores.reshape(-1, HIDDEN).T @ da_all.reshape(-1, 3 * HIDDEN)
-    dx = dx_all.reshape(-1, 3 * HIDDEN)
+        dm = np.subtract(through, keep, out=dx[k:])
+        dm *= 1 - m * m
+        np.multiply(keep, 1 - z, out=dx[:HIDDEN])
+        dx[:HIDDEN] *= befores[t] - m
+        np.multiply(r, 1 - r, out=dx[HIDDEN:k])
+        dx[HIDDEN:k] *= inner[t]
+        dx[HIDDEN:k] *= dm
+        da[:k] = dx[:k]
+        np.multiply(dm, r, out=da[k:])
+        back = u @ da
+        back += keep
+        back *= carry[t]  # the state before a document's first step is no parameter's doing
+    g["u"][:] = _rows(befores).T @ _rows(da_all)
+    dx = _rows(dx_all)
     g["bx"][:] = dx.sum(axis=0)
     order = np.argsort(x.ravel(), kind="stable")
     ids = x.ravel()[order]
@@ -192,18 +218,23 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray, h
     return loss, grad, hs[-1]
 
 
-def train(flat: np.ndarray, square: np.ndarray, docs: list[np.ndarray], window: int = 16, width: int = 128,
+def train(flat: np.ndarray, square: np.ndarray, docs: list[np.ndarray], window: int = 16, width: int = 256,
           rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """One pass of truncated backpropagation with AdaGrad over the documents; new parameters and sums of squares."""
+    """One pass of truncated backpropagation with AdaGrad over the documents; new parameters and sums of squares.
+
+    Long documents are trained in parts of ``_PART`` tokens, each from the first state, so that no few
+    lanes are left to themselves for long. (Scores carry one state through the whole document.)
+    """
     flat, square = flat.copy(), square.copy()
+    docs = [d[i:i + _PART] for d in docs for i in range(0, len(d), _PART)]
     if not docs:
         return flat, square
     inputs, targets, owner, length = streams(docs, width)
-    h = np.zeros((inputs.shape[1], HIDDEN), dtype=np.float32)
+    h = np.zeros((HIDDEN, inputs.shape[1]), dtype=np.float32)
     for at in range(0, len(inputs), window):
         n = int((length > at).sum())
         part = slice(at, at + window)
-        _, grad, h = gradient(flat, inputs[part, :n], targets[part, :n], owner[part, :n] >= 0, h[:n])
+        _, grad, h = gradient(flat, inputs[part, :n], targets[part, :n], owner[part, :n] >= 0, h[:, :n])
         norm = float(np.sqrt((grad * grad).sum()))
         if norm > 1:
             grad /= norm

@@ -42,7 +42,7 @@ from .common import id_text, map_rows, texts
 
 END = b""  # no word is empty
 _COUNTED = 500_000
-_CHUNK = 2_000_000
+_CHUNK = 6_000_000
 _SLICES = 64
 #: Upper slices of the rounds: 1/64, 4/64, 16/64 and the rest of the training documents.
 _ROUNDS = ((0, 1), (1, 5), (5, 21), (21, 64))
@@ -80,13 +80,14 @@ def count_words(split: DataFrame) -> DataFrame:
 TOKENS = [("row", pa.int64(), "long"), ("doc_id", pa.int64(), "long"), ("held_out", pa.bool_(), "boolean"),
           ("slice", pa.int32(), "int"), ("n", pa.int64(), "long"), ("known", pa.int64(), "long"),
           ("logs", pa.float64(), "double"), ("in_bucket", pa.binary(), "binary"), ("ids", pa.binary(), "binary"),
-          ("word", pa.binary(), "binary"), ("tf", pa.int64(), "long")]
+          ("words", pa.list_(pa.binary()), "array<binary>"), ("tfs", pa.list_(pa.int32()), "array<int>")]
 
 
 def tokenize(split: DataFrame, head: list[tuple[bytes, int]]) -> DataFrame:
-    """A row for each document, and one (``word`` not null) for each of its words beyond the head.
+    """A row for each document: its token numbers and what the scores need of them.
 
-    ``logs``: sum of log10(count + 1/2) of the head's words in it; ``own`` of those with a bucket.
+    ``logs``: sum of log10(count + 1/2) of the head's words in it; ``in_bucket``: the same sum over
+    those with a bucket, then the tokens in each bucket; ``words``, ``tfs``: its words beyond the head.
     """
     known = split.sparkSession.sparkContext.broadcast(head)
     state: dict = {}
@@ -109,20 +110,17 @@ def tokenize(split: DataFrame, head: list[tuple[bytes, int]]) -> DataFrame:
                 at = np.array([rank.get(w, -1) for w in words], dtype=np.int64)
                 ids = number[at]
                 far = np.flatnonzero(at < 0)
-                tail: Counter = Counter()
-                if len(far):
-                    rest = [words[k] for k in far.tolist()]
+                rest = [words[k] for k in far.tolist()]
+                tail = Counter(rest)
+                if rest:
                     ids[far] = [bucket(w) for w in rest]
-                    tail.update(rest)
                 inside = at[at >= 0]
                 deep = inside[inside >= gru.WORDS]
                 sums = np.bincount(ids[ids >= gru.WORDS].astype(int) - gru.WORDS, minlength=gru.BUCKETS).astype("<u4")
                 cut = zlib.crc32(text) % _SLICES
-                # the second sum, of words with a bucket, rides in front of the bucket counts
                 own = np.array([log[deep].sum()]).tobytes() + sums.tobytes()
-                yield (row, doc_id, held, cut, len(words), len(inside), float(log[inside].sum()), own, ids.tobytes(), None, None)
-                for w, k in tail.items():
-                    yield (row, None, None, None, None, None, None, None, None, w, k)
+                yield (row, doc_id, held, cut, len(words), len(inside), float(log[inside].sum()), own, ids.tobytes(),
+                       list(tail), list(tail.values()))
                 row += 1
 
     return map_rows(split.select("doc_id", "held_out", "text"), run, TOKENS, size=2000)
@@ -147,7 +145,7 @@ def train(tokens: DataFrame, first: np.ndarray) -> np.ndarray:
     """Parameters after one pass over all training documents."""
     spark, flat = tokens.sparkSession, first
     square = np.full(gru.SIZE, 1e-4, dtype=np.float32)
-    docs = tokens.where("word is null and not held_out")
+    docs = tokens.where("not held_out")
     piece = [("g", pa.int64(), "long"), ("piece", pa.int64(), "long"), ("weight", pa.float64(), "double"),
              ("x", pa.binary(), "binary")]
 
@@ -224,12 +222,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
                 deep, buckets = np.frombuffer(own[:8])[0], np.frombuffer(own[8:], dtype="<u4")
                 yield row, doc_id, out, n, known_n, logs, x + float(deep) - float(buckets @ log_mass)
 
-    rows = tokens.where("word is null").select("row", "doc_id", "held_out", "n", "known", "logs", "ids", "in_bucket")
+    rows = tokens.select("row", "doc_id", "held_out", "n", "known", "logs", "ids", "in_bucket")
     scored = map_rows(rows, run, [("row", pa.int64(), "long"), ("doc_id", pa.int64(), "long"),
                                   ("held_out", pa.bool_(), "boolean"), ("n_tokens", pa.int64(), "long"),
                                   ("known", pa.int64(), "long"), ("logs", pa.float64(), "double"),
                                   ("model", pa.float64(), "double")])
-    far = (tokens.where("word is not null").select("row", "word", "tf")
+    far = (tokens.select("row", F.explode(F.arrays_zip("words", "tfs")).alias("t"))
+           .select("row", F.col("t.words").alias("word"), F.col("t.tfs").alias("tf"))
            .join(vocab.withColumnRenamed("c", "count"), "word", "left")
            .withColumn("count", F.coalesce("count", F.lit(0)))
            .groupBy("row").agg(F.sum(F.when(F.col("count") > 0, F.col("tf")).otherwise(0)).alias("far_known"),

@@ -52,7 +52,7 @@ def test_state_is_carried_over_windows_and_lanes(width):
 def test_gradient_equals_differences():
     flat, docs = first(), some_docs(6)
     x, y, owner, _ = G.streams(docs, 3)
-    h = np.zeros((x.shape[1], G.HIDDEN), dtype=np.float32)
+    h = np.zeros((G.HIDDEN, x.shape[1]), dtype=np.float32)
     x, y, real = x[:8], y[:8], owner[:8] >= 0
     _, grad, _ = G.gradient(flat, x, y, real, h)
 
