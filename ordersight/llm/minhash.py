@@ -169,13 +169,20 @@ def _alike(n: np.ndarray, some, two, percent: int) -> np.ndarray:
 
 
 def _maybe(spread: DataFrame, percent: int) -> DataFrame:
-    """``(key, rep)``: members that may have a link across components that this band is the first to show."""
+    """``(key, rep)``: members that may have a link across components that is this bucket's to confirm.
+
+    A pair that shares several bands belongs to the one with the largest bucket (``sizes``: of each
+    band's bucket, as both know them), so that few buckets need the set of a document.
+    """
     def run(it):
         for (key, i, j), rows in _groups(it):
-            rep, comp, n, blk, band, sig = zip(*rows, strict=True)
+            rep, comp, n, blk, band, sig, sizes = zip(*rows, strict=True)
+            sizes = np.frombuffer(b"".join(sizes), dtype=">i4").reshape(len(rep), BANDS)
             if len(rep) == 2:
                 x, y = (np.frombuffer(v, dtype=np.uint8) for v in sig)
-                if comp[0] != comp[1] and (x == y).sum() >= MAYBE * len(x) and 100 * min(n) >= percent * max(n):
+                shared = (x == y).reshape(BANDS, ROWS).all(axis=1)
+                if comp[0] != comp[1] and (x == y).sum() >= MAYBE * len(x) and 100 * min(n) >= percent * max(n) \
+                        and np.where(shared, sizes[0], -1).argmax() == band[0]:
                     yield from ((key, r) for r in rep)
                 continue
             comp, n, blk = (np.array(v, dtype=np.int64) for v in (comp, n, blk))
@@ -190,14 +197,14 @@ def _maybe(spread: DataFrame, percent: int) -> DataFrame:
                     for r in np.flatnonzero(ok.any(axis=1)):
                         c = two[ok[r]]
                         shared = (sig[c] == sig[some[r]]).reshape(len(c), BANDS, ROWS).all(axis=2)
-                        c = c[shared.argmax(axis=1) == band[0]]
+                        c = c[np.where(shared, sizes[some[r]], -1).argmax(axis=1) == band[0]]
                         if len(c):
                             chosen.add(int(some[r]))
                             chosen.update(c.tolist())
             yield from ((key, rep[k]) for k in sorted(chosen))
 
     flat = (spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .select("key", "i", "j", "rep", "comp", "n", "blk", "band", "sig8"))
+            .select("key", "i", "j", "rep", "comp", "n", "blk", "band", "sig8", "sizes"))
     return map_rows(flat, run, [("key", pa.int64(), "long"), ("rep", pa.int64(), "long")]).distinct()
 
 
@@ -256,7 +263,7 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
     banded = classes.select("rep", "n", F.posexplode(F.array(*[
         F.expr(f"xxhash64({b}, substring(sig, {b * span + 1}, {span}))") for b in range(BANDS)])).alias("band", "key"))
     heads = (banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("m"))
-             .where("m > 1").select("key", F.col("head.rep").alias("lead"), F.col("head.n").alias("lead_n")))
+             .where("m > 1").select("key", F.col("head.rep").alias("lead"), F.col("head.n").alias("lead_n"), "m"))
     buckets = materialize(banded.join(heads, "key"), "minhash_buckets")
 
     fits = F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")
@@ -285,7 +292,11 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
           .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
     # one byte of each value: agreement by chance adds 1/256, so nothing near the threshold is lost
     sig8 = F.concat(*[F.expr(f"substring(sig, {4 * k + 1}, 1)") for k in range(2 * PERMS)])
-    wide = _spread(at).join(classes.select("rep", sig8.alias("sig8")), "rep")
+    # the size of the bucket of each band, 0 where the member is alone, as 32 big-endian integers
+    size_of = F.map_from_entries(F.collect_list(F.struct("band", F.least("m", F.lit(2**31 - 1)).cast("int").alias("m"))))
+    sizes = F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.col("of")[b], F.lit(0))), 8, "0")) for b in range(BANDS)])
+    own = buckets.groupBy("rep").agg(size_of.alias("of")).select("rep", sizes.alias("sizes"))
+    wide = _spread(at).join(classes.select("rep", sig8.alias("sig8")).join(own, "rep"), "rep")
     some = materialize(_maybe(wide, percent), "minhash_maybe")
     few = at.join(some, ["key", "rep"], "left_semi")
     sets = materialize(sets_of(some.select(F.col("rep").alias("doc_id")).distinct()), "minhash_rest")
