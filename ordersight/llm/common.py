@@ -19,9 +19,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                      F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def texts(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column, null as empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def texts(column: pa.Array, step: int = 256) -> Iterator[bytes]:
+    """The UTF-8 bytes of a string column, null as empty; a few rows at a time, as texts may be long."""
+    for at in range(0, len(column), step):
+        for x in column.slice(at, step).cast(pa.binary()).to_pylist():
+            yield b"" if x is None else x
 
 
 def batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch]:

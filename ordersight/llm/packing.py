@@ -38,7 +38,7 @@ SCHEMA = [("doc_id", pa.int64(), "long"), ("start", pa.int64(), "long"), ("lengt
           ("ids_crc32", pa.int64(), "long"), ("doc_tokens", pa.int64(), "long"),
           ("sequence_id", pa.int64(), "long"), ("offset", pa.int64(), "long"),
           ("tier", pa.int64(), "long"), ("step_group", pa.int64(), "long")]
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 250_000
 
 
 class Encoder:

@@ -47,7 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_COUNTED = 500_000
+_COUNTED = 250_000
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -144,7 +144,8 @@ def cooccurrence(docs: DataFrame, *, reach: int = 6) -> DataFrame:
     def run(it):
         words, pairs = Counter(), Counter()
         for batch in it:
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(1):
+                text = text.as_py()
                 if text:
                     words.update(_TERM.findall(text.lower()))
                     spans = base_spans(text)

@@ -152,6 +152,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, id_col: str
                 p = 1 / (1 + np.exp(np.clip(t - z, -700, 700)))
                 tail = float(p[keep_grade - 1])
                 yield doc_id, float(p.sum()), p.tolist(), tail, tail >= min_tail
+        _cache().clear()  # the worker may serve other jobs
 
     return map_rows(id_text(docs, id_col, text_col), run, [
         ("doc_id", pa.int64(), "long"), ("expected_grade", pa.float64(), "double"),
@@ -172,5 +173,6 @@ def select(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: s
                           for x in texts(batch.column(at).cast(pa.string()))])
             keep = 1 / (1 + np.exp(np.clip(t[keep_grade - 1] - z, -700, 700))) >= min_tail
             yield batch.filter(pa.array(keep, type=pa.bool_()))
+        _cache().clear()
 
     return docs.mapInArrow(run, docs.schema)
