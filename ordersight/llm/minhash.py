@@ -171,16 +171,18 @@ def _alike(n: np.ndarray, some, two, percent: int) -> np.ndarray:
 def _maybe(spread: DataFrame, percent: int) -> DataFrame:
     """``(key, rep)``: members that may have a link across components that is this bucket's to confirm.
 
-    A pair that shares several bands belongs to the one with the largest bucket (``sizes``: of each
-    band's bucket, as both know them), so that few buckets need the set of a document.
+    A pair that shares several buckets belongs to the largest of them (``keys``, ``sizes``: of each
+    band's bucket, 0 where the member is alone), so that few buckets need the set of a document. Equal
+    keys tell what is shared: both are in that bucket, so the one that owns the pair does see it.
     """
     def run(it):
         for (key, i, j), rows in _groups(it):
-            rep, comp, n, blk, band, sig, sizes = zip(*rows, strict=True)
+            rep, comp, n, blk, band, sig, keys, sizes = zip(*rows, strict=True)
+            keys = np.frombuffer(b"".join(keys), dtype=">i8").reshape(len(rep), BANDS)
             sizes = np.frombuffer(b"".join(sizes), dtype=">i4").reshape(len(rep), BANDS)
             if len(rep) == 2:
                 x, y = (np.frombuffer(v, dtype=np.uint8) for v in sig)
-                shared = (x == y).reshape(BANDS, ROWS).all(axis=1)
+                shared = (keys[0] == keys[1]) & (sizes[0] > 0)
                 if comp[0] != comp[1] and (x == y).sum() >= MAYBE * len(x) and 100 * min(n) >= percent * max(n) \
                         and np.where(shared, sizes[0], -1).argmax() == band[0]:
                     yield from ((key, r) for r in rep)
@@ -196,7 +198,7 @@ def _maybe(spread: DataFrame, percent: int) -> DataFrame:
                     ok &= _alike(n, some, two, percent)
                     for r in np.flatnonzero(ok.any(axis=1)):
                         c = two[ok[r]]
-                        shared = (sig[c] == sig[some[r]]).reshape(len(c), BANDS, ROWS).all(axis=2)
+                        shared = (keys[c] == keys[some[r]]) & (sizes[some[r]] > 0)
                         c = c[np.where(shared, sizes[some[r]], -1).argmax(axis=1) == band[0]]
                         if len(c):
                             chosen.add(int(some[r]))
@@ -204,7 +206,7 @@ def _maybe(spread: DataFrame, percent: int) -> DataFrame:
             yield from ((key, rep[k]) for k in sorted(chosen))
 
     flat = (spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .select("key", "i", "j", "rep", "comp", "n", "blk", "band", "sig8", "sizes"))
+            .select("key", "i", "j", "rep", "comp", "n", "blk", "band", "sig8", "keys", "sizes"))
     return map_rows(flat, run, [("key", pa.int64(), "long"), ("rep", pa.int64(), "long")]).distinct()
 
 
@@ -292,10 +294,12 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
           .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
     # one byte of each value: agreement by chance adds 1/256, so nothing near the threshold is lost
     sig8 = F.concat(*[F.expr(f"substring(sig, {4 * k + 1}, 1)") for k in range(2 * PERMS)])
-    # the size of the bucket of each band, 0 where the member is alone, as 32 big-endian integers
-    size_of = F.map_from_entries(F.collect_list(F.struct("band", F.least("m", F.lit(2**31 - 1)).cast("int").alias("m"))))
-    sizes = F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.col("of")[b], F.lit(0))), 8, "0")) for b in range(BANDS)])
-    own = buckets.groupBy("rep").agg(size_of.alias("of")).select("rep", sizes.alias("sizes"))
+    # the key and the size of the bucket of each band, 0 where the member is alone, as big-endian integers
+    entry = F.struct("key", F.least("m", F.lit(2**31 - 1)).cast("int").alias("m"))
+    packed = [F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.col("of")[b][c], F.lit(0))), digits, "0")) for b in range(BANDS)])
+              for c, digits in (("key", 16), ("m", 8))]
+    own = (buckets.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", entry))).alias("of"))
+           .select("rep", packed[0].alias("keys"), packed[1].alias("sizes")))
     wide = _spread(at).join(classes.select("rep", sig8.alias("sig8")).join(own, "rep"), "rep")
     some = materialize(_maybe(wide, percent), "minhash_maybe")
     few = at.join(some, ["key", "rep"], "left_semi")

@@ -81,6 +81,22 @@ def test_signature_estimates_similarity():
     assert sorted(M._ORDER) == list(range(2 * M.PERMS))
 
 
+@pytest.mark.parametrize("others", [0, 3])
+def test_low_bytes_that_agree_by_chance_share_no_bucket(spark, others):
+    """Band 0 of members 1 and 2 agrees in the low bytes only, in larger buckets of others; band 5 is their bucket."""
+    sig = np.arange(2 * M.PERMS, dtype=np.uint8)
+    rows = []
+    for rep in (1, 2, *range(10, 10 + others)):
+        keys, sizes = np.zeros(M.BANDS, dtype=">i8"), np.zeros(M.BANDS, dtype=">i4")
+        keys[0], sizes[0] = 1000 + rep, 50
+        keys[5], sizes[5] = -77, 2 + others
+        own = sig if rep < 10 else (sig + rep).astype(np.uint8)  # the others agree with nobody
+        rows.append((-77, 0, 0, rep, rep, 100, 0, 5, own.tobytes(), keys.tobytes(), sizes.tobytes()))
+    spread = spark.createDataFrame(rows, "key long, i long, j long, rep long, comp long, n long, blk long, band int, "
+                                         "sig8 binary, keys binary, sizes binary")
+    assert sorted((r.key, r.rep) for r in M._maybe(spread, 75).collect()) == [(-77, 1), (-77, 2)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert M.near_duplicates(df).count() == 0
