@@ -81,3 +81,16 @@ def test_query_accuracy_on_labelled_rows(spark):
     rows = Q.score(docs, model).join(held, "doc_id").groupBy("y").agg(F.avg(F.col("selected").cast("int")).alias("p")).collect()
     share = {r.y: r.p for r in rows}
     assert share[0] < 0.05 and share[1] < 0.45 and share[2] > 0.93, share
+
+
+def test_held_out_toxic_texts_are_rejected_and_good_ones_kept(spark):
+    """Same split as above: nearly all toxic texts go, at the threshold of the query."""
+    from ordersight.llm.common import read
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    rating = Q.grade(F.col("quality"), F.col("toxic"))
+    model = Q.train(docs, labels, rating, 3, max_train=2500)
+    held = labels.withColumn("y", rating).orderBy(F.xxhash64("doc_id").desc()).limit(1400).select("doc_id", "y")
+    rows = Q.score(docs, model).join(held, "doc_id").groupBy("y").agg(F.avg(F.col("selected").cast("int")).alias("p")).collect()
+    share = {r.y: r.p for r in rows}
+    assert share[0] < 0.03 and share[1] < 0.08 and share[2] > 0.96, share
