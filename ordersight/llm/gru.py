@@ -18,9 +18,9 @@ import heapq
 
 import numpy as np
 
-CLASSES, MEMBERS, BUCKETS, HIDDEN = 16, 32, 16, 8
+#: Chosen by held-out score, see the README.
+CLASSES, MEMBERS, BUCKETS, HIDDEN = 64, 64, 64, 32
 WORDS = CLASSES * MEMBERS
-_PART = 1024
 START = WORDS + BUCKETS
 _SHAPES = {"wx": (START + 1, 3 * HIDDEN), "bx": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN),
            "wc": (HIDDEN, CLASSES + BUCKETS), "bc": (CLASSES + BUCKETS,),
@@ -222,11 +222,11 @@ def train(flat: np.ndarray, square: np.ndarray, docs: list[np.ndarray], window:
           rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """One pass of truncated backpropagation with AdaGrad over the documents; new parameters and sums of squares.
 
-    Long documents are trained in parts of ``_PART`` tokens, each from the first state, so that no few
-    lanes are left to themselves for long. (Scores carry one state through the whole document.)
+    A document is one lane's from its first token to its last, as in scoring: its state is carried over all windows.
+    A window's gradient counts by its share of lanes that go on, so that each token weighs the same and the last
+    lanes' long documents don't steer the model.
     """
     flat, square = flat.copy(), square.copy()
-    docs = [d[i:i + _PART] for d in docs for i in range(0, len(d), _PART)]
     if not docs:
         return flat, square
     inputs, targets, owner, length = streams(docs, width)
@@ -235,6 +235,7 @@ def train(flat: np.ndarray, square: np.ndarray, docs: list[np.ndarray], window:
         n = int((length > at).sum())
         part = slice(at, at + window)
         _, grad, h = gradient(flat, inputs[part, :n], targets[part, :n], owner[part, :n] >= 0, h[:, :n])
+        grad *= n / inputs.shape[1]
         norm = float(np.sqrt((grad * grad).sum()))
         if norm > 1:
             grad /= norm

@@ -88,6 +88,25 @@ def test_training_lowers_held_out_loss():
     assert G.log_likelihood(flat, docs[200:]).sum() > 0.6 * before
 
 
+def test_a_long_document_is_trained_with_one_state():
+    """The start state comes once a document, however many windows it takes."""
+    starts, plain_gradient = [], G.gradient
+
+    def watch(flat, x, y, real, h):
+        starts.append((x == G.START).sum())
+        return plain_gradient(flat, x, y, real, h)
+    G.gradient = watch
+    try:
+        G.train(first(), np.full(G.SIZE, 1e-4, dtype=np.float32), [np.arange(2500, dtype=np.int32) % G.WORDS], width=4)
+    finally:
+        G.gradient = plain_gradient
+    assert sum(starts) == 1 and starts[0] == 1
+
+
+def test_the_model_has_a_thousand_words_of_its_own():
+    assert G.WORDS >= 1024 and G.HIDDEN >= 16 and G.BUCKETS >= 32
+
+
 def brute(docs):
     """doc -> (held_out, n_tokens, n_known, N, base score) and the word counts."""
     split = {k: (zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False,
