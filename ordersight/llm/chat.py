@@ -14,9 +14,9 @@ off again; a line feed in a role is written as ``%0A`` (and ``%`` as ``%25``).
 The loss mask is an array of ``(start, end)`` spans in code points, one for
 each text of a trained role, without marks.
 
-A conversation is one output row, so its turns have to meet in one task; all
-its array steps are linear in their number but for the mask, whose spans are
-appended to an array of references.
+A conversation is one output row, so its turns have to meet in one task. Its
+array steps are linear in their number; the places of the spans are running sums
+inside blocks of turns, and over the blocks.
 
 Defined cases: a null text or role is an empty one. A null turn sorts first;
 ties are sorted by role, then text, so repeated rows are repeated turns. A null
@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_BLOCK, _CUT = 256, 2048
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
 
@@ -48,6 +49,20 @@ def _role_in(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def _sums_by_block(sizes: Column) -> Column:
+    """Running sums inside each block of ``_BLOCK`` numbers."""
+    block = lambda k: F.slice(sizes, k * _BLOCK + 1, F.lit(_BLOCK))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), lambda k: F.aggregate(
+        block(k), F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
+
+
+def _running(sums: Column) -> Column:
+    """Running sums over all blocks: those inside a block, and the total of the blocks before it."""
+    last = lambda a: F.element_at(a, -1)
+    before = F.aggregate(sums, F.array(F.lit(0)), lambda a, s: F.array_append(a, last(a) + last(s)))
+    return F.flatten(F.zip_with(sums, F.slice(before, F.lit(1), F.size(sums)), lambda s, b: F.transform(s, lambda x: x + b)))
+
+
 def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                          text_col: str = "text", train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``conv_id, formatted, loss_spans array<struct<start,end>>``, one row per conversation."""
@@ -74,14 +89,11 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
             F.when(k > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), _role_out(b["role"]), F.lit("\n"))).alias("mark"),
         x.alias("text"), b["role"].isin(*train_roles).alias("train")))))
     rows = rows.withColumn("pieces", pieces)
-    spans = F.aggregate(
-        "pieces", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["mark"]) + F.length(p["text"])).alias("at"),
-            F.when(p["train"], F.array_append(a["spans"], F.struct(
-                (a["at"] + F.length(p["mark"])).alias("start"),
-                (a["at"] + F.length(p["mark"]) + F.length(p["text"])).alias("end")))).otherwise(a["spans"]).alias("spans")),
-        lambda a: a["spans"])
+    rows = rows.withColumn("sizes", F.transform("pieces", lambda p: F.length(p["mark"]) + F.length(p["text"])))
+    rows = rows.withColumn("sums", _sums_by_block(F.col("sizes")))
+    at = F.zip_with("pieces", _running(F.col("sums")), lambda p, e: F.struct(
+        (e - F.length(p["text"])).alias("start"), e.alias("end"), p["train"].alias("train")))
+    spans = F.transform(F.filter(at, lambda x: x["train"]), lambda x: F.struct(x["start"], x["end"]))
     text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(END))
     return rows.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
 
@@ -97,6 +109,15 @@ def parse(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, spans: Column) -> Column:
-    """The texts under the mask, unescaped, one after the other."""
-    return F.array_join(F.transform(spans, lambda s: unescape(
-        F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """The texts under the mask, unescaped, one after the other.
+
+    A place in a string is found by counting from its start, so the string is first cut into blocks.
+    """
+    def text(blocks: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / _CUT), F.floor((s["end"] - 1) / _CUT)
+        near = F.array_join(F.slice(blocks, (first + 1).cast("int"), (F.greatest(last, first) - first + 1).cast("int")), "")
+        return unescape(F.substring(near, (s["start"] - first * _CUT + 1).cast("int"), s["end"] - s["start"]))
+
+    cut = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    # a variable of the outer function, so that the blocks are made once
+    return F.transform(F.array(cut), lambda b: F.array_join(F.transform(spans, lambda s: text(b, s)), ""))[0]
