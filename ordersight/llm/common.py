@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,6 +55,28 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tu
     return df.mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in schema))
 
 
+def foremost(df: DataFrame, n: int, *bins: Column) -> DataFrame:
+    """Rows that hold the first ``n`` by ``bins``, and few others.
+
+    Each of ``bins`` is an ascending integer of a few thousand values, the next one parting the rows of one
+    value of the last. The rows of each bin are counted (only these counts reach the driver), so that an
+    ``orderBy`` and ``limit`` after it get about ``n`` rows in all, where they would get ``n`` of each partition.
+    """
+    whole, rest = [], df
+    for b in bins:
+        sure, cut = n, None
+        for r in sorted(rest.groupBy(b.cast("long").alias("b")).agg(F.count("*").alias("k")).collect()):
+            if r.k >= sure:
+                cut = r.b
+                break
+            sure -= r.k
+        if cut is None:
+            break
+        whole.append(rest.where(b < cut))
+        rest, n = rest.where(b == cut), sure
+    return functools.reduce(DataFrame.unionByName, [*whole, rest])
+
+
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose id is in ``ids.doc_id``; every column of ``df`` is kept as it is."""
     key = "__llm_id"

@@ -61,26 +61,43 @@ def lanes(lengths: list[int], n: int) -> list[list[int]]:
     return sorted((x for x in out if x), key=lambda x: -sum(lengths[d] for d in x))
 
 
-def streams(docs: list[np.ndarray], n: int):
-    """``(inputs, targets, owner, length of each lane)``, arrays of (steps, lanes).
+class Streams:
+    """Documents in ``n`` lanes, as windows of (steps, lanes).
 
-    The input of a document's first step is START; ``owner`` is the document of the target, -1 after a lane's end.
+    The tokens stand lane after lane in flat arrays, so that memory goes with the tokens, however much longer
+    one lane is than the others; a window is gathered when its turn comes.
     """
-    dealt = lanes([len(d) for d in docs], n)
-    length = np.array([sum(len(docs[d]) for d in x) for x in dealt])
-    steps = int(length.max())
-    targets = np.zeros((steps, len(dealt)), dtype=np.int32)
-    inputs = np.full((steps, len(dealt)), START, dtype=np.int32)
-    owner = np.full((steps, len(dealt)), -1, dtype=np.int32)
-    for k, own in enumerate(dealt):
-        at = 0
-        for d in own:
-            m = len(docs[d])
-            targets[at:at + m, k] = docs[d]
-            inputs[at + 1:at + m, k] = docs[d][:-1]
-            owner[at:at + m, k] = d
-            at += m
-    return inputs, targets, owner, length
+
+    def __init__(self, docs: list[np.ndarray], n: int):
+        dealt = lanes([len(d) for d in docs], n)
+        self.length = np.array([sum(len(docs[d]) for d in x) for x in dealt])
+        self.first = np.cumsum(np.r_[0, self.length[:-1]])
+        order = [d for x in dealt for d in x]
+        self.targets = np.concatenate([docs[d] for d in order]).astype(np.int32)
+        sizes = np.array([len(docs[d]) for d in order])
+        self.owner = np.repeat(np.array(order, dtype=np.int32), sizes)
+        self.inputs = np.r_[np.int32(START), self.targets[:-1]]
+        self.inputs[np.cumsum(np.r_[0, sizes[:-1]])] = START
+
+    def windows(self, window: int):
+        """``(inputs, targets, owner)`` of each window, of the lanes that go on: the first ones.
+
+        The input of a document's first step is START; ``owner`` is the document of the target, -1 after a lane's end.
+        """
+        steps = int(self.length[0])
+        for at in range(0, steps, window):
+            n = int((self.length > at).sum())
+            step = np.arange(at, min(at + window, steps))[:, None]
+            inside = step < self.length[:n]
+            where = np.where(inside, self.first[:n] + step, 0)
+            yield (np.where(inside, self.inputs[where], np.int32(START)), np.where(inside, self.targets[where], np.int32(0)),
+                   np.where(inside, self.owner[where], np.int32(-1)))
+
+
+def streams(docs: list[np.ndarray], n: int):
+    """All steps of the lanes as one window, and the length of each lane."""
+    lane = Streams(docs, n)
+    return *next(lane.windows(int(lane.length[0]))), lane.length
 
 
 def _run(p: dict, x: np.ndarray, h: np.ndarray):
@@ -146,14 +163,12 @@ def log_likelihood(flat: np.ndarray, docs: list[np.ndarray], window: int = 32, w
     if not docs:
         return out
     p = views(flat)
-    inputs, targets, owner, length = streams(docs, width)
-    h = np.zeros((HIDDEN, inputs.shape[1]), dtype=np.float32)
-    for at in range(0, len(inputs), window):
-        n = int((length > at).sum())  # lanes are sorted, so the ones that go on are the first
-        part = slice(at, at + window)
-        hs, *_ = _run(p, inputs[part, :n], h[:, :n])
+    lane = Streams(docs, width)
+    h = np.zeros((HIDDEN, len(lane.length)), dtype=np.float32)
+    for inputs, targets, owner in lane.windows(window):
+        hs, *_ = _run(p, inputs, h[:, :inputs.shape[1]])
         h = hs[-1]
-        flat_h, y, who = _rows(hs), targets[part, :n].ravel(), owner[part, :n].ravel()
+        flat_h, y, who = _rows(hs), targets.ravel(), owner.ravel()
         c = _classes(y)
         got = _softmax(flat_h @ p["wc"] + p["bc"], c)[0]
         for k, rows in _by_class(c):
@@ -229,13 +244,11 @@ def train(flat: np.ndarray, square: np.ndarray, docs: list[np.ndarray], window:
     flat, square = flat.copy(), square.copy()
     if not docs:
         return flat, square
-    inputs, targets, owner, length = streams(docs, width)
-    h = np.zeros((HIDDEN, inputs.shape[1]), dtype=np.float32)
-    for at in range(0, len(inputs), window):
-        n = int((length > at).sum())
-        part = slice(at, at + window)
-        _, grad, h = gradient(flat, inputs[part, :n], targets[part, :n], owner[part, :n] >= 0, h[:, :n])
-        grad *= n / inputs.shape[1]
+    lane = Streams(docs, width)
+    h = np.zeros((HIDDEN, len(lane.length)), dtype=np.float32)
+    for inputs, targets, owner in lane.windows(window):
+        _, grad, h = gradient(flat, inputs, targets, owner >= 0, h[:, :inputs.shape[1]])
+        grad *= inputs.shape[1] / len(lane.length)
         norm = float(np.sqrt((grad * grad).sum()))
         if norm > 1:
             grad /= norm

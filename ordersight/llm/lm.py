@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import gru
-from .common import id_text, map_rows, texts
+from .common import foremost, id_text, map_rows, texts
 
 END = b""  # no word is empty
 _COUNTED = 500_000
@@ -191,8 +191,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     vocab = materialize(count_words(split), "lm_vocab")
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
     ends = vocab.where(F.col("word") == F.lit(END)).collect()
-    top = vocab.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(head).collect()
-    known = [(END, ends[0].c if ends else 0)] + [(bytes(r.word), r.c) for r in top]
+    # by count, beyond 4096 in steps of a hundredth, then by hash
+    often = -F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(64 * F.log2(F.col("c") / 4096)))
+    chance = F.xxhash64("word")
+    words = vocab.where(F.col("word") != F.lit(END))
+    top = foremost(words, head, often, F.shiftright(chance, 52)).orderBy(often, chance, "word").limit(head).collect()
+    known = [(END, ends[0].c if ends else 0)] + sorted(((bytes(r.word), r.c) for r in top), key=lambda x: (-x[1], x[0]))
     # Sums over the buckets: the words without a number of their own, and half a count for the unseen.
     named = docs.sparkSession.createDataFrame([(w,) for w, _ in known[:gru.WORDS]], "word binary")
     by_bucket = (vocab.join(F.broadcast(named), "word", "left_anti")

@@ -6,7 +6,10 @@ shape (share of repeated words, of symbols, of capitals, length), each counted
 once a text. With weights ``w`` shared by all grades and ordered thresholds
 ``t_1 <= ... <= t_K``, ``P(grade >= k) = sigmoid(w . x - t_k)``. The expected
 grade is the sum of these, and a text is selected if ``P(grade >= keep_grade)``
-reaches ``min_tail``.
+reaches ``min_tail``. Rare grades weigh more in the fit; where labels are few,
+that alone would put a text without evidence under one half, so a threshold is
+lowered, if need be, until ``least_kept`` of the labelled rows at or above its
+grade are on its upper side.
 
 The fit uses labelled rows only: at most ``max_train`` of them, the ones with
 the smallest hash of their id, so that the bound neither depends on order nor
@@ -18,7 +21,8 @@ Defined cases: a null text is an empty one, whose only features are those of
 its shape. A null id is scored and kept. Labels that are null, or that name no
 document, are not used; a repeated label or labelled document counts once. Without
 labelled rows there is nothing to learn, and every text gets probability 1/2 of
-each tail. An empty table of documents gives no rows. Columns other than id,
+each tail. An empty table of documents gives no rows. A text is
+read whole, however long, in time linear in its length. Columns other than id,
 text and rating are not read; ``select`` keeps them as they are.
 """
 
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, texts
+from .common import foremost, id_text, map_rows, texts
 
 BUCKETS = 1 << 18
 _STEMS = (4, 5)
@@ -79,7 +83,7 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, buckets: int = BUCKETS,
-        min_chi2: float = 20.0, steps: int = 120_000, rate: float = 0.05, shrink: float = 0.3,
+        min_chi2: float = 5.0, least_kept: float = 0.97, steps: int = 120_000, rate: float = 0.05, shrink: float = 0.3,
         balance: float = 1.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds, by AdaGrad steps on the cumulative logistic loss.
 
@@ -120,7 +124,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, buckets: i
             w[x] = np.sign(v) * np.maximum(0, np.abs(v) - step * shrink)
             sq_t += g * g
             t = np.sort(t + rate * g / np.sqrt(sq_t))
-    return w * evidence, t
+    w *= evidence
+    z = np.array([w[x].sum() for x in rows])
+    for k in range(1, n_grades):
+        above = np.sort(z[grades >= k])
+        if len(above):
+            t[k - 1] = min(t[k - 1], above[int((1 - least_kept) * len(above))])
+    return w, np.minimum.accumulate(t[::-1])[::-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, rating: Column, n_grades: int, *, id_col: str = "doc_id",
@@ -128,8 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, rating: Column, n_grades: int, *,
           **options) -> tuple[np.ndarray, np.ndarray]:
     """Fit on the ``max_train`` labelled rows with the smallest hash of their id."""
     rated = (labels.select(F.col(f"`{label_id}`").cast("long").alias("lid"), rating.cast("int").alias("grade"))
-             .where("lid is not null and grade is not null").distinct()
-             .orderBy(F.xxhash64("lid"), "lid", "grade").limit(max_train))
+             .where("lid is not null and grade is not null").distinct())
+    rated = foremost(rated, max_train, F.shiftright(F.xxhash64("lid"), 52)).orderBy(F.xxhash64("lid"), "lid", "grade").limit(max_train)
     chosen = id_text(docs, id_col, text_col).join(F.broadcast(rated), F.col("doc_id") == F.col("lid"))
 
     def run(it):
