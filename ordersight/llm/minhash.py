@@ -20,10 +20,12 @@
    bucket is one task's and none is expanded into rows of pairs.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked
-with nothing. Documents of less than ``width`` words have one shingle. Rows
-with a null id have no component and are kept. Rows of one id are one document
-that has all their links; repeated rows are returned as often as they occur.
-An empty table gives no rows. Columns other than id and text are not read.
+with nothing. Documents of less than ``width`` words have one shingle; longer
+ones are shingled whole, however long. Rows with a null id have no component and
+are kept. Rows of one id are one
+document that has all their links, also if their texts differ; repeated rows are
+returned as often as they occur. An empty table gives no rows. Columns other
+than id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,17 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import id_text, map_rows, texts, with_ids
+from .common import id_text, map_rows, texts
 from .components import components
 
 PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 MAYBE = 0.60
-_BLOCK = 4096
+#: Members of a block, and the sizes of their sets in all, about.
+_BLOCK, _BLOCK_SHINGLES = 4096, 4_000_000
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2)
@@ -85,16 +88,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id, n, key, sig``: set size, digest of the set and signature (null if empty)."""
+    """``doc_id, n, tag, key, sig``: set size, digests of the text and the set, and signature (null if empty)."""
     def run(it):
         for batch in it:
             ids, chunk, held = batch.column(0).to_pylist(), [], 0
             for doc_id, text in zip(ids, texts(batch.column(1)), strict=True):
                 s = shingles(text, width)
                 if not len(s):
-                    yield doc_id, 0, None, None
+                    yield doc_id, 0, None, None, None
                     continue
-                chunk.append((doc_id, s))
+                chunk.append(((doc_id, len(s), hashlib.md5(text).digest()), s))
                 held += len(s)
                 if held > 60_000:
                     yield from signed(chunk)
@@ -103,11 +106,11 @@ def sign(docs: DataFrame, width: int = 5) -> DataFrame:
 
     def signed(chunk):
         if chunk:
-            for (doc_id, s), sig in zip(chunk, signatures([s for _, s in chunk]), strict=True):
-                yield doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.tobytes()
+            for (doc, s), sig in zip(chunk, signatures([s for _, s in chunk]), strict=True):
+                yield *doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.tobytes()
 
     return map_rows(docs, run, [("doc_id", pa.int64(), "long"), ("n", pa.int64(), "long"),
-                                ("key", pa.binary(), "binary"), ("sig", pa.binary(), "binary")])
+                                ("tag", pa.binary(), "binary"), ("key", pa.binary(), "binary"), ("sig", pa.binary(), "binary")])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -244,22 +247,39 @@ def _across(spread: DataFrame, percent: int) -> DataFrame:
 
 def _spread(at: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, dealt to pairs of blocks ``(i, j)``."""
-    mixed = (at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-             .where("lo <> hi").select("key", "k"))
-    blocks = F.ceil(F.col("k") / _BLOCK).cast("long")
+    mixed = (at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(
+        F.ceil(F.count("*") / _BLOCK), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).alias("k")).where("lo <> hi").select("key", "k"))
+    blocks = F.col("k").cast("long")
     return (at.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks))
             .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "k"))
 
 
-def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """Signed documents, and confirmed links ``(a, b)`` between documents, enough to join every component."""
+def _tag(text: str) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed documents, classes ``(key, rep, doc_id, tag)`` and confirmed links ``(a, b)`` between their numbers.
+
+    Documents with equal sets are one class, known by its number ``rep``; ``(doc_id, tag)`` is its smallest
+    document. The links are enough to join every component.
+    """
     signed = materialize(sign(docs, width), "minhash_signed")
     known = signed.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    least = F.min(F.struct("doc_id", "tag")).alias("least")
+    classes = (known.groupBy("key").agg(least, F.min("n").alias("n"), F.min("sig").alias("sig"))
+               .select("key", F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.tag", "n", "sig"))
     classes = materialize(classes, "minhash_classes")
-    copies = (known.select("key", "doc_id").join(classes.select("key", "rep"), "key").where("doc_id <> rep")
-              .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+
+    # Rows of one id with several texts are one document: its classes belong together.
+    several = (known.select("doc_id", F.xxhash64("key").alias("k")).groupBy("doc_id")
+               .agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("doc_id"))
+    own = (known.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct()
+           .join(classes.select("key", "rep"), "key").select("doc_id", "rep"))
+    own = materialize(own, "minhash_several")
+    same = (own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep")
+            .select("a", F.col("rep").alias("b")).distinct())
 
     span = 4 * ROWS
     banded = classes.select("rep", "n", F.posexplode(F.array(*[
@@ -276,18 +296,17 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
     def sets_of(members: DataFrame) -> DataFrame:
         def run(it):
             for batch in it:
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                    s = shingles(text, width)
-                    yield doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()
-        # A repeated id may have several sets: the class tells which is meant.
-        made = map_rows(with_ids(docs, members, "doc_id"), run, [
-            ("rep", pa.int64(), "long"), ("key", pa.binary(), "binary"), ("set", pa.binary(), "binary")])
-        wanted = classes.select("rep", "key")
-        return made.join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep", "key"]).select("rep", "set")
-
-    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+                for rep, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                    yield rep, shingles(text, width).tobytes()
+        # One of the rows of the class's smallest document; the text tells which is meant.
+        wanted = classes.join(members, "rep", "left_semi").select("rep", F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"))
+        rows = (docs.join(wanted, (F.col("doc_id") == F.col("of_id")) & (_tag("text") == F.col("of_tag")))
+                .select("rep", "text").dropDuplicates(["rep"]))
+        return map_rows(rows, run, [("rep", pa.int64(), "long"), ("set", pa.binary(), "binary")])
+
+    ends = stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct()
     tested = materialize(_confirm(stars, materialize(sets_of(ends), "minhash_sets"), percent), "minhash_tested")
-    near = tested.where("linked").select("a", "b")
+    near = tested.where("linked").select("a", "b").unionByName(same)
 
     comps = materialize(components(near), "minhash_joined")
     at = (buckets.select("key", "band", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -303,28 +322,47 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
     wide = _spread(at).join(classes.select("rep", sig8.alias("sig8")).join(own, "rep"), "rep")
     some = materialize(_maybe(wide, percent), "minhash_maybe")
     few = at.join(some, ["key", "rep"], "left_semi")
-    sets = materialize(sets_of(some.select(F.col("rep").alias("doc_id")).distinct()), "minhash_rest")
+    sets = materialize(sets_of(some.select("rep").distinct()), "minhash_rest")
     rest = materialize(_across(_spread(few).join(sets, "rep"), percent), "minhash_rest_links")
-    return signed, copies.unionByName(near).unionByName(rest)
+    return signed, classes.select("key", "rep", "doc_id", "tag"), near.unionByName(rest)
+
+
+def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, doc_id, tag)``: for each class, the smallest document of its component."""
+    comps = materialize(components(found), "minhash_components")
+    of = (classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+          .withColumn("comp", F.coalesce("component", "rep")))
+    least = of.groupBy("comp").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
+    return materialize(of.select("key", "comp").join(least, "comp").select("key", "least.doc_id", "least.tag"), "minhash_named")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
-    signed, found = links(id_text(docs, id_col, text_col), width=width, percent=percent)
-    comps = materialize(components(found), "minhash_components")
-    return (signed.select("doc_id", F.col("n").alias("n_shingles"))
-            .join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
-
-
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The smallest document of each component, once, and the rows without an id; columns stay as they are."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where("kept and doc_id is not null").select("doc_id")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    named = with_ids(docs, kept, id_col)
-    if repeated:
-        named = named.dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    signed, classes, found = links(id_text(docs, id_col, text_col), width=width, percent=percent)
+    named = _named(classes, found).select("key", F.col("doc_id").alias("component_id"))
+    linked = signed.where("n > 0 and doc_id is not null").join(named, "key").select("doc_id", "n", "component_id")
+    # an id whose other rows have words belongs to the component of these
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n")
+    shared = alone.where("doc_id is not null").join(
+        linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id")
+    return (linked.unionByName(shared)
+            .unionByName(alone.join(shared.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("component_id", F.col("doc_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                percent: int = 75) -> DataFrame:
+    """One document of each component, all without words and all without an id; columns stay as they are.
+
+    The one that stays has the smallest id; of several texts with this id, the one of smallest digest, once.
+    """
+    _, classes, found = links(id_text(docs, id_col, text_col), width=width, percent=percent)
+    kept = _named(classes, found).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    free = own.isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = docs.join(kept, (own == F.col("__id")) & (F.unhex(F.md5(text)) == F.col("__tag")))
+    if named.groupBy("__id", "__tag").count().where("count > 1").limit(1).count():
+        named = named.dropDuplicates(["__id", "__tag"])
+    return named.drop("__id", "__tag").unionByName(docs.where(free))

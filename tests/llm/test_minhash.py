@@ -125,3 +125,38 @@ def test_query_equals_brute_force(spark):
     rows = op5_minhash(spark, sf).collect()
     assert {r.doc_id: r.component_id for r in rows} == want
     assert {r.doc_id: r.n_shingles for r in rows} == {d: len(shingle_set(t)) for d, t in docs}
+
+
+def brute_by_id(docs):
+    """Component of each id that may have several texts: an id is one document with all their links."""
+    sets = [(d, shingle_set(t)) for d, t in docs if d is not None]
+    parent = {d: d for d, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1:]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {d: find(d) for d in parent}
+
+
+def test_ids_with_several_texts(spark):
+    """The smallest id of several classes, ids with two and three texts, null ids and empty texts among them."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    docs = [(1, a), (2, a + " more"), (1, b), (3, b + " more"), (1, c), (4, c), (1, None), (1, ""),
+            (7, a[:200] + " other"), (8, "one two three four five"), (8, "six seven eight nine ten"),
+            (9, "six seven eight nine ten"), (10, "one two three four five"), (8, "six seven eight nine ten"),
+            (None, a), (None, a), (None, None), (11, None), (12, "alone in the world it is")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = M.near_duplicates(df).collect()
+    assert len(rows) == len(docs)
+    want = brute_by_id(docs)
+    assert {(r.doc_id, r.component_id) for r in rows if r.doc_id is not None} == set(want.items())
+    assert {r.component_id for r in rows if r.doc_id is None} == {None}
+    left = M.deduplicate(df).collect()
+    assert sorted(r.doc_id for r in left if r.text and r.doc_id) == sorted({find for d, find in want.items() if d != 11})
+    assert sum(r.doc_id is None for r in left) == 3 and sum(not r.text for r in left) == 4
