@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hnsw, html, lm, minhash, pii, quality, warc
+from . import chat, decontaminate, hnsw, html, lm, maxscore, minhash, pii, quality, warc
 from ..session import scratch_path
 from .common import read
 from .packing import pack
@@ -152,6 +152,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors, by integer inner product, for every twentieth vector."""
+    return maxscore.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 20
+"""
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_pii": op2_pii,
@@ -163,9 +181,11 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_html": op10_html,
+    "op11_maxscore": op11_maxscore,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op6_warc": OP6_SQL,
     "op8_chat": OP8_SQL,
+    "op11_maxscore": OP11_SQL,
 }
