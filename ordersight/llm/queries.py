@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hnsw, html, lm, maxscore, minhash, pii, quality, warc
+from . import chat, decontaminate, hnsw, html, lm, maxscore, minhash, pii, quality, spelling, warc
 from ..session import scratch_path
 from .common import read
 from .packing import pack
@@ -170,6 +170,11 @@ QUALIFY row_number() OVER w <= 20
 """
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its more frequent form and its root."""
+    return spelling.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_pii": op2_pii,
@@ -182,6 +187,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_html": op10_html,
     "op11_maxscore": op11_maxscore,
+    "op12_spelling": op12_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
