@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hnsw, html, lm, maxscore, minhash, pii, quality, spelling, warc
+from . import chat, decontaminate, hnsw, html, lm, maxscore, merkle, minhash, pii, quality, spelling, warc
 from ..session import scratch_path
 from .common import read
 from .packing import pack
@@ -175,6 +175,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and what the proofs tell where a text was changed."""
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
 QUERIES = {
     "op1_hnsw": op1_hnsw,
     "op2_pii": op2_pii,
@@ -188,6 +193,7 @@ QUERIES = {
     "op10_html": op10_html,
     "op11_maxscore": op11_maxscore,
     "op12_spelling": op12_spelling,
+    "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
