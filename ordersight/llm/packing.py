@@ -38,7 +38,8 @@ SCHEMA = [("doc_id", pa.int64(), "long"), ("start", pa.int64(), "long"), ("lengt
           ("ids_crc32", pa.int64(), "long"), ("doc_tokens", pa.int64(), "long"),
           ("sequence_id", pa.int64(), "long"), ("offset", pa.int64(), "long"),
           ("tier", pa.int64(), "long"), ("step_group", pa.int64(), "long")]
-_CACHE_ENTRIES = 250_000
+#: Words in a generation of the cache; a full one is kept until the next is full, so that frequent words stay.
+_GENERATION = 250_000
 
 
 class Encoder:
@@ -46,51 +47,78 @@ class Encoder:
 
     Words between ASCII white space are tokenized on their own, which equals
     tokenizing the text because the tokenizer drops white space. Texts that are
-    not in normal form C, or with a capital sigma (whose lower case depends on
-    its place), go to the tokenizer whole.
+    not in normal form C, with a capital sigma (whose lower case depends on its
+    place) or with one of the tokenizer's added tokens (found before anything
+    else) go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        marks = {w: w[-1:] if w[-1:] in (".", ",") else "" for w in new}
-        stems = {w: w[:-1] if m else w for w, m in marks.items()}
-        plain = list(dict.fromkeys(x for x in stems.values() if x.isalpha() and x not in self.words))
-        odd = [w for w, x in stems.items() if not x.isalpha()] + [p for p in (".", ",") if p not in self.words]
-        if plain:
-            # Words of letters only are one pre-token each: one call encodes them all.
-            got = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            ids, at = np.asarray(got.ids, dtype="<u4"), np.asarray(got.word_ids)
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            if len(cuts) + 1 == len(plain):
-                edges = [0, *cuts.tolist(), len(ids)]
-                self.words.update((w, ids[a:b].tobytes()) for w, a, b in zip(plain, edges, edges[1:], strict=False))
-            else:
-                odd += plain
-        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            self.words[w] = self._ids(e.ids)
-        for w, x in stems.items():
-            if x.isalpha() and marks[w]:
-                self.words[w] = self.words[x] + self.words[marks[w]]
+    def _unknown(self, words: set[str]) -> set[str]:
+        """The words whose ids are not at hand; those of the generation before are taken over."""
+        new = words.difference(self.words)
+        old = new.intersection(self.before)
+        self.words.update((w, self.before[w]) for w in old)
+        return new - old
+
+    def _learn(self, words: set[str]) -> None:
+        """Two calls for all words: of letters only, which are one pre-token each, and others."""
+        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[:-1].isalpha()}  # the first part is often known
+        todo = self._unknown({".", ",", *stems.values()}) | (words - stems.keys())
+        for one_each in (True, False):
+            some = [w for w in todo if w.isalpha() == one_each]
+            if not some:
+                continue
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.asarray(got.ids, dtype="<u4")
+            if one_each and got.word_ids[-1] == len(some) - 1:
+                cuts = np.searchsorted(np.asarray(got.word_ids), np.arange(len(some) + 1)).tolist()
+            else:  # a token belongs to the last word that begins at or before it
+                begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+                cuts = np.searchsorted(np.array([a for a, _ in got.offsets]), begins).tolist()
+            whole = ids.tobytes()
+            self.words.update((w, whole[4 * a:4 * b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+        self.words.update((w, self.words[x] + self.words[w[-1]]) for w, x in stems.items())
 
     def encode(self, text: str) -> bytes:
-        if "Σ" in text or not unicodedata.is_normalized("NFC", text):
-            return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.lower().split(" ") if "\n" not in text else text.lower().replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            if len(self.words) > _CACHE_ENTRIES:
-                self.words.clear()
-            self._learn({w for w in words if w not in self.words})
-            return b"".join([self.words[w] for w in words])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts; words that are new to all of them are tokenized together."""
+        split: list[list[str] | None] = []
+        for text in texts:
+            low = text.lower()
+            plain = "Σ" not in text and unicodedata.is_normalized("NFC", text) and not any(map(low.__contains__, self.special))
+            split.append((low.replace("\n", " ") if "\n" in low else low).split(" ") if plain else None)
+        if len(self.words) > _GENERATION:
+            self.before, self.words = self.words, {}
+        new = self._unknown(set().union(*(x for x in split if x)))
+        if new:
+            self._learn(new)
+        find = self.words.__getitem__
+        return [self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids) if x is None else b"".join(map(find, x))
+                for text, x in zip(texts, split, strict=True)]
+
+
+def _portions(batch: pa.RecordBatch, chars: int = 1_000_000):
+    """``(ids, texts)`` of a batch, a few at a time: texts of about ``chars`` in all, or one longer one."""
+    ids, some, held = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc_id)
+        some.append(text.as_py() or "")
+        held += len(some[-1])
+        if held >= chars:
+            yield ids, some
+            ids, some, held = [], [], 0
+    yield ids, some
 
 
 @functools.lru_cache(maxsize=2)
@@ -192,13 +220,13 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             block.clear()
 
         for batch in it:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + end
-                block.append((doc_id, ids))
-                held += len(ids) // 4
-                if held >= block_tokens:
-                    yield from flush()
-                    held = 0
+            for doc_ids, some in _portions(batch):
+                for doc_id, ids in zip(doc_ids, enc.encode_all(some), strict=True):
+                    block.append((doc_id, ids + end))
+                    held += len(ids) // 4 + 1
+                    if held >= block_tokens:
+                        yield from flush()
+                        held = 0
         yield from flush()
 
     return map_rows(id_text(docs, id_col, text_col), run, SCHEMA)

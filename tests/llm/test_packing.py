@@ -16,11 +16,10 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.sampled_from(
-    ["The Cat, sat.", "ΣΑΣ Σ", "é É", "it's 12x²", "<|endoftext|> a\tb", "...", "İI K"])), max_size=4))
+    ["The Cat, sat.", "ΣΑΣ Σ", "é É", "it's 12x²", "<|endoftext|> a\tb", "x<|ENDOFTEXT|>y", "<|startoftext|>", "...", "İI K"])), max_size=4))
 def test_cached_encoding_equals_whole_text(parts):
     text = " ".join(parts)
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     got = np.frombuffer(Encoder(PATH).encode(text), dtype="<u4").tolist()
     assert got == t.encode(text, add_special_tokens=False).ids
 

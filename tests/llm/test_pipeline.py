@@ -48,7 +48,6 @@ def test_stages_equal_brute_force(spark):
     assert all(r.n_chars == len(r.text) and r.lang == rows[d].lang for d, r in got.items())
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     pieces = {}
     for r in CP.run(spark, SF).collect():
         pieces.setdefault(r.doc_id, []).append(r)
