@@ -5,8 +5,10 @@ punctuation, white space and control characters, with A-Z in lower case. Each
 document is scanned once: the hash of every window goes through a broadcast
 hash join on the item windows, and a hit counts only if the words themselves
 are equal. Only hits are shuffled. The broadcast is made if the item windows
-are counted to be at most ``max_broadcast``; beyond that, the windows
-themselves are joined by shuffling, with the same result.
+are counted to be at most ``max_broadcast``, and their bytes at most
+``max_broadcast_bytes``; beyond that, the windows themselves are joined by
+shuffling, with the same result. The cost of a text is in proportion to its
+length, however long it is.
 
 Defined cases: a null or wordless text has no words and is never hit; a null or
 wordless item has no windows; an item shorter than the window is one window of
@@ -23,9 +25,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, without_ids
+from .common import id_text
 
 WINDOW = 10
+_RUN = 2048
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
 
@@ -50,40 +53,53 @@ def item_windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "
 
 def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
          item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-         max_broadcast: int = 1_000_000) -> DataFrame:
+         max_broadcast: int = 1_000_000, max_broadcast_bytes: int = 128 << 20) -> DataFrame:
     """One row per document: ``doc_id, n_words, hits, items``.
 
     ``hits``: sorted array of ``(start, end)`` word positions of the matched
     windows, from 0, end exclusive; ``items``: sorted ids of the items with a
     window in the document.
     """
-    grams = item_windows(items, id_col=item_id_col, text_col=item_text_col, window=window)
-    sizes = {r.n: r.k for r in grams.groupBy("n").agg(F.count("*").alias("k")).collect()}  # at most `window` rows
-    lengths, small = sorted(sizes, reverse=True), sum(sizes.values()) <= max_broadcast
+    doc = id_text(docs, id_col, text_col).select("doc_id", words(F.col("text")).alias("w"))
+    return _scan(doc, item_windows(items, id_col=item_id_col, text_col=item_text_col, window=window),
+                 max_broadcast, max_broadcast_bytes)
 
-    n_words = F.size("w")
-    doc = (id_text(docs, id_col, text_col)
-           .select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w")))
+
+def _scan(doc: DataFrame, grams: DataFrame, max_broadcast: int = 1_000_000, max_broadcast_bytes: int = 128 << 20) -> DataFrame:
+    """``scan`` for documents ``(doc_id, w)``, whose id may be of any type."""
+    size_of = F.octet_length(F.array_join("gram", " ")) + 64
+    sizes = grams.groupBy("n").agg(F.count("*").alias("k"), F.sum(size_of).alias("bytes")).collect()  # a row a length
+    lengths = sorted((r.n for r in sizes), reverse=True)
+    small = sum(r.k for r in sizes) <= max_broadcast and sum(r.bytes for r in sizes) <= max_broadcast_bytes
+
+    # A document in runs of `_RUN` windows, so that neither a row nor the array of a run grows with the text.
+    n_words, longest = F.size("w"), max(lengths, default=1)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n_words / _RUN), F.lit(1)).cast("int") - 1),
+                       lambda k: F.slice("w", k * _RUN + 1, F.lit(_RUN + longest - 1)))
+    run = (doc.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), runs.alias("runs"))
+           .select("row", "doc_id", "n_words", F.posexplode("runs").alias("run", "w")))
 
     def windows_of(n: int) -> Column:
-        """Of each window of n words: its hash, or the words themselves if they are to be shuffled."""
-        at = F.sequence(F.lit(1), n_words - n + 1)
-        gram = lambda i: F.slice("w", i, n)
-        return F.when(n_words >= n, F.transform(at, lambda i: F.xxhash64(gram(i)) if small else gram(i)))
+        """Of each window of n words that begins in the run: its hash and the words themselves."""
+        count = F.least(F.lit(_RUN), n_words - n + 1)
+        grams_of = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice("w", i, n))
+        return F.when(count > 0, F.transform(grams_of, lambda g: F.struct(
+            (F.xxhash64(g) if small else F.lit(0).cast("long")).alias("key"), g.alias("gram"))))
 
     # Element 0 stands for the document itself, so that documents without a hit stay.
-    none = F.array(F.lit(0).cast("long")) if small else F.array(F.array().cast("array<string>"))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("key"), F.array().cast("array<string>").alias("gram")))
     parts = [F.coalesce(windows_of(n), F.slice(none, 1, 0)) for n in lengths]
     end, first = F.lit(1), []  # of each length, the element of its first window
     for n in lengths:
         first.append(end)
-        end = end + F.greatest(n_words - n + 1, F.lit(0))
+        end = end + F.greatest(F.least(F.lit(_RUN), F.col("n_run") - n + 1), F.lit(0))
     n_col, at_col = F.lit(0), F.lit(0)
     for n, begin in zip(lengths, first, strict=True):
         n_col, at_col = F.when(F.col("pos") >= begin, F.lit(n)).otherwise(n_col), \
-            F.when(F.col("pos") >= begin, F.col("pos") - begin).otherwise(at_col)
-    marks = (doc.select("row", "doc_id", "w", F.posexplode(F.concat(none, *parts)).alias("pos", "key"))
-             .select("row", "doc_id", "w", "pos", "key"))
+            F.when(F.col("pos") >= begin, F.col("run") * _RUN + F.col("pos") - begin).otherwise(at_col)
+    marks = (run.select("row", "doc_id", "n_words", "run", n_words.alias("n_run"), F.concat(none, *parts).alias("all"))
+             .select("row", "doc_id", "n_words", "run", "n_run", F.posexplode("all").alias("pos", "x"))
+             .select("row", "doc_id", "n_words", "run", "n_run", "pos", F.col("x.key").alias("key"), F.col("x.gram").alias("gram")))
 
     itself = grams.sparkSession.createDataFrame([([], 0, [])], "gram array<string>, n int, items array<long>")
     table = itself.unionByName(grams).withColumnsRenamed({"gram": "g_gram", "n": "g_n", "items": "g_items"})
@@ -91,17 +107,11 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     if small:
         table = table.withColumn("g_key", F.when(F.col("g_n") == 0, F.lit(0).cast("long"))
                                  .otherwise(F.xxhash64("g_gram")))
-        found = (marks.join(F.broadcast(table), (F.col("key") == F.col("g_key")) & same)
-                 .where((F.col("pos") == 0) | (F.slice("w", at_col + 1, F.greatest(n_col, F.lit(1)))
-                                               == F.col("g_gram"))))
+        found = marks.join(F.broadcast(table), (F.col("key") == F.col("g_key")) & same).where(F.col("gram") == F.col("g_gram"))
     else:
-        found = (marks.withColumn("pos_at", at_col).withColumn("pos_n", n_col).withColumn("size", n_words).drop("w")
-                 .join(table, (F.col("key") == F.col("g_gram")) & same))
-    start = at_col if small else F.col("pos_at")
-    length = n_col if small else F.col("pos_n")
-    size = n_words if small else F.col("size")
-    hit = F.when(F.col("pos") > 0, F.struct(start.alias("start"), (start + length).alias("end")))
-    rows = found.select("row", "doc_id", size.cast("long").alias("n_words"), hit.alias("hit"),
+        found = marks.join(table, (F.col("gram") == F.col("g_gram")) & same)
+    hit = F.when(F.col("pos") > 0, F.struct(at_col.alias("start"), (at_col + n_col).alias("end")))
+    rows = found.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), hit.alias("hit"),
                         F.when(F.col("pos") > 0, F.col("g_items")).alias("own"))
     return (rows.groupBy("row", "doc_id", "n_words")
             .agg(F.array_sort(F.collect_list("hit")).alias("hits"),
@@ -118,11 +128,16 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, step, lambda a: a.n.cast("long"))
 
 
-def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id",
+          item_text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """The documents without those that hold a benchmark window; their columns stay as they are.
 
-    Documents are told by their id: all rows of an id go if one is hit, and rows without an id stay.
+    Documents are told by the digest of their text, which alone decides: rows without an id go if they
+    are hit, and rows that share an id with one that is hit stay if they aren't.
     """
-    hit = (scan(docs, items, id_col=id_col, text_col=text_col, **options)
-           .where(F.size("hits") > 0).select("doc_id"))
-    return without_ids(docs, hit, id_col)
+    digest = lambda text: F.unhex(F.md5(text.cast("string")))
+    text = F.col(f"`{text_col}`")
+    doc = docs.select(digest(text).alias("doc_id"), words(text.cast("string")).alias("w"))
+    found = _scan(doc, item_windows(items, id_col=item_id_col, text_col=item_text_col, window=window), **options)
+    hit = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__llm_digest")).distinct()
+    return docs.join(hit, digest(text) == F.col("__llm_digest"), "left_anti")
