@@ -113,6 +113,9 @@ ONE_HOT_COLUMNS = [
     "phone_area_code", "most_frequent_product", "billing_company_category",
 ]
 
+#: Of these, the columns whose values grow with the number of customers.
+OPEN_ENDED_COLUMNS = ("billing_zip_main", "shipping_zip_main", "email_domain", "phone_area_code")
+
 # The column after which the saved training table lists features.
 FEATURE_MARKER = "repeat_purchase_amount"
 

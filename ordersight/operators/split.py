@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import materialize
 
 BUCKETS = 10000
 
@@ -39,6 +42,39 @@ def person_split(df: DataFrame, person: str = "person_id", label: str = "repeat_
                       split_side(person, test_fraction, seed).alias("split"))
 
 
+def stratified_split(persons: DataFrame, person: str = "person_id", stratum: str = "has_positive", *,
+                     test_percent: int = 20, seed: int = 42) -> DataFrame:
+    """``persons`` with ``split``: exactly ``test_percent`` of all persons are in the test, in proportion from each stratum (M1).
+
+    The test has ``ceil(test_percent * n / 100)`` persons; a stratum gives its share rounded down, and the strata
+    of largest remainder one more (ties: the smaller stratum). In each stratum they are the persons with the
+    smallest hash. A histogram of the hash's buckets tells the bucket that holds the last of them, and only the
+    persons of that bucket, one in 10,000, are ranked; so no stratum is sorted in one task.
+    """
+    rows = materialize(persons.where(F.col(person).isNotNull()).withColumn("_bucket", person_bucket(person, seed)), "persons")
+    bins = rows.groupBy(stratum, "_bucket").agg(F.count("*").alias("_n"))
+    # one row for each stratum
+    sizes = sorted(((r[stratum], r["n"]) for r in bins.groupBy(stratum).agg(F.sum("_n").alias("n")).collect()), key=repr)
+    total = sum(n for _, n in sizes)
+    quota = -(-total * test_percent // 100)
+    taken = [quota * n // total for _, n in sizes]
+    for k in sorted(range(len(sizes)), key=lambda k: (-(quota * sizes[k][1] % total), k))[:quota - sum(taken)]:
+        taken[k] += 1
+    wanted = rows.sparkSession.createDataFrame([(s, t) for (s, _), t in zip(sizes, taken, strict=True)],
+                                               T.StructType([T.StructField("_of", rows.schema[stratum].dataType),
+                                                             T.StructField("_take", T.LongType())]))
+    upto = W.partitionBy(stratum).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # 10,000 rows a stratum
+    cut = (bins.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+           .join(F.broadcast(wanted), F.col(stratum).eqNullSafe(F.col("_of")))
+           .where("_before < _take and _take <= _before + _n")
+           .select(F.col(stratum).alias("_stratum"), F.col("_bucket").alias("_cut"), (F.col("_take") - F.col("_before")).alias("_left")))
+    at = rows.join(F.broadcast(cut), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    whole = at.where("_cut is null or _bucket <> _cut").withColumn("split", F.when(F.col("_bucket") < F.col("_cut"), "test").otherwise("train"))
+    order = W.partitionBy("_stratum").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(person).cast("string"))), person)
+    last = at.where("_bucket = _cut").withColumn("split", F.when(F.row_number().over(order) <= F.col("_left"), "test").otherwise("train"))
+    return whole.unionByName(last).drop("_bucket", "_stratum", "_cut", "_left")
+
+
 def with_split(df: DataFrame, person: str = "person_id", test_fraction: float = 0.2,
                seed: int = 42) -> DataFrame:
     """Carry the split as a column on every row (P8) — no join needed."""

@@ -515,6 +515,43 @@ def one_hot_sparse(spark, d):
     return v.select("p_partkey", (F.array_position(a, 1.0) - 1).alias("slot"), F.size(a).cast("long").alias("slots"))
 
 
+@query("saved_levels")
+def saved_levels(spark, d):
+    """Slots of a table by levels saved from another one: training part names (key not divisible by 3)
+    are stored, and all parts, every seventh with a new name, get the training slots or the unknown one."""
+    from ..operators import contract as CT
+    p = S.table(spark, d, "part").select("p_partkey", "p_name")
+    path = scratch_path(spark, f"ordersight/levels/{uuid.uuid4().hex}")
+    train = p.where("p_partkey % 3 <> 0")
+    CT.write_contract(train, CT.fit_levels(train, ["p_name"]), path)
+    saved = CT.read_contract(spark, path).levels
+    counts = CT.level_counts(saved)
+    later = p.withColumn("p_name", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("new "), "p_name")).otherwise(F.col("p_name")))
+    v = CT.one_hot_saved(later, ["p_name"], saved, counts)
+    from pyspark.ml.functions import vector_to_array
+    a = vector_to_array("p_name_vec")
+    return v.select("p_partkey", (F.array_position(a, 1.0) - 1).alias("slot"), F.size(a).cast("long").alias("slots"))
+
+
+@query("contract_serving")
+def contract_serving(spark, d):
+    """S6 + E2 + E1: the cleaning job run for training on the customers of even keys, which stores its contract,
+    and for serving on the others, which reads it: slots of two sparse columns, and aligned features."""
+    from pyspark.ml.functions import vector_to_array
+
+    from .clean import serving_features, training_features
+    path = scratch_path(spark, f"ordersight/contract/{uuid.uuid4().hex}")
+    raw, even = S.raw_orders(spark, d), F.col("customer_id").cast("long") % 2 == 0
+    rest = {"bundles": S.TEST_BUNDLES, "whitelist": S.TEST_WHITELIST}
+    census, names = S.census(spark, d), S.names(spark, d)
+    training_features(raw.where(even), census, names, path, **rest)
+    out = serving_features(raw.where(~even), census, names, path, **rest)
+    slot = lambda c: (F.array_position(vector_to_array(f"{c}_vec"), 1.0) - 1)
+    return out.select(F.col("order_id").cast("long").alias("order_id"), slot("billing_zip_main").alias("zip_slot"),
+                      slot("email_domain").alias("domain_slot"), F.size(vector_to_array("email_domain_vec")).cast("long").alias("domains"),
+                      "email_category_PERSONAL", "number_of_past_orders", "billing_email")
+
+
 @query("align_schema")
 def align_schema(spark, d):
     """E2 + U3 + S6: serving-mode alignment to a saved training schema (missing
@@ -528,6 +565,13 @@ MODEL_FEATURES = ["order_total", "time_since_last_purchase", "number_of_past_ord
                   "missing_feature"]
 
 
+@query("stratified_split")
+def stratified_split(spark, d):
+    """M1: the exact stratified split: a fifth of all persons, in proportion from those with and without a positive."""
+    per = SP.person_split(_labelled_orders(spark, d)).select("person_id", "has_positive")
+    return SP.stratified_split(per)
+
+
 @query("model_input")
 def model_input(spark, d):
     """P6 + P7 + P11 + P12: model matrix (drop lists, booleans 0/1, nulls -1, floats)
@@ -572,6 +616,25 @@ def train_return_boosted(spark, d):
     return _with_importances(res)
 
 
+@query("train_forest_min_split")
+def train_forest_min_split(spark, d):
+    """M3: "will return" random forest with "min samples to split" in the grid (2, 5, 10; depth 5/8, 20 trees), each
+    forest fitted once and its node table collapsed for every value."""
+    t = S.model_table(spark, d)
+    res = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", run="return_forest_min_split",
+                                grid={"maxDepth": [5, 8], "minSamplesSplit": [2, 5, 10]}, numTrees=20)
+    return _with_importances(res)
+
+
+@query("train_boosted_weight_factor")
+def train_boosted_weight_factor(spark, d):
+    """M5: "will return" boosted trees with the positive weight once and twice neg/pos (10 rounds, depth 3)."""
+    t = S.model_table(spark, d)
+    res = TR.train_return_model(t, S.MODEL_FEATURES, kind="boosted", run="return_boosted_weight_factor",
+                                grid={"weightFactor": [1.0, 2.0]}, maxIter=10, maxDepth=3)
+    return _with_importances(res)
+
+
 @query("train_return_forest_baseline")
 def train_return_forest_baseline(spark, d):
     """M2: the baseline "will return" random forest, 100 trees, no grid."""

@@ -615,6 +615,17 @@ SELECT person_id, CAST(max(CASE WHEN repeat_customer > 0 THEN 1 ELSE 0 END) AS I
        {_bucket('person_id')} AS bucket, {_side('person_id')} AS split
 FROM hist WHERE person_id IS NOT NULL GROUP BY person_id"""
 
+ORACLE_SQL["stratified_split"] = _with(HIST) + f"""
+, per AS (SELECT person_id, CAST(max(CASE WHEN repeat_customer > 0 THEN 1 ELSE 0 END) AS INTEGER) AS has_positive
+          FROM hist WHERE person_id IS NOT NULL GROUP BY person_id),
+s AS (SELECT has_positive, count(*) AS n, (SELECT count(*) FROM per) AS total FROM per GROUP BY has_positive),
+q AS (SELECT *, CAST(ceil(total / 5.0) AS BIGINT) AS quota FROM s),
+f AS (SELECT *, quota * n // total AS base, row_number() OVER (ORDER BY quota * n % total DESC, has_positive) AS k FROM q),
+t AS (SELECT has_positive, base + CASE WHEN k <= quota - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS take FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY has_positive
+        ORDER BY {_bucket('person_id')}, md5('42|' || person_id::VARCHAR), person_id) AS rn FROM per)
+SELECT person_id, has_positive, CASE WHEN rn <= take THEN 'test' ELSE 'train' END AS split FROM r JOIN t USING (has_positive)"""
+
 ORACLE_SQL["split_leak_check"] = _with(LAB) + """,
 per AS (SELECT person_id, count(DISTINCT split) AS sides FROM lab GROUP BY person_id)
 SELECT CAST(count(CASE WHEN sides > 1 THEN 1 END) AS BIGINT) AS overlap FROM per"""
@@ -847,6 +858,26 @@ ORACLE_SQL["one_hot"] = "SELECT c_custkey, " + ", ".join(
     f"coalesce(c_mktsegment = '{v}', false) AS c_mktsegment_{v}"
     for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer"
 
+ORACLE_SQL["saved_levels"] = """
+WITH l AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS slot
+           FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 3 <> 0)),
+p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name FROM part)
+SELECT p_partkey, coalesce(slot, (SELECT count(*) FROM l))::BIGINT AS slot, (SELECT count(*) + 1 FROM l)::BIGINT AS slots
+FROM p LEFT JOIN l USING (p_name)
+"""
+
+ORACLE_SQL["contract_serving"] = _with(CLEANED) + """,
+tr AS (SELECT * FROM cl WHERE c_custkey % 2 = 0),
+cs AS (SELECT * FROM cl WHERE c_custkey % 2 <> 0),""" + hist_sql("cs", "person_id", "order_id", "ts", "order_total") + """,
+lz AS (SELECT zm, row_number() OVER (ORDER BY zm) - 1 AS slot FROM (SELECT DISTINCT zm FROM tr WHERE zm IS NOT NULL)),
+ld AS (SELECT email_domain, row_number() OVER (ORDER BY email_domain) - 1 AS slot
+       FROM (SELECT DISTINCT email_domain FROM tr WHERE email_domain IS NOT NULL))
+SELECT cs.order_id, coalesce(lz.slot, (SELECT count(*) FROM lz))::BIGINT AS zip_slot,
+       coalesce(ld.slot, (SELECT count(*) FROM ld))::BIGINT AS domain_slot, (SELECT count(*) + 1 FROM ld)::BIGINT AS domains,
+       coalesce(email_category = 'PERSONAL', FALSE) AS "email_category_PERSONAL", number_of_past_orders, billing_email
+FROM cs LEFT JOIN hist USING (order_id) LEFT JOIN lz ON lz.zm = cs.zm LEFT JOIN ld ON ld.email_domain = cs.email_domain
+"""
+
 ORACLE_SQL["one_hot_sparse"] = """
 WITH l AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS slot FROM (SELECT DISTINCT p_name FROM part))
 SELECT p_partkey, slot::BIGINT AS slot, (SELECT count(*) + 1 FROM l)::BIGINT AS slots FROM part JOIN l USING (p_name)
