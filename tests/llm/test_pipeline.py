@@ -63,4 +63,4 @@ def test_registered():
     import __spark_entry__ as E
     assert E.queries()["pipeline"] is CP.run and len(CP.STAGES) == 5
     numbers = {n.split("_")[0] for n in E.queries() if n.startswith("op")}
-    assert numbers <= {f"op{k}" for k in range(1, 11)}
+    assert numbers <= {f"op{k}" for k in range(1, 14)}
