@@ -73,7 +73,7 @@ def test_published_grids_are_the_defaults():
     from ordersight.operators import models as MD
     size = lambda g: math.prod(len(v) for v in g.values())
     assert [size(g) for g in (MD.RETURN_FOREST_GRID, MD.RETURN_BOOSTED_GRID, MD.SKU_FOREST_GRID,
-                              MD.CATEGORY_FOREST_GRID)] == [18, 144, 36, 6]
+                              MD.CATEGORY_FOREST_GRID)] == [54, 288, 108, 6]
     assert MD.NEURAL_LAYERS == (256, 128, 64)
 
 
