@@ -39,7 +39,13 @@ SCHEMA = [("doc_id", pa.int64(), "long"), ("start", pa.int64(), "long"), ("lengt
           ("sequence_id", pa.int64(), "long"), ("offset", pa.int64(), "long"),
           ("tier", pa.int64(), "long"), ("step_group", pa.int64(), "long")]
 #: Words in a generation of the cache; a full one is kept until the next is full, so that frequent words stay.
-_GENERATION = 250_000
+_GENERATION = 400_000
+_CALL = 500
+
+
+def _letters(word: str) -> bool:
+    """Whether a word has only Latin, Greek or Cyrillic letters, of which all Unicode versions in use know the same."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0530")
 
 
 class Encoder:
@@ -53,8 +59,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        # For words of letters only, in lower case and normal form, nothing is left to normalise or to split but blanks.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -70,24 +81,26 @@ class Encoder:
         return new - old
 
     def _learn(self, words: set[str]) -> None:
-        """Two calls for all words: of letters only, which are one pre-token each, and others."""
-        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[:-1].isalpha()}  # the first part is often known
+        """Words of letters only are one pre-token each; for others, a token is the last word's that begins at or before it."""
+        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and _letters(w[:-1])}  # the first part is often known
         todo = self._unknown({".", ",", *stems.values()}) | (words - stems.keys())
-        for one_each in (True, False):
-            some = [w for w in todo if w.isalpha() == one_each]
-            if not some:
-                continue
+        plain = [w for w in todo if _letters(w)]
+        for k in range(0, len(plain), _CALL):
+            some = plain[k:k + _CALL]
+            got = self.letters.encode(" ".join(some), add_special_tokens=False)
+            self._take(some, got.ids, got.word_ids, np.arange(len(some) + 1))
+        odd = [w for w in todo if not _letters(w)]
+        for k in range(0, len(odd), _CALL):
+            some = odd[k:k + _CALL]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.asarray(got.ids, dtype="<u4")
-            if one_each and got.word_ids[-1] == len(some) - 1:
-                cuts = np.searchsorted(np.asarray(got.word_ids), np.arange(len(some) + 1)).tolist()
-            else:  # a token belongs to the last word that begins at or before it
-                begins = np.cumsum([0, *(len(w) + 1 for w in some)])
-                cuts = np.searchsorted(np.array([a for a, _ in got.offsets]), begins).tolist()
-            whole = ids.tobytes()
-            self.words.update((w, whole[4 * a:4 * b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+            self._take(some, got.ids, [a for a, _ in got.offsets], np.cumsum([0, *(len(w) + 1 for w in some)]))
         self.words.update((w, self.words[x] + self.words[w[-1]]) for w, x in stems.items())
 
+    def _take(self, words: list[str], ids: list[int], at: list[int], begins: np.ndarray) -> None:
+        """The ids of each word: those whose place is at or after its own, and before the next word's."""
+        whole, cuts = self._ids(ids), (4 * np.searchsorted(np.asarray(at, dtype=np.int64), begins)).tolist()
+        self.words.update((w, whole[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
