@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import SECONDS_PER_DAY, epoch_seconds, whole_days
 from .prefix import (_AGG, DEFAULT_HOT_THRESHOLD, DEFAULT_MAX_HOT_KEYS, add_chunk, chunk_summary,
-                     combine, hot_keys, local_prefix, ordered_prefix, split_hot)
+                     combine, hot_keys, local_prefix, ordered_prefix, split_hot, with_parts)
 
 HISTORY_COLUMNS = [
     "time_since_last_purchase", "time_between_purchases", "time_since_first_purchase",
@@ -31,7 +31,8 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
                      order: str = "order_id", total: str = "order_total", *,
                      window_days: int = 90, bucket: int = SECONDS_PER_DAY, labels: bool = True,
                      hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
-                     max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+                     max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
+                     instant_threshold: int = DEFAULT_HOT_THRESHOLD) -> DataFrame:
     """Add W1-W9 (and the labels W12/W13 when ``labels``) to an order table.
 
     * ``time_since_last_purchase``: whole days since the previous order.
@@ -50,8 +51,9 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
     aggregated count; at most ``max_hot_keys`` of them, else all persons) take
     the chunked path: one shuffle by ``(person, chunk)`` with chunks of at most
     one day (``bucket`` must divide a day), so consecutive orders in a chunk are
-    less than a day apart and the W2 gap sums come from the chunk level. All
-    other persons use plain per-person windows. ``hot_threshold=None`` sends
+    less than a day apart and the W2 gap sums come from the chunk level. Chunks
+    of more than ``instant_threshold`` events are cut again by ``(time, order id)``,
+    so orders that all share a second are spread too. All other persons use plain per-person windows. ``hot_threshold=None`` sends
     every person through the chunked path. Rows with a null person keep null
     features and labels.
     """
@@ -68,7 +70,7 @@ def history_features(df: DataFrame, person: str = "person_id", ts: str = "order_
             feats_light = _plain_history(light, person, order, total, window_days, labels, s)
     parts = [feats_light] if feats_light is not None else []
     if base is not None:
-        parts.append(_chunked_history(base, person, order, total, window_days, bucket, labels, s))
+        parts.append(_chunked_history(base, person, order, total, window_days, bucket, labels, s, instant_threshold))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p.select(*out.columns))
@@ -133,7 +135,8 @@ def _plain_history(rows: DataFrame, person, order, total, window_days, labels, s
     return x.withColumns(feats).drop(*tmp)
 
 
-def _chunked_history(base: DataFrame, person, order, total, window_days, bucket, labels, s) -> DataFrame:
+def _chunked_history(base: DataFrame, person, order, total, window_days, bucket, labels, s,
+                     instant_threshold) -> DataFrame:
     """Chunked path: one shuffle by (person, chunk); W6 as an expiry-event sweep."""
     rows_in = base.withColumns({"_kind": F.lit(1), "_is_row": F.lit(1), "_is_exp": F.lit(0)})
     expiry = rows_in.select(
@@ -141,7 +144,8 @@ def _chunked_history(base: DataFrame, person, order, total, window_days, bucket,
         (F.col(s) + F.lit(window_days * SECONDS_PER_DAY + 1)).alias(s),
         F.lit(0).alias("_kind"), F.lit(0).alias("_is_row"), F.lit(1).alias("_is_exp"))
     sweep = add_chunk(rows_in.unionByName(expiry, allowMissingColumns=True), s, bucket)
-    keys = [person, "_chunk"]
+    sweep = with_parts(sweep, [person, "_chunk"], [s, "_kind", order], instant_threshold)
+    keys = [person, "_chunk", "_part"]
 
     row = F.col("_is_row") == 1
     rs = F.when(row, F.col(s))
@@ -156,7 +160,7 @@ def _chunked_history(base: DataFrame, person, order, total, window_days, bucket,
     rows = local_prefix(sweep, keys, [F.col(s), F.col("_kind"), F.col(order)], aggs)
     summ = chunk_summary(sweep, keys, aggs)
     # Chunk level: gap of each chunk's first order to the previous chunk's last one.
-    w_prev = W.partitionBy(person).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    w_prev = W.partitionBy(person).orderBy("_chunk", "_part").rowsBetween(W.unboundedPreceding, -1)
     summ = summ.withColumn("_prev_max_s", F.max("_tmax_s").over(w_prev))
     summ = summ.withColumn("_tfirst_gap", whole_days(F.col("_tmin_s") - F.col("_prev_max_s")))
     offs = summ.select(
@@ -183,13 +187,14 @@ def _chunked_history(base: DataFrame, person, order, total, window_days, bucket,
 
 def repeat_flags(df: DataFrame, person: str = "person_id", ts: str = "order_datetime",
                  order: str = "order_id", *, bucket: int = SECONDS_PER_DAY,
-                 hot_threshold: int | None = DEFAULT_HOT_THRESHOLD) -> DataFrame:
+                 hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
+                 instant_threshold: int = DEFAULT_HOT_THRESHOLD) -> DataFrame:
     """W12 ``repeat_customer_initial`` and W13 ``repeat_customer`` only."""
     s = "_s"
     base = df.withColumn(s, epoch_seconds(ts))
     out = ordered_prefix(base, [person], s, [order], [("_n", "sum", F.lit(1).cast("bigint"))],
                          bucket=bucket, whole=[("_n_all", "sum", F.lit(1).cast("bigint"))],
-                         hot_threshold=hot_threshold)
+                         hot_threshold=hot_threshold, instant_threshold=instant_threshold)
     known = F.col(person).isNotNull()
     n = F.coalesce(F.col("_n"), F.lit(0))
     return out.withColumns({

@@ -15,6 +15,12 @@ computes the same result from three pieces:
    all earlier chunks. It is joined back on ``(key, chunk)``; the rows keep the
    partitioning of step 1 and only the small chunk table is shuffled.
 
+A chunk that itself holds more than ``instant_threshold`` rows (a date-only export
+puts a person's whole day into one second) is cut again: ``with_parts`` deals the
+rows of the chunked keys into ranges of ``(key, time, tie)`` by one range shuffle,
+and the steps above run on ``(key, chunk, part)``. Parts follow the order, so their
+totals are prefixed just as those of the chunks are.
+
 Supported aggregates are the associative ones: ``sum``, ``max``, ``min`` (also
 on structs, which gives arg-max / arg-min). The input is evaluated by steps 1
 and 2, so pass a cheap plan (a scan and projections) or a checkpointed one.
@@ -35,6 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 Agg = tuple[str, str, Column]
@@ -69,15 +77,15 @@ def chunk_summary(work: DataFrame, keys: Sequence[str], aggs: Sequence[Agg],
     return work.groupBy(*keys).agg(*[_AGG[kind](e).alias(f"{prefix}{name}") for name, kind, e in aggs])
 
 
-def chunk_offsets(summary: DataFrame, by: Sequence[str], chunk_col: str, aggs: Sequence[Agg],
+def chunk_offsets(summary: DataFrame, by: Sequence[str], chunk_cols: Sequence[str], aggs: Sequence[Agg],
                   whole: Sequence[Agg] = (), asc: bool = True) -> DataFrame:
     """``_o{name}`` over earlier chunks and ``_w{name}`` over all chunks of the group."""
-    order = F.col(chunk_col).asc() if asc else F.col(chunk_col).desc()
-    w_prev = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    order = [F.col(c).asc() if asc else F.col(c).desc() for c in chunk_cols]
+    w_prev = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     w_all = W.partitionBy(*by)
     cols = {f"_o{name}": _AGG[kind](F.col(f"_t{name}")).over(w_prev) for name, kind, _ in aggs}
     cols.update({f"_w{name}": _AGG[kind](F.col(f"_t{name}")).over(w_all) for name, kind, _ in whole})
-    return summary.select(*by, chunk_col, *[v.alias(k) for k, v in cols.items()])
+    return summary.select(*by, *chunk_cols, *[v.alias(k) for k, v in cols.items()])
 
 
 DEFAULT_HOT_THRESHOLD = 100_000
@@ -94,6 +102,21 @@ def hot_keys(df: DataFrame, by: Sequence[str], threshold: int, max_keys: int):
     return [tuple(r[k] for k in by) for r in rows]
 
 
+def with_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: int,
+               part_col: str = "_part") -> DataFrame:
+    """``part_col``: ranges, ascending in ``order``, of the rows of each ``keys`` group; 0 throughout if no group
+    has more than ``threshold`` rows.
+
+    The ranges come from one range shuffle, so they hold about as many rows each, whatever
+    the keys; rows that are equal in ``order`` stay together. The result is written, as the
+    ranges must be the same for all that read them.
+    """
+    if hot_keys(df, keys, threshold, 0) is not None:
+        return df.withColumn(part_col, F.lit(0))
+    ranged = df.repartitionByRange(*keys, *order)
+    return materialize(ranged.withColumn(part_col, F.spark_partition_id()), "prefix_parts")
+
+
 def split_hot(df: DataFrame, by: Sequence[str], keys) -> tuple[DataFrame, DataFrame]:
     """``(light, hot)`` rows by a broadcast list of hot keys (size <= max_hot_keys)."""
     spark = df.sparkSession
@@ -117,6 +140,7 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
                    direction: str = "before", whole: Sequence[Agg] = (),
                    null_keys: bool = True, hot_threshold: int | None = None,
                    max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
+                   instant_threshold: int = DEFAULT_HOT_THRESHOLD,
                    hot: tuple[Sequence[str], list] | None = None) -> DataFrame:
     """Add one column per ``(name, kind, expr)`` in ``aggs``: the ``kind`` aggregate
     of ``expr`` over the rows of the same ``by`` group that come strictly before
@@ -130,11 +154,13 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
     is monotone in the order works); it is kept in the output. ``hot = (cols,
     keys)`` gives a hot-key list computed elsewhere over a prefix ``cols`` of
     ``by`` (e.g. hot persons for a ``(person, sku)`` grouping: a pair can only
-    be hot if its person is); no detection job then runs here.
+    be hot if its person is); no detection job for keys then runs here. One that
+    finds chunks of more than ``instant_threshold`` rows runs for the chunked keys.
     """
     by, tie = list(by), list(tie)
     df = add_chunk(df, time_col, bucket, chunk_col)
-    keys = by + [chunk_col]
+    chunks = [chunk_col, "_part"]
+    keys = by + chunks
     null_key = F.lit(False)
     for k in by:
         null_key = null_key | F.col(k).isNull()
@@ -155,16 +181,17 @@ def ordered_prefix(df: DataFrame, by: Sequence[str], time_col: str, tie: Sequenc
         if hk is not None:
             light, work = split_hot(work, hot_cols, hk)
             light = plain_prefix(light, by, order, aggs, whole)
+    work = with_parts(work, by + [chunk_col], [time_col] + tie, instant_threshold)
     rows = local_prefix(work, keys, order, aggs)
     both = list(aggs) + [(f"w_{n}", k, e) for n, k, e in whole]
     summary = chunk_summary(work, keys, both)
-    offs = chunk_offsets(summary, by, chunk_col, aggs,
+    offs = chunk_offsets(summary, by, chunks, aggs,
                          [(n, k, e) for n, k, e in both if n.startswith("w_")], asc)
     out = rows.join(offs, keys, "inner")
     res = {name: combine(kind, F.col(f"_o{name}"), F.col(f"_l{name}")) for name, kind, _ in aggs}
     res.update({name: F.col(f"_ww_{name}") for name, _, _ in whole})
     tmp = [f"_l{n}" for n, _, _ in aggs] + [f"_o{n}" for n, _, _ in aggs] + \
-        [f"_ww_{n}" for n, _, _ in whole]
+        [f"_ww_{n}" for n, _, _ in whole] + ["_part"]
     out = out.withColumns(res).drop(*tmp)
     if light is not None:
         out = out.unionByName(light.select(*out.columns))

@@ -28,7 +28,8 @@ def _events(orders: DataFrame, order_skus: DataFrame, person: str, ts: str, orde
 def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "person_id",
                     ts: str = "order_datetime", order: str = "order_id", *,
                     bucket: int = SECONDS_PER_DAY, materialize: bool = True,
-                    hot_threshold: int | None = DEFAULT_HOT_THRESHOLD) -> DataFrame:
+                    hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
+                    instant_threshold: int = DEFAULT_HOT_THRESHOLD) -> DataFrame:
     """Per order: ``distinct_product_amount`` (W10) and ``most_frequent_product``.
 
     * W10: number of distinct SKUs bought in the person's earlier orders.
@@ -53,7 +54,7 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
         hot = ([person], hk) if hk is not None else None
     ev = ordered_prefix(ev, [person, "sku"], "_s", [order],
                         [("_c", "sum", F.lit(1).cast("bigint"))], bucket=bucket,
-                        chunk_col="_chunk_sku", null_keys=False, hot=hot)
+                        chunk_col="_chunk_sku", null_keys=False, hot=hot, instant_threshold=instant_threshold)
     ev = ev.select(person, order, "_s", (F.coalesce("_c", F.lit(0)) + 1).alias("_cnt"), "sku",
                    F.lit(1).alias("_kind"))
     if materialize:
@@ -64,7 +65,7 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
         [("_new", "sum", (F.col("_cnt") == 1).cast("bigint")),
          ("_best", "min", F.when(F.col("_kind") == 1,
                                  F.struct((-F.col("_cnt")).alias("neg_count"), F.col("sku"))))],
-        bucket=bucket, null_keys=False, hot=hot)
+        bucket=bucket, null_keys=False, hot=hot, instant_threshold=instant_threshold)
     res = res.filter(F.col("_kind") == 0).select(
         order, person,
         F.coalesce(F.col("_new"), F.lit(0)).alias("distinct_product_amount"),
@@ -74,13 +75,14 @@ def product_history(orders: DataFrame, order_skus: DataFrame, person: str = "per
 
 def next_order(orders: DataFrame, person: str = "person_id", ts: str = "order_datetime",
                order: str = "order_id", *, bucket: int = SECONDS_PER_DAY,
-               hot_threshold: int | None = DEFAULT_HOT_THRESHOLD) -> DataFrame:
+               hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
+               instant_threshold: int = DEFAULT_HOT_THRESHOLD) -> DataFrame:
     """``(order, next_order_id)``: the person's following order (null for the last)."""
     o = orders.select(person, order, epoch_seconds(ts).alias("_s")).filter(F.col(person).isNotNull())
     nxt = ordered_prefix(o, [person], "_s", [order],
                          [("_next", "min", F.struct(F.col("_s"), F.col(order)))],
                          bucket=bucket, direction="after", null_keys=False,
-                         hot_threshold=hot_threshold)
+                         hot_threshold=hot_threshold, instant_threshold=instant_threshold)
     return nxt.select(order, person, F.col(f"_next.{order}").alias("next_order_id"))
 
 

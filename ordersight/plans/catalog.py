@@ -672,11 +672,11 @@ def train_next_category(spark, d):
 
 @query("train_next_neural")
 def train_next_neural(spark, d):
-    """M11 + P9 + A9 + V4 + V13: one perceptron (16 hidden units) per next-SKU label on rows with a positive
-    label, positives repeated by the label's weight."""
+    """M11 + P9 + A9 + V4 + V13: one network for all next-SKU labels, with the published hidden layers (30 steps), on
+    rows with a positive label, its loss weighted by label."""
     t = S.model_table(spark, d)
     res = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, kind="mlp", grid={}, labelled_only=True,
-                                 hidden=(16,), run="next_neural")
+                                 max_iter=30, run="next_neural")
     return res.metrics
 
 

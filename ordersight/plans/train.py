@@ -25,6 +25,7 @@ from .. import lookups as L
 from ..operators import encode as EC
 from ..operators import metrics as MT
 from ..operators import models as MD
+from ..operators.perceptron import fit_perceptron
 from ..operators.split import person_bucket
 from ..session import ensure_checkpoint_dir, materialize
 
@@ -162,9 +163,9 @@ def train_target_models(table: DataFrame, features: Sequence[str], targets: Sequ
     targets: accuracy, macro P/R/F1 (V6), precision and recall of the negatives, AUC
     (V3); per target: AUC (V5), precision, recall, F1; importances summed over models
     (A12) and the top 10 per model (O3). ``grid``: the published one by default, ``{}``
-    fits once (the baseline). ``kind="mlp"`` trains one perceptron per target, with the
-    source's ``hidden`` layers, on the rows that have a positive label (P9); Spark's
-    perceptron takes no weights, so A9 becomes whole copies of positive rows. Its
+    fits once (the baseline). ``kind="mlp"`` trains one network for all targets, with the
+    source's ``hidden`` layers, on the rows that have a positive label (P9) and with the
+    label weights of A9 in its loss (``params``: ``seed``, ``max_iter``). Its
     threshold is the sweep's (V13), and its report has the AUC weighted by positives (V4).
     """
     if grid is None:
@@ -186,23 +187,24 @@ def train_target_models(table: DataFrame, features: Sequence[str], targets: Sequ
         pos = counts[t] or 0
         if pos == 0:
             return t, None, None           # cannot be learnt; scores 0.0
-        if kind == "mlp":
-            # Total positives / (labels * positives of this one), in whole copies of a row
-            copies = max(1, round(sum(counts[x] or 0 for x in targets) / (len(targets) * pos)))
-            again = F.sequence(F.lit(1), F.when(F.col(lab) > 0, F.lit(copies)).otherwise(F.lit(1)))
-            rows = train.withColumn("_copy", F.explode(again)).drop("_copy")
-            return t, MD.mlp(lab, len(features), hidden, seed=42).fit(rows), None
         w1, w0 = n / (2.0 * pos), n / (2.0 * max(n - pos, 1))
         tw = train.withColumn("weight", F.when(F.col(lab) > 0, F.lit(w1)).otherwise(F.lit(w0)))
         est = MD.forest(lab, "weight", **params)
         m, cv = MD.cross_validate(tw, est, grid, lab, parallelism=max(1, parallelism // 4))
         return t, m, cv
 
-    # Targets are independent: their (distributed) fits are submitted from a few
-    # driver threads, as CrossValidator does for grid points. Seeds are fixed,
-    # so the models do not depend on the order the fits finish in.
-    with ThreadPoolExecutor(max_workers=min(4, max(1, len(targets)))) as pool:
-        fitted = list(pool.map(fit_one, targets))
+    if kind == "mlp":
+        known = [t for t in targets if counts[t]]   # the others cannot be learnt; they score 0.0
+        total = sum(counts[t] for t in known)
+        nets = fit_perceptron(train, [F.col(f"`{label_of(t)}`") > 0 for t in known],
+                              [F.lit(total / (len(targets) * counts[t])) for t in known], hidden, **params)
+        fitted = [(t, m, None) for t, m in zip(known, nets, strict=True)]
+    else:
+        # Targets are independent: their (distributed) fits are submitted from a few
+        # driver threads, as CrossValidator does for grid points. Seeds are fixed,
+        # so the models do not depend on the order the fits finish in.
+        with ThreadPoolExecutor(max_workers=min(4, max(1, len(targets)))) as pool:
+            fitted = list(pool.map(fit_one, targets))
     models, imps, cvs = {}, [], []
     for t, m, cv in fitted:
         if m is None:

@@ -113,6 +113,42 @@ def test_matches_brute_force_on_skewed_data(spark, bucket, hot):
                 assert g[k] == v, (oid, k)
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_all_orders_of_a_hot_person_share_a_second(spark, monkeypatch, hot):
+    """The instant is cut into several parts, and every feature is as the brute force has it."""
+    from ordersight.operators import history as H
+    from ordersight.operators import prefix as X
+    seen, parts = [], H.with_parts
+
+    def counted(df, keys, *a):
+        out = parts(df, keys, *a)
+        if "_part" in out.columns:
+            seen.append(out.groupBy(*keys).agg(F.countDistinct("_part").alias("k")).agg(F.max("k")).first()[0])
+        return out
+
+    monkeypatch.setattr(H, "with_parts", counted)
+    monkeypatch.setattr(X, "with_parts", counted)
+    rnd = random.Random(9)
+    rows = [("p0", i, D(2024, 3, 1, 12), None if i % 17 == 0 else round(rnd.uniform(5, 500), 2)) for i in range(400)]
+    rows += [("p0", 1000 + i, D(2024, 3, 1, 12) + dt.timedelta(hours=rnd.randint(-5000, 5000)), 10.0) for i in range(60)]
+    rows += [(f"p{1 + i % 7}", 2000 + i, D(2024, 3, 1) + dt.timedelta(days=rnd.randint(0, 200)), 5.0) for i in range(80)]
+    rnd.shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["order_id"]: r for r in history_features(_orders(spark, rows), hot_threshold=hot,
+                                                          instant_threshold=40).collect()}
+        flags = {r["order_id"]: r["repeat_customer"] for r in repeat_flags(
+            _orders(spark, rows), hot_threshold=hot, instant_threshold=40).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    exp = _brute(rows)
+    assert len(got) == len(exp) and max(seen) >= 4 and len(seen) == 2
+    for oid, e in exp.items():
+        assert flags[oid] == e["repeat_customer"]
+        for k, v in e.items():
+            assert got[oid][k] == (pytest.approx(v, rel=1e-9, abs=1e-9) if isinstance(v, float) else v), (oid, k)
+
+
 def test_repeat_flags(spark):
     rows = [("a", 1, D(2024, 1, 1), 1.0), ("a", 2, D(2024, 1, 1), 1.0), ("b", 3, D(2024, 1, 3), 1.0)]
     out = {r["order_id"]: r for r in repeat_flags(_orders(spark, rows)).collect()}

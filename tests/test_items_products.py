@@ -110,6 +110,29 @@ def test_product_history_brute_force(spark, bucket, hot):
     assert got == _brute_products(orders, skus)
 
 
+@pytest.mark.parametrize("hot", [None, 40])
+def test_products_of_orders_that_share_a_second(spark, hot):
+    rnd = random.Random(11)
+    orders = [("p0" if i < 250 else f"p{i % 9}", i, dt.datetime(2024, 1, 1, 8)) for i in range(320)]
+    skus = {o: set(rnd.sample(["A", "B", "C", "D", "b"], rnd.randint(0, 3))) for _, o, _ in orders}
+    rnd.shuffle(orders)
+    o = spark.createDataFrame(orders, "person_id string, order_id long, order_datetime timestamp_ntz")
+    os_ = spark.createDataFrame([(k, s) for k, v in skus.items() for s in v], "order_id long, sku string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["order_id"]: (r["distinct_product_amount"], r["most_frequent_product"])
+               for r in P.product_history(o, os_, hot_threshold=hot, instant_threshold=30).collect()}
+        follow = {r["order_id"]: r["next_order_id"]
+                  for r in P.next_order(o, hot_threshold=hot, instant_threshold=30).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == _brute_products(orders, skus)
+    by = {}
+    for p, oid, _ in sorted(orders):
+        by.setdefault(p, []).append(oid)
+    assert follow == {a: b for lst in by.values() for a, b in zip(lst, lst[1:] + [None], strict=True)}
+
+
 def test_next_order_labels(spark):
     o = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1)), ("a", 2, dt.datetime(2024, 1, 5)),
                                ("a", 3, dt.datetime(2024, 1, 5)), ("b", 4, dt.datetime(2024, 1, 1))],
