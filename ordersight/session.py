@@ -68,6 +68,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(_job_folder.get() or ensure_checkpoint_dir(spark), name)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI: one without a scheme is in the default file system of the cluster."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).makeQualified(p).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system it is."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
