@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ def texts(column: pa.Array, step: int = 256) -> Iterator[bytes]:
             yield b"" if x is None else x
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a URI and the path in it; a scheme that Arrow doesn't know raises."""
+    return fs.FileSystem.from_uri(f"s3{uri[3:]}" if uri.startswith("s3a:") else uri)
+
+
 def batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch]:
     """Tuples into record batches of at most ``size`` rows."""
     buffer = []

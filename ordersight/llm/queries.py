@@ -82,7 +82,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to seekable archives in the shared folder, and read back from them."""
     index = warc.write(read(spark, sf_dir, "pages"), scratch_path(spark, f"ordersight/warc/{uuid.uuid4().hex}"))
-    return warc.read_back(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_back(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """

@@ -33,12 +33,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import map_rows
+from ..session import materialize, qualified
+from .common import file_system, map_rows
 
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -129,7 +128,7 @@ def seek_table(file) -> list[tuple[int, int]]:
 
 def read_record(path: str, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
     """One record, by its place in the index: reads the seek table and one frame."""
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = file_system(path)
     with system.open_input_file(name) as f:
         start, packed = seek_table(f)[frame]
         f.seek(start)
@@ -143,7 +142,8 @@ INDEX = [("page_id", pa.int64(), "long"), ("record_id", pa.string(), "string"),
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
           min_revisit: int = 100, frame_bytes: int = 1 << 18, archive_bytes: int = 1 << 30, level: int = 3,
           date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes the archives into ``folder`` (a URI all executors share); the index, one row per record.
+    """Writes the archives into ``folder`` (all executors share it; one without a scheme is in the cluster's
+    default file system); the index, one row per record.
 
     The result is written too, so that reading it twice does not write the archives twice.
     """
@@ -156,10 +156,10 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
              .where("k > 1").select("digest", "first"))
     rows = rows.join(first, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(pages.sparkSession, folder)
 
     def run(it):
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         archive = name = None
         for batch in it:
@@ -183,7 +183,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
 
 def _frames(name: str, wanted: list[tuple[int, int]]) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of one archive at the given, sorted (frame, offset) places; every frame is unpacked once."""
-    system, path = fs.FileSystem.from_uri(name)
+    system, path = file_system(name)
     with system.open_input_file(path) as f:
         table, at, data = seek_table(f), None, b""
         for frame, offset in wanted:
@@ -194,12 +194,13 @@ def _frames(name: str, wanted: list[tuple[int, int]]) -> Iterator[tuple[dict[str
             yield parse(data, offset)
 
 
-def read_back(index: DataFrame) -> DataFrame:
+def read_back(index: DataFrame, *, payloads: bool = True, task_bytes: int = 1 << 26) -> DataFrame:
     """Every record of the index, from its archive: ``page_id, url, record_type, refers_to, payload_bytes,
     payload_digest, payload``.
 
     A response's size and digest are those of the payload that was read; a revisit has no payload, and gives
-    those it was written with.
+    those it was written with. Without ``payloads`` that column is null. A task unpacks about ``task_bytes`` of
+    records, but there are as many tasks as cores at least, whatever the index rows amount to.
     """
     def run(it):
         held, archive = [], None
@@ -218,9 +219,11 @@ def read_back(index: DataFrame) -> DataFrame:
                    None if response else _page(head["WARC-Refers-To"]),
                    len(payload) if response else int(head["X-Payload-Length"]),
                    hashlib.sha256(payload).hexdigest() if response else head["WARC-Payload-Digest"].partition(":")[2],
-                   payload.decode() if response else None)
+                   payload.decode() if response and payloads else None)
 
-    at = (index.select("archive", "frame", "offset").repartition("archive", F.floor(F.col("frame") / 64))
+    n_bytes = index.agg(F.sum("length")).first()[0] or 0
+    n_tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // task_bytes))
+    at = (index.select("archive", "frame", "offset").repartition(n_tasks, "archive", F.floor(F.col("frame") / 64))
           .sortWithinPartitions("archive", "frame", "offset"))
     return map_rows(at, run, [
         ("page_id", pa.int64(), "long"), ("url", pa.string(), "string"), ("record_type", pa.string(), "string"),

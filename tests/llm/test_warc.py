@@ -45,6 +45,15 @@ def test_round_trip(spark, index):
     assert all(r.payload is None for r in rows if r.record_type == "revisit")
 
 
+def test_read_back_without_payloads_uses_a_set_number_of_tasks(spark, index):
+    read = W.read_back(index, payloads=False, task_bytes=200)
+    n_bytes = sum(r.length for r in index.collect())
+    assert read.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n_bytes // 200))
+    rows = read.collect()
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=repr)
+    assert got == brute(PAGES) and all(r.payload is None for r in rows)
+
+
 def test_index_reads_one_record(spark, index):
     for r in index.collect():
         head, payload = W.read_record(r.archive, r.frame, r.offset)
