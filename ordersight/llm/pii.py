@@ -4,12 +4,16 @@
    found by fixed patterns in every whole text.
 2. *Corpus co-occurrence*: each distinct word is counted over the whole corpus,
    and each (word, entity value) pair over the words within ``reach`` words of
-   an occurrence of the entity, outside any base span. ``p(entity | word)`` is
-   the share of the word's occurrences that stand next to the entity, and its
-   pointwise mutual information in bits says how much more likely the word
-   makes the entity. A word *discloses* an entity if the pair was seen at least
-   ``min_support`` times, the posterior is at least ``generalise_at`` and the
-   information is at least ``min_bits``.
+   an occurrence of the entity, outside any base span. A word is a run of at
+   least two letters and digits, so user names and numbers count too.
+   ``p(entity | word)`` is the share of the word's occurrences that stand next to
+   the entity, smoothed by ``prior`` occurrences elsewhere that nobody has seen
+   yet: ``n / (n_word + prior)``, so one sighting is weak evidence and no floor
+   of sightings is needed. The pointwise mutual information in bits says how
+   much more likely the word makes the entity. A word *discloses* an entity if
+   the posterior is at least ``generalise_at`` and either the information is at
+   least ``min_bits`` or the posterior at least ``remove_at`` (an entity that a
+   source repeats everywhere leaves little information to gain).
 3. *Sanitisation*: base entities give way to a label of their kind, disclosing
    words to a general label, or to nothing from a posterior of ``remove_at`` on.
 
@@ -46,7 +50,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]{2,}")
 _COUNTED = 250_000
 
 
@@ -161,8 +165,8 @@ def cooccurrence(docs: DataFrame, *, reach: int = 6) -> DataFrame:
     return map_rows(docs, run, schema, size=20_000).groupBy("word", "entity").agg(F.sum("n").alias("n"))
 
 
-def disclosing_words(docs: DataFrame, *, reach: int = 6, min_support: int = 3, generalise_at: float = 0.5,
-                     min_bits: float = 8.0) -> DataFrame:
+def disclosing_words(docs: DataFrame, *, reach: int = 6, prior: float = 1.5, generalise_at: float = 0.5,
+                     remove_at: float = 0.8, min_bits: float = 8.0) -> DataFrame:
     """``(word, posterior)`` of the words that disclose an entity, with the highest posterior of each."""
     counts = materialize(cooccurrence(docs, reach=reach), "pii_counts")
     words = counts.where(F.col("entity").isNull()).select("word", F.col("n").alias("n_word"))
@@ -170,10 +174,11 @@ def disclosing_words(docs: DataFrame, *, reach: int = 6, min_support: int = 3, g
     entity = pairs.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     total = counts.where(F.col("entity").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     # Both shares are of word occurrences: those beside the entity, and all.
-    seen = (pairs.where(F.col("n") >= min_support).join(words, "word").join(entity, "entity")
-            .withColumn("posterior", F.least(F.lit(1.0), F.col("n") / F.col("n_word")))
+    seen = (pairs.join(words, "word")
+            .withColumn("posterior", F.least(F.lit(1.0), F.col("n") / (F.col("n_word") + F.lit(float(prior)))))
+            .where(F.col("posterior") >= generalise_at).join(entity, "entity")
             .withColumn("bits", F.log2(F.col("posterior") * F.lit(float(total)) / F.col("n_entity"))))
-    return (seen.where((F.col("posterior") >= generalise_at) & (F.col("bits") >= min_bits))
+    return (seen.where((F.col("bits") >= min_bits) | (F.col("posterior") >= remove_at))
             .groupBy("word").agg(F.max("posterior").alias("posterior")))
 
 
@@ -221,14 +226,14 @@ def _own_words(keyed: DataFrame, table: DataFrame) -> DataFrame:
     return words.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("word", "posterior")).alias("own"))
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95,
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.8,
          max_broadcast: int = 200_000, **options) -> DataFrame:
     """``doc_id, spans`` of every document.
 
     ``spans``: ``(kind, start, end)`` in code points; kinds email, ip, card, phone, term, drop.
     """
     slim = id_text(docs, id_col, text_col)
-    table, known = _known(slim, max_broadcast, options)
+    table, known = _known(slim, max_broadcast, {**options, "remove_at": remove_at})
     schema = [("doc_id", pa.int64(), "long"), ("spans", _ARROW_SPANS, SPANS)]
 
     def run(it):
@@ -248,11 +253,11 @@ def _as_dict(own: pa.Scalar) -> dict[str, float]:
     return {x["word"]: x["posterior"] for x in own.as_py() or ()}
 
 
-def sanitise(docs: DataFrame, *, text_col: str = "text", remove_at: float = 0.95, max_broadcast: int = 200_000,
+def sanitise(docs: DataFrame, *, text_col: str = "text", remove_at: float = 0.8, max_broadcast: int = 200_000,
              **options) -> DataFrame:
     """The documents with their spans replaced in the text; all other columns stay as they are."""
     slim = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    table, known = _known(slim, max_broadcast, options)
+    table, known = _known(slim, max_broadcast, {**options, "remove_at": remove_at})
     kinds = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     at, extra = docs.columns.index(text_col), "__llm_own"
 

@@ -60,8 +60,8 @@ DOCS = [(i, f"zorvath called from {m} about the lunch menu today", "x") for i, m
         (93, "the lunch zv@mail.org", "x"), (93, "the lunch zv@mail.org", "x")]
 
 
-def brute_words(docs, reach, support, at, bits):
-    term = re.compile(r"[^\W\d_]{3,}")
+def brute_words(docs, reach, prior, at, remove, bits):
+    term = re.compile(r"[^\W_]{2,}")
     words, pairs = Counter(), Counter()
     for _, text, _ in docs:
         text = text or ""
@@ -81,8 +81,8 @@ def brute_words(docs, reach, support, at, bits):
         entity[e] += n
     out = {}
     for (w, e), n in pairs.items():
-        p = min(1.0, n / words[w])
-        if n >= support and p >= at and math.log2(p * sum(words.values()) / entity[e]) >= bits:
+        p = min(1.0, n / (words[w] + prior))
+        if p >= at and (p >= remove or math.log2(p * sum(words.values()) / entity[e]) >= bits):
             out[w] = max(p, out.get(w, 0))
     return out
 
@@ -90,10 +90,10 @@ def brute_words(docs, reach, support, at, bits):
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_disclosing_words_and_spans(spark, limit):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, spans string")
-    options = {"reach": 6, "min_support": 3, "generalise_at": 0.5, "min_bits": 2.0}
-    want = brute_words(DOCS, 6, 3, 0.5, 2.0)
+    options = {"reach": 6, "prior": 1.5, "generalise_at": 0.5, "min_bits": 2.0}
+    want = brute_words(DOCS, 6, 1.5, 0.5, 0.95, 2.0)
     assert "zorvath" in want and "lunch" not in want
-    got = {r.word: r.posterior for r in P.disclosing_words(docs.select("doc_id", "text"), **options).collect()}
+    got = {r.word: r.posterior for r in P.disclosing_words(docs.select("doc_id", "text"), remove_at=0.95, **options).collect()}
     assert got == pytest.approx(want)
     rows = P.find(docs, max_broadcast=limit, remove_at=0.95, **options).collect()
     assert len(rows) == len(DOCS)
@@ -107,6 +107,26 @@ def test_disclosing_words_and_spans(spark, limit):
     assert [(s.kind, s.start, s.end) for s in base[93]] == plain(DOCS[-1][1])
 
 
+def test_smoothed_posterior_at_production_parameters(spark):
+    """Two sightings of a rare token disclose, one does not; digits and two letters count; hot entities too."""
+    plain_words = "these are common words that everybody writes in every text of this corpus"
+    rows = [(i, f"{plain_words} {i % 7}") for i in range(300)]
+    rows += [(1000 + i, f"{plain_words} kx77 of jo is ann@one.org today") for i in range(2)]
+    rows += [(1100, f"{plain_words} lonely is bob@two.org today"), (1200, f"{plain_words} jo once more kx77")]
+    rows += [(2000 + i, f"deskline help@hot.org {plain_words}") for i in range(200)]
+    want = brute_words([(i, t, None) for i, t in rows], 6, 1.5, 0.5, 0.8, 8.0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.word: r.posterior for r in P.disclosing_words(docs).collect()}
+    assert got == pytest.approx(want)
+    assert "deskline" in got and "lonely" not in got and "common" not in got and "kx77" not in got  # 2 of 3 elsewhere
+    fewer = {r.word for r in P.disclosing_words(docs.where("doc_id != 1200")).collect()}
+    assert {"kx77", "jo"} <= fewer and "lonely" not in fewer
+    text = {r.doc_id: r.text for r in P.sanitise(docs.where("doc_id != 1200")).collect()}
+    assert text[1000] == f"{plain_words} [TERM] of [TERM] is [EMAIL] today"
+    assert text[2000] == f" [EMAIL] {plain_words}"  # seen 200 times: removed
+    assert text[5] == rows[5][1] and text[1100].endswith("lonely is [EMAIL] today")
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert P.find(empty).count() == 0 and P.sanitise(empty).count() == 0
