@@ -40,7 +40,7 @@ def test_stages_equal_brute_force(spark):
     three = CP.decontaminate_stage(spark, two, SF)
     assert hit and three.columns == docs.columns and sorted(r.doc_id for r in three.collect()) == clean
 
-    known = brute_words([(d, rows[d].text, None) for d in clean], 6, 3, 0.5, 8.0)
+    known = brute_words([(d, rows[d].text, None) for d in clean], 6, 1.5, 0.5, 0.8, 8.0)
     texts = {d: pii.redact(rows[d].text, pii._find(rows[d].text, known, 0.8)) for d in clean}
     four = CP.pii_stage(spark, three, SF)
     got = {r.doc_id: r for r in four.collect()}
