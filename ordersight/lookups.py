@@ -128,9 +128,14 @@ MODEL_DROP_COLUMNS = [
 
 
 def lookup_df(spark: SparkSession, mapping: dict, key: str, value: str) -> DataFrame:
-    """A two-column DataFrame from a literal mapping; list values become one row each."""
-    rows = []
-    for k, v in mapping.items():
-        for item in (v if isinstance(v, list) else [v]):
-            rows.append((k, item))
-    return spark.createDataFrame(rows, f"`{key}` string, `{value}` string")
+    """A two-column DataFrame from a literal mapping; list values become one row each.
+
+    It is an inline table, whose size the planner knows (rows handed over from Python
+    have none, and would be joined by a shuffle).
+    """
+    pairs = [(k, item) for k, v in mapping.items() for item in (v if isinstance(v, list) else [v])]
+    if not pairs:
+        return spark.sql(f"SELECT CAST(NULL AS STRING) AS `{key}`, CAST(NULL AS STRING) AS `{value}` WHERE false")
+    rows = ", ".join(f"(:k{i}, :v{i})" for i in range(len(pairs)))
+    args = {f"{c}{i}": text for i, pair in enumerate(pairs) for c, text in zip("kv", pair, strict=True)}
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(`{key}`, `{value}`)", args=args)

@@ -27,6 +27,7 @@ from . import score as SC
 from . import train as TR
 from ..operators import models as MD
 from ..sources import io as IO
+from ..sources import keyed as KT
 from ..session import scratch_path
 from ..operators import history as H
 from ..operators import items as I
@@ -108,6 +109,15 @@ def items_wide(spark, d):
     return I.item_fields(S.encoded_orders(spark, d), "line_items")
 
 
+@query("items_lists")
+def items_lists(spark, d):
+    """N1 for shipping and coupon lists: every field of every slot, as (order, list, slot, key, value)."""
+    o = S.item_lists(spark, d)
+    part = lambda name: I.item_fields(o, f"{name}_items").select(
+        "order_id", F.lit(name).alias("list"), "slot", "key", "value")
+    return part("shipping").unionByName(part("coupon"))
+
+
 @query("items_flatten")
 def items_flatten(spark, d):
     """Long items (order, pos, sku, quantity, subtotal), empty SKUs skipped."""
@@ -482,6 +492,21 @@ def clean_orders_query(spark, d):
                       F.round("order_hour_sin", 9).alias("order_hour_sin"))
 
 
+@query("clean_orders_keyed")
+def clean_orders_keyed(spark, d):
+    """S8 + E3: the cleaning DAG over tables keyed by order, its features stored keyed too and joined with the
+    keyed quantities of the next order (W14), without a shuffle between the stored tables and the joins."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    feats = KT.materialize_keyed(_cleaned(spark, d, buckets=n).select(
+        "order_id", "person_id", "repeat_customer", "number_of_past_orders", "distinct_product_amount", "Brand#1_count",
+        "Brand#7_count", "nan_count", "email_category_PERSONAL"), "order_features", "order_id", n)
+    nxt = KT.materialize_keyed(P.next_order_labels(S.history_orders(spark, d), S.order_items(spark, d))
+                               .select("order_id", "sku", "next_count"), "next_order", "order_id", n)
+    total = nxt.groupBy("order_id").agg(F.sum("next_count").alias("next_quantity"),
+                                        F.count(F.when(F.col("next_count") > 0, 1)).alias("next_skus"))
+    return feats.join(total, "order_id", "left").na.fill(0, ["next_quantity", "next_skus"])
+
+
 TRAINING_SCHEMA = ST.StructType([
     ST.StructField("order_id", ST.LongType()),
     ST.StructField("person_id", ST.StringType()),
@@ -724,6 +749,16 @@ def first_rows(spark, d):
     return SC.first_rows(sc, ["target", "y", "score"], 5)
 
 
+@query("example_predictions")
+def example_predictions(spark, d):
+    """The first five orders with their person, the targets they have, and the score of every target."""
+    li = S.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linestatus").alias("target"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"), (F.col("l_discount") * 5 + F.col("l_tax")).alias("score"))
+    per = li.groupBy("order_id", "target").agg(F.max("y").alias("y"), F.max("score").alias("score"))
+    return SC.example_predictions(S.history_orders(spark, d).select("order_id", "person_id"), per, "order_id", 5)
+
+
 @query("random_rows")
 def random_rows(spark, d):
     """One random row per target of a scored table (by md5 of seed and row key)."""
@@ -805,10 +840,14 @@ def model_store(spark, d):
 
 # ------------------------------------------------------------ streaming
 
-def _uploads(spark, d, parts: int) -> str:
-    """The raw orders as CSV uploads: ``parts`` files, each a whole set of customers."""
+UPLOAD_ROWS = 100_000
+
+
+def _uploads(spark, d) -> str:
+    """The raw orders as CSV uploads of about ``UPLOAD_ROWS`` rows (two at least), each a whole set of customers."""
     root = scratch_path(spark, f"ordersight/uploads/{uuid.uuid4().hex}")
     raw = S.raw_orders(spark, d)
+    parts = max(2, -(-S.table(spark, d, "orders").count() // UPLOAD_ROWS))
     export = [(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
               for f in IO.ORDERS_SCHEMA.fields]
     (raw.withColumn("_part", F.pmod(F.col("customer_id").cast("long"), F.lit(parts)).cast("int"))
@@ -828,7 +867,7 @@ def serve_features(spark, d):
     """S2 + S3 + E2 (streaming): uploads read by header, cleaned in serving mode and aligned to
     the saved training schema, one upload at a time; the frame before the model."""
     from ..streaming import uploads as U
-    root = _uploads(spark, d, 2)
+    root = _uploads(spark, d)
     s = U.Serving(S.census(spark, d), S.names(spark, d), TRAINING_SCHEMA, None, [], {}, [], [],
                   bundles=S.TEST_BUNDLES, whitelist=S.TEST_WHITELIST)
     U.process_uploads(spark, f"{root}/in", f"{root}/out", lambda u: U.serve_features(u, s),
@@ -845,7 +884,7 @@ def stream_score_uploads(spark, d):
     t = S.model_table(spark, d)
     ret = TR.train_return_model(t, S.MODEL_FEATURES, kind="forest", grid={}, numTrees=20, maxDepth=8)
     sku = TR.train_target_models(t, S.MODEL_FEATURES, SKU_TARGETS, grid={}, numTrees=5, maxDepth=4)
-    root = _uploads(spark, d, 2)
+    root = _uploads(spark, d)
     s = U.Serving(S.census(spark, d), S.names(spark, d), TRAINING_SCHEMA, ret.model, S.MODEL_FEATURES,
                   sku.models, S.MODEL_FEATURES, SKU_TARGETS, ret.threshold, S.TEST_BUNDLES, S.TEST_WHITELIST)
     U.score_uploads(spark, f"{root}/in", f"{root}/out", s, checkpoint=f"{root}/checkpoint").awaitTermination()

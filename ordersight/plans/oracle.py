@@ -887,3 +887,43 @@ SELECT p_partkey, slot::BIGINT AS slot, (SELECT count(*) + 1 FROM l)::BIGINT AS
 for _name in ("score_history", "history_value", "clean_orders", "feature_sink"):
     ORACLE_SQL[_name] = ("SELECT * REPLACE (round(std_order_value, 6) AS std_order_value) FROM ("
                          + ORACLE_SQL[_name] + ")")
+
+ORACLE_SQL["items_lists"] = """
+WITH o AS (
+  SELECT o_orderkey AS order_id,
+    CASE WHEN o_orderkey % 7 <> 0 THEN 'id:' || o_orderkey || '|method_id:'
+      || (CASE o_orderkey % 3 WHEN 0 THEN 'flat_rate' WHEN 1 THEN 'free' ELSE 'zone:4' END)
+      || '|total:' || printf('%.2f', o_totalprice)
+      || CASE WHEN o_orderkey % 5 = 0 THEN ';id:' || (o_orderkey + 1) || '|note|total:|status:' || o_orderstatus
+           || '|status:last' ELSE '' END END AS shipping,
+    CASE o_orderkey % 4 WHEN 0 THEN 'id:' || o_orderkey || '|code:c' || (o_orderkey % 10) WHEN 1 THEN NULL
+      WHEN 2 THEN '' ELSE 'code:a;code:b|amount:' || (o_orderkey % 100) END AS coupon
+  FROM orders),
+l AS (SELECT order_id, 'shipping' AS list, shipping AS txt FROM o UNION ALL SELECT order_id, 'coupon', coupon FROM o),
+r AS (SELECT order_id, list, unnest(string_split(txt, ';')) AS rec, unnest(range(len(string_split(txt, ';')))) + 1 AS slot
+      FROM l WHERE txt IS NOT NULL),
+f AS (SELECT order_id, list, slot, unnest(string_split(rec, '|')) AS t, unnest(range(len(string_split(rec, '|')))) AS i FROM r)
+SELECT order_id, list, CAST(slot AS INTEGER) AS slot, split_part(t, ':', 1) AS key,
+       arg_max(substr(t, instr(t, ':') + 1), i) AS value
+FROM f WHERE instr(t, ':') > 0 GROUP BY ALL"""
+
+ORACLE_SQL["example_predictions"] = """
+WITH few AS (SELECT o_orderkey AS order_id, o_custkey AS person_id FROM orders ORDER BY o_orderkey LIMIT 5),
+per AS (SELECT l_orderkey AS order_id, l_linestatus AS target, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y,
+               max(l_discount * 5 + l_tax) AS score FROM lineitem GROUP BY 1, 2)
+SELECT f.order_id, f.person_id, coalesce(string_agg(target, ', ' ORDER BY target) FILTER (WHERE y > 0), '') AS actual,
+       coalesce(string_agg(printf('%s: %.4f', target, score), ', ' ORDER BY target), '') AS predicted
+FROM few f LEFT JOIN per p ON p.order_id = f.order_id GROUP BY f.order_id, f.person_id"""
+
+# One row per order: the next order of the person, and what was bought in it.
+ORACLE_SQL["clean_orders_keyed"] = CLEAN_SQL + """,
+nx AS (SELECT o_orderkey AS order_id,
+         lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_id FROM orders),
+bought AS (SELECT l.l_orderkey AS order_id, p.p_brand AS sku, sum(l.l_quantity) AS q
+           FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2),
+tot AS (SELECT nx.order_id, sum(b.q) AS next_quantity, count(*) FILTER (WHERE b.q > 0) AS next_skus
+        FROM nx JOIN bought b ON b.order_id = nx.next_id GROUP BY 1)
+SELECT t.order_id, t.person_id, t.repeat_customer, t.number_of_past_orders, t.distinct_product_amount, t."Brand#1_count",
+  t."Brand#7_count", t.nan_count, t.email_category_PERSONAL, coalesce(tot.next_quantity, 0.0) AS next_quantity,
+  CAST(coalesce(tot.next_skus, 0) AS BIGINT) AS next_skus
+FROM full_t t LEFT JOIN tot USING (order_id)"""

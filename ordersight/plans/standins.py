@@ -164,6 +164,20 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipping and coupon lists per order, rendered from ``orders``: none, one or two items, keys that repeat, text
+    without a key, values with a colon or none."""
+    k, st = F.col("o_orderkey"), F.col("o_orderstatus")
+    ship = F.concat(F.lit("id:"), _s(k), F.lit("|method_id:"), _case(k % 3, ["flat_rate", "free", "zone:4"]),
+                    F.lit("|total:"), F.format_string("%.2f", F.col("o_totalprice")))
+    second = F.concat(F.lit(";id:"), _s(k + 1), F.lit("|note|total:|status:"), st, F.lit("|status:last"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("order_id"),
+        F.when(k % 7 != 0, F.concat(ship, F.when(k % 5 == 0, second).otherwise(""))).alias("shipping_items"),
+        _case(k % 4, [F.concat(F.lit("id:"), _s(k), F.lit("|code:c"), _s(k % 10)), F.lit(None).cast("string"), "",
+                      F.concat(F.lit("code:a;code:b|amount:"), _s(k % 100))]).alias("coupon_items"))
+
+
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One census row per nation zip, with survey-style text incomes and margins."""
     n = F.col("n_nationkey")

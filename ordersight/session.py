@@ -16,6 +16,7 @@ from contextvars import ContextVar
 from pyspark.sql import SparkSession
 
 _job_folder: ContextVar[str | None] = ContextVar("ordersight_job_folder", default=None)
+_job_tables: ContextVar[list[str] | None] = ContextVar("ordersight_job_tables", default=None)
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -88,14 +89,23 @@ def job(spark: SparkSession):
     Results that read these tables must be written out before the block ends.
     """
     path = os.path.join(ensure_checkpoint_dir(spark), f"ordersight/jobs/{uuid.uuid4().hex}")
-    token = _job_folder.set(path)
+    token, tables = _job_folder.set(path), _job_tables.set([])
     try:
         yield path
     finally:
+        for name in _job_tables.get():
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
         _job_folder.reset(token)
+        _job_tables.reset(tables)
         remove(spark, path)
 
 
+def adopt_table(name: str) -> None:
+    """Let the current job, if any, drop this catalogue table at its end."""
+    if _job_tables.get() is not None:
+        _job_tables.get().append(name)
+
+
 def materialize(df, name: str):
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
