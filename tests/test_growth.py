@@ -93,3 +93,20 @@ def test_uploads_of_a_trigger_run_side_by_side(spark, tmp_path):
 
     U.process_uploads(spark, str(tmp_path / "in"), str(tmp_path / "out"), work, checkpoint=str(tmp_path / "ck")).awaitTermination()
     assert sorted(int(r.order_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_network_rows_are_bytes(spark, monkeypatch):
+    """A step reads each row of the network as one binary, and gives the sums of the lists it was made of."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from ordersight.operators import perceptron as P
+    stored, keep = {}, P.materialize
+    monkeypatch.setattr(P, "BLOCK", 7)
+    monkeypatch.setattr(P, "materialize", lambda d, name: stored.setdefault(name, keep(d, name)))
+    df = _rows(spark).withColumn("features", array_to_vector(F.array("a", F.coalesce("b", F.lit(-1.0)))))
+    net = P.fit_perceptron(df, [F.col("y")], [F.col("a") + 1], (4,), max_iter=3)[0]
+    assert stored["perceptron_rows"].dtypes == [("row", "binary"), ("weight", "double")]
+    rows = df.select("a", F.coalesce("b", F.lit(-1.0)), "y").toPandas().to_numpy(dtype=float)
+    loss, _ = P.loss_and_gradient(net.flat, net.sizes, P._standard(rows[:, :2], net.mean, net.std), rows[:, 2:], rows[:, :1] + 1)
+    assert abs(loss / (rows[:, 0] + 1).sum() - net.losses[-1]) < 1e-12
