@@ -110,3 +110,26 @@ def test_network_rows_are_bytes(spark, monkeypatch):
     rows = df.select("a", F.coalesce("b", F.lit(-1.0)), "y").toPandas().to_numpy(dtype=float)
     loss, _ = P.loss_and_gradient(net.flat, net.sizes, P._standard(rows[:, :2], net.mean, net.std), rows[:, 2:], rows[:, :1] + 1)
     assert abs(loss / (rows[:, 0] + 1).sum() - net.losses[-1]) < 1e-12
+
+
+def test_rounds_share_a_fit(spark, monkeypatch):
+    """One fit a fold and one of the best point; the figures are those of a fit for every number of rounds."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from ordersight.operators import models as MD
+    from ordersight.plans import train as TR
+    train = TR.vector_table(_rows(spark), ["a", "b"], "person_id", ["y"]).withColumn("weight", F.lit(1.0))
+    grid, fits, fit, want = {"maxIter": [1, 3], "maxDepth": [2]}, [], GBTClassifier.fit, {}
+    for n in grid["maxIter"]:
+        aucs = []
+        for k in range(3):
+            m = MD.boosted("y", "weight", maxIter=n, maxDepth=2).fit(train.where(F.col("fold") != k))
+            aucs.append(BinaryClassificationEvaluator(labelCol="y", numBins=0).evaluate(m.transform(train.where(F.col("fold") == k))))
+        want[f"maxDepth=2, maxIter={n}"] = sum(aucs) / 3
+    monkeypatch.setattr(GBTClassifier, "fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    model, table = MD.cross_validate(train, MD.boosted("y", "weight"), grid, "y", parallelism=2)
+    got = {r["params"]: r["mean_auc"] for r in table.orderBy("combination").collect()}
+    assert list(got) == list(want) and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    assert len(fits) == 4
+    assert f"maxDepth=2, maxIter={model.getNumTrees}" == max(got, key=got.get)
