@@ -133,3 +133,28 @@ def test_rounds_share_a_fit(spark, monkeypatch):
     assert list(got) == list(want) and all(abs(got[p] - want[p]) < 1e-12 for p in want)
     assert len(fits) == 4
     assert f"maxDepth=2, maxIter={model.getNumTrees}" == max(got, key=got.get)
+
+
+def test_levels_are_found_without_repeating_rows(spark, monkeypatch):
+    """Levels of all columns come from distinct values of each; no row is exploded into one for every column."""
+    import pytest
+
+    from ordersight.operators import encode as EC
+    df = spark.range(50).select((F.col("id") % 3).cast("string").alias("a"), (F.col("id") % 2).alias("b"), F.lit(None).cast("string").alias("c"))
+    skus = spark.createDataFrame([("x",), (None,), ("y",), ("x",)], "sku string")
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: plans.append(_plan(d)) or collect(d))
+    assert EC.bounded_levels(df, ["a", "b", "c"], 3, (skus, "sku", "p")) == {"a": ["0", "1", "2"], "b": ["0", "1"], "c": [], "p": ["x", "y"]}
+    assert len(plans) == 1 and "explode" not in plans[0]
+    with pytest.raises(ValueError, match="'a' has more than 2 levels"):
+        EC.bounded_levels(df, ["a", "b"], 2)
+
+
+def test_columns_that_are_dropped_are_not_stored(spark, monkeypatch):
+    """The stored orders hold the lines and what the result or a later step reads."""
+    from ordersight.plans import clean as CL
+    from ordersight.plans import standins as S
+    stored, keep = {}, CL.materialize_table
+    monkeypatch.setattr(CL, "materialize_table", lambda d, name: stored.setdefault(name, keep(d, name)))
+    CL.clean_orders(S.raw_orders(spark, SF), S.census(spark, SF), S.names(spark, SF), bundles=S.TEST_BUNDLES, whitelist=S.TEST_WHITELIST)
+    assert set(stored["cleaned_orders"].columns) & set(CL.DROP_AFTER_CLEAN) == {"line_items"}
