@@ -158,3 +158,17 @@ def test_columns_that_are_dropped_are_not_stored(spark, monkeypatch):
     monkeypatch.setattr(CL, "materialize_table", lambda d, name: stored.setdefault(name, keep(d, name)))
     CL.clean_orders(S.raw_orders(spark, SF), S.census(spark, SF), S.names(spark, SF), bundles=S.TEST_BUNDLES, whitelist=S.TEST_WHITELIST)
     assert set(stored["cleaned_orders"].columns) & set(CL.DROP_AFTER_CLEAN) == {"line_items"}
+
+
+def test_importances_of_one_model_join_by_feature(spark):
+    """The shares of a model's features need no join without a key, also where the model's name is a constant."""
+    from ordersight.operators import nodes as N
+    from ordersight.plans import train as TR
+    from ordersight.operators import models as MD
+    v = TR.vector_table(_rows(spark), ["a", "b"], "person_id", ["y"])
+    m = MD.forest("y", None, numTrees=3, maxDepth=3).fit(v)
+    imp = N.CollapsedForest(m, 2, spark).importances(["a", "b"], "r")
+    plan = imp._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    got = {r.feature: r.importance for r in imp.collect()}
+    assert all(abs(got[f] - v) < 1e-9 for f, v in zip(["a", "b"], m.featureImportances.toArray()))
