@@ -80,26 +80,28 @@ def _scan(doc: DataFrame, grams: DataFrame, max_broadcast: int = 1_000_000, max_
            .select("row", "doc_id", "n_words", F.posexplode("runs").alias("run", "w")))
 
     def windows_of(n: int) -> Column:
-        """Of each window of n words that begins in the run: its hash and the words themselves."""
+        """Of each window of n words that begins in the run: its hash, or, for the join by shuffling, the words themselves."""
         count = F.least(F.lit(_RUN), n_words - n + 1)
-        grams_of = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice("w", i, n))
-        return F.when(count > 0, F.transform(grams_of, lambda g: F.struct(
-            (F.xxhash64(g) if small else F.lit(0).cast("long")).alias("key"), g.alias("gram"))))
+        gram = lambda i: F.slice("w", i, n)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(gram(i)) if small else gram(i)))
 
     # Element 0 stands for the document itself, so that documents without a hit stay.
-    none = F.array(F.struct(F.lit(0).cast("long").alias("key"), F.array().cast("array<string>").alias("gram")))
+    none = F.array(F.lit(0).cast("long") if small else F.array().cast("array<string>"))
     parts = [F.coalesce(windows_of(n), F.slice(none, 1, 0)) for n in lengths]
     end, first = F.lit(1), []  # of each length, the element of its first window
     for n in lengths:
         first.append(end)
         end = end + F.greatest(F.least(F.lit(_RUN), F.col("n_run") - n + 1), F.lit(0))
-    n_col, at_col = F.lit(0), F.lit(0)
+    n_col, in_run = F.lit(0), F.lit(0)
     for n, begin in zip(lengths, first, strict=True):
-        n_col, at_col = F.when(F.col("pos") >= begin, F.lit(n)).otherwise(n_col), \
-            F.when(F.col("pos") >= begin, F.col("run") * _RUN + F.col("pos") - begin).otherwise(at_col)
-    marks = (run.select("row", "doc_id", "n_words", "run", n_words.alias("n_run"), F.concat(none, *parts).alias("all"))
-             .select("row", "doc_id", "n_words", "run", "n_run", F.posexplode("all").alias("pos", "x"))
-             .select("row", "doc_id", "n_words", "run", "n_run", "pos", F.col("x.key").alias("key"), F.col("x.gram").alias("gram")))
+        n_col, in_run = F.when(F.col("pos") >= begin, F.lit(n)).otherwise(n_col), \
+            F.when(F.col("pos") >= begin, F.col("pos") - begin).otherwise(in_run)
+    at_col = F.when(F.col("pos") > 0, F.col("run") * _RUN).otherwise(0) + in_run
+    # The words stay in the run's row; those of a window are cut from it where its hash is found.
+    marks = (run.select("row", "doc_id", "n_words", "run", n_words.alias("n_run"), *(["w"] if small else []),
+                        F.concat(none, *parts).alias("all"))
+             .select("row", "doc_id", "n_words", "run", "n_run", *(["w"] if small else []),
+                     F.posexplode("all").alias("pos", "key" if small else "gram")))
 
     itself = grams.sparkSession.createDataFrame([([], 0, [])], "gram array<string>, n int, items array<long>")
     table = itself.unionByName(grams).withColumnsRenamed({"gram": "g_gram", "n": "g_n", "items": "g_items"})
@@ -107,7 +109,8 @@ def _scan(doc: DataFrame, grams: DataFrame, max_broadcast: int = 1_000_000, max_
     if small:
         table = table.withColumn("g_key", F.when(F.col("g_n") == 0, F.lit(0).cast("long"))
                                  .otherwise(F.xxhash64("g_gram")))
-        found = marks.join(F.broadcast(table), (F.col("key") == F.col("g_key")) & same).where(F.col("gram") == F.col("g_gram"))
+        found = (marks.join(F.broadcast(table), (F.col("key") == F.col("g_key")) & same)
+                 .where(F.slice("w", in_run + 1, n_col) == F.col("g_gram")))
     else:
         found = marks.join(table, (F.col("gram") == F.col("g_gram")) & same)
     hit = F.when(F.col("pos") > 0, F.struct(at_col.alias("start"), (at_col + n_col).alias("end")))

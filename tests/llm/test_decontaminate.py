@@ -83,3 +83,15 @@ def test_query_equals_brute_force(spark):
 def test_query_equals_sql(spark):
     from tests.llm.oracle import same_rows
     assert same_rows(spark, "op3_decontaminate")
+
+
+def test_windows_pass_as_hashes(spark):
+    """A window is exploded as its hash alone; its words are cut from the run where the hash is found."""
+    docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(30))), (2, "short one"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(3, 15))), (8, "Short one"), (9, "none of it")], "item_id long, text string")
+    out = D.scan(docs, items)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert any("posexplode(all" in line and "key#" in line and "gram#" not in line for line in plan.splitlines())
+    rows = lambda df: sorted((r.doc_id, r.n_words, [tuple(h) for h in r.hits], list(r["items"])) for r in df.collect())
+    want = [(1, 31, [(4, 14), (5, 15), (6, 16)], [7]), (2, 2, [(0, 2)], [8]), (3, 0, [], [])]
+    assert rows(out) == rows(D.scan(docs, items, max_broadcast=0)) == want
