@@ -76,9 +76,9 @@ class Encoder:
     def _unknown(self, words: set[str]) -> set[str]:
         """The words whose ids are not at hand; those of the generation before are taken over."""
         new = words.difference(self.words)
-        old = new.intersection(self.before)
-        self.words.update((w, self.before[w]) for w in old)
-        return new - old
+        old = {w: self.before[w] for w in new if w in self.before}  # set.intersection would go through all of a dict
+        self.words.update(old)
+        return new.difference(old)
 
     def _learn(self, words: set[str]) -> None:
         """Words of letters only are one pre-token each; for others, a token is the last word's that begins at or before it."""

@@ -24,6 +24,17 @@ def test_cached_encoding_equals_whole_text(parts):
     assert got == t.encode(text, add_special_tokens=False).ids
 
 
+def test_a_look_up_does_not_go_through_the_words_of_the_generation_before():
+    class Kept(dict):
+        def __iter__(self):
+            raise AssertionError("all words were gone through")
+    enc, want = Encoder(PATH), Encoder(PATH)
+    enc.encode("old words, again")
+    enc.before, enc.words = Kept(enc.words), {}
+    assert enc.encode("old words and new ones") == want.encode("old words and new ones")
+    assert enc.words["old"] == enc.before["old"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20_000), max_size=60))
 def test_block_is_a_partition_with_little_padding(lengths):
