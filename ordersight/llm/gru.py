@@ -25,17 +25,13 @@ START = WORDS + BUCKETS
 _SHAPES = {"wx": (START + 1, 3 * HIDDEN), "bx": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN),
            "wc": (HIDDEN, CLASSES + BUCKETS), "bc": (CLASSES + BUCKETS,),
            "ws": (CLASSES, HIDDEN, MEMBERS), "bs": (CLASSES, MEMBERS)}
-SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_ENDS = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES.values())]).tolist()
+SIZE = _ENDS[-1]
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     """The named parameters, as views of one flat vector."""
-    out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at:at + n].reshape(shape)
-        at += n
-    return out
+    return {name: flat[a:b].reshape(shape) for (name, shape), a, b in zip(_SHAPES.items(), _ENDS, _ENDS[1:], strict=False)}
 
 
 def start(n_words: int, class_share: np.ndarray, member_share: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -101,60 +97,101 @@ def streams(docs: list[np.ndarray], n: int):
 
 
 def _run(p: dict, x: np.ndarray, h: np.ndarray):
-    """States after each step of a window, and what the way back needs.
+    """States after each step of a window, and what the way back needs; ``h`` is (features, lanes).
 
-    Arrays are (steps, features, lanes), so that the gates are contiguous blocks.
+    Arrays are (steps, lanes, features), with the three gates as blocks of their own, so that no step works on
+    parts of rows and the output layers get the states as they are.
     """
     steps, n = x.shape
-    k = 2 * HIDDEN
-    hs = np.empty((steps, HIDDEN, n), dtype=np.float32)
-    gates, befores, inner = np.empty((steps, 3 * HIDDEN, n), dtype=np.float32), np.empty_like(hs), np.empty_like(hs)
-    wx, ut = np.ascontiguousarray(p["wx"].T + p["bx"][:, None]), np.ascontiguousarray(p["u"].T)
-    carry = (x != START).astype(np.float32)
-    for t in range(steps):
-        before = np.multiply(h, carry[t], out=befores[t])
-        a = ut @ before
-        xt, g = np.take(wx, x[t], axis=1), gates[t]
-        zr = np.add(xt[:k], a[:k], out=g[:k])  # update, reset
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= 0.5
-        inner[t] = a[k:]
-        m = np.multiply(g[HIDDEN:k], a[k:], out=g[k:])
-        m += xt[k:]
-        np.tanh(m, out=m)
-        h = np.subtract(before, m, out=hs[t])
-        h *= g[:HIDDEN]
-        h += m
-    return hs, gates, befores, inner
-
-
-def _rows(hs: np.ndarray) -> np.ndarray:
-    """(steps, features, lanes) as one row for each step and lane."""
-    return np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, hs.shape[1])
+    hs, before, inner = (np.empty((steps, n, HIDDEN), dtype=np.float32) for _ in range(3))
+    xt = p["wx"][x]
+    xt += p["bx"]
+    gates = np.ascontiguousarray(xt.reshape(steps, n, 3, HIDDEN).transpose(0, 2, 1, 3))  # update, reset, new state
+    u, a = _by_gate(p["u"]), np.empty((3, n, HIDDEN), dtype=np.float32)
+    h, carry = np.ascontiguousarray(h.T), (x != START).astype(np.float32)[:, :, None]
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit
+        for t in range(steps):
+            np.multiply(h, carry[t], out=before[t])
+            np.matmul(before[t], u, out=a)
+            z, r, m = g = gates[t]
+            zr = g[:2]
+            zr += a[:2]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            inner[t] = a[2]
+            m += np.multiply(r, a[2], out=a[2])
+            m *= 2  # tanh(m) is 1 - 2 / (1 + exp(2 m))
+            np.exp(m, out=m)
+            m += 1
+            np.divide(-2, m, out=m)
+            m += 1
+            h = np.subtract(before[t], m, out=hs[t])
+            h *= z
+            h += m
+    return hs, gates, before, inner
+
+
+def _by_gate(u: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(u.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each value of sorted keys begins."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+
+
+def _order(y: np.ndarray) -> np.ndarray:
+    """Positions sorted by token, and so by class; 16 bits make it a radix sort."""
+    return np.argsort(y.astype(np.uint16), kind="stable")
 
 
 def _classes(y: np.ndarray) -> np.ndarray:
     return np.where(y < WORDS, y // MEMBERS, y - WORDS + CLASSES)
 
 
-def _softmax(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of the chosen column of each row, and the exponentials and their sums; overwrites ``v``."""
-    v -= v.max(axis=1, keepdims=True)
+def _cuts(c: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(class, first, end)`` of the word classes that occur in sorted classes."""
+    at = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    return [(k, i, j) for k, (i, j) in enumerate(zip(at, at[1:], strict=False)) if i < j]
+
+
+#: Logits and biases up to this have exponentials, and products and sums of these, that 32 bits hold.
+_TAME = 35
+
+
+def _tame(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no state, whose values lie in -1 to 1, can get a logit out of bounds; the inputs are along axis -2."""
+    return bool(np.abs(w).sum(axis=-2).max(initial=0) < _TAME and np.abs(b).max(initial=0) < _TAME)
+
+
+def _exponentials(v: np.ndarray, bias: np.ndarray, blocks: list[tuple[int, int, int]], at: np.ndarray, tame: bool):
+    """Softmax of the logits ``v`` (overwritten) plus ``bias[k]`` for the rows of each block ``(k, first, end)``.
+
+    Returns the log-probability of column ``at`` of each row, exponentials ``e``, their factors ``f[k]`` and sums
+    ``total``, so that the probabilities are ``e * f[k] / total``. Tame logits need no maximum taken off.
+    """
+    if not tame:
+        for k, i, j in blocks:
+            v[i:j] += bias[k]
+        v -= v.max(axis=1, keepdims=True)
+        bias = np.zeros_like(bias)
     chosen = v[np.arange(len(v)), at]
+    chosen += bias[np.repeat([k for k, _, _ in blocks], [j - i for _, i, j in blocks]), at]
     np.exp(v, out=v)
-    total = v.sum(axis=1)
-    return chosen - np.log(total), v, total
+    factor, total = np.exp(bias), np.empty(len(v), dtype=np.float32)
+    for k, i, j in blocks:
+        np.matmul(v[i:j], factor[k], out=total[i:j])
+    return chosen - np.log(total), v, factor, total
 
 
-def _by_class(c: np.ndarray):
-    """``(class, positions)`` of the classes with members."""
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k]:cuts[k + 1]]
+def _members(f: np.ndarray, p: dict, cuts: list, at: np.ndarray, tame: bool):
+    """``_exponentials`` of the members of the classes, for rows sorted by class."""
+    v = np.empty((len(f), MEMBERS), dtype=np.float32)
+    for k, i, j in cuts:
+        np.matmul(f[i:j], p["ws"][k], out=v[i:j])
+    return _exponentials(v, p["bs"], cuts, at, tame)
 
 
 def log_likelihood(flat: np.ndarray, docs: list[np.ndarray], window: int = 32, width: int = 512) -> np.ndarray:
@@ -163,74 +200,153 @@ def log_likelihood(flat: np.ndarray, docs: list[np.ndarray], window: int = 32, w
     if not docs:
         return out
     p = views(flat)
+    tame = _tame(p["wc"], p["bc"]), _tame(p["ws"], p["bs"])
+    _keep_heap()
     lane = Streams(docs, width)
     h = np.zeros((HIDDEN, len(lane.length)), dtype=np.float32)
     for inputs, targets, owner in lane.windows(window):
         hs, *_ = _run(p, inputs, h[:, :inputs.shape[1]])
-        h = hs[-1]
-        flat_h, y, who = _rows(hs), targets.ravel(), owner.ravel()
+        h = hs[-1].T
+        order = _order(targets.ravel())
+        f, y, who = hs.reshape(-1, HIDDEN)[order], targets.ravel()[order], owner.ravel()[order]
         c = _classes(y)
-        got = _softmax(flat_h @ p["wc"] + p["bc"], c)[0]
-        for k, rows in _by_class(c):
-            got[rows] += _softmax(flat_h[rows] @ p["ws"][k] + p["bs"][k], y[rows] % MEMBERS)[0]
+        cuts = _cuts(c)
+        words = cuts[-1][2] if cuts else 0
+        got = np.empty(len(y), dtype=np.float32)
+        for i in range(0, len(y), _ROWS):
+            some = f[i:i + _ROWS]
+            got[i:i + _ROWS] = _exponentials(some @ p["wc"], p["bc"][None], [(0, 0, len(some))], c[i:i + _ROWS], tame[0])[0]
+        if words:
+            got[:words] += _members(f[:words], p, cuts, y[:words] % MEMBERS, tame[1])[0]
         real = who >= 0
         out += np.bincount(who[real], weights=got[real], minlength=len(docs))
     return out
 
 
+def _keep_heap() -> None:
+    """Lets the C library keep the memory of freed arrays for the next window's; else each window's pages are made anew.
+
+    It keeps for reuse what is smaller than the largest block it has got back from the system, which this one is.
+    """
+    np.empty(7_000_000, dtype=np.float32)
+
+
+#: Rows whose exponentials over all classes stay in a core's cache.
+_ROWS = 2048
+
+
 def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray):
-    """Mean log-loss of a window, its gradient and the last states."""
-    p, grad = views(flat), np.zeros_like(flat)
+    """Mean log-loss of a window, its gradient and the last states.
+
+    The probabilities ``e * factor / total`` are never made: their factors go to the smaller sides of the products.
+    """
+    p, grad = views(flat), np.zeros(SIZE, dtype=np.float32)
     g = views(grad)
-    hs, gates, befores, inner = _run(p, x, h)
+    hs, gates, before, inner = _run(p, x, h)
     steps, n = x.shape
-    f, yy, live = _rows(hs), y.ravel(), real.ravel().astype(np.float32)
+    order = _order(y.ravel())
+    f, yy, live = hs.reshape(-1, HIDDEN)[order], y.ravel()[order], real.ravel()[order].astype(np.float32)
     scale = live / max(1.0, float(live.sum()))
-    c, rows = _classes(yy), np.arange(steps * n)
-    logp, d, total = _softmax(f @ p["wc"] + p["bc"], c)
-    loss = -float((logp * scale).sum())
-    d *= (scale / total)[:, None]
-    d[rows, c] -= scale
-    g["wc"][:], g["bc"][:] = f.T @ d, d.sum(axis=0)
-    dh = d @ p["wc"].T
-    for k, own in _by_class(c):
-        fk, m, part = f[own], yy[own] % MEMBERS, scale[own]
-        lp, dk, total = _softmax(fk @ p["ws"][k] + p["bs"][k], m)
-        loss -= float((lp * part).sum())
-        dk *= (part / total)[:, None]
-        dk[np.arange(len(own)), m] -= part
-        g["ws"][k], g["bs"][k] = fk.T @ dk, dk.sum(axis=0)
-        dh[own] += dk @ p["ws"][k].T
-    dh = np.ascontiguousarray(dh.reshape(steps, n, HIDDEN).transpose(0, 2, 1))
-    k, back, u = 2 * HIDDEN, np.zeros((HIDDEN, n), dtype=np.float32), np.ascontiguousarray(p["u"])
-    da_all, dx_all = np.empty((steps, 3 * HIDDEN, n), dtype=np.float32), np.empty((steps, 3 * HIDDEN, n), dtype=np.float32)
-    carry = (x != START).astype(np.float32)
+    c = _classes(yy)
+    cuts = _cuts(c)
+    words = cuts[-1][2] if cuts else 0
+    weighed = f * scale[:, None]
+
+    logp, e, factor, total = _exponentials(f @ p["wc"], p["bc"][None], [(0, 0, len(f))], c, _tame(p["wc"], p["bc"]))
+    loss, part, factor = -float(logp @ scale), scale / total, factor[0]
+    first = _firsts(c)
+    g["wc"][:] = (f * part[:, None]).T @ e
+    g["wc"][:] *= factor
+    g["wc"][:, c[first]] -= np.add.reduceat(weighed, first, axis=0).T
+    g["bc"][:] = factor * (part @ e)
+    g["bc"][c[first]] -= np.add.reduceat(scale, first)
+    d = e @ (p["wc"] * factor).T
+    d *= part[:, None]
+    d -= scale[:, None] * p["wc"].T[c]
+
+    if words:
+        seen, member = [k for k, _, _ in cuts], yy[:words] % MEMBERS
+        logp, e, factor, total = _members(f[:words], p, cuts, member, _tame(p["ws"][seen], p["bs"][seen]))
+        loss -= float(logp @ scale[:words])
+        part = scale[:words] / total
+        shared, back = f[:words] * part[:, None], np.empty((words, HIDDEN), dtype=np.float32)
+        wf = (p["ws"][seen] * factor[seen, None]).transpose(0, 2, 1)
+        made, sums = np.empty((len(seen), HIDDEN, MEMBERS), dtype=np.float32), np.empty((len(seen), MEMBERS), dtype=np.float32)
+        for q, (_, i, j) in enumerate(cuts):
+            own = e[i:j]
+            np.matmul(shared[i:j].T, own, out=made[q])
+            np.matmul(part[i:j], own, out=sums[q])
+            np.matmul(own, wf[q], out=back[i:j])
+        made *= factor[seen, None]
+        sums *= factor[seen]
+        g["ws"][seen], g["bs"][seen] = made, sums
+        back *= part[:, None]
+        d[:words] += back
+        first = _firsts(yy[:words])
+        g["ws"][c[first], :, member[first]] -= np.add.reduceat(weighed[:words], first, axis=0)
+        g["bs"][c[first], member[first]] -= np.add.reduceat(scale[:words], first)
+        d[:words] -= scale[:words, None] * p["ws"][c[:words], :, member]
+
+    dh = np.empty_like(d)
+    dh[order] = d
+    dh = dh.reshape(steps, n, HIDDEN)
+    z, r, m = gates.transpose(1, 0, 2, 3)
+    of_update, of_reset, of_new = (1 - z) * (before - m), r * (1 - r) * inner, 1 - m * m
+    # of the update gate, the reset gate, the new state's part from the state, and the new state
+    ways, ut = np.empty((4, steps, n, HIDDEN), dtype=np.float32), np.ascontiguousarray(_by_gate(p["u"]).transpose(0, 2, 1))
+    back, carry = np.zeros((n, HIDDEN), dtype=np.float32), (x != START).astype(np.float32)[:, :, None]
+    a = np.empty((3, n, HIDDEN), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
-        z, r, m = gates[t, :HIDDEN], gates[t, HIDDEN:k], gates[t, k:]
         through = dh[t]
         through += back
-        keep = through * z
-        dx, da = dx_all[t], da_all[t]
-        dm = np.subtract(through, keep, out=dx[k:])
-        dm *= 1 - m * m
-        np.multiply(keep, 1 - z, out=dx[:HIDDEN])
-        dx[:HIDDEN] *= befores[t] - m
-        np.multiply(r, 1 - r, out=dx[HIDDEN:k])
-        dx[HIDDEN:k] *= inner[t]
-        dx[HIDDEN:k] *= dm
-        da[:k] = dx[:k]
-        np.multiply(dm, r, out=da[k:])
-        back = u @ da
-        back += keep
+        keep = through * z[t]
+        through -= keep
+        dm = np.multiply(through, of_new[t], out=ways[3, t])
+        np.multiply(keep, of_update[t], out=ways[0, t])
+        np.multiply(dm, of_reset[t], out=ways[1, t])
+        np.multiply(dm, r[t], out=ways[2, t])
+        np.matmul(ways[:3, t], ut, out=a)
+        back = keep
+        for part in a:
+            back += part
         back *= carry[t]  # the state before a document's first step is no parameter's doing
-    g["u"][:] = _rows(befores).T @ _rows(da_all)
-    dx = _rows(dx_all)
-    g["bx"][:] = dx.sum(axis=0)
-    order = np.argsort(x.ravel(), kind="stable")
+    ways = ways.reshape(4, -1, HIDDEN)
+    order = _order(x.ravel())
     ids = x.ravel()[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    g["wx"][ids[first]] = np.add.reduceat(dx[order], first, axis=0)
-    return loss, grad, hs[-1]
+    first = _firsts(ids)
+    dx = np.empty((steps * n, 3 * HIDDEN), dtype=np.float32)
+    for k, way in enumerate((0, 1, 3)):
+        own = slice(k * HIDDEN, (k + 1) * HIDDEN)
+        g["u"][:, own] = before.reshape(-1, HIDDEN).T @ ways[k]
+        dx[:, own] = ways[way][order]
+    rows = np.add.reduceat(dx, first, axis=0)
+    g["bx"][:] = rows.sum(axis=0)
+    g["wx"][ids[first]] = rows
+    return loss, grad, hs[-1].T
+
+
+def _step(flat: np.ndarray, square: np.ndarray, grad: np.ndarray, inputs: np.ndarray, targets: np.ndarray,
+          share: float, rate: float) -> None:
+    """One step of AdaGrad in place, over the parameters that the window's tokens have a part in; the others have no gradient."""
+    p, s, g = views(flat), views(square), views(grad)
+    met = np.zeros(START + 1, dtype=bool)
+    met[inputs] = True
+    classes = np.zeros(CLASSES + BUCKETS, dtype=bool)
+    classes[_classes(targets)] = True
+    at = {"wx": np.flatnonzero(met), "ws": np.flatnonzero(classes[:CLASSES])}
+    at["bs"] = at["ws"]
+    every = slice(None)
+    parts = [(name, at.get(name, every), g[name][at.get(name, every)] * np.float32(share)) for name in g]
+    norm = float(np.sqrt(sum(float(np.vdot(x, x)) for _, _, x in parts)))
+    for name, own, x in parts:
+        if norm > 1:
+            x /= norm
+        total = s[name][own] + x * x
+        s[name][own] = total
+        np.sqrt(total, out=total)
+        x *= rate
+        x /= total
+        p[name][own] -= x
 
 
 def train(flat: np.ndarray, square: np.ndarray, docs: list[np.ndarray], window: int = 16, width: int = 256,
@@ -244,14 +360,10 @@ def train(flat: np.ndarray, square: np.ndarray, docs: list[np.ndarray], window:
     flat, square = flat.copy(), square.copy()
     if not docs:
         return flat, square
+    _keep_heap()
     lane = Streams(docs, width)
     h = np.zeros((HIDDEN, len(lane.length)), dtype=np.float32)
     for inputs, targets, owner in lane.windows(window):
         _, grad, h = gradient(flat, inputs, targets, owner >= 0, h[:, :inputs.shape[1]])
-        grad *= inputs.shape[1] / len(lane.length)
-        norm = float(np.sqrt((grad * grad).sum()))
-        if norm > 1:
-            grad /= norm
-        square += grad * grad
-        flat -= rate * grad / np.sqrt(square)
+        _step(flat, square, grad, inputs, targets, inputs.shape[1] / len(lane.length), rate)
     return flat, square

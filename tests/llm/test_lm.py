@@ -103,6 +103,63 @@ def test_a_long_document_is_trained_with_one_state():
     assert sum(starts) == 1 and starts[0] == 1
 
 
+def test_a_step_works_only_on_parameters_of_its_tokens():
+    """Equal to a step over all parameters, without touching those of other tokens."""
+    flat, docs = first(), some_docs(6)
+    x, y, owner, _ = G.streams([d[d < 300] for d in docs], 3)
+    _, grad, _ = G.gradient(flat, x, y, owner >= 0, np.zeros((G.HIDDEN, x.shape[1]), dtype=np.float32))
+    want, total = flat.copy(), np.full(G.SIZE, 1e-4, dtype=np.float32)
+    g = grad / max(1.0, float(np.sqrt((grad * grad).sum())))
+    total += g * g
+    want -= 0.1 * g / np.sqrt(total)
+
+    class Watched(np.ndarray):
+        """Notes how many values each assignment puts in."""
+        put = 0
+
+        def __setitem__(self, key, value):
+            Watched.put += np.asarray(self[key]).size
+            super().__setitem__(key, value)
+    got, square = flat.copy().view(Watched), np.full(G.SIZE, 1e-4, dtype=np.float32)
+    G._step(got, square, grad, x, y, 1.0, 0.1)
+    assert np.allclose(got, want, atol=1e-6) and np.allclose(square, total, rtol=1e-5)
+    assert 0 < Watched.put < G.SIZE / 4
+
+
+@pytest.mark.parametrize("scale", [1, 20])
+def test_scores_hold_for_logits_of_any_size(scale):
+    """With small logits no maximum is taken off; large ones need it."""
+    flat, docs = first(), some_docs()
+    p = G.views(flat)
+    for name in ("wc", "bc", "ws", "bs"):
+        p[name] *= scale
+    assert G._tame(p["wc"], p["bc"]) == (scale == 1)
+    got = G.log_likelihood(flat, docs, window=7, width=4)
+    assert got == pytest.approx([plain(flat, d) for d in docs], rel=1e-3)
+
+
+def test_a_window_without_words_of_its_own():
+    flat, docs = first(), [np.array([G.WORDS + 3, G.WORDS, G.WORDS + 3], dtype=np.int32)]
+    assert G.log_likelihood(flat, docs) == pytest.approx([plain(flat, d) for d in docs], rel=1e-4)
+    x, y, owner, _ = G.streams(docs, 1)
+    loss, grad, _ = G.gradient(flat, x, y, owner >= 0, np.zeros((G.HIDDEN, 1), dtype=np.float32))
+    assert loss == pytest.approx(-plain(flat, docs[0]) / 3, rel=1e-4) and not G.views(grad)["ws"].any()
+
+
+def test_windows_reuse_the_memory_of_the_last():
+    """Arrays freed after a window are not given back to the system, to be made page by page for the next one."""
+    resource = pytest.importorskip("resource")
+    docs = [np.arange(2000, dtype=np.int32) % G.START for _ in range(256)]
+    faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    x, y, owner = next(G.Streams(docs, 256).windows(16))
+    flat, square = first(), np.full(G.SIZE, 1e-4, dtype=np.float32)
+    G.train(flat, square, [d[:64] for d in docs])
+    h, before = np.zeros((G.HIDDEN, 256), dtype=np.float32), faults()
+    for _ in range(10):
+        G.gradient(flat, x, y, owner >= 0, h)
+    assert faults() - before < 10 * 500
+
+
 def test_the_model_has_a_thousand_words_of_its_own():
     assert G.WORDS >= 1024 and G.HIDDEN >= 16 and G.BUCKETS >= 32
 
