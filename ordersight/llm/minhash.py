@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import arrow_rows, materialize
 from .common import id_text, map_rows, texts
 from .components import components
 
@@ -47,7 +47,9 @@ PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 MAYBE = 0.60
 #: Members of a block, and the sizes of their sets in all, about.
-_BLOCK, _BLOCK_SHINGLES = 4096, 4_000_000
+_BLOCK, _BLOCK_SHINGLES = 4096, 2_000_000
+#: Rows of a batch: texts and sets are several KB each.
+_BATCH = 500
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2)
@@ -110,7 +112,8 @@ def sign(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield *doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.tobytes()
 
     return map_rows(docs, run, [("doc_id", pa.int64(), "long"), ("n", pa.int64(), "long"),
-                                ("tag", pa.binary(), "binary"), ("key", pa.binary(), "binary"), ("sig", pa.binary(), "binary")])
+                                ("tag", pa.binary(), "binary"), ("key", pa.binary(), "binary"), ("sig", pa.binary(), "binary")],
+                    size=_BATCH)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,18 +216,31 @@ def _maybe(spread: DataFrame, percent: int) -> DataFrame:
     return map_rows(flat, run, [("key", pa.int64(), "long"), ("rep", pa.int64(), "long")]).distinct()
 
 
+def _codes(sets: list[bytes]) -> tuple[list[np.ndarray], int]:
+    """The sets in small numbers, and how many numbers there are; ``sets`` is emptied on the way.
+
+    Numbers are looked up set by set in the sorted values: an inverse of them all takes several times their memory.
+    """
+    values = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in sets])
+    values.sort()
+    values = values[np.r_[True, values[1:] != values[:-1]]]
+    out = []
+    for k, x in enumerate(sets):
+        out.append(np.searchsorted(values, np.frombuffer(x, dtype=np.uint64)).astype(np.int32))
+        sets[k] = b""
+    return out, len(values)
+
+
 def _across(spread: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: links across components, enough to join all that are linked in each bucket."""
     def run(it):
         for (_, i, j), rows in _groups(it):
-            rep, comp, blk, sets = zip(*rows, strict=True)
+            rep, comp, blk, sets = map(list, zip(*rows, strict=True))
+            rows.clear()
             comp, blk = np.array(comp, dtype=np.int64), np.array(blk, dtype=np.int64)
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in sets]
-            n = np.array([len(x) for x in sets])
-            code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-            ends = np.cumsum(n)
-            own = [code[e - k:e] for e, k in zip(ends, n, strict=True)]
-            mark = np.zeros(int(code.max()) + 1, dtype=np.int32)
+            own, total = _codes(sets)
+            n = np.array([len(x) for x in own])
+            mark = np.zeros(total, dtype=np.int32)
             out = _outside(comp)
             for one, two in _sides(blk, i, j):
                 for x in one[out[one]]:
@@ -265,6 +281,11 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
     Documents with equal sets are one class, known by its number ``rep``; ``(doc_id, tag)`` is its smallest
     document. The links are enough to join every component.
     """
+    with arrow_rows(docs.sparkSession, _BATCH):
+        return _links(docs, width, percent)
+
+
+def _links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     signed = materialize(sign(docs, width), "minhash_signed")
     known = signed.where("n > 0 and doc_id is not null")
     least = F.min(F.struct("doc_id", "tag")).alias("least")
@@ -302,7 +323,7 @@ def links(docs: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFr
         wanted = classes.join(members, "rep", "left_semi").select("rep", F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"))
         rows = (docs.join(wanted, (F.col("doc_id") == F.col("of_id")) & (_tag("text") == F.col("of_tag")))
                 .select("rep", "text").dropDuplicates(["rep"]))
-        return map_rows(rows, run, [("rep", pa.int64(), "long"), ("set", pa.binary(), "binary")])
+        return map_rows(rows, run, [("rep", pa.int64(), "long"), ("set", pa.binary(), "binary")], size=_BATCH)
 
     ends = stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct()
     tested = materialize(_confirm(stars, materialize(sets_of(ends), "minhash_sets"), percent), "minhash_tested")

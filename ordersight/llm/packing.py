@@ -62,7 +62,8 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         # For words of letters only, in lower case and normal form, nothing is left to normalise or to split but blanks.
-        self.letters = Tokenizer.from_file(path)
+        # It has the same model, not a copy: each worker holds one.
+        self.letters = Tokenizer(self.tokenizer.model)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])

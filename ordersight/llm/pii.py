@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import id_text, map_rows
+from .common import id_text, map_rows, releasing
 
 #: Fixed by the task: kinds in the order of the digests, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -277,8 +277,8 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", remove_at: float = 0.8,
         row = "__llm_row"
         keyed = kinds.withColumn(row, F.monotonically_increasing_id())
         own = (_own_words(keyed.select(row, text_col), table).withColumnsRenamed({"row": row, "own": extra}))
-        return keyed.join(own, row, "left").drop(row).mapInArrow(run, kinds.schema)
-    return kinds.mapInArrow(run, kinds.schema)
+        return keyed.join(own, row, "left").drop(row).mapInArrow(lambda it: releasing(run(it)), kinds.schema)
+    return kinds.mapInArrow(lambda it: releasing(run(it)), kinds.schema)
 
 
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import foremost, id_text, map_rows, texts
+from .common import foremost, id_text, map_rows, releasing, texts
 
 BUCKETS = 1 << 18
 _STEMS = (4, 5)
@@ -191,4 +191,4 @@ def select(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: s
             yield batch.filter(pa.array(keep, type=pa.bool_()))
         _cache().clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: releasing(run(it)), docs.schema)

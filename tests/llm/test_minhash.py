@@ -160,3 +160,47 @@ def test_ids_with_several_texts(spark):
     left = M.deduplicate(df).collect()
     assert sorted(r.doc_id for r in left if r.text and r.doc_id) == sorted({find for d, find in want.items() if d != 11})
     assert sum(r.doc_id is None for r in left) == 3 and sum(not r.text for r in left) == 4
+
+
+def test_codes_take_little_memory():
+    """Numbers stand for the same values in all sets; not several arrays of all values at 64 bits are made for them."""
+    import tracemalloc
+    r = np.random.default_rng(3)
+    own = [np.unique(r.integers(0, 400_000, 500, dtype=np.uint64)) * np.uint64(1 << 40) for _ in range(2000)]
+    sets, size = [x.tobytes() for x in own], sum(x.nbytes for x in own)
+    values = np.unique(np.concatenate(own))
+    tracemalloc.start()
+    codes, total = M._codes(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * size and not any(sets)
+    assert total == len(values) and all((values[c] == x).all() for c, x in zip(codes, own, strict=True))
+
+
+def test_wide_rows_pass_in_small_batches(spark, monkeypatch):
+    """Texts and sets of several KB go to the workers few at a time, and the session's setting is as before."""
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], M.materialize
+    before = spark.conf.get(key)
+    monkeypatch.setattr(M, "materialize", lambda df, name: (seen.append(int(spark.conf.get(key))), real(df, name))[1])
+    docs = spark.createDataFrame([(k, f"a b c d e f g {k % 3}") for k in range(20)], "doc_id long, text string")
+    M.links(docs)
+    assert seen and max(seen) <= 500 and spark.conf.get(key) == before
+
+
+def test_reserved_memory_goes_back(monkeypatch):
+    """Batches end with Arrow's reserve released, also where the reader stops early."""
+    from ordersight.llm import common as C
+
+    class Pool:
+        freed = 0
+
+        def release_unused(self):
+            self.freed += 1
+
+    pool = Pool()
+    monkeypatch.setattr(C.pa, "default_memory_pool", lambda: pool)
+    assert list(C.releasing(iter([1, 2]))) == [1, 2] and pool.freed == 1
+    some = C.releasing(iter([1, 2]))
+    next(some)
+    some.close()
+    assert pool.freed == 2

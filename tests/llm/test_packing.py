@@ -106,3 +106,26 @@ def test_whole_table_padding(spark, sf):
     padding = sum(4096 - u for u in used.values() if u & (u - 1))
     assert padding <= 4096 * len({s >> 36 for s in used})
     assert len({r.doc_id for r in rows}) == docs.count()
+
+
+def test_one_model_in_an_encoder(monkeypatch):
+    """The tokenizer's file is read once: both ways to tokenize share the model."""
+    import public_tokenizers
+    import tokenizers
+    from ordersight.llm import packing as P
+    read, real = [], tokenizers.Tokenizer
+
+    class Once:
+        def __new__(cls, model):
+            return real(model)
+
+        @staticmethod
+        def from_file(path):
+            read.append(path)
+            return real.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Once)
+    enc = P.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Some words, some Words; näive 12 x-y."
+    assert len(read) == 1
+    assert enc.encode(text) == enc._ids(enc.tokenizer.encode(text, add_special_tokens=False).ids)
