@@ -172,3 +172,40 @@ def test_importances_of_one_model_join_by_feature(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     got = {r.feature: r.importance for r in imp.collect()}
     assert all(abs(got[f] - v) < 1e-9 for f, v in zip(["a", "b"], m.featureImportances.toArray()))
+
+
+def test_field_and_strip_need_no_regex(spark):
+    """An item's field and a trimmed text come from plain text functions, with what the rules say."""
+    from ordersight.functions import items as FI
+    from ordersight.functions import text as X
+    rows = [None, "", "sku:A", "id:1|sku:OLD|x|sku:B|quantity:2", "xsku:C|sku", "sku:|sku:D:E|junk", "sku:A|sku:", "sku:é😀|",
+            "|sku:F", "sku: G |q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+
+    def last(t):
+        hits = [f[4:] for f in (t or "").split("|") if f.startswith("sku:")]
+        return hits[-1] if hits else None
+
+    got = df.select("i", FI.field("t", "sku").alias("v"), FI.field("t", "none").alias("n")).orderBy("i")
+    assert [(r.v, r.n) for r in got.collect()] == [(last(t), None) for t in rows]
+    texts = [None, "", "  ", "\t a b \r\n", "\x0b\fé 😀\x0b ", "x"]
+    df2 = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df2.select("i", X.strip("t").alias("v")).orderBy("i")
+    assert [r.v for r in out.collect()] == [t if t is None else t.strip(" \t\n\x0b\f\r") for t in texts]
+    assert "regexp" not in _plan(out).lower() and "lambda" not in _plan(got).lower()
+
+
+def test_cleaning_projection_is_not_one_long_method(spark):
+    """The cleaning projection stays out of whole-stage code, whose one method would be too long to be compiled; the
+    rules of the census run before the join, and a missing coupon list is no coupon."""
+    from ordersight.plans import standins as S
+    from ordersight.plans.clean import clean_columns
+    raw = S.raw_orders(spark, SF)
+    out = clean_columns(raw, S.census(spark, SF), S.names(spark, SF))
+    plan = _plan(out.select("used_coupon", "mean_household_income"))
+    assert "exists(" in plan[:plan.index("Join")]
+    assert "[,+" in plan and "[,+" not in plan[:plan.index("Join")]  # the pattern of incomes, on the census rows
+    got = {(r.coupon_items is None, r.coupon_items, r.used_coupon) for r in out.select("coupon_items", "used_coupon").collect()}
+    assert (True, None, 0) in got and all(u == int(bool(t) and t.startswith("id:") and not t.startswith("id:|")) for _, t, u in got)
+    unmatched = out.where("zip is null").select("is_income_censored", "median_household_income").distinct().collect()
+    assert [tuple(r) for r in unmatched] == [(False, None)]
