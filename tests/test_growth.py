@@ -209,3 +209,37 @@ def test_cleaning_projection_is_not_one_long_method(spark):
     assert (True, None, 0) in got and all(u == int(bool(t) and t.startswith("id:") and not t.startswith("id:|")) for _, t, u in got)
     unmatched = out.where("zip is null").select("is_income_censored", "median_household_income").distinct().collect()
     assert [tuple(r) for r in unmatched] == [(False, None)]
+
+
+def test_large_forests_are_fitted_one_at_a_time(spark, monkeypatch):
+    """Fits that run side by side are bounded by their rows, and a large forest keeps no node of every row and tree;
+    neither changes a model."""
+    import threading
+
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from ordersight.operators import models as MD
+    from ordersight.plans import train as TR
+    rows = _rows(spark).withColumns({f"next_{t}": ((F.col("id") * k) % 7 > 2).cast("int") for k, t in ((3, "s"), (5, "t"), (8, "u"))})
+    run = lambda: TR.train_target_models(rows, ["a", "b"], ["s", "t", "u"], grid={"maxDepth": [1, 3]}, numTrees=3)
+    found = lambda r: sorted((x.metric, x.label, x.value) for x in r.metrics.collect() if x.metric != "best_params")
+    want = found(run())
+    now, most, cached, lock, fit = [0], [0], set(), threading.Lock(), RandomForestClassifier.fit
+
+    def counted(self, *a, **k):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            cached.add(self.getCacheNodeIds())
+        try:
+            return fit(self, *a, **k)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", counted)
+    monkeypatch.setattr(MD, "ROWS_AT_ONCE", 200)
+    monkeypatch.setattr(MD, "NODE_IDS", 100)
+    assert found(run()) == want
+    assert most[0] == 1 and cached == {False}
+    assert MD.fits_at_once(9_000_000, 8) == 1
